@@ -47,7 +47,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Fragments(dict):
+class Fragments:
     """Fragment -> little-endian ids, filled through the tokenizer in joined calls.
 
     New fragments are joined by the special token, which splits a text before
@@ -61,6 +61,7 @@ class Fragments(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.known: dict[bytes, bytes] = {}  # a plain dict: sets are compared with it key by key
         self.special = special
         self.special_id = self.tokenizer.token_to_id(special)
 
@@ -68,23 +69,25 @@ class Fragments(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, fragments: set[bytes]) -> None:
-        if len(self) + len(fragments) > CACHE:
-            self.clear()
+        if len(self.known) + len(fragments) > CACHE:
+            self.known.clear()
         plain = [x for x in fragments if b"<|" not in x and b"|>" not in x]
         for x in fragments - set(plain):
-            self[x] = self.ids(x.decode("utf-8", "replace")).tobytes()
+            self.known[x] = self.ids(x.decode("utf-8", "replace")).tobytes()
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
             ids = self.ids(self.special.join(x.decode("utf-8", "replace") for x in part))
             ends = np.flatnonzero(ids == self.special_id)
             data = ids.tobytes()
             for x, a, b in zip(part, [0, *((ends + 1) * 4).tolist()], [*(ends * 4).tolist(), len(data)], strict=True):
-                self[x] = data[a:b]
+                self.known[x] = data[a:b]
 
     def join(self, fragments: list[bytes]) -> bytes:
-        if new := set(fragments).difference(self):
+        if new := set(fragments).difference(self.known):
+            if len(self.known) + len(new) > CACHE:
+                new = set(fragments)  # the cache starts anew
             self.learn(new)
-        return b"".join(map(self.__getitem__, fragments))
+        return b"".join(map(self.known.__getitem__, fragments))
 
 
 class Splitter:
