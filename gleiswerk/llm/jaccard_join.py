@@ -268,7 +268,7 @@ def matrix_links(docs: DataFrame, sets: DataFrame, rows: DataFrame, over: int =
     texts = materialize(texts_of(docs, sets, asked.select(F.col("q").alias("set_id")).unionByName(wanted.select("set_id"))), "texts")
     slices = asked.select("g", "part").distinct()
     group_side = slices.join(wanted.select("g", "set_id"), "g").join(texts, "set_id")
-    query_side = asked.withColumnRenamed("q", "set_id").join(texts, "set_id").select("g", "part", "set_id", "text")
+    query_side = asked.join(texts.select(F.col("set_id").alias("q"), F.col("text").alias("qtext")), "q").select(F.col("g").alias("qg"), F.col("part").alias("qpart"), "q", "qtext")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def open_groups(queries: pa.Table, members: pa.Table) -> pa.Table:
@@ -276,7 +276,7 @@ def matrix_links(docs: DataFrame, sets: DataFrame, rows: DataFrame, over: int =
         if queries.num_rows and members.num_rows:
             of_members = shingle_sets(members.column("text").to_pylist())
             union = np.unique(np.concatenate(of_members))
-            for q, tokens in zip(queries.column("set_id").to_pylist(), shingle_sets(queries.column("text").to_pylist()), strict=True):
+            for q, tokens in zip(queries.column("q").to_pylist(), shingle_sets(queries.column("qtext").to_pylist()), strict=True):
                 at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
                 if of * int((union[at] == tokens).sum()) < over * len(tokens):
                     continue  # no member can reach the similarity
@@ -287,7 +287,7 @@ def matrix_links(docs: DataFrame, sets: DataFrame, rows: DataFrame, over: int =
                         break  # the group is of one component
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return query_side.groupBy("g", "part").cogroup(group_side.select("g", "part", "set_id", "text").groupBy("g", "part")).applyInArrow(open_groups, "a long, b long")
+    return query_side.groupBy("qg", "qpart").cogroup(group_side.select("g", "part", "set_id", "text").groupBy("g", "part")).applyInArrow(open_groups, "a long, b long")
 
 
 # -- components ---------------------------------------------------------------------

@@ -34,6 +34,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -330,9 +331,8 @@ def answer_repeats(payloads: list[bytes], length: int, gram: int) -> Iterator[by
     first = np.full(len(rep), _LAST, np.int64)
     np.minimum.at(first, inverse, least)
     _, of_key, n = np.unique(key[rep], return_inverse=True, return_counts=True)
-    alone = n[of_key] == 1
-    one = np.flatnonzero(alone)
-    many = np.flatnonzero(~alone)
+    one = np.arange(len(rep))  # a content repeats as a whole wherever it occurs
+    many = np.flatnonzero(n[of_key] > 1)
     r = rep[many]
     a, b, c, d = repeats_of(key[r], size[r], gather(text, begin[r], size[r]), first[many], length)
     who = np.concatenate([one, many[a]])
@@ -432,12 +432,12 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     done = repeated_spans(docs, length)
     texts = done.where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("kept").alias("__kept"))
     names = docs.columns
+    whole_characters = F.pandas_udf(_whole_characters, "string")
     joined = docs.join(texts, F.col("doc_id").cast("long") == F.col("__doc"), "left")
     return joined.withColumn("text", F.when(F.col("__doc").isNull(), F.col("text")).otherwise(whole_characters(F.col("__kept")))).select(*names)
 
 
-@F.pandas_udf("string")
-def whole_characters(kept):  # noqa: ANN001, ANN201
+def _whole_characters(kept: pd.Series) -> pd.Series:
     return kept.map(lambda x: None if x is None else x.decode("utf-8", "ignore"))
 
 
