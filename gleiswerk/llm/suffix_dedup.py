@@ -6,7 +6,7 @@ sparsely, without losing a match: each 50-byte window has an anchor, its
 20-byte string of the smallest hash, and equal windows have equal anchors. The
 windows that share an anchor form a segment of at most 80 bytes.
 
-1. Documents are packed into blocks (compressed, about 4 MB) that are
+1. Documents are packed into blocks (compressed, about 2 MB of text) that are
    partitioned once and checkpointed; later steps find them in place.
 2. Each block asks, for its distinct anchors, in how many documents they are;
    the answer is a flag for each: alone, repeated, or very common.
@@ -30,7 +30,6 @@ text, such remains are left out.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,7 @@ from .common import materialize, mix, prefix_hashes, record_batch, shared_dir, s
 
 LENGTH = 50
 GRAM = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Documents from which an anchor is handled window by window.
 COMMON = 4096
 _STEP = 1 << 21
@@ -61,20 +60,36 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-# -- blocks ---------------------------------------------------------------------
+# -- blocks and messages -----------------------------------------------------------
 
 
-def pack_block(ids: list[int | None], texts: list[bytes]) -> bytes:
+def packed(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+    """Arrays of one length, and a tail, as bytes; compressed where that may pay."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((np.array([_LAST if i is None else i for i in ids], np.int64), np.array([len(x) for x in texts], np.int64), b"".join(texts))))
+    data = len(arrays[0]).to_bytes(4, "little") + b"".join(a.tobytes() for a in arrays) + tail
+    return b"\1" + zstandard.ZstdCompressor(level=3).compress(data) if len(data) > 256 else b"\0" + data
 
 
-def open_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, bounds of the documents, bytes."""
+def unpacked(data: bytes, *kinds: str) -> tuple[list[np.ndarray], bytes]:
+    """The arrays and the tail of ``packed``."""
     import zstandard
 
-    ids, sizes, data = pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
+    data = zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"\1" else data[1:]
+    n, at, out = int.from_bytes(data[:4], "little"), 4, []
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return out, data[at:]
+
+
+def pack_block(ids: list[int | None], texts: list[bytes]) -> bytes:
+    return packed(np.array([_LAST if i is None else i for i in ids], np.int64), np.array([len(x) for x in texts], np.int64), tail=b"".join(texts))
+
+
+def open_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, bounds of the documents, bytes."""
+    (ids, sizes), data = unpacked(payload, "i8", "i8")
     return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.frombuffer(data, np.uint8)
 
 
@@ -157,6 +172,8 @@ def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[in
     """An order by bucket (stable), and (bucket, from, to) in it."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
+    if not len(order):
+        return order, []
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     return order, [(int(bucket[order[i]]), int(i), int(j)) for i, j in zip(edges, [*edges[1:], len(order)], strict=True)]
 
@@ -186,7 +203,8 @@ class Block:
         anchors, n = self.anchors()
         order, parts = by_bucket(anchors, self.buckets)
         for bucket, i, j in parts:
-            yield bucket, pickle.dumps((anchors[order[i:j]], np.minimum(n[order[i:j]], 65535).astype(np.uint16)))
+            own = anchors[order[i:j]] >> np.uint64(16)  # 48 bits and the bucket: two alike by chance are only looked at in vain
+            yield bucket, packed((own & np.uint64(0xFFFFFFFF)).astype(np.uint32), (own >> np.uint64(32)).astype(np.uint16), np.minimum(n[order[i:j]], 65535).astype(np.uint16))
 
     def entries(self, flags: dict[int, bytes]) -> None:
         """From the answers to ``ask_counts``: what to send, each content once, and where it occurs."""
@@ -194,7 +212,7 @@ class Block:
         order, parts = by_bucket(anchors, self.buckets)
         flag = np.zeros(len(anchors), np.uint8)
         for bucket, i, j in parts:
-            flag[order[i:j]] = np.frombuffer(flags[bucket], np.uint8)
+            flag[order[i:j]] = unpacked(flags[bucket], "u1")[0][0]
         flag = flag[self.inverse]
         light, heavy = flag == 1, flag == 2
         n = self.count[heavy]
@@ -221,14 +239,14 @@ class Block:
     def ask_repeats(self) -> Iterator[tuple[int, bytes]]:
         for bucket, i, j in self.entry_parts:
             e = self.entry_order[i:j]
-            yield bucket, pickle.dumps((self.entry_key[e], self.least[e], self.most[e], self.entry_size[e].astype(np.uint8), gather(self.data, self.entry_start[e], self.entry_size[e]).tobytes()))
+            yield bucket, packed(self.entry_key[e], self.least[e], self.most[e], self.entry_size[e].astype(np.uint8), tail=gather(self.data, self.entry_start[e], self.entry_size[e]).tobytes())
 
     def marked(self, answers: dict[int, bytes]) -> np.ndarray:
         """Which bytes of the block go."""
         who, off, size, least = [], [], [], []
         for bucket, i, j in self.entry_parts:
             if bucket in answers:
-                a, b, c, d = pickle.loads(answers[bucket])
+                (a, b, c, d), _ = unpacked(answers[bucket], "u4", "u1", "u1", "i8")
                 who.append(self.entry_order[i:j][a])
                 off.append(b.astype(np.int64))
                 size.append(c.astype(np.int64))
@@ -321,10 +339,11 @@ def repeats_of(key: np.ndarray, size: np.ndarray, text: np.ndarray, least: np.nd
 
 def answer_repeats(payloads: list[bytes], length: int, gram: int) -> Iterator[bytes | None]:
     """For each block's entries: (entry, offset, length, least doc_id) of what occurs elsewhere too."""
-    parts = [pickle.loads(x) for x in payloads]
-    key, least, most, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    read = [unpacked(x, "u8", "i8", "i8", "u1") for x in payloads]
+    parts = [p for p, _ in read]
+    key, least, size = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
     size = size.astype(np.int64)
-    text = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
+    text = np.frombuffer(b"".join(x for _, x in read), np.uint8)
     begin = np.cumsum(size) - size
     same = mix(key ^ (content_hashes(gram_hashes(text, gram), begin, size, gram) * _MUL))
     _, rep, inverse = np.unique(same, return_index=True, return_inverse=True)
@@ -353,7 +372,7 @@ def answer_repeats(payloads: list[bytes], length: int, gram: int) -> Iterator[by
         go = doc[row] < p[2][entry]
         at += len(p[0])
         row, entry = row[go], entry[go]
-        yield pickle.dumps((entry.astype(np.uint32), off[row].astype(np.uint8), long[row].astype(np.uint8), doc[row])) if len(row) else None
+        yield packed(entry.astype(np.uint32), off[row].astype(np.uint8), long[row].astype(np.uint8), doc[row]) if len(row) else None
 
 
 # -- the steps on Spark ---------------------------------------------------------
@@ -376,12 +395,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
                     yield record_batch(ASKED, [[bucket], [block], [said]])
 
     def count(asked: pa.Table) -> pa.Table:
-        parts = [pickle.loads(x.as_py()) for x in asked.column("payload")]
-        _, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([p[1] for p in parts]).astype(np.float64))
+        parts = [unpacked(x.as_py(), "u4", "u2", "u2")[0] for x in asked.column("payload")]
+        key = np.concatenate([p[0] for p in parts]).astype(np.uint64) | np.concatenate([p[1] for p in parts]).astype(np.uint64) << np.uint64(32)
+        _, inverse = np.unique(key, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([p[2] for p in parts]).astype(np.float64))
         flag = np.where(n >= common, 2, np.where(n >= 2, 1, 0)).astype(np.uint8)[inverse]
         ends = np.cumsum([len(p[0]) for p in parts]).tolist()
-        said = [flag[i:j].tobytes() for i, j in zip([0, *ends], ends, strict=False)]
+        said = [packed(flag[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
         return pa.table([asked.column("block"), asked.column("bucket"), pa.array([1] * len(said), pa.int32()), pa.array(said, pa.binary())], schema=ANSWERED)
 
     flags = materialize(blocks.mapInArrow(ask, ddl(ASKED)).groupBy("bucket").applyInArrow(count, ddl(ANSWERED)), "anchors")
