@@ -12,8 +12,9 @@ sets are one node, so copies never meet as pairs. The join is exact:
    documents into groups.
 3. What stars can't decide goes through the matrix: tokens that sets of
    different components share lead from a query to groups of the other
-   component; a group's task stores the union of its members' tokens, bounds
-   the overlap with each query, and opens only groups that can qualify. One
+   component. Sets' parities bound the similarity first; then a group's task
+   stores the union of its members' tokens, bounds the overlap with each query
+   by it, and opens only groups that can qualify. One
    link between two components suffices, so a group is opened no further.
 4. Links become components by alternating large and small stars, each round
    written to the shared folder.
@@ -41,10 +42,12 @@ WORDS = 5
 #: Similarity as a fraction: 75 / 100.
 OVER, OF = 75, 100
 #: A token is common from this share of all documents on (and this number), so at most words-per-document / share tokens are.
-COMMON_SHARE, COMMON_LEAST = 0.0005, 64
+COMMON_SHARE, COMMON_LEAST = 0.00025, 64
 #: Tokens a task gathers before it sends what it has of them, and from how many sets of these it sends a token's count.
-GATHER, LOCAL_LEAST = 6_000_000, 4
-GROUP_MEMBERS, GROUP_QUERIES = 64, 128
+GATHER, LOCAL_LEAST = 6_000_000, 2
+GROUP_MEMBERS, GROUP_QUERIES = 64, 512
+#: Places that wanted doc_ids are hashed to, to leave other texts out of a shuffle: a table of so many rows at most is broadcast.
+PLACES = 1 << 18
 
 
 def shingle_sets(raw: list[bytes], k: int = WORDS) -> list[np.ndarray]:
@@ -79,6 +82,24 @@ def similar(a: np.ndarray, b: np.ndarray, over: int = OVER, of: int = OF) -> boo
     return of * both >= over * (len(a) + len(b) - both)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """For each of about as many places as there are tokens: whether an odd number of tokens falls on it."""
+    places = 1 << max(6, (len(tokens) - 1).bit_length())
+    at = ((tokens >> np.uint64(20)) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, a: bytes, m: int, b: bytes, over: int = OVER, of: int = OF) -> bool:
+    """Whether the parities allow the similarity: places that differ are tokens of one set only, at least."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), len(a)
+    while size > len(b):  # parities over half the places
+        size //= 2
+        x = (x >> 8 * size) ^ (x & (1 << 8 * size) - 1)
+    return (of + over) * (x ^ int.from_bytes(b, "little")).bit_count() <= (of - over) * (n + m)
+
+
 def prefix_size(n: int, over: int = OVER, of: int = OF) -> int:
     return n + (-over * n) // of + 1
 
@@ -87,15 +108,15 @@ def prefix_size(n: int, over: int = OVER, of: int = OF) -> int:
 
 
 def sets_of_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for the empty set)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())])
+    """doc_id, n_shingles, set_id (null for the empty set), bits (the set's parity)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets([x or b"" for x in batch.column(1).to_pylist()])
-            yield record_batch(schema, [batch.column(0), [len(x) for x in sets], [set_id(x) if len(x) else None for x in sets]])
+            yield record_batch(schema, [batch.column(0), [len(x) for x in sets], [set_id(x) if len(x) else None for x in sets], [parity(x) for x in sets]])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return text_rows(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long, bits binary")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -219,11 +240,27 @@ def star_links(asked: DataFrame, over: int = OVER, of: int = OF) -> DataFrame:
 # -- checks -----------------------------------------------------------------------
 
 
-def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, text) of one document for each wanted set."""
-    chosen = sets.join(wanted.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    found = text_rows(docs).join(chosen.where("doc_id is not null"), "doc_id").groupBy("set_id").agg(F.min("text").alias("text"))
-    return found
+def texts_of(docs: DataFrame, kinds: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, text) of one document for each wanted set; few other texts are shuffled."""
+    chosen = kinds.join(wanted.select("set_id").distinct(), "set_id", "left_semi").where("doc_id is not null").select("set_id", "doc_id")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    places = chosen.select(place.alias("place")).distinct()
+    near = text_rows(docs).withColumn("place", place).join(F.broadcast(places), "place", "left_semi")
+    return near.join(chosen, "doc_id").groupBy("set_id").agg(F.min("text").alias("text"))
+
+
+def promising(links: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The links (a, b) whose sets' parities allow the similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    side = lambda c: kinds.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            keep = pa.array([may_be_similar(*r) for r in rows], pa.bool_())
+            yield record_batch(schema, [batch.column(0).filter(keep), batch.column(1).filter(keep)])
+
+    return links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
 
 
 def checked(links: DataFrame, texts: DataFrame) -> DataFrame:
@@ -249,7 +286,7 @@ def group_candidates(open_rows: DataFrame, label: DataFrame) -> DataFrame:
     return marked.join(several, "token", "left_semi")
 
 
-def matrix_links(docs: DataFrame, sets: DataFrame, rows: DataFrame, over: int = OVER, of: int = OF) -> DataFrame:
+def matrix_links(docs: DataFrame, kinds: DataFrame, rows: DataFrame, over: int = OVER, of: int = OF) -> DataFrame:
     """Links between components, through the token-group matrix. rows: token, set_id, size, comp."""
     scale = F.floor(F.log("size") / F.log(F.lit(of / over)))
     members = rows.select("set_id", "size", "comp").distinct().withColumn("scale", scale)
@@ -261,14 +298,13 @@ def matrix_links(docs: DataFrame, sets: DataFrame, rows: DataFrame, over: int =
         rows.join(columns, "token").where("comp > gcomp").select(F.col("set_id").alias("q"), "size", "g").distinct()
         .join(sized, "g").where((F.col("size") * over <= F.col("hi") * of) & (F.col("lo") * over <= F.col("size") * of)).select("q", "g")
     )
-    asked = materialize(asked, "asked")
+    pairs = asked.join(members.select("g", F.col("set_id").alias("b")), "g").select(F.col("q").alias("a"), "b")
+    chances = materialize(promising(pairs, kinds), "chances").join(members.select(F.col("set_id").alias("b"), "g"), "b").select(F.col("a").alias("q"), "g", F.col("b").alias("set_id"))
+    asked = chances.select("q", "g").distinct()
     parts = asked.groupBy("g").agg(F.ceil(F.count("*") / GROUP_QUERIES).alias("parts"))
-    asked = asked.join(parts, "g").select("q", "g", F.pmod(F.xxhash64("q"), "parts").alias("part"))
-    wanted = members.join(asked.select("g").distinct(), "g", "left_semi")
-    texts = materialize(texts_of(docs, sets, asked.select(F.col("q").alias("set_id")).unionByName(wanted.select("set_id"))), "texts")
-    slices = asked.select("g", "part").distinct()
-    group_side = slices.join(wanted.select("g", "set_id"), "g").join(texts, "set_id")
-    query_side = asked.join(texts.select(F.col("set_id").alias("q"), F.col("text").alias("qtext")), "q").select(F.col("g").alias("qg"), F.col("part").alias("qpart"), "q", "qtext")
+    asked = materialize(asked.join(parts, "g").select("q", "g", F.pmod(F.xxhash64("q"), "parts").alias("part")), "asked")
+    wanted = materialize(chances.select("g", "set_id").distinct(), "wanted")
+    texts = materialize(texts_of(docs, kinds, asked.select(F.col("q").alias("set_id")).unionByName(wanted.select("set_id"))), "texts")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def open_groups(queries: pa.Table, members: pa.Table) -> pa.Table:
@@ -287,7 +323,9 @@ def matrix_links(docs: DataFrame, sets: DataFrame, rows: DataFrame, over: int =
                         break  # the group is of one component
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return query_side.groupBy("qg", "qpart").cogroup(group_side.select("g", "part", "set_id", "text").groupBy("g", "part")).applyInArrow(open_groups, "a long, b long")
+    queries = asked.join(texts.select(F.col("set_id").alias("q"), F.col("text").alias("qtext")), "q").select(F.col("g").alias("qg"), F.col("part").alias("qpart"), "q", "qtext")
+    opened = asked.select("g", "part").distinct().join(wanted, "g").join(texts, "set_id").select("g", "part", "set_id", "text")
+    return queries.groupBy("qg", "qpart").cogroup(opened.groupBy("g", "part")).applyInArrow(open_groups, "a long, b long")
 
 
 # -- components ---------------------------------------------------------------------
@@ -321,17 +359,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     found = materialize(star_links(prefix_tokens(docs, common, buckets)), "stars")
     stars = found.where("token is null").select("a", "b").distinct()
-    texts = materialize(texts_of(docs, sets, stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id")))), "texts")
+    kinds = materialize(sets.where("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "kinds")
+    stars = materialize(promising(stars, kinds), "promising")
+    texts = materialize(texts_of(docs, kinds, stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id")))), "texts")
     links = materialize(checked(stars, texts), "checked")
     label = components(links)
     rows = materialize(group_candidates(found.where("token is not null").select("a", "token", "size"), label), "open")
-    more = materialize(matrix_links(docs, sets, rows), "checked")
+    more = materialize(matrix_links(docs, kinds, rows), "checked")
     if more.isEmpty():
         final = label
     else:
         final = components(label.select(F.col("set_id").alias("a"), F.col("comp").alias("b")).unionByName(more))
     # smallest doc_id: of each set first (copies of one text may be a third of all rows), then of each component
-    least = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(final, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    least = kinds.select("set_id", F.col("doc_id").alias("least")).join(final, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     named = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("set_id", "component_id")
     return sets.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
