@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import record_batch, table, text_rows
 
 #: Entries of a task's fragment cache before it starts anew.
-CACHE = 400_000
+CACHE = 800_000
+#: Letters, digits and signs never share a pre-token (an apostrophe may), nor does a vocabulary token hold two of them in a row.
+_PARTS = re.compile(rb"\s*[A-Za-z]+|\s*[0-9]+|\s*[^\sA-Za-z0-9]+|\s+")
 _ASCII_SPACE = (9, 10, 11, 12, 13, 32)
 #: White space beyond ASCII, as UTF-8.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -66,26 +68,35 @@ class Fragments:
         self.special_id = self.tokenizer.token_to_id(special)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, fragments: set[bytes]) -> None:
-        if len(self.known) + len(fragments) > CACHE:
-            self.known.clear()
-        plain = [x for x in fragments if b"<|" not in x and b"|>" not in x]
-        for x in fragments - set(plain):
-            self.known[x] = self.ids(x.decode("utf-8", "replace")).tobytes()
-        for i in range(0, len(plain), 512):
-            part = plain[i : i + 512]
+        """Adds fragments; those of ASCII letters, digits and signs by their parts, most of which are known."""
+        plain, compound = set(), []
+        for x in fragments:
+            if b"<|" in x or b"|>" in x:
+                self.known[x] = self.ids(x.decode("utf-8", "replace")).tobytes()
+            elif x.isascii() and b"'" not in x and len(parts := _PARTS.findall(x)) > 1:
+                compound.append((x, parts))
+                plain.update(parts)
+            else:
+                plain.add(x)
+        new = list(plain.difference(self.known))
+        for i in range(0, len(new), 512):
+            part = new[i : i + 512]
             ids = self.ids(self.special.join(x.decode("utf-8", "replace") for x in part))
             ends = np.flatnonzero(ids == self.special_id)
             data = ids.tobytes()
             for x, a, b in zip(part, [0, *((ends + 1) * 4).tolist()], [*(ends * 4).tolist(), len(data)], strict=True):
                 self.known[x] = data[a:b]
+        for x, parts in compound:
+            self.known[x] = b"".join(map(self.known.__getitem__, parts))
 
     def join(self, fragments: list[bytes]) -> bytes:
         if new := set(fragments).difference(self.known):
-            if len(self.known) + len(new) > CACHE:
-                new = set(fragments)  # the cache starts anew
+            if len(self.known) > CACHE:
+                self.known.clear()
+                new = set(fragments)
             self.learn(new)
         return b"".join(map(self.known.__getitem__, fragments))
 

@@ -45,8 +45,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                # white space is dropped and parts words for good, so each is encoded for itself
-                ids = own.join((x.as_py() or b"").split()) + end
+                # white space is dropped and parts words for good, so each is encoded for itself; A-Z are lower-cased in any case
+                text = x.as_py() or b""
+                ids = own.join((text if b"<|" in text else text.lower()).split()) + end
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     part = ids[4 * s : 4 * (s + capacity)]
