@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import record_batch, table, text_rows
 
 MIN_CHARS, MIN_DOCS = 40, 5
+SALTS = 16
 STRIP = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _HASHES = pa.schema([("doc_id", pa.int64()), ("line_hash", pa.binary())])
@@ -61,7 +62,10 @@ def dropped_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     """(doc_id, hashes): the keys whose lines each document loses."""
     occurs = line_hashes(docs, min_chars)
     common = occurs.groupBy("line_hash").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    return occurs.join(common.select("line_hash", "keeper"), "line_hash").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("line_hash").alias("__drop"))
+    # a line may be in a third of all documents: its hash is dealt out to many tasks, where its one row of `common` is copied to
+    parts = F.explode(F.array(*map(F.lit, range(SALTS))))
+    own = occurs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return own.join(common.select("line_hash", "keeper", parts.alias("part")), ["line_hash", "part"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("line_hash").alias("__drop"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
