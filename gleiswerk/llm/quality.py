@@ -33,8 +33,10 @@ STEPS, KEEP = 1000, 0.995
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Shares in which a document can be odd; none depends on its length.
+#: Shares in which a document can be odd, none of which depends on its length, and what a rule tolerates of each. The
+#: forest sees what is beyond: else it would set apart short clean texts with a telephone number, not many like bad ones.
 RATIOS = ("symbols", "repeated_words", "repeated_lines", "upper_case", "exclamation", "digits")
+TOLERATED = (0.03, 0.45, 0.5, 0.3, 0.02, 0.25)
 _SCHEMA = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in BASE), ("ratios", pa.list_(pa.float64()))])
 _DDL = "doc_id long, " + ", ".join(f"{n} long" for n in BASE) + ", ratios array<double>"
 
@@ -52,7 +54,7 @@ _START = _class(bytes(set(range(256)) - set(range(0x80, 0xC0)) - {9, 10, 11, 12,
 
 
 def rule_statistics(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Base counts and ratios, a row for each document."""
+    """Base counts, and shares beyond what is tolerated, a row for each document."""
     base, ratios = [np.zeros((0, 5), np.int64)], [np.zeros((0, 6))]
     for i, j in chunks(raw):
         part = raw[i:j]
@@ -89,7 +91,8 @@ def rule_statistics(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         chars, symbols, letters = count(_START), count(_SYMBOL), count(_LETTER)
         base.append(np.stack([n, chars, symbols, copies, repeated], 1))
         some = np.maximum(chars, 1)
-        ratios.append(np.stack([symbols / some, repeated / np.maximum(n, 1), copies / np.maximum(lines, 1), count(_UPPER) / np.maximum(letters, 1), count(_MARK) / some, count(_DIGIT) / some], 1))
+        shares = np.stack([symbols / some, repeated / np.maximum(n, 1), copies / np.maximum(lines, 1), count(_UPPER) / np.maximum(letters, 1), count(_MARK) / some, count(_DIGIT) / some], 1)
+        ratios.append(np.maximum(0.0, shares - np.array(TOLERATED)))
     return np.concatenate(base), np.concatenate(ratios)
 
 
