@@ -73,7 +73,7 @@ def classes(text: str, table: np.ndarray) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """All substrings of a sequence of classes; ``step`` maps state and class to the next state and whether a phrase ended."""
+    """All substrings of a sequence of classes; ``step`` maps state and class to the next state and whether a phrase begins."""
 
     def __init__(self, sequence: list[int], n_classes: int):
         follow: list[dict[int, int]] = [{}]
@@ -104,17 +104,18 @@ class SuffixAutomaton:
         rows = np.fromiter((s for s, x in enumerate(follow) for _ in x), np.int64)
         cols = np.fromiter((c for x in follow for c in x), np.int64)
         to = np.fromiter((t for x in follow for t in x.values()), np.int64)
-        # a class that can't follow ends the phrase; it begins the next one, from the root
-        first = np.zeros(n_classes, np.int64)
-        first[list(follow[0])] = list(follow[0].values())
-        step = np.tile(first * n_classes * 2 + 1, (len(follow), 1))
+        # a class that can't follow begins the next phrase, from the root; one that is nowhere is a phrase of its own
+        self.start = len(follow) * n_classes
+        first = np.full(n_classes, self.start)
+        first[list(follow[0])] = np.array(list(follow[0].values()), np.int64) * n_classes
+        step = np.tile(first * 2 + 1, (len(follow) + 1, 1))
         step[rows, cols] = to * n_classes * 2
-        self.step = step.astype(np.int32).ravel()  # (next state * classes) << 1 | phrase ended
+        self.step = step.astype(np.int32).ravel()  # (next state * classes) << 1 | a phrase begins
 
     def phrases(self, lanes: np.ndarray) -> np.ndarray:
         """lanes[k] holds the k-th class of each run, 255 beyond its end: phrases of each run."""
-        at = np.zeros(lanes.shape[1], np.int32)
-        ended = np.zeros(lanes.shape[1], np.int32)
+        at = np.full(lanes.shape[1], self.start, np.int32)
+        begun = np.zeros(lanes.shape[1], np.int32)
         live = lanes.shape[1]
         for row in lanes:
             while live and row[live - 1] == 255:
@@ -122,9 +123,9 @@ class SuffixAutomaton:
             if not live:
                 break
             got = self.step[at[:live] + row[:live]]
-            ended[:live] += got & 1
+            begun[:live] += got & 1
             at[:live] = got >> 1
-        return ended + 1
+        return begun
 
 
 class Languages:
