@@ -123,9 +123,7 @@ def baseline_shares(stops: DataFrame, kept: DataFrame) -> DataFrame:
 def type_by_cause(reasons: DataFrame, stops: DataFrame, key: str = "id") -> DataFrame:
     """Train types by causes: a matrix of fixed columns."""
     rows = reasons.select(key, F.explode("codes").alias("code")).join(stops.select(key, "train_type"), key)
-    return rows.groupBy("train_type").pivot("category_of", list(PIVOT)).count() if "category_of" in rows.columns else (
-        rows.withColumn("category_of", code_category(F.col("code"))).groupBy("train_type").pivot("category_of", list(PIVOT)).agg(F.count("*")).na.fill(0)
-    )
+    return rows.withColumn("category_of", code_category(F.col("code"))).groupBy("train_type").pivot("category_of", list(PIVOT)).agg(F.count("code")).na.fill(0)
 
 
 def message_combinations(reasons: DataFrame, k: int = 8) -> DataFrame:

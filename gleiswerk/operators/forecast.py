@@ -31,7 +31,7 @@ def lags(stats: DataFrame) -> DataFrame:
 def rolling(stats: DataFrame) -> DataFrame:
     """The mean of the 7 rows before, from 3 observations on."""
     w = by_type().rowsBetween(-7, -1)
-    return stats.withColumn("roll7", F.when(F.count("avg_delay").over(w) >= 3, F.round(F.avg("avg_delay").over(w), 4)))
+    return stats.withColumn("roll7", F.when(F.count("avg_delay").over(w) >= 3, F.round(F.avg("avg_delay").over(w), 6)))
 
 
 def serving(stats: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def serving(stats: DataFrame) -> DataFrame:
     back = F.datediff("target_date", "date")
     d = F.col("avg_delay")
     return stats.join(F.broadcast(target)).groupBy("train_type", "target_date").agg(
-        F.max(F.when(back == 1, d)).alias("d1"), F.max(F.when(back == 3, d)).alias("d3"), F.max(F.when(back == 7, d)).alias("d7"), F.round(F.avg(F.when(back.between(1, 7), d)), 4).alias("mean7")
+        F.max(F.when(back == 1, d)).alias("d1"), F.max(F.when(back == 3, d)).alias("d3"), F.max(F.when(back == 7, d)).alias("d7"), F.round(F.avg(F.when(back.between(1, 7), d)), 6).alias("mean7")
     )
 
 
@@ -87,7 +87,7 @@ def predict_next(rows: DataFrame, stats: DataFrame, national: DataFrame) -> Data
     ranked = stats.where("avg_delay is not null").withColumn("k", F.row_number().over(last)).where("k <= 7")
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     asked = ranked.groupBy("train_type").agg(
-        F.date_add(F.max("date"), 1).alias("target_date"), at("avg_delay", 1).alias("lag1"), at("avg_delay", 3).alias("lag3"), at("avg_delay", 7).alias("lag7"), at("cancel_rate", 7).alias("cancel_lag7"), F.round(F.avg("avg_delay"), 4).alias("roll7")
+        F.date_add(F.max("date"), 1).alias("target_date"), at("avg_delay", 1).alias("lag1"), at("avg_delay", 3).alias("lag3"), at("avg_delay", 7).alias("lag7"), at("cancel_rate", 7).alias("cancel_lag7"), F.round(F.avg("avg_delay"), 6).alias("roll7")
     ).withColumn("weekday", F.weekday("target_date")).withColumn("month", F.month("target_date"))
     wx = national.select(F.col("date").alias("target_date"), "temp", "precip", "gust")
     asked = asked.join(wx, "target_date", "left").na.fill(0.0, ["temp", "precip", "gust"])
@@ -104,7 +104,7 @@ def evaluate(guess: DataFrame, stats: DataFrame) -> DataFrame:
     """Mean absolute errors of a day over its types, and the signature of its data."""
     both = guess.join(stats.select("date", "train_type", "n_stops", "avg_delay", "pct_ge5"), ["date", "train_type"])
     return both.groupBy("date").agg(
-        F.count("*").alias("n_types"), F.round(F.avg(F.abs(F.col("avg_delay") - F.col("f_avg"))), 4).alias("mae_avg"), F.round(F.avg(F.abs(F.col("pct_ge5") - F.col("f_pct"))), 4).alias("mae_pct"), F.sum("n_stops").alias("data_sig")
+        F.count("*").alias("n_types"), F.round(F.avg(F.abs(F.col("avg_delay") - F.col("f_avg"))), 6).alias("mae_avg"), F.round(F.avg(F.abs(F.col("pct_ge5") - F.col("f_pct"))), 6).alias("mae_pct"), F.sum("n_stops").alias("data_sig")
     )
 
 

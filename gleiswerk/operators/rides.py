@@ -130,8 +130,8 @@ def smoothed_states(clean: DataFrame) -> DataFrame:
     w = Window.partitionBy("ride_id").orderBy("station_num")
     before, after = F.collect_list("state").over(w.rowsBetween(-2, -1)), F.collect_list("state").over(w.rowsBetween(1, 2))
     rows = clean.withColumn("b", before).withColumn("a", after)
-    pick = F.element_at(F.array_sort(F.concat("b", "a")), 2)
-    votes = F.size(F.filter(F.concat("b", "a"), lambda x: x == F.element_at(F.array_sort(F.concat("b", "a")), 2)))
+    pick = F.get(F.array_sort(F.concat("b", "a")), 1)  # who has three of four votes, or of three, is second in order
+    votes = F.size(F.filter(F.concat("b", "a"), lambda x: x == F.get(F.array_sort(F.concat("b", "a")), 1)))
     agree = (F.size("b") > 0) & (F.size("a") > 0) & (votes >= 3) & F.array_contains("b", pick) & F.array_contains("a", pick)
     return rows.withColumn("smooth", F.when(F.coalesce(agree, F.lit(False)), pick).otherwise(F.col("state"))).drop("a", "b")
 
@@ -180,7 +180,7 @@ def prediction_errors(predictions: DataFrame, days: DataFrame, today: str) -> Da
     past = F.col("date") < F.lit(today).cast("date")
     return joined.select(
         "train", "date", F.round(F.col("predicted") - F.when(F.col("end_delay") != -1, F.col("end_delay")), 1).alias("error"), F.coalesce(F.col("end_delay") == -1, F.lit(False)).alias("cancelled"),
-        F.when(past, F.col("end_delay").isNull()).alias("needs_backfill"),
+        F.when(past, F.when(F.col("end_delay").isNull(), "yes").otherwise("no")).alias("needs_backfill"),
     )
 
 

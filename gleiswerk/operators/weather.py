@@ -38,14 +38,14 @@ def daily_of_hours(hours: DataFrame) -> DataFrame:
 def national_days(days: DataFrame) -> DataFrame:
     """Region-days as one row for each date."""
     return days.groupBy("date").agg(
-        F.round(F.avg("temp"), 4).alias("temp"), F.max("precip").alias("precip"), F.max("snow").alias("snow"), F.max("gust").alias("gust"), F.count_if(F.col("precip") > 2).alias("wet_regions")
+        F.round(F.avg("temp"), 6).alias("temp"), F.max("precip").alias("precip"), F.max("snow").alias("snow"), F.max("gust").alias("gust"), F.count_if(F.col("precip") > 2).alias("wet_regions")
     )
 
 
 def impact(days: DataFrame) -> DataFrame:
     """A row for each region, and one for all (null region): mean, sum and most minutes of delay, days with any."""
     m = F.col("weather_delay_min")
-    return days.groupBy(F.col("region")).agg(F.round(F.avg(m), 4).alias("avg_min"), F.round(F.sum(m), 3).alias("sum_min"), F.max(m).alias("max_min"), F.count_if(m > 0).alias("days"))
+    return days.groupBy(F.col("region")).agg(F.round(F.avg(m), 6).alias("avg_min"), F.round(F.sum(m), 3).alias("sum_min"), F.max(m).alias("max_min"), F.count_if(m > 0).alias("days"))
 
 
 def by_source(sources: list[DataFrame]) -> DataFrame:

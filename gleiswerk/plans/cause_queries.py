@@ -151,7 +151,7 @@ def a20(m):
 
 
 @query("a21_remark_detail", cte("remarks") + MARKED + f"""SELECT slug, date, category, count(*) AS n, sum(delay) AS sum_delay, max(delay) AS max_delay, round(avg(delay), 4) AS avg_delay, {rules.sql_severity('category')} AS severity
-FROM marked WHERE has GROUP BY slug, date, category""")
+FROM marked WHERE has GROUP BY slug, date, category""", dates=("date",))
 def a21(m):
     return remarks.detail(remarks.marked(m.remarks))
 
@@ -179,7 +179,7 @@ def a24(m):
 
 
 @query("u04_state_overlap", cte("rides", "stops") + """, s AS (SELECT train, date, list_sort(list(DISTINCT state)) AS states FROM stops GROUP BY train, date), a AS (SELECT train, min_by(states, date) AS base FROM s GROUP BY train)
-SELECT s.train, s.date, CAST(len(list_intersect(states, base)) AS INTEGER) AS shared, round(len(list_intersect(states, base)) / len(states), 4) AS overlap, len(list_intersect(states, base)) > 0 AS any_shared FROM s JOIN a ON s.train = a.train""")
+SELECT s.train, s.date, CAST(len(list_intersect(states, base)) AS INTEGER) AS shared, round(len(list_intersect(states, base)) / len(states), 4) AS overlap, len(list_intersect(states, base)) > 0 AS any_shared FROM s JOIN a ON s.train = a.train""", dates=("date",))
 def u04(m):
     days = m.stops.groupBy("train", "date").agg(F.array_sort(F.collect_set("state")).alias("states"))
     base = days.groupBy("train").agg(F.min_by("states", "date").alias("base"))

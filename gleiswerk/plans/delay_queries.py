@@ -32,7 +32,7 @@ def plan_with_changes(m):
 
 @query("n17_stop_facts", cte("stops") + """, t AS (SELECT sid, train_type, train_num, line, is_canceled, CAST(date AS TIMESTAMP) + to_minutes(CAST(plan_min AS BIGINT)) AS sched_dep, delay, pk FROM stops)
 SELECT sid, pk, CASE WHEN delay >= -15 THEN delay END AS delay_dep_min, CAST(sched_dep AS DATE) AS date,
-CASE WHEN pk % 5 = 0 THEN train_type || ' ' || train_num ELSE line END AS train_label, is_canceled AS cancelled FROM t""")
+CASE WHEN pk % 5 = 0 THEN train_type || ' ' || train_num ELSE line END AS train_label, is_canceled AS cancelled FROM t""", dates=("date",))
 def stop_facts(m):
     at = F.timestamp_seconds(F.unix_seconds(F.col("date").cast("timestamp")) + F.col("plan_min") * 60)
     rows = m.stops.select(
@@ -50,30 +50,30 @@ SELECT date, count(*) AS stops_total, count(DISTINCT ride_id) FILTER (run) AS tr
 round(quantile_cont(d, 0.5), 4) AS med_delay, round(quantile_cont(d, 0.9), 4) AS p90_delay,
 round(100.0 * count(*) FILTER (run AND d <= 1) / count(*) FILTER (run), 4) AS pct_le1, round(100.0 * count(*) FILTER (run AND d >= 3) / count(*) FILTER (run), 4) AS pct_ge3,
 round(100.0 * count(*) FILTER (run AND d >= 5) / count(*) FILTER (run), 4) AS pct_ge5, round(100.0 * count(*) FILTER (run AND d >= 10) / count(*) FILTER (run), 4) AS pct_ge10,
-round(100.0 * count(*) FILTER (run AND d >= 30) / count(*) FILTER (run), 4) AS pct_ge30 FROM r GROUP BY date HAVING count(*) FILTER (run) > 0""")
+round(100.0 * count(*) FILTER (run AND d >= 30) / count(*) FILTER (run), 4) AS pct_ge30 FROM r GROUP BY date HAVING count(*) FILTER (run) > 0""", dates=("date",))
 def daily_statistics(m):
     return delays.daily_statistics(m.stops)
 
 
 @query("a02_top_codes", cte("stops") + """, c AS (SELECT date, code, count(*) AS n FROM stops GROUP BY date, code),
 k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY n DESC, code) AS k FROM c)
-SELECT date, string_agg(code || ':' || n, ' | ' ORDER BY k) AS top_codes FROM k WHERE k <= 5 GROUP BY date""")
+SELECT date, string_agg(code || ':' || n, ' | ' ORDER BY k) AS top_codes FROM k WHERE k <= 5 GROUP BY date""", dates=("date",))
 def top_codes(m):
     return delays.top_codes(m.stops)
 
 
-@query("a03_day_type_stats", cte("stats") + "SELECT * FROM stats")
+@query("a03_day_type_stats", cte("stats") + "SELECT * FROM stats", dates=("date",))
 def day_type_stats(m):
     return delays.day_type_statistics(m.stops)
 
 
-@query("a04_merged_partials", cte("stats") + "SELECT date, train_type, n_stops, n_cancel, cancel_rate, avg_delay, pct_ge5, pct_ge10 FROM stats")
+@query("a04_merged_partials", cte("stats") + "SELECT date, train_type, n_stops, n_cancel, cancel_rate, avg_delay, pct_ge5, pct_ge10 FROM stats", dates=("date",))
 def merged_partials(m):
     return delays.merge_partials(delays.partial_sums(m.stops, "date", "train_type", "region"))
 
 
 @query("a05_source_precedence", cte("stats", "stops") + """, raw AS (SELECT date, train_type, count(*) AS n_stops, round(avg(delay), 4) AS avg_delay FROM stops WHERE region = 'EUROPE' GROUP BY date, train_type)
-SELECT s.date, s.train_type, coalesce(r.n_stops, s.n_stops) AS n_stops, CASE WHEN r.date IS NULL THEN s.avg_delay ELSE r.avg_delay END AS avg_delay FROM stats s LEFT JOIN raw r ON s.date = r.date AND s.train_type = r.train_type""")
+SELECT s.date, s.train_type, coalesce(r.n_stops, s.n_stops) AS n_stops, CASE WHEN r.date IS NULL THEN s.avg_delay ELSE r.avg_delay END AS avg_delay FROM stats s LEFT JOIN raw r ON s.date = r.date AND s.train_type = r.train_type""", dates=("date",))
 def source_precedence(m):
     monthly = delays.day_type_statistics(m.stops).select("date", "train_type", "n_stops", "avg_delay")
     raw = m.stops.where("region = 'EUROPE' and train_type is not null").groupBy("date", "train_type").agg(F.count("*").alias("n_stops"), F.round(F.avg("delay"), 4).alias("avg_delay"))

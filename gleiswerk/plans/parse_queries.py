@@ -31,7 +31,8 @@ def plan_responses(m):
 
 
 PLAN_SQL = """SELECT CAST(sid AS VARCHAR) AS sid, CAST(ride_id + 8000000 AS VARCHAR) AS eva, 'A' AS station, train_type AS train_cat, CAST(train_num AS VARCHAR) AS train_num, line,
-CAST(date AS TIMESTAMP) + to_minutes(plan_min) AS sched_arr, CASE WHEN pk % 7 <> 0 THEN CAST(date AS TIMESTAMP) + to_minutes(plan_min + 2) END AS sched_dep FROM stops WHERE ride_id % 11 <> 0"""
+day + to_minutes(plan_min) AS sched_arr, CASE WHEN pk % 7 <> 0 THEN day + to_minutes(plan_min + 2) END AS sched_dep
+FROM (SELECT *, CAST(date AS TIMESTAMP) + CASE WHEN year(date) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END AS day FROM stops) WHERE ride_id % 11 <> 0"""
 
 
 @query("p01_plan_rows", cte("stops") + PLAN_SQL)
@@ -63,7 +64,7 @@ def p02(m):
     return parsing.change_rows(change_responses(m))
 
 
-@query("p03_short_time", cte("stops") + "SELECT sid, pk, CASE WHEN pk % 7 <> 0 THEN CAST(date AS TIMESTAMP) + to_minutes(plan_min) END AS at FROM stops")
+@query("p03_short_time", cte("stops") + "SELECT sid, pk, CASE WHEN pk % 7 <> 0 THEN CAST(date AS TIMESTAMP) + CASE WHEN year(date) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END + to_minutes(plan_min) END AS at FROM stops")
 def p03(m):
     text = F.when(F.col("pk") % 7 == 0, "bad").otherwise(F.date_format(F.timestamp_seconds(F.unix_seconds(F.col("date").cast("timestamp")) + F.col("plan_min") * 60), "yyMMddHHmm"))
     return m.stops.select("sid", "pk", parsing.short_time(text).alias("at"))
@@ -195,7 +196,7 @@ def s09(m):
     return found.agg(F.lit("shard.txt").alias("name"), F.count("*").alias("n"))
 
 
-@query("s10_days_to_load", cte("stops") + "SELECT CAST(unnest(generate_series(max(date) + 1, DATE '2002-01-31', INTERVAL 1 DAY)) AS DATE) AS day FROM stops")
+@query("s10_days_to_load", cte("stops") + "SELECT CAST(unnest(generate_series(max(date) + 1, DATE '2002-01-31', INTERVAL 1 DAY)) AS DATE) AS day FROM stops", dates=("day",))
 def s10(m):
     listing = m.stops.select(F.concat(F.lit("stops-"), F.col("date").cast("string"), F.lit(".parquet")).alias("name")).distinct()
     return files.days_to_load(listing, "2002-01-31")

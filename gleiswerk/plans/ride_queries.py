@@ -29,17 +29,17 @@ def w04(m):
     return rides.monotone(clean(m)).select("ride_id", "station_num", "plan_min")
 
 
-@query("a31_rides", cte("rides") + "SELECT * FROM rides")
+@query("a31_rides", cte("rides") + "SELECT * FROM rides", dates=("date",))
 def a31(m):
     return of_rides(m)
 
 
-@query("a32_train_days", cte("days") + "SELECT * FROM days")
+@query("a32_train_days", cte("days") + "SELECT * FROM days", dates=("date",))
 def a32(m):
     return days(m)
 
 
-@query("a48_station_delays", cte("clean") + """SELECT train, date, station, delay FROM (SELECT *, row_number() OVER (PARTITION BY train, date, station ORDER BY ride_id, station_num) AS k FROM clean) WHERE k = 1""")
+@query("a48_station_delays", cte("clean") + """SELECT train, date, station, delay FROM (SELECT *, row_number() OVER (PARTITION BY train, date, station ORDER BY ride_id, station_num) AS k FROM clean) WHERE k = 1""", dates=("date",))
 def a48(m):
     return rides.station_delays(clean(m))
 
@@ -66,7 +66,7 @@ def a35(m):
     return rides.cancel_probability(of_rides(m))
 
 
-@query("a36_whole_day_cancelled", cte("clean") + """SELECT train, date, round(count(*) FILTER (is_canceled) / count(*), 4) AS share, count(*) FILTER (is_canceled) / count(*) > 0.5 AS cancelled, bool_and(delay = 0) AS all_zero FROM clean GROUP BY 1, 2""")
+@query("a36_whole_day_cancelled", cte("clean") + """SELECT train, date, round(count(*) FILTER (is_canceled) / count(*), 4) AS share, count(*) FILTER (is_canceled) / count(*) > 0.5 AS cancelled, bool_and(delay = 0) AS all_zero FROM clean GROUP BY 1, 2""", dates=("date",))
 def a36(m):
     return rides.whole_day_cancelled(clean(m))
 
@@ -108,7 +108,7 @@ def a40(m):
 @query("a41_main_states", cte("stops") + """, d AS (SELECT train, date, list_sort(list(DISTINCT state)) AS states FROM stops GROUP BY 1, 2), e AS (SELECT train, date, unnest(states) AS state FROM d), c AS (SELECT train, state, count(*) AS n FROM e GROUP BY 1, 2),
 s AS (SELECT train, min_by(state, struct_pack(a := -n, b := state)) AS seed FROM c GROUP BY train), sd AS (SELECT d.* FROM d JOIN s ON d.train = s.train WHERE list_contains(states, seed)), dn AS (SELECT train, count(*) AS days FROM sd GROUP BY train),
 m AS (SELECT x.train, x.state FROM (SELECT train, state, count(*) AS n FROM (SELECT train, unnest(states) AS state FROM sd) GROUP BY 1, 2) x JOIN dn ON x.train = dn.train WHERE n >= 0.5 * days), l AS (SELECT train, list_sort(list(state)) AS main FROM m GROUP BY train)
-SELECT d.train, d.date, array_to_string(main, ',') AS main, round(len(list_intersect(states, main)) / len(states), 4) AS share, len(list_intersect(states, main)) / len(states) >= 0.6 AS kept FROM d JOIN l ON d.train = l.train""")
+SELECT d.train, d.date, array_to_string(main, ',') AS main, round(len(list_intersect(states, main)) / len(states), 4) AS share, len(list_intersect(states, main)) / len(states) >= 0.6 AS kept FROM d JOIN l ON d.train = l.train""", dates=("date",))
 def a41(m):
     return rides.main_states(m.stops.groupBy("train", "date").agg(F.array_sort(F.collect_set("state")).alias("states")))
 
@@ -128,7 +128,7 @@ def a46(m):
     return rides.parity(days(m), source)
 
 
-@query("a47_coverage", cte("days") + """SELECT train, count(*) AS days, count(*) FILTER (n_stops < 3) AS limited, min(date) AS first, max(date) AS last, coalesce(string_agg(CAST(date AS VARCHAR), ',' ORDER BY date) FILTER (end_delay < -10), '') AS early_days FROM days GROUP BY train""")
+@query("a47_coverage", cte("days") + """SELECT train, count(*) AS days, count(*) FILTER (n_stops < 3) AS limited, min(date) AS first, max(date) AS last, coalesce(string_agg(CAST(date AS VARCHAR), ',' ORDER BY date) FILTER (end_delay < -10), '') AS early_days FROM days GROUP BY train""", dates=("first", "last",))
 def a47(m):
     return rides.coverage(days(m))
 
@@ -143,7 +143,7 @@ def a49(m):
     return rides.decomposed(value, causes.train_causes(m.stops).select("train", "category", "pct"))
 
 
-@query("w05_mixed_days", cte("clean") + """SELECT train, date, bool_or(coalesce(lag - plan_min > 15, false)) AS mixed FROM (SELECT *, lag(plan_min) OVER (PARTITION BY train, date ORDER BY ride_id, station_num) AS lag FROM clean) GROUP BY 1, 2""")
+@query("w05_mixed_days", cte("clean") + """SELECT train, date, bool_or(coalesce(lag - plan_min > 15, false)) AS mixed FROM (SELECT *, lag(plan_min) OVER (PARTITION BY train, date ORDER BY ride_id, station_num) AS lag FROM clean) GROUP BY 1, 2""", dates=("date",))
 def w05(m):
     return rides.mixed_days(clean(m))
 
@@ -157,7 +157,7 @@ def w09(m):
 ROUTE = """, l AS (SELECT train, date, ride_id, count(*) AS n FROM clean GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY train ORDER BY n DESC, date DESC, ride_id) AS k FROM l), best AS (SELECT train, date, ride_id FROM b WHERE k = 1)"""
 
 
-@query("w10_reference_route", cte("clean") + ROUTE + "SELECT b.train, b.date, string_agg(station, '|' ORDER BY station_num) AS stations FROM best b JOIN clean c ON b.ride_id = c.ride_id GROUP BY 1, 2")
+@query("w10_reference_route", cte("clean") + ROUTE + "SELECT b.train, b.date, string_agg(station, '|' ORDER BY station_num) AS stations FROM best b JOIN clean c ON b.ride_id = c.ride_id GROUP BY 1, 2", dates=("date",))
 def w10(m):
     return rides.reference_route(clean(m)).withColumn("stations", F.array_join("stations", "|"))
 
@@ -165,17 +165,17 @@ def w10(m):
 @query("w11_curve_matrix", cte("clean") + ROUTE + """, rt AS (SELECT b.train, CAST(row_number() OVER (PARTITION BY b.train ORDER BY station_num) - 1 AS INTEGER) AS pos, station FROM best b JOIN clean c ON b.ride_id = c.ride_id),
 dd AS (SELECT train, date FROM (SELECT train, date, dense_rank() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM (SELECT DISTINCT train, date FROM clean)) WHERE k <= 3),
 sd AS (SELECT train, date, station, delay FROM (SELECT *, row_number() OVER (PARTITION BY train, date, station ORDER BY ride_id, station_num) AS k FROM clean) WHERE k = 1)
-SELECT dd.train, dd.date, rt.pos, rt.station, CASE WHEN sd.delay IS NULL THEN 0 ELSE greatest(sd.delay, 0) END AS delay, sd.delay IS NULL AS skipped FROM dd JOIN rt ON dd.train = rt.train LEFT JOIN sd ON dd.train = sd.train AND dd.date = sd.date AND rt.station = sd.station""")
+SELECT dd.train, dd.date, rt.pos, rt.station, CASE WHEN sd.delay IS NULL THEN 0 ELSE greatest(sd.delay, 0) END AS delay, sd.delay IS NULL AS skipped FROM dd JOIN rt ON dd.train = rt.train LEFT JOIN sd ON dd.train = sd.train AND dd.date = sd.date AND rt.station = sd.station""", dates=("date",))
 def w11(m):
     return rides.curves(clean(m))
 
 
-@query("w12_last_actual", cte("days") + f"SELECT train, max_by(end_delay, date) AS end_delay, max(date) AS date, max(date) = DATE '{TODAY}' AS is_today FROM days WHERE end_delay >= 0 GROUP BY train")
+@query("w12_last_actual", cte("days") + f"SELECT train, max_by(end_delay, date) AS end_delay, max(date) AS date, max(date) = DATE '{TODAY}' AS is_today FROM days WHERE end_delay >= 0 GROUP BY train", dates=("date",))
 def w12(m):
     return rides.last_actual(days(m), TODAY)
 
 
-@query("w13_last_dates", cte("days") + "SELECT train, date, end_delay FROM (SELECT *, dense_rank() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM days) WHERE k <= 5")
+@query("w13_last_dates", cte("days") + "SELECT train, date, end_delay FROM (SELECT *, dense_rank() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM days) WHERE k <= 5", dates=("date",))
 def w13(m):
     return rides.last_dates(days(m), 5).select("train", "date", "end_delay")
 
@@ -189,13 +189,13 @@ def w14(m):
     return rows.groupBy("ride_id").agg(F.count("*").alias("n"), way.alias("route"))
 
 
-@query("w16_partial_days", cte("days") + "SELECT train, date, end_delay IS NULL OR n_stops < max(n_stops) OVER (PARTITION BY train) AS partial FROM days")
+@query("w16_partial_days", cte("days") + "SELECT train, date, end_delay IS NULL OR n_stops < max(n_stops) OVER (PARTITION BY train) AS partial FROM days", dates=("date",))
 def w16(m):
     return rides.partial_days(days(m))
 
 
 @query("w17_pending_snapshots", cte("days") + """, s AS (SELECT *, day(date) % 3 = 0 AS pending FROM days), k AS (SELECT *, row_number() OVER (PARTITION BY train, pending ORDER BY date DESC) AS k FROM s)
-SELECT train, date, pending, CASE WHEN NOT pending THEN end_delay END AS end_delay, pending AND k <= 4 AS pull_again FROM k""")
+SELECT train, date, pending, CASE WHEN NOT pending THEN end_delay END AS end_delay, pending AND k <= 4 AS pull_again FROM k""", dates=("date",))
 def w17(m):
     snapshots = days(m).withColumn("written", F.when(F.dayofmonth("date") % 3 == 0, F.col("date")).otherwise(F.date_add("date", 2)).cast("timestamp"))
     return rides.pending_days(snapshots)
@@ -232,7 +232,7 @@ def j12(m):
     return pairs.groupBy("line", "origin", "dest").agg(F.min_by("ride_id", F.struct(F.abs(F.col("dep") - 600), F.col("ride_id"))).alias("ride_id"), F.count("*").alias("candidates"))
 
 
-@query("j16_gap_fill", cte("days") + f"""SELECT train, date, end_delay, CASE WHEN n_rides > 1 OR n_stops > 3 THEN 'live' ELSE 'history' END AS source FROM days WHERE (n_rides > 1 OR n_stops > 3) OR date < DATE '{TODAY}'""")
+@query("j16_gap_fill", cte("days") + f"""SELECT train, date, end_delay, CASE WHEN n_rides > 1 OR n_stops > 3 THEN 'live' ELSE 'history' END AS source FROM days WHERE (n_rides > 1 OR n_stops > 3) OR date < DATE '{TODAY}'""", dates=("date",))
 def j16(m):
     all_days = days(m)
     live = all_days.where("n_rides > 1 or n_stops > 3").select("train", "date", "end_delay").withColumn("source", F.lit("live"))
@@ -240,7 +240,7 @@ def j16(m):
     return live.unionByName(history.withColumn("source", F.lit("history")))
 
 
-@query("u03_days_not_taken", cte("days") + """SELECT train, date FROM days EXCEPT SELECT train, date FROM days WHERE n_stops >= 3""")
+@query("u03_days_not_taken", cte("days") + """SELECT train, date FROM days EXCEPT SELECT train, date FROM days WHERE n_stops >= 3""", dates=("date",))
 def u03(m):
     rows = days(m)
     return rows.select("train", "date").subtract(rows.where("n_stops >= 3").select("train", "date"))
@@ -266,7 +266,7 @@ def j18(m):
 
 
 @query("j19_prediction_errors", cte("days") + f""", p AS (SELECT train, date + 7 AS date, max_delay AS predicted FROM days)
-SELECT p.train, p.date, round(predicted - CASE WHEN end_delay <> -1 THEN end_delay END, 1) AS error, coalesce(end_delay = -1, false) AS cancelled, CASE WHEN p.date < DATE '{TODAY}' THEN end_delay IS NULL END AS needs_backfill FROM p LEFT JOIN days d ON p.train = d.train AND p.date = d.date""")
+SELECT p.train, p.date, round(predicted - CASE WHEN end_delay <> -1 THEN end_delay END, 1) AS error, coalesce(end_delay = -1, false) AS cancelled, CASE WHEN p.date < DATE '{TODAY}' THEN CASE WHEN end_delay IS NULL THEN 'yes' ELSE 'no' END END AS needs_backfill FROM p LEFT JOIN days d ON p.train = d.train AND p.date = d.date""", dates=("date",))
 def j19(m):
     rows = days(m)
     return rides.prediction_errors(rows.select("train", F.date_add("date", 7).alias("date"), F.col("max_delay").alias("predicted")), rows, TODAY)

@@ -13,7 +13,7 @@ def t01(m):
     return jobs.drain(jobs.latest_change(jobs.events(m.spark, m.sf_dir)), "complete")
 
 
-@query("t02_day_sums_stream", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(*) FILTER (value >= 5) AS ge5, max(value) AS top FROM events GROUP BY 1, 2")
+@query("t02_day_sums_stream", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(*) FILTER (value >= 5) AS ge5, max(value) AS top FROM events GROUP BY 1, 2", dates=("day",))
 def t02(m):
     return jobs.drain(jobs.day_sums(jobs.events(m.spark, m.sf_dir)), "complete")
 
@@ -30,6 +30,6 @@ def t04(m):
     return jobs.drain(jobs.visitors(jobs.events(m.spark, m.sf_dir)), "append").agg(F.count("*").alias("visitors"))
 
 
-@query("t05_upserted_days_stream", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(*) FILTER (value >= 5) AS ge5, max(value) AS top FROM events GROUP BY 1, 2")
+@query("t05_upserted_days_stream", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(*) FILTER (value >= 5) AS ge5, max(value) AS top FROM events GROUP BY 1, 2", dates=("day",))
 def t05(m):
     return jobs.drain(jobs.day_sums(jobs.events(m.spark, m.sf_dir)), "update", jobs.upsert_days)

@@ -86,12 +86,12 @@ def aligned(m):
     return alignment.align(day, template)
 
 
-@query("w07_aligned_rows")
+@query("w07_aligned_rows", dates=("date",))
 def w07(m):
     """Rows of mixed days on their line's template; the longest subsequence is beyond SQL, tests use brute force."""
     return aligned(m)
 
 
-@query("w08_chosen_template")
+@query("w08_chosen_template", dates=("date",))
 def w08(m):
     return alignment.choose(aligned(m))

@@ -13,57 +13,57 @@ REGION = f"""SELECT region, date, round(avg(temp), 4) AS temp_mean, max(temp) AS
 CAST(max(gust) >= 60 AS INTEGER) AS strong_wind_risk, CAST(max(precip) >= 20 AS INTEGER) AS heavy_precip_risk, round(avg({MIN}), 4) AS weather_delay_min FROM weather GROUP BY region, date"""
 
 
-@query("a26_region_days", cte("weather") + REGION)
+@query("a26_region_days", cte("weather") + REGION, dates=("date",))
 def a26(m):
     return weather.region_days(m.weather)
 
 
 @query("a27_complete_days", cte("weather") + """SELECT h.region, date, n, n_all FROM (SELECT region, date, count(DISTINCT station) AS n FROM weather GROUP BY 1, 2) h
-JOIN (SELECT region, count(DISTINCT station) AS n_all FROM weather GROUP BY 1) a ON h.region = a.region WHERE n >= 0.2 * n_all""")
+JOIN (SELECT region, count(DISTINCT station) AS n_all FROM weather GROUP BY 1) a ON h.region = a.region WHERE n >= 0.2 * n_all""", dates=("date",))
 def a27(m):
     return weather.complete_days(m.weather, 0.2)
 
 
-@query("a28_daily_of_hours", cte("weather") + "SELECT region, date, round(avg(temp), 4) AS temp, sum(precip) AS precip, sum(snow) AS snow, max(gust) AS gust, count(DISTINCT hour) AS hours FROM weather GROUP BY 1, 2")
+@query("a28_daily_of_hours", cte("weather") + "SELECT region, date, round(avg(temp), 4) AS temp, sum(precip) AS precip, sum(snow) AS snow, max(gust) AS gust, count(DISTINCT hour) AS hours FROM weather GROUP BY 1, 2", dates=("date",))
 def a28(m):
     return weather.daily_of_hours(m.weather)
 
 
 DAYS = "SELECT region, date, round(avg(temp), 4) AS temp, sum(precip) AS precip, sum(snow) AS snow, max(gust) AS gust FROM weather GROUP BY 1, 2"
-NATIONAL = f"SELECT date, round(avg(temp), 4) AS temp, max(precip) AS precip, max(snow) AS snow, max(gust) AS gust, count(*) FILTER (precip > 2) AS wet_regions FROM ({DAYS}) GROUP BY date"
+NATIONAL = f"SELECT date, round(avg(temp), 6) AS temp, max(precip) AS precip, max(snow) AS snow, max(gust) AS gust, count(*) FILTER (precip > 2) AS wet_regions FROM ({DAYS}) GROUP BY date"
 
 
-@query("a29_national_days", cte("weather") + NATIONAL)
+@query("a29_national_days", cte("weather") + NATIONAL, dates=("date",))
 def a29(m):
     return weather.national_days(weather.daily_of_hours(m.weather))
 
 
-@query("a30_weather_impact", cte("weather") + f"SELECT region, round(avg(weather_delay_min), 4) AS avg_min, round(sum(weather_delay_min), 3) AS sum_min, max(weather_delay_min) AS max_min, count(*) FILTER (weather_delay_min > 0) AS days FROM ({REGION}) GROUP BY region")
+@query("a30_weather_impact", cte("weather") + f"SELECT region, round(avg(weather_delay_min), 6) AS avg_min, round(sum(weather_delay_min), 3) AS sum_min, max(weather_delay_min) AS max_min, count(*) FILTER (weather_delay_min > 0) AS days FROM ({REGION}) GROUP BY region")
 def a30(m):
     return weather.impact(weather.region_days(m.weather))
 
 
-@query("u02_weather_precedence", cte("weather") + f""", d AS ({DAYS}) SELECT region, date, CASE WHEN date >= DATE '1999-01-01' THEN 'fresh' WHEN date >= DATE '1998-01-01' THEN 'archive' ELSE 'history' END AS source, temp FROM d""")
+@query("u02_weather_precedence", cte("weather") + f""", d AS ({DAYS}) SELECT region, date, CASE WHEN date >= DATE '1999-01-01' THEN 'fresh' WHEN date >= DATE '1998-01-01' THEN 'archive' ELSE 'history' END AS source, temp FROM d""", dates=("date",))
 def u02(m):
     days = weather.daily_of_hours(m.weather).select("region", "date", "temp")
     parts = [days.withColumn("source", F.lit("history")), days.where("date >= '1998-01-01'").withColumn("source", F.lit("archive")), days.where("date >= '1999-01-01'").withColumn("source", F.lit("fresh"))]
     return weather.by_source(parts)
 
 
-@query("j07_features_with_weather", cte("stats", "weather") + f", w AS ({NATIONAL}) SELECT s.date, train_type, avg_delay, temp, precip, wet_regions FROM stats s LEFT JOIN w ON s.date = w.date")
+@query("j07_features_with_weather", cte("stats", "weather") + f", w AS ({NATIONAL}) SELECT s.date, train_type, avg_delay, temp, precip, wet_regions FROM stats s LEFT JOIN w ON s.date = w.date", dates=("date",))
 def j07(m):
     days = weather.national_days(weather.daily_of_hours(m.weather)).select("date", "temp", "precip", "wet_regions")
     return delays.day_type_statistics(m.stops).select("date", "train_type", "avg_delay").join(days, "date", "left")
 
 
 @query("j08_weather_coverage", cte("weather", "stops") + f""", d AS ({REGION} HAVING max(snow) >= 1 OR date > DATE '1996-01-01'), a AS (SELECT DISTINCT region, date FROM stops)
-SELECT a.region, a.date, weather_delay_min, weather_delay_min IS NULL OR a.date NOT BETWEEN (SELECT min(date) FROM d) AND (SELECT max(date) FROM d) AS no_data FROM a LEFT JOIN d ON a.region = d.region AND a.date = d.date""")
+SELECT a.region, a.date, weather_delay_min, weather_delay_min IS NULL OR a.date NOT BETWEEN (SELECT min(date) FROM d) AND (SELECT max(date) FROM d) AS no_data FROM a LEFT JOIN d ON a.region = d.region AND a.date = d.date""", dates=("date",))
 def j08(m):
     days = weather.region_days(m.weather).where("snow_risk = 1 or date > '1996-01-01'")
     return weather.with_coverage(m.stops.select("region", "date").distinct(), days)
 
 
-@query("j09_incidents_on_day", cte("stops", "incidents") + """SELECT d.region, d.date, incident_id, delay_min FROM (SELECT DISTINCT region, date FROM stops) d JOIN incidents i ON d.region = i.region AND d.date BETWEEN start_date AND end_date""")
+@query("j09_incidents_on_day", cte("stops", "incidents") + """SELECT d.region, d.date, incident_id, delay_min FROM (SELECT DISTINCT region, date FROM stops) d JOIN incidents i ON d.region = i.region AND d.date BETWEEN start_date AND end_date""", dates=("date",))
 def j09(m):
     return weather.incidents_on(m.stops.select("region", "date").distinct(), m.incidents)
 
@@ -74,30 +74,30 @@ W = "PARTITION BY train_type ORDER BY date"
 LAGS = f"""SELECT date, train_type, avg_delay, lag(avg_delay, 1) OVER ({W}) AS lag1, lag(avg_delay, 3) OVER ({W}) AS lag3, lag(avg_delay, 7) OVER ({W}) AS lag7, lag(cancel_rate, 7) OVER ({W}) AS cancel_lag7 FROM stats"""
 
 
-@query("w01_lag_features", cte("stats") + LAGS)
+@query("w01_lag_features", cte("stats") + LAGS, dates=("date",))
 def w01(m):
     return forecast.lags(delays.day_type_statistics(m.stops)).select("date", "train_type", "avg_delay", "lag1", "lag3", "lag7", "cancel_lag7")
 
 
-@query("w02_rolling_mean", cte("stats") + f"""SELECT date, train_type, CASE WHEN count(avg_delay) OVER w >= 3 THEN round(avg(avg_delay) OVER w, 4) END AS roll7 FROM stats WINDOW w AS ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
+@query("w02_rolling_mean", cte("stats") + f"""SELECT date, train_type, CASE WHEN count(avg_delay) OVER w >= 3 THEN round(avg(avg_delay) OVER w, 6) END AS roll7 FROM stats WINDOW w AS ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""", dates=("date",))
 def w02(m):
     return forecast.rolling(delays.day_type_statistics(m.stops)).select("date", "train_type", "roll7")
 
 
 @query("w03_serving_features", cte("stats") + """, t AS (SELECT max(date) + 1 AS target FROM stats), x AS (SELECT DISTINCT train_type FROM stats)
 SELECT x.train_type, t.target AS target_date, max(avg_delay) FILTER (date = target - 1) AS d1, max(avg_delay) FILTER (date = target - 3) AS d3, max(avg_delay) FILTER (date = target - 7) AS d7,
-round(avg(avg_delay) FILTER (date BETWEEN target - 7 AND target - 1), 4) AS mean7 FROM x JOIN stats s ON x.train_type = s.train_type, t GROUP BY x.train_type, t.target""")
+round(avg(avg_delay) FILTER (date BETWEEN target - 7 AND target - 1), 6) AS mean7 FROM x JOIN stats s ON x.train_type = s.train_type, t GROUP BY x.train_type, t.target""", dates=("target_date",))
 def w03(m):
     return forecast.serving(delays.day_type_statistics(m.stops))
 
 
-@query("w15_time_split", cte("stats") + """SELECT train_type, date > max(date) OVER (PARTITION BY train_type) - 30 AS hold_out, date FROM stats""")
+@query("w15_time_split", cte("stats") + """SELECT train_type, date > max(date) OVER (PARTITION BY train_type) - 30 AS hold_out, date FROM stats""", dates=("date",))
 def w15(m):
     return forecast.time_split(delays.day_type_statistics(m.stops)).select("train_type", "hold_out", "date")
 
 
 FEATURES = f"""SELECT l.*, r.roll7, CAST(isodow(l.date) - 1 AS INTEGER) AS weekday, CAST(month(l.date) AS INTEGER) AS month, coalesce(w.temp, 0) AS temp, coalesce(w.precip, 0) AS precip, coalesce(w.gust, 0) AS gust
-FROM ({LAGS}) l JOIN (SELECT date, train_type, CASE WHEN count(avg_delay) OVER w >= 3 THEN round(avg(avg_delay) OVER w, 4) END AS roll7 FROM stats WINDOW w AS ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) r
+FROM ({LAGS}) l JOIN (SELECT date, train_type, CASE WHEN count(avg_delay) OVER w >= 3 THEN round(avg(avg_delay) OVER w, 6) END AS roll7 FROM stats WINDOW w AS ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) r
 ON l.date = r.date AND l.train_type = r.train_type LEFT JOIN w ON l.date = w.date WHERE avg_delay IS NOT NULL AND lag1 IS NOT NULL AND lag3 IS NOT NULL AND lag7 IS NOT NULL AND cancel_lag7 IS NOT NULL AND roll7 IS NOT NULL"""
 
 
@@ -105,7 +105,7 @@ def features(m):
     return forecast.features(delays.day_type_statistics(m.stops), weather.national_days(weather.daily_of_hours(m.weather)))
 
 
-@query("f01_feature_table", cte("stats", "weather") + f", w AS ({NATIONAL}) {FEATURES}")
+@query("f01_feature_table", cte("stats", "weather") + f", w AS ({NATIONAL}) {FEATURES}", dates=("date",))
 def f01(m):
     return features(m).drop("pct_ge5", "n_stops")
 
@@ -135,14 +135,14 @@ def naive(m):
     return stats, stats.select("date", "train_type", F.lag("avg_delay").over(w).alias("f_avg"), F.lag("pct_ge5").over(w).alias("f_pct")).where("f_avg is not null")
 
 
-@query("f04_evaluate_day", cte("stats") + ERRORS + "SELECT date, count(*) AS n_types, round(avg(err_avg), 4) AS mae_avg, round(avg(err_pct), 4) AS mae_pct, CAST(sum(n_stops) AS BIGINT) AS data_sig FROM e GROUP BY date")
+@query("f04_evaluate_day", cte("stats") + ERRORS + "SELECT date, count(*) AS n_types, round(avg(err_avg), 6) AS mae_avg, round(avg(err_pct), 6) AS mae_pct, CAST(sum(n_stops) AS BIGINT) AS data_sig FROM e GROUP BY date", dates=("date",))
 def f04(m):
     stats, guess = naive(m)
     return forecast.evaluate(guess, stats)
 
 
-@query("f05_accuracy_history", cte("stats") + ERRORS + """, n AS (SELECT date, round(avg(err_avg), 4) AS mae_avg, CAST(sum(n_stops) AS BIGINT) AS data_sig FROM e GROUP BY date)
-SELECT date, mae_avg, data_sig, CASE WHEN month(date) % 2 = 0 THEN 'kept' ELSE 'evaluated' END AS state FROM n""")
+@query("f05_accuracy_history", cte("stats") + ERRORS + """, n AS (SELECT date, round(avg(err_avg), 6) AS mae_avg, CAST(sum(n_stops) AS BIGINT) AS data_sig FROM e GROUP BY date)
+SELECT date, mae_avg, data_sig, CASE WHEN month(date) % 2 = 0 THEN 'kept' ELSE 'evaluated' END AS state FROM n""", dates=("date",))
 def f05(m):
     stats, guess = naive(m)
     now = forecast.evaluate(guess, stats).select("date", "mae_avg", "data_sig")
