@@ -8,8 +8,8 @@ sets are one node, so copies never meet as pairs. The join is exact:
    two sets of similarity t share a token among their first n - ceil(t n) + 1,
    and those are rare ones.
 2. Buckets of these prefix tokens give star links (a token's sets of near size
-   to the least of them). Checked against the texts, they partition similar
-   documents into groups.
+   to the least of them, then to others). Checked against the texts, they
+   partition similar documents into groups.
 3. What stars can't decide goes through the matrix: tokens that sets of
    different components share lead from a query to groups of the other
    component. Sets' parities bound the similarity first; then a group's task
@@ -45,7 +45,9 @@ OVER, OF = 75, 100
 COMMON_SHARE, COMMON_LEAST = 0.00025, 64
 #: Tokens a task gathers before it sends what it has of them, and from how many sets of these it sends a token's count.
 GATHER, LOCAL_LEAST = 6_000_000, 2
-GROUP_MEMBERS, GROUP_QUERIES = 64, 512
+GROUP_MEMBERS, GROUP_QUERIES = 8, 512
+#: Rounds of stars with other centers before the matrix.
+STAR_ROUNDS = 2
 #: Places that wanted doc_ids are hashed to, to leave other texts out of a shuffle: a table of so many rows at most is broadcast.
 PLACES = 1 << 18
 
@@ -328,6 +330,15 @@ def matrix_links(docs: DataFrame, kinds: DataFrame, rows: DataFrame, over: int =
     return queries.groupBy("qg", "qpart").cogroup(opened.groupBy("g", "part")).applyInArrow(open_groups, "a long, b long")
 
 
+def second_stars(rows: DataFrame) -> DataFrame:
+    """(a, b) to check: each token's sets with one of them, another for each token, where their components differ. As many as rows at most."""
+    scale = F.floor(F.log("size") / F.log(F.lit(OF / OVER)))
+    scaled = rows.withColumn("scale", scale)
+    center = scaled.groupBy("token", "scale").agg(F.min_by(F.struct("set_id", "comp"), F.xxhash64("set_id", "token")).alias("c"))
+    met = scaled.join(center, ["token", "scale"]).where("comp <> c.comp")
+    return met.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b")).distinct()
+
+
 # -- components ---------------------------------------------------------------------
 
 
@@ -364,7 +375,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = materialize(texts_of(docs, kinds, stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id")))), "texts")
     links = materialize(checked(stars, texts), "checked")
     label = components(links)
-    rows = materialize(group_candidates(found.where("token is not null").select("a", "token", "size"), label), "open")
+    undecided = found.where("token is not null").select("a", "token", "size")
+    for _ in range(STAR_ROUNDS):  # what these link needs no matrix: a large group of near copies would meet itself there
+        rows = materialize(group_candidates(undecided, label), "open")
+        stars = materialize(promising(second_stars(rows), kinds), "promising")
+        if stars.isEmpty():
+            break
+        texts = materialize(texts_of(docs, kinds, stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id")))), "texts")
+        label = components(label.select(F.col("set_id").alias("a"), F.col("comp").alias("b")).unionByName(checked(stars, texts)))
+    rows = materialize(group_candidates(undecided, label), "open")
     more = materialize(matrix_links(docs, kinds, rows), "checked")
     if more.isEmpty():
         final = label
