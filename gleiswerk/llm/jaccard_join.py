@@ -45,7 +45,7 @@ OVER, OF = 75, 100
 COMMON_SHARE, COMMON_LEAST = 0.00025, 64
 #: Tokens a task gathers before it sends what it has of them, and from how many sets of these it sends a token's count.
 GATHER, LOCAL_LEAST = 6_000_000, 2
-GROUP_MEMBERS, GROUP_QUERIES = 8, 512
+GROUP_MEMBERS, GROUP_QUERIES = 64, 512
 #: Rounds of stars with other centers before the matrix.
 STAR_ROUNDS = 2
 #: Places that wanted doc_ids are hashed to, to leave other texts out of a shuffle: a table of so many rows at most is broadcast.
@@ -300,8 +300,21 @@ def matrix_links(docs: DataFrame, kinds: DataFrame, rows: DataFrame, over: int =
         rows.join(columns, "token").where("comp > gcomp").select(F.col("set_id").alias("q"), "size", "g").distinct()
         .join(sized, "g").where((F.col("size") * over <= F.col("hi") * of) & (F.col("lo") * over <= F.col("size") * of)).select("q", "g")
     )
-    pairs = asked.join(members.select("g", F.col("set_id").alias("b")), "g").select(F.col("q").alias("a"), "b")
-    chances = materialize(promising(pairs, kinds), "chances").join(members.select(F.col("set_id").alias("b"), "g"), "b").select(F.col("a").alias("q"), "g", F.col("b").alias("set_id"))
+    asked = materialize(asked, "asked")
+    parts = asked.groupBy("g").agg(F.ceil(F.count("*") / GROUP_QUERIES).alias("parts"))
+    dealt = asked.join(parts, "g").select("q", "g", F.pmod(F.xxhash64("q"), "parts").alias("part"))
+    likely = pa.schema([("q", pa.int64()), ("g", pa.int64()), ("set_id", pa.int64())])
+
+    def bound(queries: pa.Table, members: pa.Table) -> pa.Table:
+        """Queries and the members whose parities allow the similarity."""
+        own = list(zip(*(members.column(c).to_pylist() for c in ("set_id", "n", "bits")), strict=True))
+        asking = zip(*(queries.column(c).to_pylist() for c in ("q", "qg", "qn", "qbits")), strict=True)
+        kept = [(q, g, m) for q, g, n, x in asking for m, k, y in own if of * min(n, k) >= over * max(n, k) and may_be_similar(n, x, k, y, over, of)]
+        return pa.table([pa.array([r[k] for r in kept], pa.int64()) for k in range(3)], schema=likely)
+
+    asking = dealt.join(kinds.select(F.col("set_id").alias("q"), F.col("n").alias("qn"), F.col("bits").alias("qbits")), "q").select(F.col("g").alias("qg"), F.col("part").alias("qpart"), "q", "qn", "qbits")
+    asked_for = dealt.select("g", "part").distinct().join(members.select("g", "set_id"), "g").join(kinds.select("set_id", "n", "bits"), "set_id").select("g", "part", "set_id", "n", "bits")
+    chances = materialize(asking.groupBy("qg", "qpart").cogroup(asked_for.groupBy("g", "part")).applyInArrow(bound, "q long, g long, set_id long"), "chances")
     asked = chances.select("q", "g").distinct()
     parts = asked.groupBy("g").agg(F.ceil(F.count("*") / GROUP_QUERIES).alias("parts"))
     asked = materialize(asked.join(parts, "g").select("q", "g", F.pmod(F.xxhash64("q"), "parts").alias("part")), "asked")
