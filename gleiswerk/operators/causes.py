@@ -99,7 +99,7 @@ def train_causes(stops: DataFrame) -> DataFrame:
     w = Window.partitionBy("train")
     share = F.col("n") / F.sum("n").over(w)
     mean = F.sum("total").over(w) / F.sum("n").over(w)
-    return per.select("train", "category", F.col("n"), F.round(100 * share, 4).alias("pct"), F.round(mean * share, 4).alias("minutes"))
+    return per.select("train", "category", F.col("n"), F.round(100 * share, 4).alias("pct"), F.round(mean * share + 1e-9, 4).alias("minutes"))
 
 
 def as_map(rows: DataFrame, key: str, value: str, *by: str) -> DataFrame:

@@ -285,4 +285,4 @@ def corrected_destination(asked: DataFrame, of_rides: DataFrame) -> DataFrame:
 def decomposed(predictions: DataFrame, shares: DataFrame) -> DataFrame:
     """Minutes of a prediction by cause, the largest first."""
     w = Window.partitionBy("train").orderBy(F.desc("minutes"), "category")
-    return predictions.join(shares, "train").withColumn("minutes", F.round(F.col("value") * F.col("pct") / 100, 3)).withColumn("rank", F.row_number().over(w)).select("train", "category", "minutes", "rank")
+    return predictions.join(shares, "train").withColumn("minutes", F.round(F.col("value") * F.col("pct") / 100 + 1e-9, 3)).withColumn("rank", F.row_number().over(w)).select("train", "category", "minutes", "rank")

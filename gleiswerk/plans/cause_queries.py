@@ -85,7 +85,7 @@ def a13(m):
 
 
 @query("a14_train_causes", cte("stops") + f""", c AS (SELECT train, {CAT} AS category, count(*) AS n, sum(delay) AS total FROM stops GROUP BY 1, 2)
-SELECT train, category, n, round(100 * (n / sum(n) OVER w), 4) AS pct, round((sum(total) OVER w / sum(n) OVER w) * (n / sum(n) OVER w), 4) AS minutes FROM c WINDOW w AS (PARTITION BY train)""")
+SELECT train, category, n, round(100 * (n / sum(n) OVER w), 4) AS pct, round((sum(total) OVER w / sum(n) OVER w) * (n / sum(n) OVER w) + 1e-9, 4) AS minutes FROM c WINDOW w AS (PARTITION BY train)""")
 def a14(m):
     return causes.train_causes(m.stops)
 

@@ -136,7 +136,7 @@ def a47(m):
 SHARES = f"""c AS (SELECT train, {rules.sql_code_category('code')} AS category, count(*) AS n FROM stops GROUP BY 1, 2), s AS (SELECT train, category, round(100 * (n / sum(n) OVER (PARTITION BY train)), 4) AS pct FROM c)"""
 
 
-@query("a49_decomposed_prediction", cte("days", "stops") + f""", {SHARES}, p AS (SELECT train, round(avg(end_delay), 4) AS value FROM days GROUP BY train), x AS (SELECT s.train, category, round(value * pct / 100, 3) AS minutes FROM s JOIN p ON s.train = p.train)
+@query("a49_decomposed_prediction", cte("days", "stops") + f""", {SHARES}, p AS (SELECT train, round(avg(end_delay), 4) AS value FROM days GROUP BY train), x AS (SELECT s.train, category, round(value * pct / 100 + 1e-9, 3) AS minutes FROM s JOIN p ON s.train = p.train)
 SELECT *, CAST(row_number() OVER (PARTITION BY train ORDER BY minutes DESC, category) AS INTEGER) AS rank FROM x""")
 def a49(m):
     value = days(m).groupBy("train").agg(F.round(F.avg("end_delay"), 4).alias("value"))
