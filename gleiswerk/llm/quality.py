@@ -1,12 +1,16 @@
-"""Quality rules: an isolation forest over rule statistics.
-
-Each document's rule statistics are computed in the scan, many documents at
-once. A forest of random splits is fitted on a bounded sample of labelled
-documents (FIT_ROWS of them; the only bounded part); a document's mean path
-length over its trees tells how easily it is set apart. The threshold is
-calibrated from all labelled rows: the lowest score, in steps of 1 / STEPS,
-at which at least KEEP of the good documents stay and the share of bad ones
-that go, less the share of good ones that go, is largest.
+"""Quality rules: isolation forests over rule statistics.
+
+Each document's rule statistics are counted in the scan, many documents at
+once, and each share becomes log-odds, shrunk by the length it is taken from.
+Nothing is cut off below what a rule tolerates. Forests of random splits over
+the whole range of the log-odds are fitted on a bounded sample of labelled
+documents, one on good and one on bad ones (FIT_ROWS of them, half of each;
+the only bounded part); a document's mean path length over the trees tells how
+easily it is set apart from either. The score is the part of the good ones'
+forest in both. The threshold is calibrated from all labelled rows: the lowest
+score, in steps of 1 / STEPS, at which at least KEEP of the good documents stay
+and the share of bad ones that go, less the share of good ones that go, is
+largest.
 
 Defined results: a null text has no words and fails the base rules. A null
 doc_id is scored like any other. Rows with one doc_id are scored each for
@@ -26,19 +30,19 @@ from pyspark.sql import functions as F
 
 from .common import chunks, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, words_of
 
-#: Labelled documents that the forest is fitted on, those of the smallest hashes.
+#: Labelled documents that the forests are fitted on, those of the smallest hashes.
 FIT_ROWS = 4096
 TREES, SAMPLE = 200, 256
 STEPS, KEEP = 1000, 0.995
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Shares in which a document can be odd, none of which depends on its length, and what a rule tolerates of each. The
-#: forest sees what is beyond: else it would set apart short clean texts with a telephone number, not many like bad ones.
+#: Shares in which a document can be odd, each counted as a part and a whole.
 RATIOS = ("symbols", "repeated_words", "repeated_lines", "upper_case", "exclamation", "digits")
-TOLERATED = (0.03, 0.45, 0.5, 0.3, 0.02, 0.25)
-_SCHEMA = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in BASE), ("ratios", pa.list_(pa.float64()))])
-_DDL = "doc_id long, " + ", ".join(f"{n} long" for n in BASE) + ", ratios array<double>"
+#: Added to each whole, so that one telephone number in a short clean text is little; the least prior share.
+SHRINK, LEAST = 20, 0.001
+_SCHEMA = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in BASE), ("counts", pa.list_(pa.int64()))])
+_DDL = "doc_id long, " + ", ".join(f"{n} long" for n in BASE) + ", counts array<long>"
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -54,8 +58,8 @@ _START = _class(bytes(set(range(256)) - set(range(0x80, 0xC0)) - {9, 10, 11, 12,
 
 
 def rule_statistics(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Base counts, and shares beyond what is tolerated, a row for each document."""
-    base, ratios = [np.zeros((0, 5), np.int64)], [np.zeros((0, 6))]
+    """Base counts, and the parts and the wholes of RATIOS, a row for each document."""
+    base, counts = [np.zeros((0, 5), np.int64)], [np.zeros((0, 2 * len(RATIOS)), np.int64)]
     for i, j in chunks(raw):
         part = raw[i:j]
         data, starts, ends, first = words_of(part)
@@ -90,29 +94,41 @@ def rule_statistics(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             lines[k], copies[k] = len(found), len(found) - len(seen)
         chars, symbols, letters = count(_START), count(_SYMBOL), count(_LETTER)
         base.append(np.stack([n, chars, symbols, copies, repeated], 1))
-        some = np.maximum(chars, 1)
-        shares = np.stack([symbols / some, repeated / np.maximum(n, 1), copies / np.maximum(lines, 1), count(_UPPER) / np.maximum(letters, 1), count(_MARK) / some, count(_DIGIT) / some], 1)
-        ratios.append(np.maximum(0.0, shares - np.array(TOLERATED)))
-    return np.concatenate(base), np.concatenate(ratios)
+        counts.append(np.stack([symbols, repeated, copies, count(_UPPER), count(_MARK), count(_DIGIT), chars, n, lines, letters, chars, chars], 1))
+    return np.concatenate(base), np.concatenate(counts)
+
+
+def prior_shares(counts: np.ndarray) -> np.ndarray:
+    """Each of RATIOS over all rows together."""
+    part, whole = np.split(counts.sum(0), 2)
+    return np.clip(part / np.maximum(whole, 1), LEAST, 0.5)
+
+
+def log_odds(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Log-odds of the shares, shrunk by length; none has the same at any length."""
+    part, whole = np.split(counts, 2, axis=1)
+    share = part / (whole + SHRINK)
+    return np.log((share + prior) / (1 - share + prior))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, and the ratios of each document."""
+    """doc_id, the base counts, and the counts of the ratios of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, ratios = rule_statistics([x or b"" for x in batch.column(1).to_pylist()])
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ratios) * len(RATIOS) + 1, len(RATIOS)), pa.int32()), pa.array(ratios.ravel()))
+            base, counts = rule_statistics([x or b"" for x in batch.column(1).to_pylist()])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, counts.shape[1]), pa.int32()), pa.array(counts.ravel()))
             yield record_batch(_SCHEMA, [batch.column(0), *(np.ascontiguousarray(base[:, k]) for k in range(5)), flat])
 
     return text_rows(docs).mapInArrow(run, _DDL)
 
 
 class IsolationForest:
-    """Trees of random splits; the score of a row is 2 ** -(mean path / expected path)."""
+    """Trees of random splits; the score of a row is 2 ** -(mean path / expected path). Splits are within ``box`` (lowest and highest values), or the rows' own range."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 20):
+    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 20, box: tuple[np.ndarray, np.ndarray] | None = None):
         rng = np.random.default_rng(seed)
+        self.box = box
         self.expected = self.average(min(sample, len(rows)))
         self.trees = [self._grow(rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)], rng) for _ in range(trees)]
 
@@ -125,24 +141,25 @@ class IsolationForest:
         feature, cut, left, right, path = [], [], [], [], []
         deepest = int(np.ceil(np.log2(max(len(rows), 2))))
 
-        def add(part: np.ndarray, depth: int) -> int:
+        def add(part: np.ndarray, depth: int, box: tuple[np.ndarray, np.ndarray] | None) -> int:
             node = len(feature)
             feature.append(-1)
             cut.append(0.0)
             left.append(node)
             right.append(node)
             path.append(depth + self.average(len(part)))
-            low, high = part.min(0), part.max(0)
+            low, high = box or (part.min(0), part.max(0))
             able = np.flatnonzero(high > low)
             if len(part) > 1 and depth < deepest and len(able):
                 k = int(rng.choice(able))
                 at = rng.uniform(low[k], high[k])
                 feature[node], cut[node] = k, at
-                left[node] = add(part[part[:, k] <= at], depth + 1)
-                right[node] = add(part[part[:, k] > at], depth + 1)
+                column = np.arange(len(low)) == k
+                left[node] = add(part[part[:, k] <= at], depth + 1, box and (low, np.where(column, at, high)))
+                right[node] = add(part[part[:, k] > at], depth + 1, box and (np.where(column, at, low), high))
             return node
 
-        add(rows, 0)
+        add(rows, 0, self.box)
         return np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(path)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -160,16 +177,29 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(self.expected, 1e-9))
 
 
+class Contrast:
+    """A forest of good rows and one of bad ones, over the counts of RATIOS; a score beyond 0.5 is nearer to the bad ones."""
+
+    def __init__(self, good: np.ndarray, bad: np.ndarray):
+        self.prior = prior_shares(np.concatenate([good, bad]))
+        highest = np.log((1 + self.prior) / self.prior)
+        self.forests = [IsolationForest(log_odds(x, self.prior), box=(-highest, highest)) for x in (good, bad)]
+
+    def score(self, counts: np.ndarray) -> np.ndarray:
+        from_good, from_bad = (f.score(log_odds(counts, self.prior)) for f in self.forests)
+        return from_good / (from_good + from_bad)
+
+
 def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def scored(stats: DataFrame, forest: IsolationForest) -> DataFrame:
+def scored(stats: DataFrame, forest: Contrast) -> DataFrame:
     shared = stats.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(batch.schema.get_field_index("ratios")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(RATIOS))
+            rows = batch.column(batch.schema.get_field_index("counts")).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * len(RATIOS))
             kinds, back = np.unique(rows, axis=0, return_inverse=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(kinds)[back.ravel()])], names=[*batch.schema.names, "score"])
 
@@ -181,17 +211,15 @@ def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     stats = materialize(statistics(docs), "statistics")
     marks = labels.where("quality is not null").select(F.col("doc_id").alias("__doc"), F.col("quality").cast("int").alias("__good")).dropDuplicates(["__doc"])
     marked = stats.join(marks, F.col("doc_id") == F.col("__doc"))
-    sample = marked.where(~base_failed()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("ratios").toPandas()["ratios"]
+    kinds = [marked.where(~base_failed() & (F.col("__good") == k)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2).select("counts").toPandas()["counts"] for k in (1, 0)]
     out = stats.withColumn("base_failed", base_failed())
     none = out.withColumn("score", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
-    if len(sample) < 2:
-        return none.drop("ratios")
-    results = materialize(scored(stats, IsolationForest(np.stack(sample.to_list()))), "scores")
+    if not all(len(x) for x in kinds):
+        return none.drop("counts")
+    results = materialize(scored(stats, Contrast(*(np.stack(x.to_list()) for x in kinds))), "scores")
     # a bounded table: a row for each step of the score and label
     steps = results.where(~base_failed()).join(marks, F.col("doc_id") == F.col("__doc")).groupBy(F.floor(F.col("score") * STEPS).cast("int").alias("step"), "__good").count().toPandas()
     good, bad = (np.bincount(x["step"], x["count"], STEPS + 2) for x in (steps[steps["__good"] == 1], steps[steps["__good"] == 0]))
-    if not good.sum() or not bad.sum():
-        return none.drop("ratios")
     stay = np.concatenate([[0], np.cumsum(good)[:-1]]) / good.sum()  # below each step
     go = 1 - np.concatenate([[0], np.cumsum(bad)[:-1]]) / bad.sum()
     gain = np.where(stay >= KEEP, go - (1 - stay), -2.0)
@@ -199,7 +227,7 @@ def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     step = int(best[len(best) // 2])  # the middle of equally good ones
     verdict = results.withColumn("base_failed", base_failed())
-    return verdict.withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("score") * STEPS) < step)).drop("ratios")
+    return verdict.withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("score") * STEPS) < step)).drop("counts")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -394,3 +394,22 @@ def test_without_labels(odd, none, spark):
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.kept == (not r.base_failed) for r in quality.judged(odd, nothing).collect()} == {True}
     assert quality.good_documents(none, nothing).count() == 0
+
+
+def test_quality_learns_below_the_tolerances(spark):
+    """Bad documents of 20 % capitals or 1.5 % symbols, less than a rule tolerates, are learned from the labels."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for k in range(300):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(60 + k)]
+        good = k % 3 > 0
+        if k % 3 == 0 and k % 2:
+            words = [w.title() for w in words]
+        elif k % 3 == 0:
+            words = [w + "#" if i % 12 == 0 else w for i, w in enumerate(words)]
+        rows.append((k, " ".join(words), "en", "a", None))
+        labels.append((k, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[k].kept for k in range(300) if k % 3)
+    assert not any(got[k].kept for k in range(300) if k % 3 == 0)
