@@ -40,9 +40,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and the UTF-8 bytes of text, nothing else: other columns can't clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+#: A row's own key, for tables where doc_ids are null or repeated.
+ROW = "__row"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW, written once, so that each use sees the same keys."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def text_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the UTF-8 bytes of text and ``more``, nothing else: other columns can't clash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *more)
 
 
 def chunks(raw: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

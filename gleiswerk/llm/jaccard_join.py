@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, words_of
+from .common import ROW, chunks, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, with_rows, words_of
 
 WORDS = 5
 #: Similarity as a fraction: 75 / 100.
@@ -48,7 +48,7 @@ GATHER, LOCAL_LEAST = 6_000_000, 2
 GROUP_MEMBERS, GROUP_QUERIES = 64, 512
 #: Rounds of stars with other centers before the matrix.
 STAR_ROUNDS = 2
-#: Places that wanted doc_ids are hashed to, to leave other texts out of a shuffle: a table of so many rows at most is broadcast.
+#: Places that wanted rows are hashed to, to leave other texts out of a shuffle: a table of so many rows at most is broadcast.
 PLACES = 1 << 18
 
 
@@ -110,15 +110,15 @@ def prefix_size(n: int, over: int = OVER, of: int = OF) -> int:
 
 
 def sets_of_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for the empty set), bits (the set's parity)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("bits", pa.binary())])
+    """ROW, doc_id, n_shingles, set_id (null for the empty set), bits (the set's parity)."""
+    schema = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets([x or b"" for x in batch.column(1).to_pylist()])
-            yield record_batch(schema, [batch.column(0), [len(x) for x in sets], [set_id(x) if len(x) else None for x in sets], [parity(x) for x in sets]])
+            yield record_batch(schema, [batch.column(2), batch.column(0), [len(x) for x in sets], [set_id(x) if len(x) else None for x in sets], [parity(x) for x in sets]])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long, bits binary")
+    return text_rows(docs, ROW).mapInArrow(run, f"{ROW} long, doc_id long, n_shingles long, set_id long, bits binary")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -244,11 +244,11 @@ def star_links(asked: DataFrame, over: int = OVER, of: int = OF) -> DataFrame:
 
 def texts_of(docs: DataFrame, kinds: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_id, text) of one document for each wanted set; few other texts are shuffled."""
-    chosen = kinds.join(wanted.select("set_id").distinct(), "set_id", "left_semi").where("doc_id is not null").select("set_id", "doc_id")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    chosen = kinds.join(wanted.select("set_id").distinct(), "set_id", "left_semi").select("set_id", ROW)
+    place = F.pmod(F.xxhash64(ROW), F.lit(PLACES))
     places = chosen.select(place.alias("place")).distinct()
-    near = text_rows(docs).withColumn("place", place).join(F.broadcast(places), "place", "left_semi")
-    return near.join(chosen, "doc_id").groupBy("set_id").agg(F.min("text").alias("text"))
+    near = text_rows(docs, ROW).withColumn("place", place).join(F.broadcast(places), "place", "left_semi")
+    return near.join(chosen, ROW).select("set_id", "text")
 
 
 def promising(links: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -375,15 +375,15 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("set_id"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("set_id"), F.col("v").alias("comp")).distinct())
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    docs = docs.select("doc_id", "text")
+def components_of_rows(docs: DataFrame) -> DataFrame:
+    """ROW, doc_id, n_shingles, component_id (the smallest doc_id reachable by links), first (the least ROW reachable; null for the empty set), of ``docs`` with ROW."""
+    docs = docs.select("doc_id", "text", ROW)
     sets = materialize(sets_of_documents(docs), "sets")
     common = common_tokens(docs, sets.count())
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     found = materialize(star_links(prefix_tokens(docs, common, buckets)), "stars")
     stars = found.where("token is null").select("a", "b").distinct()
-    kinds = materialize(sets.where("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "kinds")
+    kinds = materialize(sets.where("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id"), F.min(ROW).alias(ROW)), "kinds")
     stars = materialize(promising(stars, kinds), "promising")
     texts = materialize(texts_of(docs, kinds, stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id")))), "texts")
     links = materialize(checked(stars, texts), "checked")
@@ -403,15 +403,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     else:
         final = components(label.select(F.col("set_id").alias("a"), F.col("comp").alias("b")).unionByName(more))
     # smallest doc_id: of each set first (copies of one text may be a third of all rows), then of each component
-    least = kinds.select("set_id", F.col("doc_id").alias("least")).join(final, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    named = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("set_id", "component_id")
-    return sets.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = kinds.select("set_id", F.col("doc_id").alias("least"), ROW).join(final, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    named = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id"), F.min(ROW).alias("first")), "comp").select("set_id", "component_id", "first")
+    return sets.join(named, "set_id", "left").select(ROW, "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    return components_of_rows(with_rows(docs.select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that a document of a smaller id is linked with, directly or through others."""
-    first = jaccard_components(docs).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
+    """``docs`` without those that a document of a smaller id is linked with, directly or through others. A null doc_id is the largest; of a group of such rows alone the first stays."""
+    rows = with_rows(docs)
+    kept = components_of_rows(rows).where(f"component_id = doc_id or (component_id is null and coalesce(first = {ROW}, true))").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

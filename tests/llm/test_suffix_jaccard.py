@@ -196,3 +196,16 @@ def test_chain_of_links(spark):
 def test_one_of_each(clash):
     out = jaccard_join.one_of_each(clash)
     assert out.columns == clash.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 4, 5, 5, 6, 7]
+
+
+def test_rows_of_null_and_repeated_ids(spark):
+    """Each row is cut, or goes, for itself, whatever its doc_id."""
+    a, b, c = ("".join(random.Random(k).choice("abcdefgh ") for _ in range(120)) for k in range(3))
+    rows = [(1, a, 0), (2, f"{b}x{a}", 1), (2, f"{a}y{c}", 2), (None, f"{a}z", 3), (None, f"q{c}", 4), (3, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(2)
+    cut = suffix_dedup.cut_repeats(df).collect()
+    assert sorted((r.n, r.doc_id, r.text) for r in cut) == [(0, 1, a), (1, 2, f"{b}x"), (2, 2, f"y{c}"), (3, None, "z"), (4, None, "q"), (5, 3, None)]
+    words = [" ".join(f"{k}w{i}" for i in range(60)) for k in range(3)]
+    rows = [(7, words[0], 0), (None, words[0] + " more", 1), (None, words[1], 2), (None, words[1] + " more", 3), (8, words[2], 4), (8, words[0], 5), (None, None, 6), (None, "", 7)]
+    kept = {r.n for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(2)).collect()}
+    assert {0, 4, 6, 7} <= kept and kept & {1, 5} == set() and len(kept & {2, 3}) == 1
