@@ -6,9 +6,9 @@ string from here on that occurs in the language's text, and one new letter
 starts the next. Phrases are normalised by the letters parsed; the language
 with the fewest wins.
 
-The sample is bounded (SAMPLE_ROWS documents of each language, those with the
-smallest hashes of their text among those of SAMPLE_CHARS characters, with at
-most SAMPLE_LETTERS letters used); every document is parsed whole. Documents
+The sample is bounded (SAMPLE_ROWS documents of each language, those of
+SAMPLE_CHARS characters first and then those of any length, in the order of
+the hashes of their text, with at most SAMPLE_LETTERS letters used); every document is parsed whole. Documents
 are cut into runs of RUN letters that are parsed in step with each other, so
 that the automata advance by array operations; a run's end ends a phrase, in
 all languages alike.
@@ -199,17 +199,13 @@ def languages_of(texts: dict[str, list[str]]) -> Languages:
 
 def learning_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     """At most ``rows`` texts of each language, of documents that aren't held out."""
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    low, high = SAMPLE_CHARS
-    fit = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
-    some = fit.where(F.length("text").between(low, high))
-    chosen = some.select("lang", "text", F.xxhash64("text").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
+    order = Window.partitionBy("lang").orderBy(F.desc("fits"), "h", "text")
+    fit = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    some = fit.select("lang", F.substring("text", 1, 2 * SAMPLE_LETTERS).alias("text"), F.xxhash64("text").alias("h"), F.length("text").between(*SAMPLE_CHARS).alias("fits"))
+    chosen = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
     out: dict[str, list[str]] = {}
     for r in chosen.select("lang", "k", "text").orderBy("lang", "k").toLocalIterator():
         out.setdefault(r.lang, []).append(r.text)
-    if not out:  # tables of very short or long texts only
-        for r in fit.where("text is not null").withColumn("h", F.xxhash64("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).orderBy("lang", "k").toLocalIterator():
-            out.setdefault(r.lang, []).append(r.text)
     return out
 
 

@@ -339,6 +339,16 @@ def test_language_odd(spark, odd, none, clash):
     assert language_id.learning_sample(none) == {}
 
 
+def test_languages_of_short_or_long_texts_are_learned(spark):
+    """Each language is learned, if none of its texts is of the preferred length."""
+    texts = {"en": "the house by the river " * 20, "de": "das haus am fluss", "fr": "la maison et le fleuve " * 20_000}
+    rows = [(k, text, lang) for lang, text in texts.items() for k in range(8)]
+    sample = language_id.learning_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(sample) == set(texts)
+    assert max(len(x) for x in sample["fr"]) <= 2 * language_id.SAMPLE_LETTERS
+    assert language_id.Languages(sample).predict(["das haus am fluss", "la maison et le fleuve"])[0] == ["de", "fr"]
+
+
 # -- quality rules -----------------------------------------------------------------------
 
 
