@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Fragments, public_vocabulary
+from .bpe import WORD_PIECE, Fragments, public_vocabulary
 from .common import record_batch, table, text_rows
 
 CAPACITY, END_ID, GROUP_DOCS = 2048, 1, 4096
@@ -32,7 +32,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 @lru_cache(2)
 def word_ids(path: str) -> Fragments:
-    return Fragments(path, "<|startoftext|>")
+    return Fragments(path, "<|startoftext|>", WORD_PIECE, True)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
