@@ -1,39 +1,44 @@
 """N-gram Jaccard join by a token-group matrix.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes). Equal
-sets are one node, so copies never meet as pairs. The join is exact:
-
-1. Tokens found in many documents (a bounded number, since the threshold is a
-   share of all documents) are put last in the global order of tokens, so that
-   two sets of similarity t share a token among their first n - ceil(t n) + 1,
-   and those are rare ones.
-2. Buckets of these prefix tokens give star links (a token's sets of near size
-   to the least of them, then to others). Checked against the texts, they
-   partition similar documents into groups.
-3. What stars can't decide goes through the matrix: tokens that sets of
-   different components share lead from a query to groups of the other
-   component. Sets' parities bound the similarity first; then a group's task
-   stores the union of its members' tokens, bounds the overlap with each query
-   by it, and opens only groups that can qualify. One
-   link between two components suffices, so a group is opened no further.
-4. Links become components by alternating large and small stars, each round
+sets (128-bit digests) are one node, so copies never meet as pairs. The join
+is exact:
+
+1. All tokens have one global order: by a level, then by hash. Levels come from
+   a sketch of SLOTS counters over the whole corpus (a fixed size whatever the
+   input), rare tokens first. Two sets of similarity t share a token among
+   their first n - ceil(t n) + 1.
+2. Prefix tokens of distinct sets are looked up by token; those in two sets or
+   more are the open rows.
+3. Similar documents are partitioned into groups: a set goes to the cell of the
+   highest of its open tokens and of its size class, a cell is dealt out into
+   groups of about GROUP_MEMBERS sets. The matrix of tokens and cells tells
+   which cells a query shares how many prefix tokens with; too few for any size
+   in the cell rule it out.
+4. Each group stores the union of its members' tokens, and at which places of
+   the union each member is. A query's tokens are looked up in the union, which
+   bounds its overlap with every member; only a group that can qualify is
+   opened, and all its members are then compared at once. A query is linked
+   with one member of each component inside the group.
+5. Links become components by alternating large and small stars, each round
    written to the shared folder.
 
 Defined results: null text and text without words are empty sets, linked with
 nothing; fewer than five words are one shingle. Rows with one doc_id are each
 a row of the result. A null doc_id stays null and may be in a component, whose
-id is the smallest known one. An empty table gives an empty one.
+id is the smallest known one. An empty table gives an empty one. A text is one
+value of one task, however long; its shingles take some 30 times its words'
+number of bytes there. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ROW, chunks, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, with_rows, words_of
@@ -41,15 +46,20 @@ from .common import ROW, chunks, materialize, mix, ngram_hashes, prefix_hashes,
 WORDS = 5
 #: Similarity as a fraction: 75 / 100.
 OVER, OF = 75, 100
-#: A token is common from this share of all documents on (and this number), so at most words-per-document / share tokens are.
-COMMON_SHARE, COMMON_LEAST = 0.00025, 64
-#: Tokens a task gathers before it sends what it has of them, and from how many sets of these it sends a token's count.
-GATHER, LOCAL_LEAST = 6_000_000, 2
-GROUP_MEMBERS, GROUP_QUERIES = 64, 512
-#: Rounds of stars with other centers before the matrix.
-STAR_ROUNDS = 2
+#: Counters of the sketch that orders tokens by how common they are, and the slices they are summed in.
+SLOTS, SLICES = 1 << 22, 64
+#: Tokens a task gathers before it sends the prefixes of what it has.
+GATHER = 2_000_000
+#: Sets and tokens of a group, and of the queries that meet it in one task. A longer set is a group of its own.
+GROUP_MEMBERS, GROUP_TOKENS, GROUP_QUERIES = 64, 200_000, 512
+#: Sizes of a class differ by this factor at most.
+SIZE_STEP = 1.1
 #: Places that wanted rows are hashed to, to leave other texts out of a shuffle: a table of so many rows at most is broadcast.
 PLACES = 1 << 18
+#: Parts that a star's center is dealt out to.
+SALTS = 8
+#: Sets of more than a HOT-th of all rows (so fewer than HOT sets) are named by a broadcast.
+HOT = 1000
 
 
 def shingle_sets(raw: list[bytes], k: int = WORDS) -> list[np.ndarray]:
@@ -71,290 +81,347 @@ def shingle_sets(raw: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def set_id(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def similar(a: np.ndarray, b: np.ndarray, over: int = OVER, of: int = OF) -> bool:
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not len(small) or of * len(small) < over * len(large):
-        return False
-    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-    both = int((large[at] == small).sum())
-    return of * both >= over * (len(a) + len(b) - both)
+def short(digest: bytes) -> int:
+    """64 bits of a digest: sets that share them by chance are told apart later."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """For each of about as many places as there are tokens: whether an odd number of tokens falls on it."""
-    places = 1 << max(6, (len(tokens) - 1).bit_length())
-    at = ((tokens >> np.uint64(20)) & np.uint64(places - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+def prefix_size(n: int, over: int = OVER, of: int = OF) -> int:
+    return n + (-over * n) // of + 1
 
 
-def may_be_similar(n: int, a: bytes, m: int, b: bytes, over: int = OVER, of: int = OF) -> bool:
-    """Whether the parities allow the similarity: places that differ are tokens of one set only, at least."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, size = int.from_bytes(a, "little"), len(a)
-    while size > len(b):  # parities over half the places
-        size //= 2
-        x = (x >> 8 * size) ^ (x & (1 << 8 * size) - 1)
-    return (of + over) * (x ^ int.from_bytes(b, "little")).bit_count() <= (of - over) * (n + m)
+def least_shared(n: Column, lo: Column, hi: Column, over: int = OVER, of: int = OF) -> Column:
+    """How many tokens the prefixes of a set of n tokens and of a similar one of lo to hi tokens share at least.
 
+    The overlap must be at least over / (over + of) of both sizes together, and
+    all but the last tokens of the side whose prefix ends first may be outside
+    of the prefixes. It falls from both ends of the sizes by rounding alone.
+    """
+    rest = lambda x: F.ceil(x * over / of)
+    at = lambda m: F.ceil((n + m) * over / (over + of)) - F.greatest(rest(n), rest(m)) + 1
+    return F.greatest(F.least(at(F.greatest(lo, F.ceil(n * over / of))), at(F.least(hi, F.floor(n * of / over)))) - 2, F.lit(1))
 
-def prefix_size(n: int, over: int = OVER, of: int = OF) -> int:
-    return n + (-over * n) // of + 1
 
+# -- sets and the order of tokens -------------------------------------------------------
 
-# -- sets, common tokens, prefixes ------------------------------------------------
+_SETS = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("h", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 def sets_of_documents(docs: DataFrame) -> DataFrame:
-    """ROW, doc_id, n_shingles, set_id (null for the empty set), bits (the set's parity)."""
-    schema = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("bits", pa.binary())])
+    """ROW, doc_id, n_shingles, digest (null for the empty set) of each document; and of each task, slice and counts of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        counters = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             sets = shingle_sets([x or b"" for x in batch.column(1).to_pylist()])
-            yield record_batch(schema, [batch.column(2), batch.column(0), [len(x) for x in sets], [set_id(x) if len(x) else None for x in sets], [parity(x) for x in sets]])
+            if sets:
+                counters += np.bincount((np.concatenate(sets) >> np.uint64(42)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            n = batch.num_rows
+            digests = [digest_of(x) if len(x) else None for x in sets]
+            yield record_batch(_SETS, [batch.column(2), batch.column(0), [len(x) for x in sets], digests, [d and short(d) for d in digests], [None] * n, [None] * n])
+        said = [(k, zstandard.compress(x.tobytes(), 1)) for k, x in enumerate(counters.reshape(SLICES, -1)) if x.any()]
+        none = [None] * len(said)
+        yield record_batch(_SETS, [none, none, none, none, none, [k for k, _ in said], [x for _, x in said]])
 
-    return text_rows(docs, ROW).mapInArrow(run, f"{ROW} long, doc_id long, n_shingles long, set_id long, bits binary")
+    return text_rows(docs, ROW).mapInArrow(run, f"{ROW} long, doc_id long, n_shingles long, digest binary, h long, slice int, counts binary")
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Distinct sets, many batches at a time: ids and tokens."""
-    found: dict[int, np.ndarray] = {}
-    size = 0
-    for batch in batches:
-        for x in shingle_sets([x or b"" for x in batch.column(1).to_pylist()]):
-            if len(x) and (own := set_id(x)) not in found:
-                found[own] = x
-                size += len(x)
-        if size >= GATHER:
-            yield np.array(list(found), np.int64), list(found.values())
-            found, size = {}, 0
-    if found:
-        yield np.array(list(found), np.int64), list(found.values())
+def token_levels(sketch: DataFrame) -> np.ndarray:
+    """How common the tokens of each slot are, an eighth of a power of two for each level: SLOTS bytes."""
+    schema = pa.schema([("slice", pa.int32()), ("levels", pa.binary())])
 
+    def run(rows: pa.Table) -> pa.Table:
+        import zstandard
 
-def common_tokens(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Sorted tokens of at least COMMON_SHARE of the documents, as counted where LOCAL_LEAST sets of a task's share have them."""
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+        total = np.zeros(SLOTS // SLICES, np.float64)
+        for x in rows.column("counts"):
+            total += np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
+        levels = np.clip(8 * np.log2(np.maximum(total, 1)), 0, 255).astype(np.uint8)
+        return pa.table([rows.column("slice")[:1], pa.array([levels.tobytes()], pa.binary())], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in gathered(batches):
-            tokens = np.sort(np.concatenate(sets))
-            at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            n = np.diff(np.concatenate([at, [len(tokens)]]))
-            many = n >= LOCAL_LEAST
-            yield record_batch(schema, [tokens[at][many].view(np.int64), n[many]])
+    out = np.zeros((SLICES, SLOTS // SLICES), np.uint8)
+    for r in sketch.groupBy("slice").applyInArrow(run, "slice int, levels binary").collect():  # SLICES rows, SLOTS bytes
+        out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.ravel()
 
-    least = max(COMMON_LEAST, COMMON_SHARE * n_docs)
-    rows = text_rows(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token")
-    return np.sort(rows.toPandas()["token"].to_numpy(np.int64).view(np.uint64))  # at most mean set size / COMMON_SHARE tokens
 
+# -- open tokens ----------------------------------------------------------------------
 
-_ASKED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("size", pa.int32())])
+_SENT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("token", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("level", pa.int32())])
+_OPEN = pa.schema([("token", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("level", pa.int32())])
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def prefix_tokens(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, payload): prefix tokens of distinct sets, packed by bucket; the low 40 bits and the bucket tell tokens apart (a false match is checked later)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _alike(x: np.ndarray) -> np.ndarray:
+    """Of a sorted array: which values are there more than once."""
+    out = np.zeros(len(x), bool)
+    if len(x):
+        same = x[1:] == x[:-1]
+        out[1:] |= same
+        out[:-1] |= same
+    return out
+
+
+def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
+    """Prefix tokens of distinct sets, as far as a task knows.
+
+    Tokens that two sets of a task share are open: rows of token, h, n, level.
+    Each other token, and one mark for each of these, goes to a bucket as part
+    of a payload, so a token of very many sets is one entry from each task.
+    The low 40 bits and the bucket tell tokens apart (a false match costs a
+    comparison).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def send(found: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        level_of = shared.value
+        tokens, ranks, sizes = [], [], []
+        for x in found.values():
+            level = level_of[x >> np.uint64(42)]
+            first = np.argsort(level, kind="stable")[: prefix_size(len(x))]
+            tokens.append(x[first])
+            ranks.append(level[first])
+            sizes.append(len(x))
+        h = np.array([short(d) for d in found], np.int64)
+        n = np.array(sizes, np.int32)
+        owner = np.repeat(np.arange(len(n)), [len(x) for x in tokens])
+        token, rank = np.concatenate(tokens), np.concatenate(ranks)
+        bucket = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        token = token & _LOW | bucket.astype(np.uint64) << np.uint64(40)
+        order = np.argsort(token, kind="stable")
+        token, rank, owner = token[order], rank[order], owner[order]
+        twice = _alike(token)
+        if twice.any():
+            none = np.full(int(twice.sum()), None)
+            yield record_batch(_SENT, [pa.array(none, pa.int32()), pa.array(none, pa.binary()), token[twice].view(np.int64), h[owner[twice]], n[owner[twice]], rank[twice].astype(np.int32)])
+        once = np.ones(len(token), bool)
+        once[1:] = token[1:] != token[:-1]
+        token, rank, owner, mark = token[once], rank[once], np.where(twice, -1, owner)[once], twice[once]
+        at = np.flatnonzero(np.diff((token >> np.uint64(40)).astype(np.int64), prepend=-1))
+        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(token)], strict=True):
+            mine, own = np.unique(owner[i:j], return_inverse=True)
+            low = token[i:j] & _LOW
+            said = b"".join((len(mine).to_bytes(4, "little"), (j - i).to_bytes(4, "little"), np.where(mine < 0, 0, h[mine]).tobytes(), np.where(mine < 0, 0, n[mine]).tobytes(), own.astype(np.uint32).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(), rank[i:j].tobytes(), mark[i:j].tobytes()))
+            yield record_batch(_SENT, [[int(token[i] >> np.uint64(40))], [said], [None], [None], [None], [None]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_last = shared.value
-        for ids, sets in gathered(batches):
-            tokens, owner = [], []
-            for i, x in enumerate(sets):
-                p = prefix_size(len(x))
-                if len(rare_last):
-                    at = np.minimum(np.searchsorted(rare_last, x), len(rare_last) - 1)
-                    x = x[np.argsort(rare_last[at] == x, kind="stable")]
-                tokens.append(x[:p])
-                owner.append(np.full(p, i, np.int64))
-            sizes = np.array([len(x) for x in sets], np.int64)
-            tokens, owner = np.concatenate(tokens), np.concatenate(owner)
-            bucket = ((tokens >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, tokens, owner = bucket[order], tokens[order], owner[order]
-            at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for i, j in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
-                mine, own = np.unique(owner[i:j], return_inverse=True)
-                low = tokens[i:j] & _LOW
-                said = pickle.dumps((ids[mine], sizes[mine].astype(np.int32), own.astype(np.uint32), (low & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8)))
-                yield record_batch(_ASKED, [[int(bucket[i])], [said]])
-
-    return text_rows(docs).mapInArrow(run, "bucket int, payload binary")
-
-
-def star_links(asked: DataFrame, over: int = OVER, of: int = OF) -> DataFrame:
-    """(a, b) to check, where token is null; and (a, token, size) of tokens whose sets the stars don't decide."""
+        found: dict[bytes, np.ndarray] = {}
+        size = 0
+        for batch in batches:
+            for x in shingle_sets([x or b"" for x in batch.column(1).to_pylist()]):
+                if len(x) and (own := digest_of(x)) not in found:
+                    found[own] = x
+                    size += len(x)
+            if size >= GATHER:
+                yield from send(found)
+                found, size = {}, 0
+        if found:
+            yield from send(found)
+
+    return text_rows(docs).mapInArrow(run, "bucket int, payload binary, token long, h long, n int, level int")
+
+
+def met_in_buckets(sent: DataFrame) -> DataFrame:
+    """Open rows of tokens that tasks told of apart: two sets of different tasks have them, or a mark tells of others."""
 
     def run(rows: pa.Table) -> pa.Table:
-        bucket = rows.column("bucket")[0].as_py()
-        parts = [pickle.loads(x.as_py()) for x in rows.column("payload")]
-        ids = np.concatenate([p[0][p[2]] for p in parts])
-        size = np.concatenate([p[1][p[2]] for p in parts]).astype(np.int64)
-        token = np.concatenate([p[3].astype(np.int64) | p[4].astype(np.int64) << 32 for p in parts])
-        order = np.argsort(token, kind="stable")
-        ids, size, token = ids[order], size[order], token[order]
-        twice = np.zeros(len(token), bool)  # most tokens are in one set only
-        twice[1:] |= token[1:] == token[:-1]
-        twice[:-1] |= token[1:] == token[:-1]
-        ids, size, token = ids[twice], size[twice], token[twice]
-        scale = (np.log(np.maximum(size, 1)) / np.log(of / over)).astype(np.int64)  # sets of one scale may be similar by their sizes
-        order = np.lexsort((ids, scale, token))
-        ids, size, token, scale = ids[order], size[order], token[order], scale[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
-        ids, size, token, scale = ids[new], size[new], token[new], scale[new]
-        if not len(ids):
-            return _FOUND.empty_table()
-        first = np.concatenate([[True], (token[1:] != token[:-1]) | (scale[1:] != scale[:-1])])
-        center = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-        links = np.unique(np.stack([center, ids], 1)[~first], axis=0)
-        begins = np.concatenate([[True], token[1:] != token[:-1]])
-        at = np.flatnonzero(begins)
-        n = np.diff(np.concatenate([at, [len(token)]]))
-        scales = np.add.reduceat(first.astype(np.int64), at)
-        near = np.zeros(len(token), bool)  # a set of the next scale that is similar by its size
-        crossing = first[1:] & ~begins[1:] & (scale[1:] == scale[:-1] + 1)
-        near[1:] = crossing
-        crossed = np.add.reduceat(near.astype(np.int64), at) > 0
-        undecided = np.repeat(((scales == 1) & (n > 2)) | ((scales > 1) & (crossed | (n > 2))), n)
-        whole = token[undecided] | np.int64(bucket) << 40
-        k = len(links)
-        return pa.table(
-            [
-                pa.array(np.concatenate([links[:, 0], ids[undecided]])),
-                pa.array(np.concatenate([links[:, 1], np.zeros(len(whole), np.int64)])),
-                pa.array(np.concatenate([np.zeros(k, np.int64), whole]), mask=np.concatenate([np.ones(k, bool), np.zeros(len(whole), bool)])),
-                pa.array(np.concatenate([np.zeros(k, np.int64), size[undecided]]).astype(np.int32)),
-            ],
-            schema=_FOUND,
-        )
-
-    return asked.groupBy("bucket").applyInArrow(run, "a long, b long, token long, size int")
-
-
-# -- checks -----------------------------------------------------------------------
-
-
-def texts_of(docs: DataFrame, kinds: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, text) of one document for each wanted set; few other texts are shuffled."""
-    chosen = kinds.join(wanted.select("set_id").distinct(), "set_id", "left_semi").select("set_id", ROW)
+        bucket = np.uint64(rows.column("bucket")[0].as_py())
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        for x in rows.column("payload"):
+            data = x.as_py()
+            sets, n, at = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little"), 8
+            read = []
+            for kind, count in (("i8", sets), ("i4", sets), ("u4", n), ("u4", n), ("u1", n), ("u1", n), ("?", n)):
+                read.append(np.frombuffer(data, kind, count, at))
+                at += read[-1].nbytes
+            h, size, own, low, high, rank, mark = read
+            for column, value in zip(parts, (h[own], size[own], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), rank, mark), strict=True):
+                column.append(value)
+        h, size, token, rank, mark = (np.concatenate(x) for x in parts)
+        order = np.lexsort((h, token))
+        h, size, token, rank, mark = h[order], size[order], token[order], rank[order], mark[order]
+        new = np.ones(len(token), bool)  # a set of several tasks is there once
+        new[1:] = (token[1:] != token[:-1]) | (h[1:] != h[:-1])
+        new |= mark
+        h, size, token, rank, mark = h[new], size[new], token[new], rank[new], mark[new]
+        keep = _alike(token) & ~mark
+        return pa.table([(token[keep] | bucket << np.uint64(40)).view(np.int64), h[keep], size[keep].astype(np.int32), rank[keep].astype(np.int32)], schema=_OPEN)
+
+    return sent.where("payload is not null").groupBy("bucket").applyInArrow(run, "token long, h long, n int, level int")
+
+
+# -- cells, groups, and the matrix -------------------------------------------------------
+
+
+def with_cells(rows: DataFrame) -> DataFrame:
+    """Open rows (token, h, n, level) with the cell of their set: its highest open token and its size class."""
+    top = F.max(F.struct("level", "token")).over(Window.partitionBy("h", "n"))  # a set's rows: one document's at most
+    return rows.withColumn("top", top).select("token", "h", "n", F.xxhash64("top.token", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))).alias("cell"))
+
+
+def members_of_cells(marked: DataFrame) -> DataFrame:
+    """h, n, cell, g, parts of each set: its group, and how many groups its cell is dealt out to."""
+    members = marked.select("h", "n", "cell").distinct()
+    parts = members.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / GROUP_MEMBERS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
+    return members.join(parts, "cell").select("h", "n", "cell", F.xxhash64("cell", F.pmod(F.xxhash64("h", "n"), "parts")).alias("g"), "parts")
+
+
+def asked_groups(marked: DataFrame, members: DataFrame) -> DataFrame:
+    """(h, n, g): the groups that a query may have a similar set in. By the matrix of tokens and cells, of two cells the larger asks; within a cell the later group."""
+    cells = members.groupBy("cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = marked.select("token", F.col("cell").alias("of")).distinct()
+    shared = marked.join(matrix, "token").where("cell > of").groupBy("h", "n", "of").agg(F.count("*").alias("shared"))
+    fits = (F.col("n") * OVER <= F.col("hi") * OF) & (F.col("lo") * OVER <= F.col("n") * OF)
+    across = shared.join(cells.withColumnRenamed("cell", "of"), "of").where(fits & (F.col("shared") >= least_shared(F.col("n"), F.col("lo"), F.col("hi"))))
+    groups = members.select(F.col("cell").alias("of"), F.col("g").alias("of_g"), F.col("parts").alias("of_parts")).distinct()
+    across = across.join(groups, "of").select("h", "n", F.col("of_g").alias("g"))
+    inside = members.where("parts > 1").join(groups.where("of_parts > 1"), F.col("cell") == F.col("of")).where("of_g < g").select("h", "n", F.col("of_g").alias("g"))
+    return across.unionByName(inside)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, text) of wanted sets (set_id is the ROW of one document); few other texts are shuffled."""
     place = F.pmod(F.xxhash64(ROW), F.lit(PLACES))
-    places = chosen.select(place.alias("place")).distinct()
+    places = wanted.select(F.pmod(F.xxhash64("set_id"), F.lit(PLACES)).alias("place")).distinct()
     near = text_rows(docs, ROW).withColumn("place", place).join(F.broadcast(places), "place", "left_semi")
-    return near.join(chosen, ROW).select("set_id", "text")
+    return near.join(wanted, F.col(ROW) == F.col("set_id")).select("set_id", "text")
 
 
-def promising(links: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The links (a, b) whose sets' parities allow the similarity."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    side = lambda c: kinds.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+def tokens_of(texts: DataFrame) -> DataFrame:
+    """(set_id, tokens): sorted 64-bit hashes."""
+    schema = pa.schema([("set_id", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
-            keep = pa.array([may_be_similar(*r) for r in rows], pa.bool_())
-            yield record_batch(schema, [batch.column(0).filter(keep), batch.column(1).filter(keep)])
+            yield record_batch(schema, [batch.column(0), [x.tobytes() for x in shingle_sets(batch.column(1).to_pylist())]])
+
+    return texts.mapInArrow(run, "set_id long, tokens binary")
+
+
+class Group:
+    """A group's members, the union of their tokens, and each member's component among them."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, inner: np.ndarray, union: np.ndarray, places: np.ndarray):
+        self.ids, self.sizes, self.inner, self.union, self.places = ids, sizes, inner, union, places
+
+    @classmethod
+    def of(cls, ids: list[int], sets: list[np.ndarray], over: int = OVER, of: int = OF) -> Group:
+        union, places = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.array([len(x) for x in sets], np.int64)
+        group = cls(np.array(ids, np.int64), sizes, np.arange(len(ids)), union, places.astype(np.int32))
+        both = np.zeros((len(ids), len(ids)))
+        held = group.matrix()
+        for i in range(0, len(union), 16384):
+            part = held[i : i + 16384].astype(np.float32)
+            both += part.T @ part
+        like = of * both >= over * (sizes[:, None] + sizes[None, :] - both)
+        label = group.inner
+        while True:  # the least reachable, a few rounds over a small table
+            least = np.where(like, label[None, :], len(ids)).min(1)
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        group.inner = label
+        return group
+
+    def matrix(self) -> np.ndarray:
+        """Tokens by members: whether the member has the token."""
+        out = np.zeros((len(self.union), len(self.ids)), np.uint8)
+        out[self.places, np.repeat(np.arange(len(self.ids)), self.sizes)] = 1
+        return out
+
+    def links(self, tokens: np.ndarray, held: list[np.ndarray], over: int = OVER, of: int = OF) -> list[int]:
+        """Members similar to a query, one of each inner component. ``held`` keeps the matrix once the group is open."""
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        at = at[self.union[at] == tokens]
+        if of * len(at) < over * max(len(tokens), int(self.sizes.min())):
+            return []  # no member can reach the similarity
+        if not held:
+            held.append(self.matrix())
+        both = held[0][at].sum(0, dtype=np.int64)
+        found = np.flatnonzero(of * both >= over * (len(tokens) + self.sizes - both))
+        return self.ids[found[np.unique(self.inner[found], return_index=True)[1]]].tolist()
+
+    def pack(self) -> bytes:
+        counts = np.array([len(self.ids), len(self.union)], np.int64)
+        return b"".join(x.tobytes() for x in (counts, self.ids, self.sizes, self.inner.astype(np.int64), self.union, self.places))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Group:
+        k, n = np.frombuffer(data, np.int64, 2).tolist()
+        ids, sizes, inner = np.frombuffer(data, np.int64, 3 * k, 16).reshape(3, k)
+        return cls(ids, sizes, inner, np.frombuffer(data, np.uint64, n, 16 + 24 * k), np.frombuffer(data, np.int32, -1, 16 + 24 * k + 8 * n))
+
+
+_STORED = pa.schema([("g", pa.int64()), ("stored", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def stored_groups(members: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(g, stored) of each group, and rows (a, b) of links among its members."""
 
-    return links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows.column("set_id").to_pylist()
+        group = Group.of(ids, [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("tokens")])
+        linked = [(i, k) for i, k in enumerate(group.inner.tolist()) if i != k]
+        none = [None] * len(linked)
+        return pa.table([pa.array(x, f.type) for x, f in zip([[rows.column("g")[0].as_py(), *none], [group.pack(), *none], [None, *(ids[i] for i, _ in linked)], [None, *(ids[k] for _, k in linked)]], _STORED, strict=True)], schema=_STORED)
 
+    return members.select("g", "set_id").join(tokens, "set_id").select("g", "set_id", "tokens").groupBy("g").applyInArrow(run, "g long, stored binary, a long, b long")
 
-def checked(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links (a, b) whose sets are similar."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    pairs = links.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("tb")), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            sets = shingle_sets([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()])
-            keep = pa.array([similar(sets[i], sets[n + i]) for i in range(n)], pa.bool_())
-            yield record_batch(schema, [batch.column(0).filter(keep), batch.column(1).filter(keep)])
-
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def group_candidates(open_rows: DataFrame, label: DataFrame) -> DataFrame:
-    """(q, g, slice) and the members of groups, where a query of one component shares a prefix token with a group of another."""
-    # label: set_id, comp for the sets that have links; others are their own component
-    marked = open_rows.join(label.withColumnRenamed("set_id", "a"), "a", "left").select("token", F.col("a").alias("set_id"), "size", F.coalesce("comp", "a").alias("comp"))
-    several = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return marked.join(several, "token", "left_semi")
-
-
-def matrix_links(docs: DataFrame, kinds: DataFrame, rows: DataFrame, over: int = OVER, of: int = OF) -> DataFrame:
-    """Links between components, through the token-group matrix. rows: token, set_id, size, comp."""
-    scale = F.floor(F.log("size") / F.log(F.lit(of / over)))
-    members = rows.select("set_id", "size", "comp").distinct().withColumn("scale", scale)
-    parts = members.groupBy("comp", "scale").agg(F.ceil(F.count("*") / GROUP_MEMBERS).alias("parts"))
-    members = materialize(members.join(parts, ["comp", "scale"]).select("set_id", "size", F.xxhash64("comp", "scale", F.pmod(F.xxhash64("set_id"), "parts")).alias("g")), "groups")
-    sized = members.groupBy("g").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    columns = rows.join(members.select("set_id", "g"), "set_id").select("token", "g", F.col("comp").alias("gcomp")).distinct()
-    asked = (
-        rows.join(columns, "token").where("comp > gcomp").select(F.col("set_id").alias("q"), "size", "g").distinct()
-        .join(sized, "g").where((F.col("size") * over <= F.col("hi") * of) & (F.col("lo") * over <= F.col("size") * of)).select("q", "g")
-    )
-    asked = materialize(asked, "asked")
-    parts = asked.groupBy("g").agg(F.ceil(F.count("*") / GROUP_QUERIES).alias("parts"))
-    dealt = asked.join(parts, "g").select("q", "g", F.pmod(F.xxhash64("q"), "parts").alias("part"))
-    likely = pa.schema([("q", pa.int64()), ("g", pa.int64()), ("set_id", pa.int64())])
-
-    def bound(queries: pa.Table, members: pa.Table) -> pa.Table:
-        """Queries and the members whose parities allow the similarity."""
-        own = list(zip(*(members.column(c).to_pylist() for c in ("set_id", "n", "bits")), strict=True))
-        asking = zip(*(queries.column(c).to_pylist() for c in ("q", "qg", "qn", "qbits")), strict=True)
-        kept = [(q, g, m) for q, g, n, x in asking for m, k, y in own if of * min(n, k) >= over * max(n, k) and may_be_similar(n, x, k, y, over, of)]
-        return pa.table([pa.array([r[k] for r in kept], pa.int64()) for k in range(3)], schema=likely)
-
-    asking = dealt.join(kinds.select(F.col("set_id").alias("q"), F.col("n").alias("qn"), F.col("bits").alias("qbits")), "q").select(F.col("g").alias("qg"), F.col("part").alias("qpart"), "q", "qn", "qbits")
-    asked_for = dealt.select("g", "part").distinct().join(members.select("g", "set_id"), "g").join(kinds.select("set_id", "n", "bits"), "set_id").select("g", "part", "set_id", "n", "bits")
-    chances = materialize(asking.groupBy("qg", "qpart").cogroup(asked_for.groupBy("g", "part")).applyInArrow(bound, "q long, g long, set_id long"), "chances")
-    asked = chances.select("q", "g").distinct()
-    parts = asked.groupBy("g").agg(F.ceil(F.count("*") / GROUP_QUERIES).alias("parts"))
-    asked = materialize(asked.join(parts, "g").select("q", "g", F.pmod(F.xxhash64("q"), "parts").alias("part")), "asked")
-    wanted = materialize(chances.select("g", "set_id").distinct(), "wanted")
-    texts = materialize(texts_of(docs, kinds, asked.select(F.col("q").alias("set_id")).unionByName(wanted.select("set_id"))), "texts")
+def opened_links(asked: DataFrame, stored: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(a, b): queries and the members they are similar to, of the groups asked."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def open_groups(queries: pa.Table, members: pa.Table) -> pa.Table:
+    def run(queries: pa.Table, groups: pa.Table) -> pa.Table:
         a, b = [], []
-        if queries.num_rows and members.num_rows:
-            of_members = shingle_sets(members.column("text").to_pylist())
-            union = np.unique(np.concatenate(of_members))
-            for q, tokens in zip(queries.column("q").to_pylist(), shingle_sets(queries.column("qtext").to_pylist()), strict=True):
-                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-                if of * int((union[at] == tokens).sum()) < over * len(tokens):
-                    continue  # no member can reach the similarity
-                for m, other in zip(members.column("set_id").to_pylist(), of_members, strict=True):
-                    if similar(tokens, other, over, of):
-                        a.append(q)
-                        b.append(m)
-                        break  # the group is of one component
+        if queries.num_rows and groups.num_rows:
+            group, held = Group.unpack(groups.column("stored")[0].as_py()), []
+            for q, x in zip(queries.column("q").to_pylist(), queries.column("tokens"), strict=True):
+                found = group.links(np.frombuffer(x.as_py(), np.uint64), held)
+                a += [q] * len(found)
+                b += found
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    queries = asked.join(texts.select(F.col("set_id").alias("q"), F.col("text").alias("qtext")), "q").select(F.col("g").alias("qg"), F.col("part").alias("qpart"), "q", "qtext")
-    opened = asked.select("g", "part").distinct().join(wanted, "g").join(texts, "set_id").select("g", "part", "set_id", "text")
-    return queries.groupBy("qg", "qpart").cogroup(opened.groupBy("g", "part")).applyInArrow(open_groups, "a long, b long")
+    many = asked.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / GROUP_QUERIES), F.ceil(F.sum("qn") / (4 * GROUP_TOKENS))).alias("parts"))
+    dealt = asked.join(many, "g").select("q", "g", F.pmod(F.xxhash64("q"), "parts").alias("part"))
+    queries = dealt.join(tokens.withColumnRenamed("set_id", "q"), "q").select("g", "part", "q", "tokens")
+    copies = stored.join(many, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "stored")
+    return queries.groupBy("g", "part").cogroup(copies.groupBy("g", "part")).applyInArrow(run, "a long, b long")
 
 
-def second_stars(rows: DataFrame) -> DataFrame:
-    """(a, b) to check: each token's sets with one of them, another for each token, where their components differ. As many as rows at most."""
-    scale = F.floor(F.log("size") / F.log(F.lit(OF / OVER)))
-    scaled = rows.withColumn("scale", scale)
-    center = scaled.groupBy("token", "scale").agg(F.min_by(F.struct("set_id", "comp"), F.xxhash64("set_id", "token")).alias("c"))
-    met = scaled.join(center, ["token", "scale"]).where("comp <> c.comp")
-    return met.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b")).distinct()
+def similar_sets(docs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): links of set_ids that connect whatever is connected by similar sets. rows: token, h, n, level."""
+    marked = materialize(with_cells(rows), "marked")
+    members = materialize(members_of_cells(marked), "groups")
+    named = kinds.select("h", F.col("n_shingles").cast("int").alias("n"), "set_id")
+    asked = materialize(asked_groups(marked, members).join(named, ["h", "n"]).select(F.col("set_id").alias("q"), F.col("n").alias("qn"), "g"), "asked")
+    several = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    met = several.unionByName(asked.select("g")).distinct()
+    inside = materialize(members.join(met, "g", "left_semi").join(named, ["h", "n"]).select("g", "set_id"), "members")
+    wanted = inside.select("set_id").unionByName(asked.select(F.col("q").alias("set_id"))).distinct()
+    tokens = materialize(tokens_of(texts_of(docs, wanted)), "tokens")
+    stored = materialize(stored_groups(inside, tokens), "stored")
+    return stored.where("a is not null").select("a", "b").unionByName(opened_links(asked, stored.where("stored is not null").select("g", "stored"), tokens))
 
 
 # -- components ---------------------------------------------------------------------
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """u, v, and m: the least of u's neighbours and u. A center's neighbours are dealt out by a salt."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    return edges.withColumn("salt", salt).join(least, ["u", "salt"]).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(set_id, comp): the least id reachable by ``links`` (a, b), of each id in them. Alternates large and small stars until nothing changes."""
     now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
@@ -362,50 +429,40 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: each larger neighbour goes to the least of all
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each smaller neighbour, and the node, goes to the least of them
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = _least(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
-        digest = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(digest) == seen:
+        digest = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if digest == seen:
             break
-        seen = tuple(digest)
+        seen = digest
     return now.select(F.col("u").alias("set_id"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("set_id"), F.col("v").alias("comp")).distinct())
 
 
 def components_of_rows(docs: DataFrame) -> DataFrame:
     """ROW, doc_id, n_shingles, component_id (the smallest doc_id reachable by links), first (the least ROW reachable; null for the empty set), of ``docs`` with ROW."""
     docs = docs.select("doc_id", "text", ROW)
-    sets = materialize(sets_of_documents(docs), "sets")
-    common = common_tokens(docs, sets.count())
+    read = materialize(sets_of_documents(docs), "sets")
+    sets = read.where(f"{ROW} is not null").select(ROW, "doc_id", "n_shingles", "digest", "h")
+    levels = token_levels(read.where("counts is not null").select("slice", "counts"))
+    kinds = sets.where("digest is not null").groupBy("digest").agg(F.min(ROW).alias("set_id"), F.min("doc_id").alias("least"), F.first("h").alias("h"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    kinds = materialize(kinds, "kinds")
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    found = materialize(star_links(prefix_tokens(docs, common, buckets)), "stars")
-    stars = found.where("token is null").select("a", "b").distinct()
-    kinds = materialize(sets.where("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id"), F.min(ROW).alias(ROW)), "kinds")
-    stars = materialize(promising(stars, kinds), "promising")
-    texts = materialize(texts_of(docs, kinds, stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id")))), "texts")
-    links = materialize(checked(stars, texts), "checked")
+    sent = materialize(prefix_tokens(docs, levels, buckets), "prefixes")
+    known = sent.where("payload is null").select("token", "h", "n", "level")
+    links = materialize(similar_sets(docs, kinds, known.unionByName(met_in_buckets(sent))), "similar")
     label = components(links)
-    undecided = found.where("token is not null").select("a", "token", "size")
-    for _ in range(STAR_ROUNDS):  # what these link needs no matrix: a large group of near copies would meet itself there
-        rows = materialize(group_candidates(undecided, label), "open")
-        stars = materialize(promising(second_stars(rows), kinds), "promising")
-        if stars.isEmpty():
-            break
-        texts = materialize(texts_of(docs, kinds, stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id")))), "texts")
-        label = components(label.select(F.col("set_id").alias("a"), F.col("comp").alias("b")).unionByName(checked(stars, texts)))
-    rows = materialize(group_candidates(undecided, label), "open")
-    more = materialize(matrix_links(docs, kinds, rows), "checked")
-    if more.isEmpty():
-        final = label
-    else:
-        final = components(label.select(F.col("set_id").alias("a"), F.col("comp").alias("b")).unionByName(more))
-    # smallest doc_id: of each set first (copies of one text may be a third of all rows), then of each component
-    least = kinds.select("set_id", F.col("doc_id").alias("least"), ROW).join(final, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    named = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id"), F.min(ROW).alias("first")), "comp").select("set_id", "component_id", "first")
-    return sets.join(named, "set_id", "left").select(ROW, "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first")
+    least = kinds.join(label, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    final = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("set_id").alias("first")), "comp").select("digest", "copies", "component_id", "first")
+    final = materialize(final, "components")
+    # copies of one text may be a third of all rows: the few sets of so many rows meet theirs without a shuffle
+    many = final.where(F.col("copies") > sets.count() // HOT).select("digest", F.struct("component_id", "first").alias("hot"))
+    found = sets.where("digest is not null").join(F.broadcast(many), "digest", "left")
+    rest = found.where("hot is null").drop("hot").join(final.select("digest", F.struct("component_id", "first").alias("hot")), "digest")
+    named = found.where("hot is not null").unionByName(rest)
+    empty = sets.where("digest is null").select(ROW, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("first"))
+    return named.select(ROW, "doc_id", "n_shingles", F.coalesce("hot.component_id", "doc_id").alias("component_id"), F.col("hot.first").alias("first")).unionByName(empty)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
