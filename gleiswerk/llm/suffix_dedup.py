@@ -46,7 +46,9 @@ GRAM = 20
 BLOCK_BYTES = 2 << 20
 #: Documents from which an anchor is handled window by window.
 COMMON = 4096
-_STEP = 1 << 21
+#: Suffixes that are sorted at once, of whole keys (one key has at most COMMON documents' segments).
+SUFFIXES = 150_000
+_STEP = 1 << 19
 _LAST = np.iinfo(np.int64).max
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,6 +167,23 @@ def content_hashes(grams: np.ndarray, start: np.ndarray, size: np.ndarray, gram:
     return out
 
 
+def told_apart(data: np.ndarray, start: np.ndarray, size: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each content, and each span's content: by their hashes, whose equality is checked byte by byte."""
+    _, rep, inverse = np.unique(same, return_index=True, return_inverse=True)
+    of = rep[inverse]
+    other = np.flatnonzero(of != np.arange(len(of)))
+    equal = bool((size[other] == size[of[other]]).all())
+    for i in range(0, len(other) if equal else 0, 8192):
+        part = other[i : i + 8192]
+        if not np.array_equal(gather(data, start[part], size[part]), gather(data, start[of[part]], size[part])):
+            equal = False
+    if not equal:  # two contents of one hash
+        found: dict[bytes, int] = {}
+        inverse = np.array([found.setdefault(data[a : a + n].tobytes(), len(found)) for a, n in zip(start.tolist(), size.tolist(), strict=True)], np.int64)
+        rep = np.unique(inverse, return_index=True)[1]
+    return rep, inverse
+
+
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of the spans, one after the other."""
     ends = np.cumsum(size)
@@ -225,12 +244,10 @@ class Block:
         size = np.concatenate([self.count[light] + self.length - 1, np.full(len(windows), self.length, np.int64)])
         key = np.concatenate([self.anchor[light], content_hashes(self.grams, windows, np.full(len(windows), self.length, np.int64), self.gram)])
         same = mix(key ^ (content_hashes(self.grams, start, size, self.gram) * _MUL))
-        order = np.argsort(same, kind="stable")
-        new = np.concatenate([[True], same[order][1:] != same[order][:-1]]) if len(order) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
+        _, self.of_entry = told_apart(self.data, start, size, same)
+        order = np.argsort(self.of_entry, kind="stable")
+        at = np.flatnonzero(np.diff(self.of_entry[order], prepend=-1))
         self.start = start
-        self.of_entry = np.empty(len(order), np.int64)
-        self.of_entry[order] = np.cumsum(new) - 1
         docs = self.ids[np.searchsorted(self.bounds, start, "right") - 1]
         self.occurs_in = docs
         rep = order[at]
@@ -348,19 +365,26 @@ def answer_repeats(payloads: list[bytes], length: int, gram: int) -> Iterator[by
     size = size.astype(np.int64)
     text = np.frombuffer(b"".join(x for _, x in read), np.uint8)
     begin = np.cumsum(size) - size
-    same = mix(key ^ (content_hashes(gram_hashes(text, gram), begin, size, gram) * _MUL))
-    _, rep, inverse = np.unique(same, return_index=True, return_inverse=True)
+    rep, inverse = told_apart(text, begin, size, mix(key ^ (content_hashes(gram_hashes(text, gram), begin, size, gram) * _MUL)))
     first = np.full(len(rep), _LAST, np.int64)
     np.minimum.at(first, inverse, least)
     _, of_key, n = np.unique(key[rep], return_inverse=True, return_counts=True)
-    one = np.arange(len(rep))  # a content repeats as a whole wherever it occurs
+    one = np.arange(len(rep))  # a content is a group of its own wherever it occurs whole
+    found = [(one, np.zeros(len(one), np.int64), size[rep], first)]
     many = np.flatnonzero(n[of_key] > 1)
-    r = rep[many]
-    a, b, c, d = repeats_of(key[r], size[r], gather(text, begin[r], size[r]), first[many], length)
-    who = np.concatenate([one, many[a]])
-    off = np.concatenate([np.zeros(len(one), np.int64), b])
-    long = np.concatenate([size[rep[one]], c])
-    doc = np.concatenate([first[one], d])
+    many = many[np.argsort(of_key[many], kind="stable")]
+    ends = np.append(np.flatnonzero(np.diff(of_key[many])) + 1, len(many))  # of keys
+    upto = np.concatenate([[0], np.cumsum(size[rep[many]] - length + 1)])
+    i = 0
+    while i < len(many):  # whole keys, as many as SUFFIXES allows
+        k = int(np.searchsorted(upto[ends], upto[i] + SUFFIXES, "right")) - 1
+        j = int(ends[max(k, int(np.searchsorted(ends, i, "right")))])
+        part = many[i:j]
+        r = rep[part]
+        a, b, c, d = repeats_of(key[r], size[r], gather(text, begin[r], size[r]), first[part], length)
+        found.append((part[a], b, c, d))
+        i = j
+    who, off, long, doc = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(who, kind="stable")
     off, long, doc = off[order], long[order], doc[order]
     n = np.bincount(who, minlength=len(rep))

@@ -52,8 +52,9 @@ def planted(seed=3, n=40):
     return rows
 
 
-@pytest.mark.parametrize(("blocks", "common"), [(1 << 20, 4096), (2000, 4096), (2000, 3)])
-def test_spans_planted(spark, blocks, common):
+@pytest.mark.parametrize(("blocks", "common", "suffixes"), [(1 << 20, 4096, 150_000), (2000, 4096, 40), (2000, 3, 1)])
+def test_spans_planted(spark, monkeypatch, blocks, common, suffixes):
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES", suffixes)
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got_spans(df, block_bytes=blocks, common=common) == brute_spans(rows)
@@ -170,16 +171,59 @@ def test_components_planted(spark):
     assert got_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_components(rows)
 
 
-def test_components_with_common_tokens(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "COMMON_LEAST", 3)
-    monkeypatch.setattr(jaccard_join, "COMMON_SHARE", 0.0)
-    monkeypatch.setattr(jaccard_join, "LOCAL_LEAST", 2)
-    monkeypatch.setattr(jaccard_join, "GROUP_MEMBERS", 3)
-    monkeypatch.setattr(jaccard_join, "GROUP_QUERIES", 2)
+def test_components_of_small_groups(spark, monkeypatch):
+    """Cells of several groups, queries in several parts, tasks that send many times."""
+    for name, value in (("GROUP_MEMBERS", 3), ("GROUP_TOKENS", 300), ("GROUP_QUERIES", 2), ("GATHER", 500), ("HOT", 10**9)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = near_copies(6)
     assert got_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)) == brute_components(rows)
 
 
+def test_groups_hold_all_links(spark):
+    """Links come from groups: those inside where they are stored, the others from the groups that queries ask and open."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for _ in range(300):  # copies of one text, many of which are not similar to each other
+        words = list(base)
+        for _ in range(rng.randint(0, 14)):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got_components(df) == brute_components(list(enumerate(texts)))
+    rows = jaccard_join.with_rows(df)
+    sets = jaccard_join.sets_of_documents(rows)
+    levels = jaccard_join.token_levels(sets.where("counts is not null").select("slice", "counts"))
+    sent = jaccard_join.prefix_tokens(rows, levels, 4)
+    rows = sent.where("payload is null").select("token", "h", "n", "level").unionByName(jaccard_join.met_in_buckets(sent))
+    marked = jaccard_join.with_cells(rows).cache()
+    members = jaccard_join.members_of_cells(marked).cache()
+    asked = jaccard_join.asked_groups(marked, members)
+    assert members.groupBy("g").count().agg({"count": "max"}).first()[0] <= 2 * jaccard_join.GROUP_MEMBERS
+    assert asked.count() < members.count() * members.select("g").distinct().count()
+
+
+def test_least_shared_is_a_bound(spark):
+    """Similar sets share so many of their prefixes' tokens in any order of the tokens."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    pairs, want = [], []
+    while len(pairs) < 150:
+        both = rng.randint(3, 60)
+        a, b = both + rng.randint(0, 12), both + rng.randint(0, 12)
+        if 100 * both < 75 * (a + b - both):
+            continue
+        tokens = rng.sample(range(1000), a + b - both)
+        x, y = sorted(tokens[:a]), sorted(tokens[a - both :])
+        assert len(set(x) & set(y)) == both
+        pairs.append((len(x), max(1, len(y) - rng.randint(0, 9)), len(y) + rng.randint(0, 9)))
+        want.append(len(set(x[: jaccard_join.prefix_size(len(x))]) & set(y[: jaccard_join.prefix_size(len(y))])))
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, n long, lo long, hi long")
+    got = {r.k: r.least for r in df.select("k", jaccard_join.least_shared(F.col("n"), F.col("lo"), F.col("hi")).alias("least")).collect()}
+    assert all(got[k] <= w for k, w in enumerate(want))
+
+
 @pytest.mark.parametrize("which", ["odd", "none", "documents", "clash"])
 def test_components_brute(request, which):
     df = request.getfixturevalue(which)
@@ -209,3 +253,13 @@ def test_rows_of_null_and_repeated_ids(spark):
     rows = [(7, words[0], 0), (None, words[0] + " more", 1), (None, words[1], 2), (None, words[1] + " more", 3), (8, words[2], 4), (8, words[0], 5), (None, None, 6), (None, "", 7)]
     kept = {r.n for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(2)).collect()}
     assert {0, 4, 6, 7} <= kept and kept & {1, 5} == set() and len(kept & {2, 3}) == 1
+
+
+def test_contents_of_one_hash_are_told_apart():
+    import numpy as np
+
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    start, size = np.array([0, 3, 6]), np.array([3, 3, 3])
+    for same in ([7, 7, 7], [1, 2, 1]):
+        rep, inverse = suffix_dedup.told_apart(data, start, size, np.array(same, np.uint64))
+        assert rep.tolist() == [0, 1] and inverse.tolist() == [0, 1, 0]
