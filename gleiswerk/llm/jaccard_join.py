@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, chunks, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, with_rows, words_of
+from .common import ROW, chunks, discard, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, with_rows, words_of
 
 WORDS = 5
 #: Similarity as a fraction: 75 / 100.
@@ -168,6 +168,11 @@ def _alike(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _owner(sets: int) -> str:
+    """How a payload numbers its sets."""
+    return "u2" if sets < 1 << 16 else "u4"
+
+
 def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     """Prefix tokens of distinct sets, as far as a task knows.
 
@@ -207,7 +212,7 @@ def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFram
         for i, j in zip(at.tolist(), [*at[1:].tolist(), len(token)], strict=True):
             mine, own = np.unique(owner[i:j], return_inverse=True)
             low = token[i:j] & _LOW
-            said = b"".join((len(mine).to_bytes(4, "little"), (j - i).to_bytes(4, "little"), np.where(mine < 0, 0, h[mine]).tobytes(), np.where(mine < 0, 0, n[mine]).tobytes(), own.astype(np.uint32).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(), rank[i:j].tobytes(), mark[i:j].tobytes()))
+            said = b"".join((len(mine).to_bytes(4, "little"), (j - i).to_bytes(4, "little"), np.where(mine < 0, 0, h[mine]).tobytes(), np.where(mine < 0, 0, n[mine]).tobytes(), own.astype(_owner(len(mine))).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(), rank[i:j].tobytes(), mark[i:j].tobytes()))
             yield record_batch(_SENT, [[int(token[i] >> np.uint64(40))], [said], [None], [None], [None], [None]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +242,7 @@ def met_in_buckets(sent: DataFrame) -> DataFrame:
             data = x.as_py()
             sets, n, at = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little"), 8
             read = []
-            for kind, count in (("i8", sets), ("i4", sets), ("u4", n), ("u4", n), ("u1", n), ("u1", n), ("?", n)):
+            for kind, count in (("i8", sets), ("i4", sets), (_owner(sets), n), ("u4", n), ("u1", n), ("u1", n), ("?", n)):
                 read.append(np.frombuffer(data, kind, count, at))
                 at += read[-1].nbytes
             h, size, own, low, high, rank, mark = read
@@ -285,23 +290,18 @@ def asked_groups(marked: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(inside)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, text) of wanted sets (set_id is the ROW of one document); few other texts are shuffled."""
+def with_tokens(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``dealt`` (set_id, g, part, parts) with each set's sorted 64-bit hashes; set_id is the ROW of one document. Few other texts are shuffled."""
+    schema = pa.schema([("set_id", pa.int64()), ("g", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("tokens", pa.binary())])
     place = F.pmod(F.xxhash64(ROW), F.lit(PLACES))
-    places = wanted.select(F.pmod(F.xxhash64("set_id"), F.lit(PLACES)).alias("place")).distinct()
+    places = dealt.select(F.pmod(F.xxhash64("set_id"), F.lit(PLACES)).alias("place")).distinct()
     near = text_rows(docs, ROW).withColumn("place", place).join(F.broadcast(places), "place", "left_semi")
-    return near.join(wanted, F.col(ROW) == F.col("set_id")).select("set_id", "text")
-
-
-def tokens_of(texts: DataFrame) -> DataFrame:
-    """(set_id, tokens): sorted 64-bit hashes."""
-    schema = pa.schema([("set_id", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield record_batch(schema, [batch.column(0), [x.tobytes() for x in shingle_sets(batch.column(1).to_pylist())]])
+            yield record_batch(schema, [*batch.columns[:4], [x.tobytes() for x in shingle_sets(batch.column(4).to_pylist())]])
 
-    return texts.mapInArrow(run, "set_id long, tokens binary")
+    return near.join(dealt, F.col(ROW) == F.col("set_id")).select("set_id", "g", "part", "parts", "text").mapInArrow(run, "set_id long, g long, part long, parts long, tokens binary")
 
 
 class Group:
@@ -360,23 +360,25 @@ class Group:
         return cls(ids, sizes, inner, np.frombuffer(data, np.uint64, n, 16 + 24 * k), np.frombuffer(data, np.int32, -1, 16 + 24 * k + 8 * n))
 
 
-_STORED = pa.schema([("g", pa.int64()), ("stored", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+_STORED = pa.schema([("g", pa.int64()), ("part", pa.int64()), ("stored", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def stored_groups(members: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(g, stored) of each group, and rows (a, b) of links among its members."""
+def stored_groups(members: DataFrame) -> DataFrame:
+    """(g, part, stored) of each group for each part of its queries, and rows (a, b) of links among its members."""
 
     def run(rows: pa.Table) -> pa.Table:
         ids = rows.column("set_id").to_pylist()
+        g, parts = rows.column("g")[0].as_py(), rows.column("parts")[0].as_py()
         group = Group.of(ids, [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("tokens")])
         linked = [(i, k) for i, k in enumerate(group.inner.tolist()) if i != k]
         none = [None] * len(linked)
-        return pa.table([pa.array(x, f.type) for x, f in zip([[rows.column("g")[0].as_py(), *none], [group.pack(), *none], [None, *(ids[i] for i, _ in linked)], [None, *(ids[k] for _, k in linked)]], _STORED, strict=True)], schema=_STORED)
+        columns = [[g] * parts + none, [*range(parts), *none], [group.pack()] * parts + none, [None] * parts + [ids[i] for i, _ in linked], [None] * parts + [ids[k] for _, k in linked]]
+        return pa.table([pa.array(x, f.type) for x, f in zip(columns, _STORED, strict=True)], schema=_STORED)
 
-    return members.select("g", "set_id").join(tokens, "set_id").select("g", "set_id", "tokens").groupBy("g").applyInArrow(run, "g long, stored binary, a long, b long")
+    return members.groupBy("g").applyInArrow(run, "g long, part long, stored binary, a long, b long")
 
 
-def opened_links(asked: DataFrame, stored: DataFrame, tokens: DataFrame) -> DataFrame:
+def opened_links(queries: DataFrame, stored: DataFrame) -> DataFrame:
     """(a, b): queries and the members they are similar to, of the groups asked."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -384,32 +386,33 @@ def opened_links(asked: DataFrame, stored: DataFrame, tokens: DataFrame) -> Data
         a, b = [], []
         if queries.num_rows and groups.num_rows:
             group, held = Group.unpack(groups.column("stored")[0].as_py()), []
-            for q, x in zip(queries.column("q").to_pylist(), queries.column("tokens"), strict=True):
+            for q, x in zip(queries.column("set_id").to_pylist(), queries.column("tokens"), strict=True):
                 found = group.links(np.frombuffer(x.as_py(), np.uint64), held)
                 a += [q] * len(found)
                 b += found
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    many = asked.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / GROUP_QUERIES), F.ceil(F.sum("qn") / (4 * GROUP_TOKENS))).alias("parts"))
-    dealt = asked.join(many, "g").select("q", "g", F.pmod(F.xxhash64("q"), "parts").alias("part"))
-    queries = dealt.join(tokens.withColumnRenamed("set_id", "q"), "q").select("g", "part", "q", "tokens")
-    copies = stored.join(many, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "stored")
-    return queries.groupBy("g", "part").cogroup(copies.groupBy("g", "part")).applyInArrow(run, "a long, b long")
+    return queries.groupBy("g", "part").cogroup(stored.groupBy("g", "part")).applyInArrow(run, "a long, b long")
 
 
 def similar_sets(docs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): links of set_ids that connect whatever is connected by similar sets. rows: token, h, n, level."""
+    """(a, b): links of set_ids that connect whatever is connected by similar sets, written. rows: token, h, n, level."""
     marked = materialize(with_cells(rows), "marked")
     members = materialize(members_of_cells(marked), "groups")
     named = kinds.select("h", F.col("n_shingles").cast("int").alias("n"), "set_id")
-    asked = materialize(asked_groups(marked, members).join(named, ["h", "n"]).select(F.col("set_id").alias("q"), F.col("n").alias("qn"), "g"), "asked")
+    asked = materialize(asked_groups(marked, members).join(named, ["h", "n"]).select("set_id", "n", "g"), "asked")
     several = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    met = several.unionByName(asked.select("g")).distinct()
-    inside = materialize(members.join(met, "g", "left_semi").join(named, ["h", "n"]).select("g", "set_id"), "members")
-    wanted = inside.select("set_id").unionByName(asked.select(F.col("q").alias("set_id"))).distinct()
-    tokens = materialize(tokens_of(texts_of(docs, wanted)), "tokens")
-    stored = materialize(stored_groups(inside, tokens), "stored")
-    return stored.where("a is not null").select("a", "b").unionByName(opened_links(asked, stored.where("stored is not null").select("g", "stored"), tokens))
+    many = asked.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / GROUP_QUERIES), F.ceil(F.sum("n") / (4 * GROUP_TOKENS))).alias("parts"))
+    met = several.join(many, "g", "full").select("g", F.coalesce("parts", F.lit(0).cast("long")).alias("parts"))
+    inside = members.drop("parts").join(met, "g").join(named, ["h", "n"]).select("set_id", "g", F.lit(-1).cast("long").alias("part"), "parts")
+    queries = asked.join(many, "g").select("set_id", "g", F.pmod(F.xxhash64("set_id"), "parts").alias("part"), "parts")
+    dealt = materialize(inside.unionByName(queries), "dealt")
+    tokens = materialize(with_tokens(docs, dealt), "tokens")
+    stored = materialize(stored_groups(tokens.where("part < 0").select("set_id", "g", "parts", "tokens")), "stored")
+    opened = opened_links(tokens.where("part >= 0").select("g", "part", "set_id", "tokens"), stored.where("stored is not null").select("g", "part", "stored"))
+    links = materialize(stored.where("a is not null").select("a", "b").unionByName(opened), "similar")
+    discard(marked, members, asked, dealt, tokens, stored)
+    return links
 
 
 # -- components ---------------------------------------------------------------------
@@ -432,7 +435,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each smaller neighbour, and the node, goes to the least of them
         small = _least(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        last, now = now, materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        discard(last)
         digest = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if digest == seen:
             break
@@ -451,7 +455,8 @@ def components_of_rows(docs: DataFrame) -> DataFrame:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     sent = materialize(prefix_tokens(docs, levels, buckets), "prefixes")
     known = sent.where("payload is null").select("token", "h", "n", "level")
-    links = materialize(similar_sets(docs, kinds, known.unionByName(met_in_buckets(sent))), "similar")
+    links = similar_sets(docs, kinds, known.unionByName(met_in_buckets(sent)))
+    discard(sent)
     label = components(links)
     least = kinds.join(label, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     final = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("set_id").alias("first")), "comp").select("digest", "copies", "component_id", "first")
@@ -467,7 +472,10 @@ def components_of_rows(docs: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    return components_of_rows(with_rows(docs.select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")
+    rows = with_rows(docs.select("doc_id", "text"))
+    out = components_of_rows(rows).select("doc_id", "n_shingles", "component_id")
+    discard(rows)  # texts are read no more
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
