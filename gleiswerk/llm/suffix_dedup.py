@@ -30,6 +30,7 @@ text, such remains are left out.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, mix, prefix_hashes, record_batch, shared_dir, span_hashes, table, text_rows, with_rows
+from .common import materialize, mix, prefix_hashes, record_batch, shared_dir, span_hashes, table, text_rows
 
 LENGTH = 50
 GRAM = 20
@@ -85,37 +86,34 @@ def unpacked(data: bytes, *kinds: str) -> tuple[list[np.ndarray], bytes]:
     return out, data[at:]
 
 
-def pack_block(ids: list[int | None], rows: list[int], texts: list[bytes]) -> bytes:
-    return packed(np.array([_LAST if i is None else i for i in ids], np.int64), np.array(rows, np.int64), np.array([len(x) for x in texts], np.int64), tail=b"".join(texts))
+def pack_block(ids: list[int | None], texts: list[bytes]) -> bytes:
+    return packed(np.array([_LAST if i is None else i for i in ids], np.int64), np.array([len(x) for x in texts], np.int64), tail=b"".join(texts))
 
 
-def open_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, keys of the rows, bounds of the documents, bytes."""
-    (ids, rows, sizes), data = unpacked(payload, "i8", "i8", "i8")
-    return ids, rows, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.frombuffer(data, np.uint8)
+def open_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, bounds of the documents, bytes."""
+    (ids, sizes), data = unpacked(payload, "i8", "i8")
+    return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.frombuffer(data, np.uint8)
 
 
 def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
         ids: list = []
-        rows: list = []
         texts: list = []
         size = 0
         for batch in batches:
-            for doc, text, row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc)
-                rows.append(row)
                 texts.append(text or b"")
                 size += len(texts[-1])
                 if size >= block_bytes:
-                    yield record_batch(BLOCKS, [[n], [pack_block(ids, rows, texts)]])
-                    ids, rows, texts, size, n = [], [], [], 0, n + 1
+                    yield record_batch(BLOCKS, [[n], [pack_block(ids, texts)]])
+                    ids, texts, size, n = [], [], 0, n + 1
         if ids:
-            yield record_batch(BLOCKS, [[n], [pack_block(ids, rows, texts)]])
+            yield record_batch(BLOCKS, [[n], [pack_block(ids, texts)]])
 
-    keyed = docs if ROW in docs.columns else docs.select("doc_id", "text", F.lit(0).cast("long").alias(ROW))
-    return text_rows(keyed, ROW).mapInArrow(run, ddl(BLOCKS))
+    return text_rows(docs).mapInArrow(run, ddl(BLOCKS))
 
 
 # -- anchors and segments -------------------------------------------------------
@@ -205,7 +203,7 @@ class Block:
 
     def __init__(self, payload: bytes, buckets: int, length: int, gram: int):
         self.buckets, self.length, self.gram = buckets, length, gram
-        self.ids, self.rows, self.bounds, self.data = open_block(payload)
+        self.ids, self.bounds, self.data = open_block(payload)
         self.first, self.count, self.anchor, self.grams = segments(self.data, self.bounds, length, gram)
         self.doc = np.searchsorted(self.bounds, self.first, "right") - 1
 
@@ -406,7 +404,7 @@ def answer_repeats(payloads: list[bytes], length: int, gram: int) -> Iterator[by
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, common: int = COMMON) -> DataFrame:
-    """doc_id, n_bytes, spans (start and length of what goes, in bytes), kept (the remaining bytes), ROW (0 if ``docs`` has none), a row for each of ``docs``."""
+    """doc_id, n_bytes, spans (start and length of what goes, in bytes), kept (the remaining bytes), text_md5 (of the whole text), a row for each of ``docs``."""
     spark = docs.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -454,7 +452,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 
     at_home = blocks.groupBy("block")
     repeats = at_home.cogroup(flags.groupBy("block")).applyInArrow(ask_again, ddl(ASKED)).groupBy("bucket").applyInArrow(answer, ddl(ANSWERED))
-    kept = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("kept", pa.binary()), (ROW, pa.int64())])
+    kept = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("kept", pa.binary()), ("text_md5", pa.string())])
 
     def cut(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not (found := ready(block, answers)):
@@ -462,24 +460,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         own, said = found
         gone = own.marked(said[2])
         rows: list[list] = [[], [], [], [], [], []]
-        for doc, row, i, j in zip(own.ids.tolist(), own.rows.tolist(), own.bounds[:-1].tolist(), own.bounds[1:].tolist(), strict=True):
+        for doc, i, j in zip(own.ids.tolist(), own.bounds[:-1].tolist(), own.bounds[1:].tolist(), strict=True):
             mask = gone[i:j]
             edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
             a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            for column, value in zip(rows, (None if doc == _LAST else doc, j - i, a, b - a, own.data[i:j][~mask].tobytes(), row), strict=True):
+            for column, value in zip(rows, (None if doc == _LAST else doc, j - i, a, b - a, own.data[i:j][~mask].tobytes(), hashlib.md5(own.data[i:j].tobytes()).hexdigest()), strict=True):
                 column.append(value)
         return pa.table([pa.array(x, f.type) for x, f in zip(rows, kept, strict=True)], schema=kept)
 
-    done = at_home.cogroup(flags.unionByName(repeats).groupBy("block")).applyInArrow(cut, f"doc_id long, n_bytes long, starts array<long>, lengths array<long>, kept binary, {ROW} long")
-    return done.select("doc_id", "n_bytes", F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length")).alias("spans"), "kept", ROW)
+    done = at_home.cogroup(flags.unionByName(repeats).groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, starts array<long>, lengths array<long>, kept binary, text_md5 string")
+    return done.select("doc_id", "n_bytes", F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length")).alias("spans"), "kept", "text_md5")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated bytes gone from text, each row its own; a null text stays null."""
-    rows = with_rows(docs)
-    texts = repeated_spans(rows, length).where(F.size("spans") > 0).select(ROW, F.col("kept").alias("__kept"))
+    """``docs`` with the repeated bytes gone from text, each row its own; a null text stays null. What a row loses follows from its doc_id and text, so rows of the same ones are cut alike."""
     whole_characters = F.pandas_udf(_whole_characters, "string")
-    joined = rows.join(texts, ROW, "left")
+    cut = repeated_spans(docs, length).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("text_md5").alias("__md5"), F.col("kept").alias("__kept")).dropDuplicates(["__doc", "__md5"])
+    joined = docs.withColumn("__of", F.md5(F.col("text").cast("string"))).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__md5")), "left")
     return joined.withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(whole_characters(F.col("__kept")))).select(*docs.columns)
 
 
