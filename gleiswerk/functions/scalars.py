@@ -90,7 +90,7 @@ def known_delay(text: Column, chart: bool = False) -> Column:
     """-1 is unknown; other early arrivals are 0 in charts, and null beyond 15 minutes otherwise."""
     d = text.try_cast("double")
     d = F.when(d != -1, d)
-    return F.greatest(d, F.lit(0.0)) if chart else F.when(d >= -15, d)
+    return F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))) if chart else F.when(d >= -15, d)
 
 
 def scheduled(text: Column) -> Column:
@@ -109,10 +109,16 @@ def message_name(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.substring_index(F.trim(text), "(", 1)), r"\.+$", "")
 
 
+def weather_risks(snow: Column, gust: Column, precip: Column) -> dict[str, Column]:
+    """The four risks of a day's weather, as flags."""
+    snow, gust, precip = (F.coalesce(x.try_cast("double"), F.lit(0.0)) for x in (snow, gust, precip))
+    return {"snow_risk": (snow >= 1).cast("int"), "heavy_snow_risk": (snow >= 3).cast("int"), "strong_wind_risk": (gust >= 60).cast("int"), "heavy_precip_risk": (precip >= 20).cast("int")}
+
+
 def weather_delay(snow: Column, gust: Column, precip: Column) -> Column:
     """8 minutes for snow, 20 more for heavy snow, 15 for storm, 5 for heavy rain."""
-    snow, gust, precip = (F.coalesce(x.try_cast("double"), F.lit(0.0)) for x in (snow, gust, precip))
-    return F.when(snow >= 1, 8).otherwise(0) + F.when(snow >= 3, 20).otherwise(0) + F.when(gust >= 60, 15).otherwise(0) + F.when(precip >= 20, 5).otherwise(0)
+    risk = weather_risks(snow, gust, precip)
+    return risk["snow_risk"] * 8 + risk["heavy_snow_risk"] * 20 + risk["strong_wind_risk"] * 15 + risk["heavy_precip_risk"] * 5
 
 
 def tokens(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RIDE = ("ride_id", "train", "train_type", "line", "date")
@@ -53,6 +53,18 @@ def station_delays(clean: DataFrame) -> DataFrame:
     return clean.groupBy("train", "date", "station").agg(F.min_by("delay", F.struct("ride_id", "station_num")).alias("delay"))
 
 
+def charted(delay: Column) -> Column:
+    """A delay as charts show it: early is 0, unknown (-1 or none) is null."""
+    return F.when(delay != -1, F.greatest(delay, F.lit(0.0)))
+
+
+def station_delay_maps(clean: DataFrame, n_days: int = 10) -> DataFrame:
+    """Each train's last days: the map of stations to their delays as charted, without those unknown."""
+    recent = last_dates(clean.select("train", "date").distinct(), n_days)
+    known = station_delays(clean).join(recent, ["train", "date"]).withColumn("delay", charted(F.col("delay"))).where("delay is not null")
+    return known.groupBy("train", "date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("station", "delay")))).alias("delays"))
+
+
 def baseline(days: DataFrame) -> DataFrame:
     """A row for each train: median, p10, p90, shares of at least 15 and 30 minutes, on time, over days that aren't early or cancelled."""
     d = F.when(F.col("end_delay") >= 0, F.col("end_delay"))
@@ -67,7 +79,7 @@ def segment(clean: DataFrame) -> DataFrame:
     """Delays at the end of each segment between neighbouring stops: median, p10, p90, share of at least 15 minutes, cancelled."""
     w = Window.partitionBy("ride_id").orderBy("station_num")
     rows = clean.withColumn("from_station", F.lag("state").over(w)).where("from_station is not null")
-    d = F.when(~F.col("is_canceled"), F.greatest("delay", F.lit(0.0)))
+    d = F.when(~F.col("is_canceled"), F.when(F.col("delay").isNotNull(), F.greatest("delay", F.lit(0.0))))
     return rows.groupBy("from_station", F.col("state").alias("to_station")).agg(
         F.round(F.percentile(d, 0.5), 3).alias("median"), F.round(F.percentile(d, 0.1), 3).alias("p10"), F.round(F.percentile(d, 0.9), 3).alias("p90"),
         F.round(F.avg(F.when(d.isNotNull(), F.when(d >= 15, 1.0).otherwise(0.0))), 4).alias("prob_ge15"), F.count_if("is_canceled").alias("canceled"),
@@ -168,10 +180,12 @@ def coverage(days: DataFrame) -> DataFrame:
 
 
 def ride_for_query(asked: DataFrame, clean: DataFrame, furthest: int = 90) -> DataFrame:
-    """For (query, line, station, minute): the ride of the line whose stop there is nearest in time, within the limit."""
-    there = clean.select("line", "station", "ride_id", "plan_min").distinct()
+    """For (query, line, date, state, minute, destination): the line's ride of that day whose stop there is nearest in time, within the limit, and that goes on to the destination (if one is given)."""
+    calls = clean.groupBy("line", "date", "ride_id", "state").agg(F.min_by("plan_min", "station_num").alias("plan_min"), F.min("station_num").alias("first_num"), F.max("station_num").alias("last_num"))
+    goals = calls.select("ride_id", F.col("state").alias("goal"), F.col("last_num").alias("goal_num"))
+    there = asked.join(calls, ["line", "date", "state"]).join(goals, ["ride_id"], "left").where("destination is null or (goal = destination and goal_num > first_num)")
     gap = F.abs(F.col("minute") - F.col("plan_min"))
-    return asked.join(there, ["line", "station"]).withColumn("gap", gap).where(F.col("gap") <= furthest).groupBy("query").agg(F.min_by("ride_id", F.struct("gap", "ride_id")).alias("ride_id"), F.min("gap").alias("gap"))
+    return there.drop("goal", "goal_num").distinct().withColumn("gap", gap).where(F.col("gap") <= furthest).groupBy("query").agg(F.min_by("ride_id", F.struct("gap", "ride_id")).alias("ride_id"), F.min("gap").alias("gap"))
 
 
 def prediction_errors(predictions: DataFrame, days: DataFrame, today: str) -> DataFrame:
@@ -222,7 +236,7 @@ def curves(clean: DataFrame, n_days: int = 3) -> DataFrame:
     route = reference_route(clean).select("train", F.posexplode("stations").alias("pos", "station"))
     days = last_dates(clean.select("train", "date").distinct(), n_days)
     cells = days.join(route, "train").join(station_delays(clean), ["train", "date", "station"], "left")
-    return cells.select("train", "date", "pos", "station", F.greatest("delay", F.lit(0.0)).alias("delay"), F.col("delay").isNull().alias("skipped"))
+    return cells.select("train", "date", "pos", "station", charted(F.col("delay")).alias("delay"), F.col("delay").isNull().alias("skipped"))
 
 
 def last_actual(days: DataFrame, today: str) -> DataFrame:

@@ -43,9 +43,10 @@ def national_days(days: DataFrame) -> DataFrame:
 
 
 def impact(days: DataFrame) -> DataFrame:
-    """A row for each region, and one for all (null region): mean, sum and most minutes of delay, days with any."""
+    """A row for each region, and one for all (null region): mean, sum and most minutes of delay, days with any, days of any risk."""
     m = F.col("weather_delay_min")
-    return days.groupBy(F.col("region")).agg(F.round(F.avg(m), 6).alias("avg_min"), F.round(F.sum(m), 3).alias("sum_min"), F.max(m).alias("max_min"), F.count_if(m > 0).alias("days"))
+    risk = (F.col("snow_risk") == 1) | (F.col("strong_wind_risk") == 1) | (F.col("heavy_precip_risk") == 1)
+    return days.rollup("region").agg(F.round(F.avg(m), 6).alias("avg_min"), F.round(F.sum(m), 3).alias("sum_min"), F.max(m).alias("max_min"), F.count_if(m > 0).alias("days"), F.count_if(risk).alias("risk_days"))
 
 
 def by_source(sources: list[DataFrame]) -> DataFrame:

@@ -23,7 +23,6 @@ def plan_responses(m):
         F.lit('<s id="'), F.col("sid").cast("string"), F.lit('"><tl c="'), "train_type", F.lit('" f="F" n="'), F.col("train_num").cast("string"), F.lit('"/><ar pt="'), at(F.col("plan_min")), F.lit('" l="'), "line",
         F.lit('"/><dp pt="'), F.when(F.col("pk") % 7 == 0, "bad").otherwise(at(F.col("plan_min") + 2)), F.lit('"/></s>'),
     )
-    body = F.concat(F.lit('<timetable station="A">'), F.array_join(F.array_sort(F.collect_list(stop)), ""), F.when(F.col("ride_id") % 11 == 0, "<broken").otherwise("</timetable>"))
     return m.stops.withColumn("stop", stop).groupBy("ride_id").agg(F.array_join(F.array_sort(F.collect_list("stop")), "").alias("stops")).select(
         F.when(F.col("ride_id") % 13 == 0, "500").otherwise("200").alias("status_code"), F.lit("timetables/v1/plan").alias("api_name"), F.concat(F.lit("https://api/timetables/v1/plan/"), (F.col("ride_id") + 8000000).cast("string"), F.lit("/260901/08")).alias("url"),
         F.concat(F.lit('<timetable station="A">'), "stops", F.when(F.col("ride_id") % 11 == 0, "<broken").otherwise("</timetable>")).alias("response_data"),
@@ -171,12 +170,9 @@ def s06(m):
 @query("s07_quoted_csv", cte("weather") + "SELECT region, count(*) AS n, CAST(sum(gust) AS BIGINT) AS gusts FROM weather GROUP BY 1")
 def s07(m):
     path = files.scratch(m.spark, "weather")
-    line = F.concat(F.lit('" '), "region", F.lit(' ","a ""b"", c",'), F.col("gust").cast("int").cast("string"))
-    header = m.spark.range(1).select(F.lit('﻿region,note,gust').alias("value"))
-    m.weather.select(line.alias("value")).write.text(f"{path}/rows")
-    header.write.text(f"{path}/head")
-    rows = m.spark.read.text(f"{path}/head").unionByName(m.spark.read.text(f"{path}/rows"))
-    rows.coalesce(1).write.text(f"{path}/csv")  # one file under its header
+    # each file has its header, with the mark of byte order that the writer of such files puts first
+    rows = m.weather.select(F.concat(F.lit(" "), "region", F.lit(" ")).alias("\ufeffregion"), F.lit('a "b", c').alias("note"), F.col("gust").cast("int").alias("gust"))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/csv")
     found = files.quoted_csv(m.spark, f"{path}/csv")
     return found.groupBy(F.trim("region").alias("region")).agg(F.count("*").alias("n"), F.sum(F.col("gust").cast("long")).alias("gusts"))
 

@@ -39,9 +39,13 @@ def a32(m):
     return days(m)
 
 
-@query("a48_station_delays", cte("clean") + """SELECT train, date, station, delay FROM (SELECT *, row_number() OVER (PARTITION BY train, date, station ORDER BY ride_id, station_num) AS k FROM clean) WHERE k = 1""", dates=("date",))
+@query("a48_station_delays", cte("clean") + """, dd AS (SELECT train, date FROM (SELECT train, date, dense_rank() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM (SELECT DISTINCT train, date FROM clean)) WHERE k <= 10),
+sd AS (SELECT train, date, station, delay FROM (SELECT *, row_number() OVER (PARTITION BY train, date, station ORDER BY ride_id, station_num) AS k FROM clean) WHERE k = 1)
+SELECT sd.train, sd.date, count(*) AS n, string_agg(station || '=' || CAST(CAST(greatest(delay, 0) AS INTEGER) AS VARCHAR), '|' ORDER BY station) AS delays FROM sd JOIN dd ON sd.train = dd.train AND sd.date = dd.date WHERE delay <> -1 GROUP BY 1, 2""", dates=("date",))
 def a48(m):
-    return rides.station_delays(clean(m))
+    found = rides.station_delay_maps(clean(m))
+    said = F.transform(F.map_entries("delays"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("int").cast("string")))
+    return found.select("train", "date", F.size("delays").cast("long").alias("n"), F.array_join(said, "|").alias("delays"))
 
 
 @query("a33_baseline_prediction", cte("days") + """SELECT train, round(quantile_cont(d, 0.5), 3) AS median, round(quantile_cont(d, 0.1), 3) AS p10, round(quantile_cont(d, 0.9), 3) AS p90, round(avg(CASE WHEN d >= 15 THEN 1.0 WHEN d IS NOT NULL THEN 0.0 END), 4) AS prob_ge15,
@@ -76,9 +80,18 @@ def a37(m):
     return rides.ride_list(of_rides(m))
 
 
-@query("a38_trip_templates", cte("clean") + """, s AS (SELECT *, lag(state) OVER (PARTITION BY ride_id ORDER BY station_num) AS b FROM clean), r AS (SELECT ride_id, line, string_agg(state, '>' ORDER BY station_num) AS route, count(*) AS c FROM s WHERE b IS NULL OR b <> state GROUP BY 1, 2),
-t AS (SELECT line, route, count(*) AS n, min(ride_id) AS first_ride FROM r WHERE c >= 1 GROUP BY 1, 2 HAVING count(*) >= 3), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY line ORDER BY n DESC, route) AS INTEGER) AS k FROM t) SELECT * FROM k WHERE k <= 10""")
+TEMPLATES = """, s AS (SELECT *, lag(state) OVER (PARTITION BY ride_id ORDER BY station_num) AS b FROM clean), r AS (SELECT ride_id, line, string_agg(state, '>' ORDER BY station_num) AS route, count(*) AS c FROM s WHERE b IS NULL OR b <> state GROUP BY 1, 2),
+t AS (SELECT line, route, count(*) AS n, min(ride_id) AS first_ride FROM r WHERE c >= 1 GROUP BY 1, 2 HAVING count(*) >= 3), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY line ORDER BY n DESC, route) AS INTEGER) AS k FROM t) SELECT * FROM k WHERE k <= 10"""
+
+
+@query("a38_trip_templates", cte("clean") + TEMPLATES.replace("c >= 1", "c >= 5"))
 def a38(m):
+    return rides.templates(clean(m))
+
+
+@query("a38_short_trip_templates", cte("clean") + TEMPLATES)
+def a38b(m):
+    """As a38, of any length: rides of the given tables are short."""
     return rides.templates(clean(m), least_stops=1)
 
 
@@ -165,7 +178,7 @@ def w10(m):
 @query("w11_curve_matrix", cte("clean") + ROUTE + """, rt AS (SELECT b.train, CAST(row_number() OVER (PARTITION BY b.train ORDER BY station_num) - 1 AS INTEGER) AS pos, station FROM best b JOIN clean c ON b.ride_id = c.ride_id),
 dd AS (SELECT train, date FROM (SELECT train, date, dense_rank() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM (SELECT DISTINCT train, date FROM clean)) WHERE k <= 3),
 sd AS (SELECT train, date, station, delay FROM (SELECT *, row_number() OVER (PARTITION BY train, date, station ORDER BY ride_id, station_num) AS k FROM clean) WHERE k = 1)
-SELECT dd.train, dd.date, rt.pos, rt.station, CASE WHEN sd.delay IS NULL THEN 0 ELSE greatest(sd.delay, 0) END AS delay, sd.delay IS NULL AS skipped FROM dd JOIN rt ON dd.train = rt.train LEFT JOIN sd ON dd.train = sd.train AND dd.date = sd.date AND rt.station = sd.station""", dates=("date",))
+SELECT dd.train, dd.date, rt.pos, rt.station, CASE WHEN sd.delay <> -1 THEN greatest(sd.delay, 0) END AS delay, sd.delay IS NULL AS skipped FROM dd JOIN rt ON dd.train = rt.train LEFT JOIN sd ON dd.train = sd.train AND dd.date = sd.date AND rt.station = sd.station""", dates=("date",))
 def w11(m):
     return rides.curves(clean(m))
 
@@ -204,22 +217,27 @@ def w17(m):
 # -- joins ------------------------------------------------------------------------------
 
 
-@query("j10_nearest_ride", cte("clean") + """, q AS (SELECT ride_id AS query, line, station, (plan_min + 17) % 1440 AS minute FROM clean WHERE station_num = 1), c AS (SELECT q.query, t.ride_id, abs(minute - plan_min) AS gap FROM q JOIN (SELECT DISTINCT line, station, ride_id, plan_min FROM clean) t
-ON q.line = t.line AND q.station = t.station WHERE abs(minute - plan_min) <= 90) SELECT query, min_by(ride_id, struct_pack(a := gap, b := ride_id)) AS ride_id, min(gap) AS gap FROM c GROUP BY query""")
+@query("j10_nearest_ride", cte("clean") + """, cl AS (SELECT line, date, ride_id, state, min_by(plan_min, station_num) AS plan_min, min(station_num) AS first_num, max(station_num) AS last_num FROM clean GROUP BY 1, 2, 3, 4),
+q AS (SELECT ride_id AS query, line, date, min_by(state, station_num) AS state, (min_by(plan_min, station_num) + 17) % 1440 AS minute, max_by(state, station_num) AS destination FROM clean GROUP BY 1, 2, 3),
+c AS (SELECT q.query, t.ride_id, abs(minute - plan_min) AS gap FROM q JOIN cl t ON q.line = t.line AND q.date = t.date AND q.state = t.state
+WHERE abs(minute - plan_min) <= 90 AND EXISTS (SELECT 1 FROM cl g WHERE g.ride_id = t.ride_id AND g.state = q.destination AND g.last_num > t.first_num)) SELECT query, min_by(ride_id, struct_pack(a := gap, b := ride_id)) AS ride_id, min(gap) AS gap FROM c GROUP BY query""")
 def j10(m):
     rows = clean(m)
-    asked = rows.where("station_num = 1").select(F.col("ride_id").alias("query"), "line", "station", ((F.col("plan_min") + 17) % 1440).alias("minute"))
+    first, last = (lambda c: F.min_by(c, "station_num")), (lambda c: F.max_by(c, "station_num"))
+    asked = rows.groupBy(F.col("ride_id").alias("query"), "line", "date").agg(first("state").alias("state"), ((first("plan_min") + 17) % 1440).alias("minute"), last("state").alias("destination"))
     return rides.ride_for_query(asked, rows)
 
 
-@query("j11_number_of_service", cte("rides") + """, q AS (SELECT ride_id AS service, first_state, dep_min FROM (SELECT r.ride_id, r.dep_min, c.state AS first_state FROM rides r JOIN clean c ON r.ride_id = c.ride_id AND r.first_station = c.station AND c.station_num = (SELECT min(station_num) FROM clean x WHERE x.ride_id = r.ride_id))),
-c AS (SELECT a.service, b.service AS num, abs(a.dep_min - b.dep_min) AS gap FROM q a JOIN q b ON a.first_state = b.first_state AND a.service <> b.service AND b.service % 97 = a.service % 97 WHERE abs(a.dep_min - b.dep_min) <= 10)
+@query("j11_number_of_service", cte("clean") + """, q AS (SELECT ride_id, line, min_by(state, station_num) AS origin, min_by(plan_min, station_num) AS dep FROM clean GROUP BY 1, 2),
+c AS (SELECT a.ride_id AS service, b.ride_id AS num, abs(a.dep - b.dep) AS gap FROM q a JOIN q b ON a.line = b.line AND a.origin = b.origin AND a.ride_id <> b.ride_id WHERE abs(a.dep - b.dep) <= 10)
 SELECT service, min_by(num, struct_pack(a := gap, b := num)) AS num, min(gap) AS gap FROM c GROUP BY service""")
 def j11(m):
-    first = clean(m).groupBy("ride_id").agg(F.min_by("state", "station_num").alias("origin"), F.min_by("plan_min", "station_num").alias("dep_min")).withColumn("k", F.col("ride_id") % 97)
-    other = first.select(F.col("ride_id").alias("num"), "origin", F.col("dep_min").alias("dep2"), "k")
-    gap = F.abs(F.col("dep_min") - F.col("dep2"))
-    near = first.join(other, ["origin", "k"]).where("ride_id <> num").withColumn("gap", gap).where("gap <= 10")
+    """Departures meet in buckets of ten minutes: their own and the two beside it."""
+    first = clean(m).groupBy("ride_id", "line").agg(F.min_by("state", "station_num").alias("origin"), F.min_by("plan_min", "station_num").alias("dep"))
+    bucket = F.floor(F.col("dep") / 10)
+    other = first.select(F.col("ride_id").alias("num"), "line", "origin", F.col("dep").alias("dep2"), bucket.alias("bucket"))
+    own = first.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    near = own.join(other, ["line", "origin", "bucket"]).where("ride_id <> num").withColumn("gap", F.abs(F.col("dep") - F.col("dep2"))).where("gap <= 10")
     return near.groupBy(F.col("ride_id").alias("service")).agg(F.min_by("num", F.struct("gap", "num")).alias("num"), F.min("gap").alias("gap"))
 
 

@@ -124,9 +124,12 @@ def n14(m):
 
 
 @query("n15_weather_delay", cte("weather") + """SELECT region, station, date, snow, gust, precip, (CASE WHEN snow >= 1 THEN 8 ELSE 0 END) + (CASE WHEN snow >= 3 THEN 20 ELSE 0 END) + (CASE WHEN gust >= 60 THEN 15 ELSE 0 END)
-+ (CASE WHEN precip >= 20 THEN 5 ELSE 0 END) AS weather_delay_min FROM weather""", dates=("date",))
++ (CASE WHEN precip >= 20 THEN 5 ELSE 0 END) AS weather_delay_min, CAST(coalesce(snow >= 1, false) AS INTEGER) AS snow_risk, CAST(coalesce(snow >= 3, false) AS INTEGER) AS heavy_snow_risk,
+CAST(coalesce(gust >= 60, false) AS INTEGER) AS strong_wind_risk, CAST(coalesce(precip >= 20, false) AS INTEGER) AS heavy_precip_risk FROM weather""", dates=("date",))
 def n15(m):
-    return m.weather.select("region", "station", "date", "snow", "gust", "precip", s.weather_delay(F.col("snow"), F.col("gust"), F.col("precip")).alias("weather_delay_min"))
+    measured = F.col("snow"), F.col("gust"), F.col("precip")
+    risks = [c.alias(n) for n, c in s.weather_risks(*measured).items()]
+    return m.weather.select("region", "station", "date", "snow", "gust", "precip", s.weather_delay(*measured).alias("weather_delay_min"), *risks)
 
 
 @query("n16_calendar", cte("stops") + "SELECT DISTINCT date, CAST(isodow(date) - 1 AS INTEGER) AS weekday, CAST(month(date) AS INTEGER) AS month FROM stops", dates=("date",))

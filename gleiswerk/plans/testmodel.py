@@ -106,9 +106,9 @@ class Model:
 
     @cached_property
     def incidents(self) -> DataFrame:
-        """Planned incidents: a region and two weeks, for the dearest orders."""
+        """Planned incidents: a region and two weeks for each order."""
         return (
-            self.table("orders").where("o_totalprice > 490000").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("o_orderkey").alias("incident_id"), F.col("r_name").alias("region"), F.to_date("o_orderdate").alias("start_date"), F.date_add(F.to_date("o_orderdate"), 14).alias("end_date"), (F.col("o_orderkey") % 30).cast("double").alias("delay_min"))
         )
@@ -150,7 +150,7 @@ JOIN places ON l_suppkey = s_suppkey""",
     "incidents": (
         (),
         """SELECT o_orderkey AS incident_id, r_name AS region, CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + 14 AS end_date, CAST(o_orderkey % 30 AS DOUBLE) AS delay_min
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 490000""",
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     ),
     "services": (
         ("stops",),

@@ -18,9 +18,18 @@ def a26(m):
     return weather.region_days(m.weather)
 
 
-@query("a27_complete_days", cte("weather") + """SELECT h.region, date, n, n_all FROM (SELECT region, date, count(DISTINCT station) AS n FROM weather GROUP BY 1, 2) h
-JOIN (SELECT region, count(DISTINCT station) AS n_all FROM weather GROUP BY 1) a ON h.region = a.region WHERE n >= 0.2 * n_all""", dates=("date",))
+COMPLETE = """SELECT h.region, date, n, n_all FROM (SELECT region, date, count(DISTINCT station) AS n FROM weather GROUP BY 1, 2) h
+JOIN (SELECT region, count(DISTINCT station) AS n_all FROM weather GROUP BY 1) a ON h.region = a.region WHERE n >= 0.8 * n_all"""
+
+
+@query("a27_complete_days", cte("weather") + COMPLETE, dates=("date",))
 def a27(m):
+    return weather.complete_days(m.weather)
+
+
+@query("a27_fifth_complete_days", cte("weather") + COMPLETE.replace("0.8", "0.2"), dates=("date",))
+def a27b(m):
+    """As a27 from a fifth of the stations on: on few days of the given tables more report."""
     return weather.complete_days(m.weather, 0.2)
 
 
@@ -38,7 +47,7 @@ def a29(m):
     return weather.national_days(weather.daily_of_hours(m.weather))
 
 
-@query("a30_weather_impact", cte("weather") + f"SELECT region, round(avg(weather_delay_min), 6) AS avg_min, round(sum(weather_delay_min), 3) AS sum_min, max(weather_delay_min) AS max_min, count(*) FILTER (weather_delay_min > 0) AS days FROM ({REGION}) GROUP BY region")
+@query("a30_weather_impact", cte("weather") + f"SELECT region, round(avg(weather_delay_min), 6) AS avg_min, round(sum(weather_delay_min), 3) AS sum_min, max(weather_delay_min) AS max_min, count(*) FILTER (weather_delay_min > 0) AS days, count(*) FILTER (snow_risk = 1 OR strong_wind_risk = 1 OR heavy_precip_risk = 1) AS risk_days FROM ({REGION}) GROUP BY ROLLUP (region)")
 def a30(m):
     return weather.impact(weather.region_days(m.weather))
 

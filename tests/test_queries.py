@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from gleiswerk import plans
@@ -20,7 +21,7 @@ def duck():
 
 
 def value(x):
-    if x is None or x != x or str(x) in ("NaT", "<NA>"):
+    if x is None or x is pd.NA or x is pd.NaT or x != x:
         return "null"
     if isinstance(x, bool) or type(x).__name__ in ("bool", "bool_"):
         return str(bool(x))
