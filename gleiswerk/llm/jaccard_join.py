@@ -108,7 +108,7 @@ def least_shared(n: Column, lo: Column, hi: Column, over: int = OVER, of: int =
 
 # -- sets and the order of tokens -------------------------------------------------------
 
-_SETS = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("h", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+_SETS = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("h", pa.int64()), ("md5", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 def sets_of_documents(docs: DataFrame) -> DataFrame:
@@ -119,17 +119,18 @@ def sets_of_documents(docs: DataFrame) -> DataFrame:
 
         counters = np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            sets = shingle_sets([x or b"" for x in batch.column(1).to_pylist()])
+            texts = [x or b"" for x in batch.column(1).to_pylist()]
+            sets = shingle_sets(texts)
             if sets:
                 counters += np.bincount((np.concatenate(sets) >> np.uint64(42)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
             n = batch.num_rows
             digests = [digest_of(x) if len(x) else None for x in sets]
-            yield record_batch(_SETS, [batch.column(2), batch.column(0), [len(x) for x in sets], digests, [d and short(d) for d in digests], [None] * n, [None] * n])
+            yield record_batch(_SETS, [batch.column(2), batch.column(0), [len(x) for x in sets], digests, [d and short(d) for d in digests], [hashlib.md5(x).digest() for x in texts], [None] * n, [None] * n])
         said = [(k, zstandard.compress(x.tobytes(), 1)) for k, x in enumerate(counters.reshape(SLICES, -1)) if x.any()]
         none = [None] * len(said)
-        yield record_batch(_SETS, [none, none, none, none, none, [k for k, _ in said], [x for _, x in said]])
+        yield record_batch(_SETS, [none, none, none, none, none, none, [k for k, _ in said], [x for _, x in said]])
 
-    return text_rows(docs, ROW).mapInArrow(run, f"{ROW} long, doc_id long, n_shingles long, digest binary, h long, slice int, counts binary")
+    return text_rows(docs, ROW).mapInArrow(run, f"{ROW} long, doc_id long, n_shingles long, digest binary, h long, md5 binary, slice int, counts binary")
 
 
 def token_levels(sketch: DataFrame) -> np.ndarray:
@@ -445,10 +446,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def components_of_rows(docs: DataFrame) -> DataFrame:
-    """ROW, doc_id, n_shingles, component_id (the smallest doc_id reachable by links), first (the least ROW reachable; null for the empty set), of ``docs`` with ROW."""
+    """ROW, doc_id, n_shingles, md5 (of the text), component_id (the smallest doc_id reachable by links), first (the least ROW reachable; null for the empty set), of ``docs`` with ROW."""
     docs = docs.select("doc_id", "text", ROW)
     read = materialize(sets_of_documents(docs), "sets")
-    sets = read.where(f"{ROW} is not null").select(ROW, "doc_id", "n_shingles", "digest", "h")
+    sets = read.where(f"{ROW} is not null").select(ROW, "doc_id", "n_shingles", "digest", "h", "md5")
     levels = token_levels(read.where("counts is not null").select("slice", "counts"))
     kinds = sets.where("digest is not null").groupBy("digest").agg(F.min(ROW).alias("set_id"), F.min("doc_id").alias("least"), F.first("h").alias("h"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     kinds = materialize(kinds, "kinds")
@@ -466,8 +467,8 @@ def components_of_rows(docs: DataFrame) -> DataFrame:
     found = sets.where("digest is not null").join(F.broadcast(many), "digest", "left")
     rest = found.where("hot is null").drop("hot").join(final.select("digest", F.struct("component_id", "first").alias("hot")), "digest")
     named = found.where("hot is not null").unionByName(rest)
-    empty = sets.where("digest is null").select(ROW, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("first"))
-    return named.select(ROW, "doc_id", "n_shingles", F.coalesce("hot.component_id", "doc_id").alias("component_id"), F.col("hot.first").alias("first")).unionByName(empty)
+    empty = sets.where("digest is null").select(ROW, "doc_id", "n_shingles", "md5", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("first"))
+    return named.select(ROW, "doc_id", "n_shingles", "md5", F.coalesce("hot.component_id", "doc_id").alias("component_id"), F.col("hot.first").alias("first")).unionByName(empty)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -479,10 +480,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that a document of a smaller id is linked with, directly or through others. A null doc_id is the largest; of a group of such rows alone the first stays."""
-    rows = with_rows(docs)
-    kept = components_of_rows(rows).where(f"component_id = doc_id or (component_id is null and coalesce(first = {ROW}, true))").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    """``docs`` without those that a document of a smaller id is linked with, directly or through others. A null doc_id is the largest; of a group of such rows alone one stays."""
+    rows = with_rows(docs.select("doc_id", "text"))
+    found = components_of_rows(rows).where(f"component_id = doc_id or (component_id is null and coalesce(first = {ROW}, true))")
+    # which rows stay follows from doc_id and text, but for rows of null ids; with this written, the copy of the texts goes
+    kept = materialize(found.select(F.col("doc_id").alias("__doc"), F.col("md5").alias("__kept"), (F.col("doc_id").isNull() & F.col("first").isNotNull()).alias("__one")).distinct(), "kept")
+    discard(rows)
+    keyed = docs.withColumn("__md5", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__md5") == F.col("__kept"))
+    out = keyed.join(kept.where("not __one"), same, "left_semi").select(*docs.columns)
+    one = keyed.where("doc_id is null").join(kept.where("__one"), F.col("__md5") == F.col("__kept"), "left_semi")
+    one = one.groupBy("__md5").agg(F.first(F.struct(*docs.columns)).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+    return out.unionByName(one)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
