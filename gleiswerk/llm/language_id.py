@@ -3,15 +3,16 @@
 Per language a suffix automaton of a bounded sample of labelled text answers
 longest matches. A document is parsed greedily: a phrase is the longest
 string from here on that occurs in the language's text, and one new letter
-starts the next. Phrases are normalised by the letters parsed; the language
+starts the next; a letter that isn't there at all is an empty match and itself. Phrases are normalised by the letters parsed; the language
 with the fewest wins.
 
 The sample is bounded (SAMPLE_ROWS documents of each language, those of
 SAMPLE_CHARS characters first and then those of any length, in the order of
-the hashes of their text, with at most SAMPLE_LETTERS letters used); every document is parsed whole. Documents
-are cut into runs of RUN letters that are parsed in step with each other, so
-that the automata advance by array operations; a run's end ends a phrase, in
-all languages alike.
+the hashes of their text, with at most SAMPLE_LETTERS letters used, or as many as
+keep an automaton within CELLS transitions); every document is parsed whole.
+Documents are parsed in step with each other, RUN letters at a time, so that
+the automata advance by array operations; their states carry over from run to
+run. Each letter of the samples has a class of its own.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters,
 or if there is nothing to learn from. Ties go to the first language by name.
@@ -35,8 +36,11 @@ from .common import record_batch, table
 
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LETTERS = 64, (200, 8000), 60_000
 RUN = 1024
-#: Letters parsed at once.
-LANES = 4096
+#: Transitions of an automaton, as a table of states and of its language's letters.
+CELLS = 24_000_000
+#: From this number of documents on the automata advance by array operations.
+FEW = 16
+END = 65535
 HOLD_OUT_OF, HELD_OUT = 4, 2
 UNKNOWN = "und"
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -48,7 +52,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 def letters_table(alphabet: str) -> np.ndarray:
     """Code point -> class: 0 a break (no letter), 1 a letter beyond the alphabet, 2 and up the alphabet's."""
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.uint16)
     place = {c: i + 2 for i, c in enumerate(alphabet)}
     for start in range(0, 0x110000, 0x1000):
         for cp in range(start, start + 0x1000):
@@ -75,7 +79,13 @@ def classes(text: str, table: np.ndarray) -> np.ndarray:
 class SuffixAutomaton:
     """All substrings of a sequence of classes; ``step`` maps state and class to the next state and whether a phrase begins."""
 
-    def __init__(self, sequence: list[int], n_classes: int):
+    def __init__(self, sequence: np.ndarray, n_classes: int):
+        letters = np.unique(sequence[sequence > 1])
+        self.size = len(letters) + 2
+        self.local = np.ones(n_classes, np.int32)  # a letter of other languages is one beyond its alphabet
+        self.local[0] = 0
+        self.local[letters] = np.arange(2, self.size)
+        sequence = self.local[sequence[: max(1, min(SAMPLE_LETTERS, CELLS // (2 * self.size)))]].tolist()
         follow: list[dict[int, int]] = [{}]
         link, longest, last = [-1], [0], 0
         for c in sequence:
@@ -104,27 +114,33 @@ class SuffixAutomaton:
         rows = np.fromiter((s for s, x in enumerate(follow) for _ in x), np.int64)
         cols = np.fromiter((c for x in follow for c in x), np.int64)
         to = np.fromiter((t for x in follow for t in x.values()), np.int64)
-        # a class that can't follow begins the next phrase, from the root; one that is nowhere is a phrase of its own
-        self.start = len(follow) * n_classes
-        first = np.full(n_classes, self.start)
-        first[list(follow[0])] = np.array(list(follow[0].values()), np.int64) * n_classes
-        step = np.tile(first * 2 + 1, (len(follow) + 1, 1))
-        step[rows, cols] = to * n_classes * 2
-        self.step = step.astype(np.int32).ravel()  # (next state * classes) << 1 | a phrase begins
-
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """lanes[k] holds the k-th class of each run, 255 beyond its end: phrases of each run."""
-        at = np.full(lanes.shape[1], self.start, np.int32)
-        begun = np.zeros(lanes.shape[1], np.int32)
+        # a class that can't follow begins the next phrase, from the root; one that is nowhere is an empty match and a letter, so two phrases
+        self.start = len(follow) * self.size
+        first = np.full(self.size, self.start)
+        first[list(follow[0])] = np.array(list(follow[0].values()), np.int64) * self.size
+        step = np.tile(first * 4 + np.where(first == self.start, 2, 1), (len(follow) + 1, 1))
+        step[rows, cols] = to * self.size * 4
+        self.step = step.astype(np.int32).ravel()  # (next state * classes) << 2 | phrases that begin
+
+    def advance(self, at: np.ndarray, begun: np.ndarray, lanes: np.ndarray) -> None:
+        """lanes[k] holds the k-th class of each document, END beyond its end (documents in order of their lengths): moves the states, counts the phrases begun."""
         live = lanes.shape[1]
         for row in lanes:
-            while live and row[live - 1] == 255:
-                live -= 1  # runs are in order of their lengths
+            while live and row[live - 1] == END:
+                live -= 1
             if not live:
                 break
-            got = self.step[at[:live] + row[:live]]
-            begun[:live] += got & 1
-            at[:live] = got >> 1
+            got = self.step[at[:live] + self.local[row[:live]]]
+            begun[:live] += got & 3
+            at[:live] = got >> 2
+
+    def finish(self, at: int, rest: np.ndarray) -> int:
+        """The phrases begun in the rest of one document."""
+        step, begun = memoryview(self.step), 0
+        for c in self.local[rest].tolist():
+            got = step[at + c]
+            begun += got & 3
+            at = got >> 2
         return begun
 
 
@@ -132,45 +148,42 @@ class Languages:
     """The automata of all languages, over one alphabet."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        kept = {}
-        for name in sorted(texts):
-            kept[name] = "\n".join(texts[name])[: 2 * SAMPLE_LETTERS]
-        found: dict[str, int] = {}
-        for x in kept.values():
-            for c in x.lower():
-                if c.isalpha():
-                    found[c] = found.get(c, 0) + 1
-        self.alphabet = "".join(sorted(sorted(found, key=lambda c: (-found[c], c))[:200]))
+        kept = {name: "\n".join(texts[name])[: 2 * SAMPLE_LETTERS] for name in sorted(texts)}
+        self.alphabet = "".join(sorted({c for x in kept.values() for c in x.lower() if c.isalpha()}))[: END - 2]
         self.table = letters_table(self.alphabet)
         self.names = list(kept)
-        size = len(self.alphabet) + 2
-        self.automata = [SuffixAutomaton(classes(kept[n], self.table)[:SAMPLE_LETTERS].tolist(), size) for n in self.names]
+        self.automata = [SuffixAutomaton(classes(kept[n], self.table), len(self.alphabet) + 2) for n in self.names]
+
+    def phrases(self, documents: list[np.ndarray]) -> np.ndarray:
+        """The phrases of each document (classes) by each automaton."""
+        order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
+        sizes = [len(documents[i]) for i in order]
+        at = [np.full(len(order), a.start, np.int32) for a in self.automata]
+        begun = np.zeros((len(self.automata), len(order)), np.int64)
+        live, start = sum(n > 0 for n in sizes), 0
+        while live >= FEW:
+            lanes = np.full((live, min(RUN, sizes[0] - start)), END, np.uint16)
+            for k in range(live):
+                part = documents[order[k]][start : start + RUN]
+                lanes[k, : len(part)] = part
+            lanes = np.ascontiguousarray(lanes.T)
+            for a, automaton in enumerate(self.automata):
+                automaton.advance(at[a], begun[a], lanes)
+            start += RUN
+            while live and sizes[live - 1] <= start:
+                live -= 1
+        for k in range(live):
+            for a, automaton in enumerate(self.automata):
+                begun[a, k] += automaton.finish(int(at[a][k]), documents[order[k]][start:])
+        out = np.zeros_like(begun)
+        out[:, order] = begun
+        return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language of each text, and how far it is ahead of the second: 1 - its phrases / the second's."""
-        runs, owner = [], []
-        letters = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            x = classes(text, self.table)
-            letters[i] = int((x != 0).sum())
-            if letters[i]:
-                for j in range(0, len(x), RUN):
-                    runs.append(x[j : j + RUN])
-                    owner.append(i)
-        phrases = np.zeros((len(self.names), len(texts)))
-        if runs:
-            sizes = np.array([len(x) for x in runs])
-            order = np.argsort(-sizes, kind="stable")
-            for j in range(0, len(order), LANES):
-                part = order[j : j + LANES]
-                lanes = np.full((len(part), int(sizes[part[0]])), 255, np.uint8)
-                for k, r in enumerate(part):
-                    lanes[k, : sizes[r]] = runs[r]
-                lanes = np.ascontiguousarray(lanes.T)
-                who = np.array(owner)[part]
-                for a, automaton in enumerate(self.automata):
-                    phrases[a] += np.bincount(who, automaton.phrases(lanes), len(texts))
-        rate = phrases / np.maximum(letters, 1)
+        documents = [classes(text, self.table) for text in texts]
+        letters = np.array([int((x != 0).sum()) for x in documents], np.int64)
+        rate = self.phrases([x if n else x[:0] for x, n in zip(documents, letters, strict=True)]) / np.maximum(letters, 1)
         names, scores = [], []
         for i in range(len(texts)):
             if not letters[i] or not self.names:

@@ -297,18 +297,15 @@ def test_media_query(request, which):
 # -- language ID -----------------------------------------------------------------------
 
 
-def brute_phrases(learned, text, run=language_id.RUN):
+def brute_phrases(learned, text):
     """Phrases by searching the learned text."""
-    n = 0
-    for k in range(0, len(text), run):
-        part = text[k : k + run]
-        i = 0
-        while i < len(part):
-            j = i + 1
-            while j < len(part) and part[i : j + 1] in learned:
-                j += 1
-            n += 1
-            i = j
+    learned, text = ("".join(map(chr, x.tolist())) for x in (learned, text))
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in learned:
+            j += 1
+        n, i = n + 1 + (text[i] not in learned), j
     return n
 
 
@@ -317,8 +314,8 @@ def test_phrases_are_longest_matches():
     for text in ("bananas and zebras", "cabanabanana", "qqq banana", "zoo"):
         x = language_id.classes(text, own.table)
         for name, automaton in zip(own.names, own.automata, strict=True):
-            learned = bytes(language_id.classes({"aa": "banana bandana cabana", "bb": "zebra zoo zonal"}[name], own.table))
-            assert automaton.phrases(x[:, None])[0] == brute_phrases(learned, bytes(x))
+            learned = language_id.classes({"aa": "banana bandana cabana", "bb": "zebra zoo zonal"}[name], own.table)
+            assert automaton.finish(automaton.start, x) == brute_phrases(learned, x)
 
 
 def test_language_accuracy(spark):
@@ -423,3 +420,24 @@ def test_quality_learns_below_the_tolerances(spark):
     got = {r.doc_id: r for r in quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert all(got[k].kept for k in range(300) if k % 3)
     assert not any(got[k].kept for k in range(300) if k % 3 == 0)
+
+
+def test_letters_of_large_alphabets_have_classes_of_their_own():
+    """Two languages of 600 ideographs each, and one text of many runs, parsed by its longest matches."""
+    import random
+
+    from gleiswerk.llm import language_id
+
+    rng = random.Random(1)
+    signs = [chr(0x4E00 + i) for i in range(1200)]
+    text = lambda part, n: "".join(rng.choice(part) for _ in range(n))
+    samples = {"aa": [text(signs[:600], 3000)], "bb": [text(signs[600:], 3000)]}
+    own = language_id.Languages(samples)
+    names, scores = own.predict([text(signs[:600], 50), text(signs[600:], 50), text(signs[600:], 5000), "", "123"] + [text(signs[:600], 2500)] * 20)
+    assert names == ["aa", "bb", "bb", "und", "und"] + ["aa"] * 20 and min(scores[:3]) > 0
+
+    for x in [text(signs[:600], 30), samples["aa"][0][100:3000], samples["aa"][0][:1500] + text(signs, 700)]:
+        c = language_id.classes(x, own.table)
+        want = [brute_phrases(language_id.classes(samples[k][0], own.table), c) for k in ("aa", "bb")]
+        assert own.phrases([c])[:, 0].tolist() == want
+        assert own.phrases([c] * 20)[:, 7].tolist() == want
