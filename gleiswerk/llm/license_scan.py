@@ -1,18 +1,21 @@
-"""License scans: sparse TF-IDF cosine of lines to licence templates, and inheritance from the nearest directory.
+"""License scans: sparse TF-IDF cosine of headers to licence templates, and inheritance from the nearest directory.
 
 Terms are weighed by their document frequency over all files (one count of the
 templates' vocabulary, so bounded). Every line of every file, and every run of
-as many lines as a template has, is compared with the templates by the cosine
-of sparse TF-IDF vectors. The best one of at least MIN_SCORE is the file's
-declared licence. A licence file (by its name, or a file that is hardly more
-than its licence) declares for its directory; files that declare nothing
-inherit from the nearest directory above them. That is a join of paths: each
-directory is expanded to its ancestors once, however many files it has.
+lines as long as a template may be when it is wrapped (as many lines as it has
+words), is compared with the templates by the cosine of sparse TF-IDF vectors.
+By the inequality of Cauchy and Schwarz a cosine is at most the length of the
+template's part that the text has any term of; files and runs in which that is
+below MIN_SCORE are left out without loss. The best one of at least MIN_SCORE
+is the file's declared licence. A licence file (by its name, or a file that is
+hardly more than its licence) declares for its directory; files that declare
+nothing inherit from the nearest directory above them. That is a join of paths:
+each directory is expanded to its ancestors once, however many files it has.
 
 Defined results: a null text has no terms; a null path has no directory and
 inherits nothing. Ties go to the higher score, then the first licence by name.
 Rows with one id are scanned each for itself; an empty table gives an empty
-one. Other columns are ignored.
+one. A text is one value of one task, however long. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, table
+from .common import materialize, record_batch, table
 
 MIN_SCORE = 0.7
 #: A file of at most this many words besides its licence is a licence file.
@@ -54,6 +57,8 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
@@ -71,8 +76,6 @@ def terms(text: str) -> list[str]:
 
 
 VOCABULARY = frozenset(t for group in TEMPLATES.values() for x in group for t in terms(x))
-#: A text without any of these has no template's weighty terms.
-SIGNS = re.compile(r"licen[sc]|spdx|permission|redistribut", re.I)
 
 
 def term_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
@@ -97,34 +100,59 @@ class Templates:
     def __init__(self, n_files: int, df: dict[str, int]):
         self.idf = {t: math.log((1 + n_files) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
         self.unseen = math.log(1 + n_files) + 1  # terms of no template weigh as rare ones
-        self.vectors = [(name, x.count(" ") + 1, self.vector(terms(x))) for name in sorted(TEMPLATES) for x in TEMPLATES[name]]
+        found = [(name, terms(x)) for name in sorted(TEMPLATES) for x in TEMPLATES[name]]
+        self.names = [name for name, _ in found]
+        self.words = [len(x) for _, x in found]
+        #: Of each term: the templates that have it, and its weights there.
+        self.of_term: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, x) in enumerate(found):
+            for t, w in self.vector(x).items():
+                self.of_term.setdefault(t, []).append((k, w))
 
     def vector(self, found: list[str]) -> dict[str, float]:
         weights = {t: n * self.idf.get(t, self.unseen) for t, n in Counter(found).items()}
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         return {t: w / norm for t, w in weights.items()}
 
+    def within_reach(self, present: set[str] | frozenset[str]) -> set[int]:
+        """Templates whose cosine with a text of these terms may reach MIN_SCORE."""
+        most: dict[int, float] = {}
+        for t in present:
+            for k, w in self.of_term[t]:
+                most[k] = most.get(k, 0.0) + w * w
+        return {k for k, x in most.items() if x >= MIN_SCORE**2 - 1e-9}
+
     def best(self, text: str) -> tuple[str | None, float, int]:
-        """Licence, score and words of the line (or two to four lines together) that is most like a template."""
+        """Licence, score and words of the line, or the run of lines, that is most like a template."""
         found: tuple[str | None, float, int] = (None, 0.0, 0)
-        if not SIGNS.search(text):
+        if not self.within_reach(VOCABULARY.intersection(terms(text))):
             return found
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            near = any(SIGNS.search(x) for x in lines[i : i + 4])
-            if not near:
+        lines = [x for line in text.split("\n") if (x := terms(line))]
+        has = [VOCABULARY.intersection(x) for x in lines]
+        for i in range(len(lines)):
+            if not has[i]:
+                continue
+            live = self.within_reach(frozenset().union(*has[i : i + max(self.words)]))
+            if not live:
                 continue
-            for k in range(1, 5):
-                if k > 1 and i + k > len(lines):
-                    break
-                words = terms(line) if k == 1 else terms(" ".join(lines[i : i + k]))
-                if not words or len(words) > 400:
-                    continue  # far longer than any template: its cosine is below MIN_SCORE
-                own = self.vector(words)
-                for name, _, template in self.vectors:
-                    score = sum(w * own[t] for t, w in template.items() if t in own)
-                    if score > found[1] + 1e-12 and score >= MIN_SCORE:
-                        found = (name, min(1.0, score), len(words))
+            counts: Counter = Counter()
+            dot = dict.fromkeys(sorted(live), 0.0)
+            square, n = 0.0, 0
+            for j in range(i, min(len(lines), i + max(self.words[k] for k in live))):
+                for t in lines[j]:
+                    idf = self.idf.get(t, self.unseen)
+                    square += idf * idf * (2 * counts[t] + 1)
+                    counts[t] += 1
+                    for k, w in self.of_term.get(t, ()):
+                        if k in dot:
+                            dot[k] += idf * w
+                n += len(lines[j])
+                if has[j]:
+                    norm = math.sqrt(square)
+                    for k, x in dot.items():
+                        score = x / norm
+                        if score >= MIN_SCORE and score > found[1] + 1e-12 and j - i < self.words[k]:
+                            found = (self.names[k], min(1.0, score), n)
         return found
 
 
@@ -175,5 +203,5 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_inherited(declared(document_paths(table(spark, sf_dir, "documents"))))
+    found = with_inherited(materialize(declared(document_paths(table(spark, sf_dir, "documents"))), "declared"))  # read four times
     return found.select("doc_id", "path", "declared", "score", "licence_file", "inherited_from", "licence")

@@ -140,3 +140,62 @@ def test_pipeline_odd(spark, odd, none):
             out = stage(spark, df, SF)
             assert k == 4 or out.columns == df.columns
             out.count()
+
+
+def brute_best(own, text):
+    """The best cosine of every run of lines with every template, by whole vectors."""
+    import math
+    from collections import Counter
+
+    def vector(words):
+        weights = {t: n * own.idf.get(t, own.unseen) for t, n in Counter(words).items()}
+        norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+        return {t: w / norm for t, w in weights.items()}
+
+    lines = [x for line in text.split("\n") if (x := license_scan.terms(line))]
+    best = (0.0, None)
+    for name in sorted(license_scan.TEMPLATES):
+        for x in license_scan.TEMPLATES[name]:
+            words = license_scan.terms(x)
+            v = vector(words)
+            for i in range(len(lines)):
+                for j in range(i + 1, min(len(lines), i + len(words)) + 1):
+                    w = vector([t for y in lines[i:j] for t in y])
+                    score = sum(a * w.get(t, 0.0) for t, a in v.items())
+                    if score >= license_scan.MIN_SCORE and score > best[0] + 1e-9:
+                        best = (score, name)
+    return best
+
+
+def test_best_equals_brute_force():
+    import random
+
+    rng = random.Random(2)
+    own = license_scan.Templates(1000, {"the": 900, "of": 800, "a": 700, "this": 500, "work": 90, "or": 300, "to": 600})
+    templates = [x for group in license_scan.TEMPLATES.values() for x in group]
+    for k in range(60):
+        words = license_scan.terms(rng.choice(templates)) * rng.choice([1, 1, 1, 20])
+        words = [w for w in words if rng.random() > rng.choice([0, 0.1, 0.4])]
+        for _ in range(rng.randint(0, 8)):
+            words.insert(rng.randint(0, len(words)), rng.choice(["the", "of", "noise", "this", "x9"]))
+        width = rng.choice([1, 3, 8, 1000])
+        text = "\n".join(["a line of the work", *(" ".join(words[i : i + width]) for i in range(0, len(words), width)), "the end"])
+        score, name = brute_best(own, text)
+        got = own.best(text)
+        assert abs(got[1] - score) < 1e-9 and (got[0] is None) == (name is None), (k, text, got, score, name)
+
+
+def test_headers_wrapped_and_repeated():
+    own = license_scan.Templates(1000, {})
+    mit = license_scan.TEMPLATES["MIT"][2]
+    assert own.best(" ".join([mit] * 20))[:1] == ("MIT",)
+    words = mit.split()
+    assert own.best("\n".join(" ".join(words[i : i + 3]) for i in range(0, len(words), 3)))[0] == "MIT"
+    assert own.best("x\nLicensed under CC BY-SA 4.0.\ny")[0] == "CC-BY-SA-4.0"
+
+
+def test_attributes_and_nesting():
+    page = lambda x: html_extract.extract(f"<html><body>{x}</body></html>", None)
+    assert page('<p>Read <a href="/p?id=ad-5">the report</a> now</p>') == "Read the report now"
+    assert page('<p data-id="comment-3">Body text</p><p class="menu">x</p>') == "Body text"
+    assert page("<div>" * 100_000 + "deep" + "</div>" * 100_000) == "deep"
