@@ -396,12 +396,12 @@ def opened_links(queries: DataFrame, stored: DataFrame) -> DataFrame:
     return queries.groupBy("g", "part").cogroup(stored.groupBy("g", "part")).applyInArrow(run, "a long, b long")
 
 
-def similar_sets(docs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): links of set_ids that connect whatever is connected by similar sets, written. rows: token, h, n, level."""
-    marked = materialize(with_cells(rows), "marked")
+def similar_sets(docs: DataFrame, kinds: DataFrame, marked: DataFrame) -> DataFrame:
+    """(a, b): links of set_ids that connect whatever is connected by similar sets, written. marked: the open rows with their cells, written; they go as soon as they are used."""
     members = materialize(members_of_cells(marked), "groups")
     named = kinds.select("h", F.col("n_shingles").cast("int").alias("n"), "set_id")
     asked = materialize(asked_groups(marked, members).join(named, ["h", "n"]).select("set_id", "n", "g"), "asked")
+    discard(marked)
     several = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
     many = asked.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / GROUP_QUERIES), F.ceil(F.sum("n") / (4 * GROUP_TOKENS))).alias("parts"))
     met = several.join(many, "g", "full").select("g", F.coalesce("parts", F.lit(0).cast("long")).alias("parts"))
@@ -409,10 +409,11 @@ def similar_sets(docs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFram
     queries = asked.join(many, "g").select("set_id", "g", F.pmod(F.xxhash64("set_id"), "parts").alias("part"), "parts")
     dealt = materialize(inside.unionByName(queries), "dealt")
     tokens = materialize(with_tokens(docs, dealt), "tokens")
+    discard(members, asked, dealt)
     stored = materialize(stored_groups(tokens.where("part < 0").select("set_id", "g", "parts", "tokens")), "stored")
     opened = opened_links(tokens.where("part >= 0").select("g", "part", "set_id", "tokens"), stored.where("stored is not null").select("g", "part", "stored"))
     links = materialize(stored.where("a is not null").select("a", "b").unionByName(opened), "similar")
-    discard(marked, members, asked, dealt, tokens, stored)
+    discard(tokens, stored)
     return links
 
 
@@ -456,8 +457,9 @@ def components_of_rows(docs: DataFrame) -> DataFrame:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     sent = materialize(prefix_tokens(docs, levels, buckets), "prefixes")
     known = sent.where("payload is null").select("token", "h", "n", "level")
-    links = similar_sets(docs, kinds, known.unionByName(met_in_buckets(sent)))
+    marked = materialize(with_cells(known.unionByName(met_in_buckets(sent))), "marked")
     discard(sent)
+    links = similar_sets(docs, kinds, marked)
     label = components(links)
     least = kinds.join(label, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     final = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("set_id").alias("first")), "comp").select("digest", "copies", "component_id", "first")
