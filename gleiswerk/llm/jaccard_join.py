@@ -54,8 +54,8 @@ GATHER = 2_000_000
 GROUP_MEMBERS, GROUP_TOKENS, GROUP_QUERIES = 64, 200_000, 512
 #: Sizes of a class differ by this factor at most.
 SIZE_STEP = 1.1
-#: Places that wanted rows are hashed to, to leave other texts out of a shuffle: a table of so many rows at most is broadcast.
-PLACES = 1 << 18
+#: Places that wanted rows are hashed to, to leave other texts out of a shuffle: a bitmap of so many bits at most (2 MB) is broadcast.
+PLACES = 1 << 24
 #: Parts that a star's center is dealt out to.
 SALTS = 8
 #: Sets of more than a HOT-th of all rows (so fewer than HOT sets) are named by a broadcast.
@@ -147,7 +147,7 @@ def token_levels(sketch: DataFrame) -> np.ndarray:
         return pa.table([rows.column("slice")[:1], pa.array([levels.tobytes()], pa.binary())], schema=schema)
 
     out = np.zeros((SLICES, SLOTS // SLICES), np.uint8)
-    for r in sketch.groupBy("slice").applyInArrow(run, "slice int, levels binary").collect():  # SLICES rows, SLOTS bytes
+    for r in materialize(sketch.groupBy("slice").applyInArrow(run, "slice int, levels binary"), "levels").collect():  # SLICES rows, SLOTS bytes
         out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
     return out.ravel()
 
@@ -291,18 +291,14 @@ def asked_groups(marked: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(inside)
 
 
-def with_tokens(docs: DataFrame, dealt: DataFrame) -> DataFrame:
-    """``dealt`` (set_id, g, part, parts) with each set's sorted 64-bit hashes; set_id is the ROW of one document. Few other texts are shuffled."""
-    schema = pa.schema([("set_id", pa.int64()), ("g", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("tokens", pa.binary())])
-    place = F.pmod(F.xxhash64(ROW), F.lit(PLACES))
-    places = dealt.select(F.pmod(F.xxhash64("set_id"), F.lit(PLACES)).alias("place")).distinct()
-    near = text_rows(docs, ROW).withColumn("place", place).join(F.broadcast(places), "place", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield record_batch(schema, [*batch.columns[:4], [x.tobytes() for x in shingle_sets(batch.column(4).to_pylist())]])
-
-    return near.join(dealt, F.col(ROW) == F.col("set_id")).select("set_id", "g", "part", "parts", "text").mapInArrow(run, "set_id long, g long, part long, parts long, tokens binary")
+def with_texts(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``dealt`` (set_id, g, part, parts) with each set's text; set_id is the ROW of one document. A bitmap of fixed size keeps nearly all other texts out of the shuffle."""
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(PLACES))
+    bits = dealt.groupBy(F.bitmap_bucket_number(place("set_id")).alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("set_id"))).alias("bits"))
+    at = F.bitmap_bit_position(place(ROW)).cast("int")
+    byte = F.conv(F.hex(F.col("bits").substr(F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = text_rows(docs, ROW).withColumn("of", F.bitmap_bucket_number(place(ROW))).join(F.broadcast(bits), "of").where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)
+    return near.select(ROW, "text").join(dealt, F.col(ROW) == F.col("set_id")).select("set_id", "g", "part", "parts", "text")
 
 
 class Group:
@@ -370,7 +366,7 @@ def stored_groups(members: DataFrame) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         ids = rows.column("set_id").to_pylist()
         g, parts = rows.column("g")[0].as_py(), rows.column("parts")[0].as_py()
-        group = Group.of(ids, [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("tokens")])
+        group = Group.of(ids, shingle_sets(rows.column("text").to_pylist()))
         linked = [(i, k) for i, k in enumerate(group.inner.tolist()) if i != k]
         none = [None] * len(linked)
         columns = [[g] * parts + none, [*range(parts), *none], [group.pack()] * parts + none, [None] * parts + [ids[i] for i, _ in linked], [None] * parts + [ids[k] for _, k in linked]]
@@ -387,8 +383,8 @@ def opened_links(queries: DataFrame, stored: DataFrame) -> DataFrame:
         a, b = [], []
         if queries.num_rows and groups.num_rows:
             group, held = Group.unpack(groups.column("stored")[0].as_py()), []
-            for q, x in zip(queries.column("set_id").to_pylist(), queries.column("tokens"), strict=True):
-                found = group.links(np.frombuffer(x.as_py(), np.uint64), held)
+            for q, x in zip(queries.column("set_id").to_pylist(), shingle_sets(queries.column("text").to_pylist()), strict=True):
+                found = group.links(x, held)
                 a += [q] * len(found)
                 b += found
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
@@ -408,12 +404,12 @@ def similar_sets(docs: DataFrame, kinds: DataFrame, marked: DataFrame) -> DataFr
     inside = members.drop("parts").join(met, "g").join(named, ["h", "n"]).select("set_id", "g", F.lit(-1).cast("long").alias("part"), "parts")
     queries = asked.join(many, "g").select("set_id", "g", F.pmod(F.xxhash64("set_id"), "parts").alias("part"), "parts")
     dealt = materialize(inside.unionByName(queries), "dealt")
-    tokens = materialize(with_tokens(docs, dealt), "tokens")
+    texts = materialize(with_texts(docs, dealt), "texts")
     discard(members, asked, dealt)
-    stored = materialize(stored_groups(tokens.where("part < 0").select("set_id", "g", "parts", "tokens")), "stored")
-    opened = opened_links(tokens.where("part >= 0").select("g", "part", "set_id", "tokens"), stored.where("stored is not null").select("g", "part", "stored"))
+    stored = materialize(stored_groups(texts.where("part < 0").select("set_id", "g", "parts", "text")), "stored")
+    opened = opened_links(texts.where("part >= 0").select("g", "part", "set_id", "text"), stored.where("stored is not null").select("g", "part", "stored"))
     links = materialize(stored.where("a is not null").select("a", "b").unionByName(opened), "similar")
-    discard(tokens, stored)
+    discard(texts, stored)
     return links
 
 
