@@ -72,6 +72,11 @@ def measured_by_code(reasons: DataFrame, stops: DataFrame, key: str = "id") -> D
     )
 
 
+def top_codes(reasons: DataFrame, stops: DataFrame, k: int = 12, key: str = "id") -> DataFrame:
+    """The codes on most stops, with mean delay and cancelled percent."""
+    return measured_by_code(reasons, stops, key).orderBy(F.desc("n"), "code").limit(k).drop("category")
+
+
 def with_and_without(stops: DataFrame, coded: DataFrame, key: str = "id") -> DataFrame:
     """Stops with and without a reason: number, mean delay, percent of at least 5 minutes, percent cancelled."""
     both = stops.join(coded.select(key), key, "left_semi").withColumn("has_code", F.lit(True)).unionByName(stops.join(coded.select(key), key, "left_anti").withColumn("has_code", F.lit(False)))

@@ -11,37 +11,49 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-INPUTS = ("lag1", "lag3", "lag7", "cancel_lag7", "roll7", "weekday", "month", "temp", "precip", "gust")
+WEATHER = ("temp", "precip", "snow", "gust", "wet_regions")
+INPUTS = ("lag1", "lag3", "lag7", "cancel_lag7", "roll7", *WEATHER, "weekday", "month")
 TARGETS = ("avg_delay", "pct_ge5")
 FIT_LEAST, HOLD_OUT_DAYS = 30, 30
 
 
+def by_target(stats: DataFrame) -> DataFrame:
+    """A row for each day, type and target, with the target's value as y."""
+    return stats.select("date", "train_type", "n_stops", "cancel_rate", *[F.col(t).cast("double") for t in TARGETS]).unpivot(["date", "train_type", "n_stops", "cancel_rate"], list(TARGETS), "target", "y")
+
+
 def by_type() -> WindowSpec:
-    return Window.partitionBy("train_type").orderBy("date")
+    return Window.partitionBy("train_type", "target").orderBy("date")
 
 
-def lags(stats: DataFrame) -> DataFrame:
-    """The mean delay 1, 3 and 7 rows before, and the cancel rate 7 rows before."""
-    out = stats
-    for n in (1, 3, 7):
-        out = out.withColumn(f"lag{n}", F.lag("avg_delay", n).over(by_type()))
-    return out.withColumn("cancel_lag7", F.lag("cancel_rate", 7).over(by_type()))
+def lags(rows: DataFrame) -> DataFrame:
+    """The target's value 1, 3 and 7 rows before, and the cancel rate 7 rows before."""
+    w = by_type()
+    return rows.withColumns({f"lag{n}": F.lag("y", n).over(w) for n in (1, 3, 7)} | {"cancel_lag7": F.lag("cancel_rate", 7).over(w)})
 
 
-def rolling(stats: DataFrame) -> DataFrame:
-    """The mean of the 7 rows before, from 3 observations on."""
+def rolling(rows: DataFrame) -> DataFrame:
+    """The target's mean over the 7 rows before, from 3 observations on."""
     w = by_type().rowsBetween(-7, -1)
-    return stats.withColumn("roll7", F.when(F.count("avg_delay").over(w) >= 3, F.round(F.avg("avg_delay").over(w), 6)))
+    return rows.withColumn("roll7", F.when(F.count("y").over(w) >= 3, F.round(F.avg("y").over(w), 6)))
+
 
+def with_calendar(rows: DataFrame, date: str) -> DataFrame:
+    return rows.withColumn("weekday", F.weekday(date)).withColumn("month", F.month(date))
 
-def serving(stats: DataFrame) -> DataFrame:
-    """Features of the day after the last, by calendar days (training goes by rows; they differ where days are missing)."""
+
+def serving(stats: DataFrame, national: DataFrame) -> DataFrame:
+    """Features of the day after the last, by calendar days (training goes by rows; they differ where days are missing).
+
+    What was not observed, the day's weather included, is null.
+    """
     target = stats.agg(F.date_add(F.max("date"), 1).alias("target_date"))
     back = F.datediff("target_date", "date")
-    d = F.col("avg_delay")
-    return stats.join(F.broadcast(target)).groupBy("train_type", "target_date").agg(
-        F.max(F.when(back == 1, d)).alias("d1"), F.max(F.when(back == 3, d)).alias("d3"), F.max(F.when(back == 7, d)).alias("d7"), F.round(F.avg(F.when(back.between(1, 7), d)), 6).alias("mean7")
+    at = lambda c, k: F.max(F.when(back == k, F.col(c)))
+    rows = by_target(stats).join(F.broadcast(target)).groupBy("train_type", "target", "target_date").agg(
+        at("y", 1).alias("lag1"), at("y", 3).alias("lag3"), at("y", 7).alias("lag7"), at("cancel_rate", 7).alias("cancel_lag7"), F.round(F.avg(F.when(back.between(1, 7), F.col("y"))), 6).alias("roll7")
     )
+    return with_calendar(rows.join(national.select(F.col("date").alias("target_date"), *WEATHER), "target_date", "left"), "target_date")
 
 
 def time_split(rows: DataFrame, days: int = HOLD_OUT_DAYS) -> DataFrame:
@@ -50,61 +62,65 @@ def time_split(rows: DataFrame, days: int = HOLD_OUT_DAYS) -> DataFrame:
 
 
 def features(stats: DataFrame, national: DataFrame) -> DataFrame:
-    """Lags, rolling mean, weather and calendar; rows without them are left out."""
-    rows = rolling(lags(stats)).select("date", "train_type", "n_stops", "avg_delay", "pct_ge5", "lag1", "lag3", "lag7", "cancel_lag7", "roll7")
-    rows = rows.where("avg_delay is not null").na.drop(subset=["lag1", "lag3", "lag7", "cancel_lag7", "roll7"])
-    wx = national.select("date", "temp", "precip", "gust")
-    return rows.join(wx, "date", "left").na.fill(0.0, ["temp", "precip", "gust"]).withColumn("weekday", F.weekday("date")).withColumn("month", F.month("date"))
+    """Lags and rolling mean of each target, weather and calendar; rows without one of them are left out."""
+    rows = rolling(lags(by_target(stats))).join(national.select("date", *WEATHER), "date")
+    return with_calendar(rows, "date").na.drop(subset=["y", *INPUTS])
+
 
+def _model(rows: DataFrame):
+    vectors = VectorAssembler(inputCols=list(INPUTS), outputCol="features", handleInvalid="keep")
+    return GBTRegressor(featuresCol="features", labelCol="y", maxIter=10, maxDepth=3, seed=7).fit(vectors.transform(rows)), vectors
 
-def _model(rows: DataFrame, target: str):
-    vectors = VectorAssembler(inputCols=list(INPUTS), outputCol="features", handleInvalid="skip")
-    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=10, maxDepth=3, seed=7).fit(vectors.transform(rows.where(F.col(target).isNotNull()))), vectors
+
+def _fitted(rows: DataFrame) -> list[tuple[str, str, int]]:
+    """Types and targets with rows enough to fit; a row for each comes to the driver."""
+    counts = rows.groupBy("train_type", "target").agg(F.count("*").alias("n")).where(F.col("n") >= FIT_LEAST)
+    return sorted((r.train_type, r.target, r.n) for r in counts.collect())
 
 
 def fit_and_check(rows: DataFrame) -> DataFrame:
     """A model of each type and target, from 30 rows on: rows fitted, and mean absolute error of the last 30 days beside that of the mean."""
     rows = time_split(rows).cache()
-    counts = {r.train_type: r.n for r in rows.where("not hold_out").groupBy("train_type").agg(F.count("*").alias("n")).collect()}  # a row for each train type
-    out = None
-    for kind in sorted(k for k, n in counts.items() if n >= FIT_LEAST):
-        own = rows.where(F.col("train_type") == kind)
-        for target in TARGETS:
-            model, vectors = _model(own.where("not hold_out"), target)
-            mean = own.where("not hold_out").agg(F.avg(target)).first()[0]
-            checked = model.transform(vectors.transform(own.where("hold_out"))).agg(
-                F.lit(kind).alias("train_type"), F.lit(target).alias("target"), F.lit(counts[kind]).cast("long").alias("n_fit"), F.round(F.avg(F.abs(F.col("prediction") - F.col(target))), 3).alias("mae"), F.round(F.avg(F.abs(F.lit(mean) - F.col(target))), 3).alias("mae_of_mean")
-            )
-            out = checked if out is None else out.unionByName(checked)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "train_type string, target string, n_fit long, mae double, mae_of_mean double")
-
-
-def predict_next(rows: DataFrame, stats: DataFrame, national: DataFrame) -> DataFrame:
-    """Both targets of the day after the last, of each type."""
-    rows = rows.cache()
-    counts = {r.train_type: r.n for r in rows.groupBy("train_type").agg(F.count("*").alias("n")).collect()}
-    last = Window.partitionBy("train_type").orderBy(F.desc("date"))
-    ranked = stats.where("avg_delay is not null").withColumn("k", F.row_number().over(last)).where("k <= 7")
-    at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    asked = ranked.groupBy("train_type").agg(
-        F.date_add(F.max("date"), 1).alias("target_date"), at("avg_delay", 1).alias("lag1"), at("avg_delay", 3).alias("lag3"), at("avg_delay", 7).alias("lag7"), at("cancel_rate", 7).alias("cancel_lag7"), F.round(F.avg("avg_delay"), 6).alias("roll7")
-    ).withColumn("weekday", F.weekday("target_date")).withColumn("month", F.month("target_date"))
-    wx = national.select(F.col("date").alias("target_date"), "temp", "precip", "gust")
-    asked = asked.join(wx, "target_date", "left").na.fill(0.0, ["temp", "precip", "gust"])
-    out = None
-    for kind in sorted(k for k, n in counts.items() if n >= FIT_LEAST):
-        for target in TARGETS:
-            model, vectors = _model(rows.where(F.col("train_type") == kind), target)
-            got = model.transform(vectors.transform(asked.where(F.col("train_type") == kind))).select("target_date", "train_type", F.lit(target).alias("target"), F.round("prediction", 3).alias("value"))
-            out = got if out is None else out.unionByName(got)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "target_date date, train_type string, target string, value double")
+    out = rows.sparkSession.createDataFrame([], "train_type string, target string, n_fit long, mae double, mae_of_mean double")
+    for kind, target, n in _fitted(rows.where("not hold_out")):
+        own = rows.where((F.col("train_type") == kind) & (F.col("target") == target))
+        model, vectors = _model(own.where("not hold_out"))
+        mean = own.where("not hold_out").agg(F.avg("y")).first()[0]
+        checked = model.transform(vectors.transform(own.where("hold_out"))).agg(
+            F.lit(kind).alias("train_type"), F.lit(target).alias("target"), F.lit(n).cast("long").alias("n_fit"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 3).alias("mae"), F.round(F.avg(F.abs(F.lit(mean) - F.col("y"))), 3).alias("mae_of_mean")
+        )
+        out = out.unionByName(checked)
+    return out
+
+
+def predict_next(stats: DataFrame, national: DataFrame) -> DataFrame:
+    """Both targets of the day after the last, of each type, by the calendar's features; what is unknown of them takes each tree's upper branch."""
+    rows = features(stats, national).cache()
+    asked = serving(stats, national)
+    out = rows.sparkSession.createDataFrame([], "target_date date, train_type string, target string, value double")
+    for kind, target, _ in _fitted(rows):
+        own = (F.col("train_type") == kind) & (F.col("target") == target)
+        model, vectors = _model(rows.where(own))
+        out = out.unionByName(model.transform(vectors.transform(asked.where(own))).select("target_date", "train_type", "target", F.round("prediction", 3).alias("value")))
+    return out
+
+
+def as_guess(predicted: DataFrame) -> DataFrame:
+    """Predictions with a column for each target, as they are evaluated."""
+    value = lambda t: F.max(F.when(F.col("target") == t, F.col("value")))
+    return predicted.groupBy(F.col("target_date").alias("date"), "train_type").agg(value("avg_delay").alias("f_avg"), value("pct_ge5").alias("f_pct"))
+
+
+def type_errors(guess: DataFrame, stats: DataFrame) -> DataFrame:
+    """Absolute errors of both targets for each day and type."""
+    both = guess.join(stats.select("date", "train_type", "n_stops", "avg_delay", "pct_ge5"), ["date", "train_type"])
+    return both.select("date", "train_type", "n_stops", F.round(F.abs(F.col("avg_delay") - F.col("f_avg")), 6).alias("err_avg"), F.round(F.abs(F.col("pct_ge5") - F.col("f_pct")), 6).alias("err_pct"))
 
 
 def evaluate(guess: DataFrame, stats: DataFrame) -> DataFrame:
     """Mean absolute errors of a day over its types, and the signature of its data."""
-    both = guess.join(stats.select("date", "train_type", "n_stops", "avg_delay", "pct_ge5"), ["date", "train_type"])
-    return both.groupBy("date").agg(
-        F.count("*").alias("n_types"), F.round(F.avg(F.abs(F.col("avg_delay") - F.col("f_avg"))), 6).alias("mae_avg"), F.round(F.avg(F.abs(F.col("pct_ge5") - F.col("f_pct"))), 6).alias("mae_pct"), F.sum("n_stops").alias("data_sig")
+    return type_errors(guess, stats).groupBy("date").agg(
+        F.count("*").alias("n_types"), F.round(F.avg("err_avg"), 6).alias("mae_avg"), F.round(F.avg("err_pct"), 6).alias("mae_pct"), F.sum("n_stops").alias("data_sig")
     )
 
 
@@ -113,3 +129,10 @@ def upsert_history(past: DataFrame, now: DataFrame) -> DataFrame:
     changed = now.join(past.select("date", "data_sig"), ["date", "data_sig"], "left_anti").withColumn("state", F.lit("evaluated"))
     kept = past.join(changed.select("date"), "date", "left_anti").withColumn("state", F.lit("kept"))
     return kept.unionByName(changed)
+
+
+def back_check(past: DataFrame, now: DataFrame, days: int = 10) -> DataFrame:
+    """The history with the last days (of those evaluated) that are missing or whose data changed evaluated; older days stay."""
+    last = now.agg(F.max("date").alias("last"))
+    recent = now.join(F.broadcast(last)).where(F.col("date") > F.date_sub("last", days)).drop("last")
+    return upsert_history(past, recent)

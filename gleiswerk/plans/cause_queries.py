@@ -75,6 +75,12 @@ def a12(m):
     return causes.with_and_without(unique_stops(m), m.changes.select(F.col("sid").alias("id")))
 
 
+@query("a12_top_codes", cte("clean") + """SELECT r.code, count(*) AS n, round(avg(delay), 4) AS avg_delay, round(100.0 * count(*) FILTER (is_canceled) / count(*), 4) AS cancel_pct
+FROM (SELECT DISTINCT sid, code FROM stops) r JOIN clean c ON r.sid = c.sid GROUP BY 1 ORDER BY n DESC, code LIMIT 12""")
+def a12_codes(m):
+    return causes.top_codes(reasons_of(m), unique_stops(m))
+
+
 PROFILE = """SELECT train, count(DISTINCT date) AS days, count(*) AS stops, count(*) FILTER (code <> 99) AS coded, count(msg) AS with_msg, round(avg(delay), 4) AS avg_delay, greatest(max(delay), 0) AS max_delay,
 round(100.0 * count(*) FILTER (is_canceled) / count(*), 4) AS cancel_pct FROM stops GROUP BY train HAVING count(*) >= 5"""
 

@@ -10,12 +10,12 @@ from .registry import query
 
 @query("t01_latest_change_stream", """SELECT user_id, max_by(event_type, struct_pack(a := ts, b := event_id)) AS event_type, max_by(value, struct_pack(a := ts, b := event_id)) AS value, max(ts) AS ts FROM events GROUP BY user_id""")
 def t01(m):
-    return jobs.drain(jobs.latest_change(jobs.events(m.spark, m.sf_dir)), "complete")
+    return jobs.drain(jobs.latest_change(jobs.events(m.spark, m.sf_dir)), "update", "user_id")
 
 
 @query("t02_day_sums_stream", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(*) FILTER (value >= 5) AS ge5, max(value) AS top FROM events GROUP BY 1, 2", dates=("day",))
 def t02(m):
-    return jobs.drain(jobs.day_sums(jobs.events(m.spark, m.sf_dir)), "complete")
+    return jobs.drain(jobs.day_sums(jobs.events(m.spark, m.sf_dir)), "update", "day", "event_type")
 
 
 @query("t03_running_trains_stream", "SELECT user_id, max(ts) AS last_ts, max_by(value, struct_pack(a := ts, b := event_id)) AS last_value, count(*) AS n FROM events GROUP BY user_id")
@@ -32,4 +32,4 @@ def t04(m):
 
 @query("t05_upserted_days_stream", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(*) FILTER (value >= 5) AS ge5, max(value) AS top FROM events GROUP BY 1, 2", dates=("day",))
 def t05(m):
-    return jobs.drain(jobs.day_sums(jobs.events(m.spark, m.sf_dir)), "update", jobs.upsert_days)
+    return jobs.drain(jobs.day_sums(jobs.events(m.spark, m.sf_dir)), "update", "day", "event_type")

@@ -79,25 +79,37 @@ def j09(m):
 
 # -- features and forecast -----------------------------------------------------------------
 
-W = "PARTITION BY train_type ORDER BY date"
-LAGS = f"""SELECT date, train_type, avg_delay, lag(avg_delay, 1) OVER ({W}) AS lag1, lag(avg_delay, 3) OVER ({W}) AS lag3, lag(avg_delay, 7) OVER ({W}) AS lag7, lag(cancel_rate, 7) OVER ({W}) AS cancel_lag7 FROM stats"""
+W = "PARTITION BY train_type, target ORDER BY date"
+LONG = "SELECT date, train_type, n_stops, cancel_rate, 'avg_delay' AS target, avg_delay AS y FROM stats UNION ALL SELECT date, train_type, n_stops, cancel_rate, 'pct_ge5', pct_ge5 FROM stats"
+LAGS = f"""SELECT date, train_type, target, y, lag(y, 1) OVER ({W}) AS lag1, lag(y, 3) OVER ({W}) AS lag3, lag(y, 7) OVER ({W}) AS lag7, lag(cancel_rate, 7) OVER ({W}) AS cancel_lag7 FROM ({LONG})"""
+ROLL = f"SELECT date, train_type, target, CASE WHEN count(y) OVER w >= 3 THEN round(avg(y) OVER w, 6) END AS roll7 FROM ({LONG}) WINDOW w AS ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
+WX = "w.temp, w.precip, w.snow, w.gust, w.wet_regions"
+
+
+def long_stats(m):
+    return forecast.by_target(delays.day_type_statistics(m.stops))
+
+
+def national(m):
+    return weather.national_days(weather.daily_of_hours(m.weather))
 
 
 @query("w01_lag_features", cte("stats") + LAGS, dates=("date",))
 def w01(m):
-    return forecast.lags(delays.day_type_statistics(m.stops)).select("date", "train_type", "avg_delay", "lag1", "lag3", "lag7", "cancel_lag7")
+    return forecast.lags(long_stats(m)).select("date", "train_type", "target", "y", "lag1", "lag3", "lag7", "cancel_lag7")
 
 
-@query("w02_rolling_mean", cte("stats") + f"""SELECT date, train_type, CASE WHEN count(avg_delay) OVER w >= 3 THEN round(avg(avg_delay) OVER w, 6) END AS roll7 FROM stats WINDOW w AS ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""", dates=("date",))
+@query("w02_rolling_mean", cte("stats") + ROLL, dates=("date",))
 def w02(m):
-    return forecast.rolling(delays.day_type_statistics(m.stops)).select("date", "train_type", "roll7")
+    return forecast.rolling(long_stats(m)).select("date", "train_type", "target", "roll7")
 
 
-@query("w03_serving_features", cte("stats") + """, t AS (SELECT max(date) + 1 AS target FROM stats), x AS (SELECT DISTINCT train_type FROM stats)
-SELECT x.train_type, t.target AS target_date, max(avg_delay) FILTER (date = target - 1) AS d1, max(avg_delay) FILTER (date = target - 3) AS d3, max(avg_delay) FILTER (date = target - 7) AS d7,
-round(avg(avg_delay) FILTER (date BETWEEN target - 7 AND target - 1), 6) AS mean7 FROM x JOIN stats s ON x.train_type = s.train_type, t GROUP BY x.train_type, t.target""", dates=("target_date",))
+@query("w03_serving_features", cte("stats", "weather") + f""", w AS ({NATIONAL}), t AS (SELECT max(date) + 1 AS target_date FROM stats), x AS ({LONG})
+SELECT x.train_type, x.target, t.target_date, max(y) FILTER (x.date = t.target_date - 1) AS lag1, max(y) FILTER (x.date = t.target_date - 3) AS lag3, max(y) FILTER (x.date = t.target_date - 7) AS lag7,
+max(cancel_rate) FILTER (x.date = t.target_date - 7) AS cancel_lag7, round(avg(y) FILTER (x.date BETWEEN t.target_date - 7 AND t.target_date - 1), 6) AS roll7, {WX},
+CAST(isodow(t.target_date) - 1 AS INTEGER) AS weekday, CAST(month(t.target_date) AS INTEGER) AS month FROM x CROSS JOIN t LEFT JOIN w ON w.date = t.target_date GROUP BY x.train_type, x.target, t.target_date, {WX}""", dates=("target_date",))
 def w03(m):
-    return forecast.serving(delays.day_type_statistics(m.stops))
+    return forecast.serving(delays.day_type_statistics(m.stops), national(m))
 
 
 @query("w15_time_split", cte("stats") + """SELECT train_type, date > max(date) OVER (PARTITION BY train_type) - 30 AS hold_out, date FROM stats""", dates=("date",))
@@ -105,18 +117,18 @@ def w15(m):
     return forecast.time_split(delays.day_type_statistics(m.stops)).select("train_type", "hold_out", "date")
 
 
-FEATURES = f"""SELECT l.*, r.roll7, CAST(isodow(l.date) - 1 AS INTEGER) AS weekday, CAST(month(l.date) AS INTEGER) AS month, coalesce(w.temp, 0) AS temp, coalesce(w.precip, 0) AS precip, coalesce(w.gust, 0) AS gust
-FROM ({LAGS}) l JOIN (SELECT date, train_type, CASE WHEN count(avg_delay) OVER w >= 3 THEN round(avg(avg_delay) OVER w, 6) END AS roll7 FROM stats WINDOW w AS ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) r
-ON l.date = r.date AND l.train_type = r.train_type LEFT JOIN w ON l.date = w.date WHERE avg_delay IS NOT NULL AND lag1 IS NOT NULL AND lag3 IS NOT NULL AND lag7 IS NOT NULL AND cancel_lag7 IS NOT NULL AND roll7 IS NOT NULL"""
+FEATURES = f"""SELECT l.*, n.n_stops, n.cancel_rate, r.roll7, {WX}, CAST(isodow(l.date) - 1 AS INTEGER) AS weekday, CAST(month(l.date) AS INTEGER) AS month
+FROM ({LAGS}) l JOIN ({ROLL}) r ON l.date = r.date AND l.train_type = r.train_type AND l.target = r.target JOIN stats n ON l.date = n.date AND l.train_type = n.train_type JOIN w ON l.date = w.date
+WHERE y IS NOT NULL AND lag1 IS NOT NULL AND lag3 IS NOT NULL AND lag7 IS NOT NULL AND cancel_lag7 IS NOT NULL AND roll7 IS NOT NULL AND temp IS NOT NULL AND precip IS NOT NULL AND snow IS NOT NULL AND gust IS NOT NULL"""
 
 
 def features(m):
-    return forecast.features(delays.day_type_statistics(m.stops), weather.national_days(weather.daily_of_hours(m.weather)))
+    return forecast.features(delays.day_type_statistics(m.stops), national(m))
 
 
 @query("f01_feature_table", cte("stats", "weather") + f", w AS ({NATIONAL}) {FEATURES}", dates=("date",))
 def f01(m):
-    return features(m).drop("pct_ge5", "n_stops")
+    return features(m)
 
 
 @query("f02_hold_out_error")
@@ -127,12 +139,20 @@ def f02(m):
 
 @query("f03_next_day_forecast")
 def f03(m):
+    return forecast.predict_next(delays.day_type_statistics(m.stops), national(m))
+
+
+@query("f04_forecast_errors")
+def f04_forecast(m):
+    """Forecasts of the last day, made from the days before it, evaluated by what that day was."""
     stats = delays.day_type_statistics(m.stops)
-    return forecast.predict_next(features(m), stats, weather.national_days(weather.daily_of_hours(m.weather)))
+    last = stats.agg(F.max("date").alias("last"))
+    before = stats.join(F.broadcast(last)).where("date < last").drop("last")
+    return forecast.type_errors(forecast.as_guess(forecast.predict_next(before, national(m))), stats)
 
 
 ERRORS = """, p AS (SELECT date, train_type, lag(avg_delay) OVER (PARTITION BY train_type ORDER BY date) AS f_avg, lag(pct_ge5) OVER (PARTITION BY train_type ORDER BY date) AS f_pct FROM stats),
-e AS (SELECT s.date, s.train_type, s.n_stops, abs(s.avg_delay - f_avg) AS err_avg, abs(s.pct_ge5 - f_pct) AS err_pct FROM stats s JOIN p ON s.date = p.date AND s.train_type = p.train_type WHERE f_avg IS NOT NULL)"""
+e AS (SELECT s.date, s.train_type, s.n_stops, round(abs(s.avg_delay - f_avg), 6) AS err_avg, round(abs(s.pct_ge5 - f_pct), 6) AS err_pct FROM stats s JOIN p ON s.date = p.date AND s.train_type = p.train_type WHERE f_avg IS NOT NULL)"""
 
 
 def naive(m):
@@ -150,11 +170,29 @@ def f04(m):
     return forecast.evaluate(guess, stats)
 
 
+@query("f04_type_errors", cte("stats") + ERRORS + "SELECT date, train_type, n_stops, err_avg, err_pct FROM e", dates=("date",))
+def f04_types(m):
+    stats, guess = naive(m)
+    return forecast.type_errors(guess, stats)
+
+
 @query("f05_accuracy_history", cte("stats") + ERRORS + """, n AS (SELECT date, round(avg(err_avg), 6) AS mae_avg, CAST(sum(n_stops) AS BIGINT) AS data_sig FROM e GROUP BY date)
 SELECT date, mae_avg, data_sig, CASE WHEN month(date) % 2 = 0 THEN 'kept' ELSE 'evaluated' END AS state FROM n""", dates=("date",))
 def f05(m):
+    past, now = histories(m)
+    return forecast.upsert_history(past, now)
+
+
+def histories(m):
+    """A history that is up to date for every second month and stale for the others, and today's evaluation."""
     stats, guess = naive(m)
     now = forecast.evaluate(guess, stats).select("date", "mae_avg", "data_sig")
-    # a history that is up to date for every second month and stale for the others
-    past = now.withColumn("data_sig", F.when(F.month("date") % 2 == 0, F.col("data_sig")).otherwise(F.col("data_sig") - 1)).withColumn("mae_avg", F.when(F.month("date") % 2 == 0, F.col("mae_avg")).otherwise(F.lit(-1.0)))
-    return forecast.upsert_history(past, now)
+    fresh = F.month("date") % 2 == 0
+    past = now.withColumn("data_sig", F.when(fresh, F.col("data_sig")).otherwise(F.col("data_sig") - 1)).withColumn("mae_avg", F.when(fresh, F.col("mae_avg")).otherwise(F.lit(-1.0)))
+    return past, now
+
+
+@query("f05_back_check", cte("stats") + ERRORS + """, n AS (SELECT date, round(avg(err_avg), 6) AS mae_avg, CAST(sum(n_stops) AS BIGINT) AS data_sig, month(date) % 2 = 0 AS fresh, date > (SELECT max(date) FROM e) - 10 AS recent FROM e GROUP BY date)
+SELECT date, CASE WHEN fresh OR recent THEN mae_avg ELSE -1.0 END AS mae_avg, CASE WHEN fresh OR recent THEN data_sig ELSE data_sig - 1 END AS data_sig, CASE WHEN recent AND NOT fresh THEN 'evaluated' ELSE 'kept' END AS state FROM n""", dates=("date",))
+def f05_back(m):
+    return forecast.back_check(*histories(m))

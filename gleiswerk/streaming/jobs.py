@@ -6,12 +6,13 @@ there and returns the table that it left in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.files import scratch
 
@@ -23,20 +24,26 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
 
 
-def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
-    """Run a stream until its input is used up; the sink is a Parquet table, whole after each batch in complete mode."""
+def drain(stream: DataFrame, mode: str, *keys: str) -> DataFrame:
+    """Run a stream until its input is used up, and return its table.
+
+    Each batch writes what it changed into a folder of its own, anew if it is
+    repeated after a loss, so no batch rewrites the table or what others wrote.
+    With keys, the last batch that wrote a key's row holds the row.
+    """
     spark = stream.sparkSession
     path, state = scratch(spark, "stream"), scratch(spark, "state")
 
     def put(batch: DataFrame, k: int) -> None:
-        if write:
-            write(batch, path)
-        else:
-            batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={k}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    if not keys:
+        return rows.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*").select(*stream.columns)
 
 
 def latest_change(stream: DataFrame) -> DataFrame:
@@ -81,19 +88,3 @@ def _running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def running_trains(stream: DataFrame) -> DataFrame:
     """Position and delay of each running train, kept by key, with a timer of 20 minutes of event time."""
     return stream.withWatermark("ts", "10 minutes").groupBy("user_id").applyInPandasWithState(_running, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def upsert_days(batch: DataFrame, path: str) -> None:
-    """Days of a batch replace those of the table; the table is written anew beside, then read."""
-    spark = batch.sparkSession
-    try:
-        past = spark.read.parquet(path)
-    except Exception as missing:  # the first batch
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        batch.write.parquet(path)
-        return
-    rows = batch.unionByName(past.join(batch.select("day", "event_type"), ["day", "event_type"], "left_anti"))
-    aside = scratch(spark, "upsert")
-    rows.write.parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").parquet(path)
