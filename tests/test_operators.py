@@ -192,3 +192,22 @@ def test_empty_tables(spark):
     clean = rides.clean_stops(none)
     for df in (delays.daily_statistics(none), delays.day_type_statistics(none), causes.cause_frequency(none), causes.train_profile(none), rides.rides(clean), rides.train_days(rides.rides(clean)), rides.templates(clean), weather.region_days(none.selectExpr("state as region", "station", "date", "delay as temp", "delay as snow", "delay as gust", "delay as precip"))):
         assert df.count() == 0
+
+
+def test_batches_of_a_stream_replace_rows_by_key(spark, tmp_path):
+    """Two files, so two batches: the later one's rows of a key replace the earlier one's, others stay."""
+    from gleiswerk.streaming import jobs
+
+    for rows in [[("a", 1), ("b", 1)], [("a", 5), ("c", None)]]:
+        spark.createDataFrame(rows, "key string, value long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, value long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = jobs.drain(stream.groupBy("key").agg(F.sum("value").alias("total"), F.count("*").alias("n")), "update", "key")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 6, 2), ("b", 1, 1), ("c", None, 1)]
+
+
+def test_back_check_reaches_ten_days_back(spark):
+    days = [dt.date(2026, 1, d) for d in range(1, 21)]
+    now = spark.createDataFrame([(d, 1.0, 10) for d in days], "date date, mae_avg double, data_sig long")
+    past = spark.createDataFrame([(d, 9.0, 9) for d in days[:15]], "date date, mae_avg double, data_sig long")
+    got = {r.date.day: (r.mae_avg, r.state) for r in forecast.back_check(past, now).collect()}
+    assert got == {d: (9.0, "kept") if d <= 10 else (1.0, "evaluated") for d in range(1, 21)}
