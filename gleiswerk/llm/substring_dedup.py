@@ -85,7 +85,7 @@ class Words:
     def hashes(self, at: np.ndarray, length: int, k: int = 0) -> np.ndarray:
         """A hash of the window of ``length`` words at each position of ``at``."""
         down = powers(len(self.sums[k]))[1]
-        return mix((self.sums[k][at + length] - self.sums[k][at]) * down[at] + np.uint64(length) * _MUL)
+        return mix((self.sums[k][at + length] - self.sums[k][at]) * down[at] + np.uint64(length * int(_MUL) % (1 << 64)))
 
     def anchors(self) -> np.ndarray:
         """The shortest windows of the least hash in some window of full length."""
