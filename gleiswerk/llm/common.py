@@ -155,3 +155,16 @@ def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(_BASE) + words[j : j + n]
     return mix(out)
+
+
+# -- checksums in DuckDB's SQL ---------------------------------------------------
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8, where a table ``t`` of one row has ``CRC32_TABLE``."""
+    byte = f"list_transform(range(0, CAST(strlen({text}) AS BIGINT)), lambda i: CAST(concat('0x', hex(encode({text}))[2 * i + 1 : 2 * i + 2]) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({byte}, lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)))"
+
+
+#: ``crc``: what each byte does to a checksum.
+CRC32_TABLE = "SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, jaccard_join, language_id, license_scan, line_dedup, media, packing, quality, substring_dedup, suffix_dedup
+from . import bpe, conversations, html_extract, jaccard_join, language_id, license_scan, line_dedup, media, packing, quality, spelling, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,7 +15,16 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_bpe": bpe.op10_bpe,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_spelling": spelling.op12_spelling,
     "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 #: SQL for what it can express; tests compare the others with brute force.
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op5_suffix_dedup": suffix_dedup.SQL, "op9_jaccard_join": jaccard_join.SQL, "op13_substring_dedup": substring_dedup.SQL}
+ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
+    "op11_conversation_repair": conversations.SQL,
+    "op12_spelling": spelling.SQL,
+    "op13_substring_dedup": substring_dedup.SQL,
+}
