@@ -107,6 +107,13 @@ def train_causes(stops: DataFrame) -> DataFrame:
     return per.select("train", "category", F.col("n"), F.round(100 * share, 4).alias("pct"), F.round(mean * share + 1e-9, 4).alias("minutes"))
 
 
+def coded_shares(stops: DataFrame, *by: str) -> DataFrame:
+    """Share of each cause among the coded stops of each ``by``, and their number."""
+    counts = stops.where(F.col("code").isNotNull()).groupBy(*by, code_category(F.col("code")).alias("category")).agg(F.count("*").alias("n"))
+    coded = F.sum("n").over(Window.partitionBy(*by))
+    return counts.select(*by, "category", coded.alias("coded"), (100 * (F.col("n") / coded)).alias("pct"))
+
+
 def as_map(rows: DataFrame, key: str, value: str, *by: str) -> DataFrame:
     """Long rows as one map for each group, keys in order."""
     return rows.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("entries"))

@@ -48,6 +48,35 @@ def train_days(of_rides: DataFrame) -> DataFrame:
     )
 
 
+def train_day_details(clean: DataFrame, station: str = "station") -> DataFrame:
+    """As ``train_days``, with the stops of the longest ride (the first of equally long ones) and each station's delay in the first ride that knows it.
+
+    (train, date, end_delay, max_delay, max_station, n_rides, n_stops, canceled, sample, delays); sample has num, station, delay of
+    each stop in order, delays maps lower-case stations. A day is canceled if the first stop of a ride is, or most of its stops are.
+    """
+    # a train's day is together from here on: rides, then days are grouped within it
+    rows = clean.repartition("train", "date")
+    call = F.struct(F.col("station_num").alias("num"), F.col(station).alias("station"), "delay")
+    each = rows.groupBy("train", "date", "ride_id").agg(
+        F.count("*").alias("n_stops"), F.max_by("delay", "station_num").alias("end_delay"), F.max("delay").alias("max_delay"),
+        F.min_by(station, F.struct(-F.col("delay"), F.col("station_num"))).alias("max_station"),
+        F.min_by("is_canceled", "station_num").alias("first_canceled"), F.count_if("is_canceled").alias("n_canceled"), F.array_sort(F.collect_list(call)).alias("stops"),
+    )
+    days = each.groupBy("train", "date").agg(
+        F.round(F.avg("end_delay"), 1).alias("end_delay"), F.max("max_delay").alias("max_delay"),
+        F.max_by("max_station", F.struct(F.col("max_delay"), -F.col("ride_id"))).alias("max_station"),
+        F.count("*").alias("n_rides"), F.max("n_stops").alias("n_stops"),
+        (F.bool_or("first_canceled") | (F.sum("n_canceled") > 0.5 * F.sum("n_stops"))).alias("canceled"),
+        F.max_by("stops", F.struct(F.col("n_stops"), -F.col("ride_id"))).alias("sample"),
+        F.array_sort(F.collect_list(F.struct("ride_id", "stops"))).alias("all"),
+    )
+    known = F.filter(F.flatten(F.transform("all", lambda r: r["stops"])), lambda x: x["delay"].isNotNull() & (F.trim(x["station"]) != ""))
+    named = F.transform(known, lambda x: F.struct(F.lower(F.trim(x["station"])).alias("station"), x["delay"].alias("delay")))
+    days = days.withColumn("known", named).withColumn("names", F.array_distinct(F.transform("known", lambda x: x["station"])))
+    first = F.transform("names", lambda n: F.get(F.filter("known", lambda x: x["station"] == n), 0)["delay"])
+    return days.withColumn("delays", F.map_from_arrays("names", first)).drop("all", "known", "names")
+
+
 def station_delays(clean: DataFrame) -> DataFrame:
     """(train, date, station) -> delay of the first ride that has it."""
     return clean.groupBy("train", "date", "station").agg(F.min_by("delay", F.struct("ride_id", "station_num")).alias("delay"))
@@ -75,26 +104,55 @@ def baseline(days: DataFrame) -> DataFrame:
     )
 
 
-def segment(clean: DataFrame) -> DataFrame:
-    """Delays at the end of each segment between neighbouring stops: median, p10, p90, share of at least 15 minutes, cancelled."""
-    w = Window.partitionBy("ride_id").orderBy("station_num")
-    rows = clean.withColumn("from_station", F.lag("state").over(w)).where("from_station is not null")
-    d = F.when(~F.col("is_canceled"), F.when(F.col("delay").isNotNull(), F.greatest("delay", F.lit(0.0))))
-    return rows.groupBy("from_station", F.col("state").alias("to_station")).agg(
-        F.round(F.percentile(d, 0.5), 3).alias("median"), F.round(F.percentile(d, 0.1), 3).alias("p10"), F.round(F.percentile(d, 0.9), 3).alias("p90"),
-        F.round(F.avg(F.when(d.isNotNull(), F.when(d >= 15, 1.0).otherwise(0.0))), 4).alias("prob_ge15"), F.count_if("is_canceled").alias("canceled"),
+def segments(asked: DataFrame, details: DataFrame, n_days: int = 10) -> DataFrame:
+    """For each asked (train, origin, destination): delays at the destination over the train's last days, or why there are none.
+
+    ``details`` are those of ``train_day_details``. The route is the train's
+    longest day; a station off it gives an error, as does a destination that no
+    recent day knows. A query reads its destination in the days' maps, so that
+    pairs of stations are never listed. A cancelled day counts, without delay.
+    """
+    w = Window.partitionBy("train")
+    route = F.max_by("sample", F.struct("n_stops", "date")).over(w)
+    recent = details.withColumn("route", route).withColumn("k", F.row_number().over(w.orderBy(F.desc("date")))).where(F.col("k") <= n_days)
+    trains = recent.groupBy("train").agg(F.first("route").alias("route"), F.collect_list(F.struct("date", "canceled", F.map_entries("delays").alias("d"))).alias("days"))
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    met = asked.join(trains, "train", "left").withColumn("names", F.transform("route", lambda x: F.lower(F.trim(x["station"]))))
+    there = lambda c: F.coalesce(F.array_contains("names", key(c)), F.lit(False))
+    at = F.transform("days", lambda x: F.struct(x["date"].alias("date"), x["canceled"].alias("canceled"), F.get(F.filter(x["d"], lambda e: e["key"] == key("destination")), 0)["value"].alias("delay")))
+    found = met.withColumn("at", F.filter(at, lambda x: x["delay"].isNotNull() & (x["canceled"] | (x["delay"] != -1))))
+    ran = F.filter("at", lambda x: ~x["canceled"])
+    found = found.withColumn("samples", F.transform(ran, lambda x: F.greatest(x["delay"], F.lit(0.0)))).withColumn("canceled_days", F.size(F.filter("at", lambda x: x["canceled"])).cast("long"))
+    error = F.when(~there("origin"), "from_not_in_route").when(~there("destination"), "to_not_in_route").when(F.size("at") == 0, "no_segment_data")
+    n = F.size("samples").cast("long")
+    ok = error.isNull()
+    return found.withColumn("s", F.array_sort("samples")).select(
+        "train", "origin", "destination", error.alias("error"), F.when(ok, n).alias("n_days"), F.when(ok, F.col("canceled_days")).alias("canceled_days"),
+        *(F.when(ok & (n > 0), F.round(quantile_of_sorted(F.col("s"), q), 2)).alias(name) for name, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))),
+        F.when(ok & (n > 0), F.round(F.size(F.filter("s", lambda x: x >= 15)) / n, 4)).alias("prob_ge15"),
     )
 
 
+def quantile_of_sorted(values: Column, q: float) -> Column:
+    """The quantile of a sorted array, between two values in proportion."""
+    place = (F.size(values) - 1) * q
+    low = F.floor(place).cast("int")
+    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return a + (b - a) * (place - low)
+
+
 def cancel_probability(of_rides: DataFrame, days: int = 20, least: int = 5) -> DataFrame:
     """Share of rides cancelled at their first stop over each train's last dates; of rides into its main state, else of all."""
-    recent = last_dates(of_rides, days)
-    main = recent.groupBy("train", "last_state").agg(F.count("*").alias("n")).groupBy("train").agg(F.min_by("last_state", F.struct(-F.col("n"), F.col("last_state"))).alias("main"))
-    rows = recent.join(main, "train")
-    same = F.col("last_state") == F.col("main")
-    per = rows.groupBy("train").agg(F.count_if(same).alias("n_same"), F.count_if(same & F.col("first_canceled")).alias("c_same"), F.count("*").alias("n_all"), F.count_if("first_canceled").alias("c_all"))
-    use = F.col("n_same") >= least
-    return per.select("train", F.round(F.when(use, F.col("c_same") / F.col("n_same")).otherwise(F.col("c_all") / F.col("n_all")), 4).alias("prob"), use.alias("same_state"), F.when(use, F.col("n_same")).otherwise(F.col("n_all")).alias("n"))
+    # one exchange: dates, their rank and the train are all grouped within the train
+    dates = of_rides.repartition("train").groupBy("train", "date").agg(F.collect_list(F.struct(F.col("last_state").alias("state"), F.col("first_canceled").alias("canceled"))).alias("r"))
+    recent = dates.withColumn("k", F.row_number().over(Window.partitionBy("train").orderBy(F.desc("date")))).where(F.col("k") <= days)
+    per = recent.groupBy("train").agg(F.flatten(F.collect_list("r")).alias("r"))
+    states = F.filter(F.array_distinct(F.transform("r", lambda x: x["state"])), lambda s: s.isNotNull())
+    main = F.array_min(F.transform(states, lambda s: F.struct((-F.size(F.filter("r", lambda x: x["state"] == s))).alias("less"), s.alias("state"))))["state"]
+    per = per.withColumn("main", main).withColumn("same", F.filter("r", lambda x: x["state"] == F.col("main")))
+    use = F.size("same") >= least
+    per = per.withColumn("of", F.when(use, F.col("same")).otherwise(F.col("r")))
+    return per.select("train", F.round(F.size(F.filter("of", lambda x: x["canceled"])) / F.size("of"), 4).alias("prob"), use.alias("same_state"), F.size("of").cast("long").alias("n"))
 
 
 def last_dates(rows: DataFrame, n: int) -> DataFrame:
@@ -114,14 +172,15 @@ def ride_list(of_rides: DataFrame) -> DataFrame:
     return of_rides.groupBy("line", "first_station", "dep_min").agg(F.count_distinct("date").alias("days"), F.min("ride_id").alias("ride_id"))
 
 
-def templates(clean: DataFrame, least_stops: int = 5, least: int = 3, k: int = 10) -> DataFrame:
-    """Distinct sequences of stops of each line (adjacent repeats are one), those seen often, the most frequent first."""
+def templates(stops: DataFrame, least_stops: int = 5, least: int = 3, k: int = 10, station: str = "state", minute: str = "plan_min") -> DataFrame:
+    """(line, k, stations, times, n, first_ride): distinct sequences of stops of each line (adjacent repeats are one), those seen often, the most frequent first; times are the first ride's (-1: unknown)."""
     w = Window.partitionBy("ride_id").orderBy("station_num")
-    steps = clean.withColumn("before", F.lag("state").over(w)).where("before is null or before <> state")
-    way = F.transform(F.array_sort(F.collect_list(F.struct("station_num", "state"))), lambda x: x["state"])
-    seen = steps.groupBy("ride_id", "line").agg(F.array_join(way, ">").alias("route"), F.count("*").alias("n_stops"))
-    counts = seen.where(F.col("n_stops") >= least_stops).groupBy("line", "route").agg(F.count("*").alias("n"), F.min("ride_id").alias("first_ride")).where(F.col("n") >= least)
-    ranked = Window.partitionBy("line").orderBy(F.desc("n"), "route")
+    steps = stops.withColumn("before", F.lag(station).over(w)).where(f"before is null or before <> {station}")
+    calls = F.array_sort(F.collect_list(F.struct("station_num", F.col(station).alias("s"), F.coalesce(minute, F.lit(-1)).alias("m"))))
+    seen = steps.groupBy("ride_id", "line").agg(calls.alias("c")).where(F.size("c") >= least_stops)
+    ways = seen.select("line", "ride_id", F.transform("c", lambda x: x["s"]).alias("stations"), F.transform("c", lambda x: x["m"]).alias("times"))
+    counts = ways.groupBy("line", "stations").agg(F.count("*").alias("n"), F.min("ride_id").alias("first_ride"), F.min_by("times", "ride_id").alias("times")).where(F.col("n") >= least)
+    ranked = Window.partitionBy("line").orderBy(F.desc("n"), F.array_join("stations", ">"))
     return counts.withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= k)
 
 
@@ -148,44 +207,84 @@ def smoothed_states(clean: DataFrame) -> DataFrame:
     return rows.withColumn("smooth", F.when(F.coalesce(agree, F.lit(False)), pick).otherwise(F.col("state"))).drop("a", "b")
 
 
-def fingerprint(smoothed: DataFrame, k: int = 4, least: float = 0.05) -> DataFrame:
-    """The states of a line: at most k, with at least this share of the leader's votes."""
-    votes = smoothed.groupBy("line", F.col("smooth").alias("state")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("line")
+def fingerprint(smoothed: DataFrame, k: int = 4, least: float = 0.05, keys: tuple[str, ...] = ("line",)) -> DataFrame:
+    """The states of a line (or of other keys), in order: at most k, with at least this share of the leader's votes."""
+    votes = smoothed.groupBy(*keys, F.col("smooth").alias("state")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
     ranked = votes.withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "state"))).withColumn("top", F.max("n").over(w))
     kept = ranked.where((F.col("k") <= k) & (F.col("n") >= least * F.col("top")))
-    return kept.groupBy("line").agg(F.array_join(F.array_sort(F.collect_list("state")), ",").alias("states"))
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("state")).alias("states"))
 
 
-def main_states(day_states: DataFrame, overlap: float = 0.6) -> DataFrame:
-    """Days (train, date, states) that agree with the train's main states: those on half of the days that have the most frequent state."""
+def main_set(day_states: DataFrame) -> DataFrame:
+    """(train, main): the states on half of those days (train, date, states) that have the train's most frequent state."""
     each = day_states.select("train", "date", F.explode("states").alias("state"))
     seed = each.groupBy("train", "state").agg(F.count("*").alias("n")).groupBy("train").agg(F.min_by("state", F.struct(-F.col("n"), F.col("state"))).alias("seed"))
     seeded = day_states.join(seed, "train").where(F.array_contains("states", F.col("seed")))
     days = seeded.groupBy("train").agg(F.count("*").alias("days"))
-    mains = (
+    return (
         seeded.select("train", F.explode("states").alias("state")).groupBy("train", "state").agg(F.count("*").alias("n")).join(days, "train")
         .where(F.col("n") >= 0.5 * F.col("days")).groupBy("train").agg(F.array_sort(F.collect_list("state")).alias("main"))
     )
-    share = F.size(F.array_intersect("states", "main")) / F.size("states")
-    return day_states.join(mains, "train").select("train", "date", F.array_join("main", ",").alias("main"), F.round(share, 4).alias("share"), (share >= overlap).alias("kept"))
 
 
-def coverage(days: DataFrame) -> DataFrame:
-    """A row for each train: days with data, days limited to few stops, span, and the days cancelled."""
-    return days.groupBy("train").agg(
-        F.count("*").alias("days"), F.count_if(F.col("n_stops") < 3).alias("limited"), F.min("date").alias("first"), F.max("date").alias("last"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("end_delay") < -10, F.col("date").cast("string")))), ",").alias("early_days"),
+def main_states(day_states: DataFrame, overlap: float = 0.6) -> DataFrame:
+    """Days (train, date, states) that agree with the train's main states."""
+    share = F.size(F.array_intersect("states", "main")) / F.size("states")
+    return day_states.join(main_set(day_states), "train").select("train", "date", F.array_join("main", ",").alias("main"), F.round(share, 4).alias("share"), (share >= overlap).alias("kept"))
+
+
+def gap_fill(live: DataFrame, history: DataFrame, mains: DataFrame, today: str) -> DataFrame:
+    """Live days (train, date, end_delay), and past days of the history (with state: that of the station of the largest delay) that no live day has.
+
+    A history day of a known state that is not among the train's main states
+    belongs to another line of that name and is left out; a day of unknown
+    state, or of a train without main states, stays.
+    """
+    past = history.where(F.col("date") < F.lit(today).cast("date")).join(live.select("train", "date"), ["train", "date"], "left_anti")
+    same_line = F.col("state").isNull() | F.col("main").isNull() | F.array_contains("main", F.col("state"))
+    added = past.join(mains, "train", "left").where(same_line)
+    columns = ("train", "date", "end_delay")
+    return live.select(*columns, F.lit("live").alias("source")).unionByName(added.select(*columns, F.lit("history").alias("source")))
+
+
+def coverage(details: DataFrame) -> DataFrame:
+    """A row for each train: days, those with an end delay, those limited to few stops, the span of days with data, and the days cancelled."""
+    valid = F.col("end_delay").isNotNull()
+    return details.groupBy("train").agg(
+        F.count("*").alias("days"), F.count_if(valid).alias("valid"), F.count_if(F.col("n_stops") < 3).alias("limited"),
+        F.min(F.when(valid, F.col("date"))).alias("first"), F.max(F.when(valid, F.col("date"))).alias("last"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("canceled"), F.col("date").cast("string")))), ",").alias("canceled_days"),
     )
 
 
-def ride_for_query(asked: DataFrame, clean: DataFrame, furthest: int = 90) -> DataFrame:
-    """For (query, line, date, state, minute, destination): the line's ride of that day whose stop there is nearest in time, within the limit, and that goes on to the destination (if one is given)."""
-    calls = clean.groupBy("line", "date", "ride_id", "state").agg(F.min_by("plan_min", "station_num").alias("plan_min"), F.min("station_num").alias("first_num"), F.max("station_num").alias("last_num"))
-    goals = calls.select("ride_id", F.col("state").alias("goal"), F.col("last_num").alias("goal_num"))
-    there = asked.join(calls, ["line", "date", "state"]).join(goals, ["ride_id"], "left").where("destination is null or (goal = destination and goal_num > first_num)")
-    gap = F.abs(F.col("minute") - F.col("plan_min"))
-    return there.drop("goal", "goal_num").distinct().withColumn("gap", gap).where(F.col("gap") <= furthest).groupBy("query").agg(F.min_by("ride_id", F.struct("gap", "ride_id")).alias("ride_id"), F.min("gap").alias("gap"))
+def rides_of_days(clean: DataFrame) -> DataFrame:
+    """(line, date, rides): each ride of a line's day with its calls, one for each state: the first minute and number there, and the last number."""
+    call = clean.groupBy("line", "date", "ride_id", "state").agg(F.min_by("plan_min", "station_num").alias("minute"), F.min("station_num").alias("first_num"), F.max("station_num").alias("last_num"))
+    ride = call.groupBy("line", "date", "ride_id").agg(F.collect_list(F.struct("state", "minute", "first_num", "last_num")).alias("calls"))
+    return ride.groupBy("line", "date").agg(F.collect_list(F.struct("ride_id", "calls")).alias("rides"))
+
+
+def nearest_ride(furthest: int = 90) -> Column:
+    """Of ``rides`` the (gap, ride_id) whose call at ``state`` is nearest to ``minute``, within the limit, and that goes on to ``destination`` (if there is one)."""
+    def offer(r: Column) -> Column:
+        here = F.get(F.filter(r["calls"], lambda c: c["state"] == F.col("state")), 0)
+        on = F.col("destination").isNull() | F.exists(r["calls"], lambda c: (c["state"] == F.col("destination")) & (c["last_num"] > here["first_num"]))
+        gap = F.abs(F.col("minute") - here["minute"])
+        return F.when(on & (gap <= furthest), F.struct(gap.alias("gap"), r["ride_id"].alias("ride_id")))
+
+    return F.array_min(F.filter(F.transform("rides", offer), lambda x: x.isNotNull()))
+
+
+def ride_for_query(asked: DataFrame, days: DataFrame, furthest: int = 90) -> DataFrame:
+    """For (query, line, date, state, minute, destination) the nearest ride of that line's day (``rides_of_days``)."""
+    return nearest_rides(asked.join(days, ["line", "date"]), furthest)
+
+
+def nearest_rides(asked: DataFrame, furthest: int = 90) -> DataFrame:
+    """``ride_for_query`` where each query has its day's ``rides`` already."""
+    found = asked.withColumn("best", nearest_ride(furthest)).where("best is not null")
+    return found.select("query", "best.ride_id", "best.gap")
 
 
 def prediction_errors(predictions: DataFrame, days: DataFrame, today: str) -> DataFrame:
@@ -231,12 +330,29 @@ def reference_route(clean: DataFrame) -> DataFrame:
     return best.select("train", F.col("b.date").alias("date"), F.transform("b.s", lambda x: x["station"]).alias("stations"))
 
 
-def curves(clean: DataFrame, n_days: int = 3) -> DataFrame:
-    """Each train's last days over the stations of its reference route: the delay, and whether the train ran without stopping there."""
-    route = reference_route(clean).select("train", F.posexplode("stations").alias("pos", "station"))
-    days = last_dates(clean.select("train", "date").distinct(), n_days)
-    cells = days.join(route, "train").join(station_delays(clean), ["train", "date", "station"], "left")
-    return cells.select("train", "date", "pos", "station", charted(F.col("delay")).alias("delay"), F.col("delay").isNull().alias("skipped"))
+def curves(details: DataFrame, n_days: int = 3, n_earlier: int = 3) -> DataFrame:
+    """Each train's last days over the stations of its longest day: the delay as charted, and whether the train ran without stopping there.
+
+    Where all these days ended without delay, up to ``n_earlier`` earlier days
+    that were late (and know some station's delay) come as ``historical`` ones.
+    One pass over the days (``train_day_details``): each train's window depends
+    on its own rows.
+    """
+    by = Window.partitionBy("train")
+    newest = by.orderBy(F.desc("date"))
+    days = details.withColumn("route", F.max_by("sample", F.struct("n_stops", "date")).over(by)).withColumn("k", F.row_number().over(newest))
+    recent, late = F.col("k") <= n_days, F.coalesce(F.col("end_delay") > 0, F.lit(False))
+    days = days.withColumn("moved", F.bool_or(recent & (F.coalesce("end_delay", F.lit(0.0)) != 0)).over(by))
+    days = days.withColumn("e", F.sum(F.when(~recent & late, 1).otherwise(0)).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    days = days.where(recent | (~F.col("moved") & late & (F.col("e") <= n_earlier)))
+    own = F.transform("sample", lambda x: F.lower(F.trim(x["station"])))
+    here = F.array_union(own, F.map_keys("delays"))
+    cells = days.select("train", "date", (~recent).alias("historical"), "canceled", "delays", here.alias("here"), F.posexplode("route").alias("pos", "call"))
+    name = F.lower(F.trim(F.col("call.station")))
+    delay = F.when(~F.col("canceled"), charted(F.element_at("delays", name)))
+    cells = cells.select("train", "date", "historical", "pos", F.col("call.station").alias("station"), delay.alias("delay"), (~F.array_contains("here", name)).alias("skipped"))
+    known = F.count("delay").over(Window.partitionBy("train", "date"))
+    return cells.withColumn("known", known).where("not historical or known > 0").drop("known")
 
 
 def last_actual(days: DataFrame, today: str) -> DataFrame:
@@ -288,15 +404,36 @@ def route_region(stops: DataFrame, regions: DataFrame) -> DataFrame:
     return known.groupBy("ride_id").agg(F.max_by("known_region", "station_num").alias("region"))
 
 
-def corrected_destination(asked: DataFrame, of_rides: DataFrame) -> DataFrame:
-    """Destinations that a train never had are replaced by its most frequent terminal."""
-    seen = of_rides.groupBy("train", F.col("last_state").alias("dest")).agg(F.count("*").alias("n"))
-    usual = seen.groupBy("train").agg(F.min_by("dest", F.struct(-F.col("n"), F.col("dest"))).alias("usual"))
-    known = seen.select("train", "dest", F.lit(True).alias("known"))
-    return asked.join(known, ["train", "dest"], "left").join(usual, "train", "left").select("train", "dest", F.coalesce(F.when(F.col("known"), F.col("dest")), "usual", "dest").alias("corrected"), F.col("known").isNull().alias("conflict"))
-
-
-def decomposed(predictions: DataFrame, shares: DataFrame) -> DataFrame:
-    """Minutes of a prediction by cause, the largest first."""
-    w = Window.partitionBy("train").orderBy(F.desc("minutes"), "category")
-    return predictions.join(shares, "train").withColumn("minutes", F.round(F.col("value") * F.col("pct") / 100 + 1e-9, 3)).withColumn("rank", F.row_number().over(w)).select("train", "category", "minutes", "rank")
+def corrected_destination(asked: DataFrame, of_rides: DataFrame, seen: DataFrame, mains: DataFrame) -> DataFrame:
+    """(train, dest, corrected, conflict): destinations outside the train's main states, or where the train never stops, are replaced by its most frequent terminal within them.
+
+    ``asked`` has train, dest and state (null if unknown: only the second test
+    applies), ``seen`` the (train, station) that the train stops at, ``mains``
+    (train, main). Without such a terminal, or main states, the destination stays.
+    """
+    ends = of_rides.join(mains, "train").where(F.array_contains("main", F.col("last_state"))).groupBy("train", "last_station").agg(F.count("*").alias("n"))
+    usual = ends.groupBy("train").agg(F.min_by("last_station", F.struct(-F.col("n"), F.col("last_station"))).alias("usual"))
+    known = seen.select("train", F.col("station").alias("dest"), F.lit(True).alias("known")).distinct()
+    met = asked.join(known, ["train", "dest"], "left").join(mains, "train", "left").join(usual, "train", "left")
+    outside = F.coalesce(~F.array_contains("main", F.col("state")), F.lit(False))
+    wrong = F.col("main").isNotNull() & (outside | F.col("known").isNull())
+    corrected = F.when(wrong, F.coalesce("usual", "dest")).otherwise(F.col("dest"))
+    return met.select("train", "dest", corrected.alias("corrected"), (corrected != F.col("dest")).alias("conflict"))
+
+
+def decomposed(predictions: DataFrame, own: DataFrame, of_line: DataFrame, overall: DataFrame, least: int = 8) -> DataFrame:
+    """Minutes of each prediction (train, line, value) by cause, the largest first, and whose shares they rest on.
+
+    ``own`` has train, coded (stops with a code), category and pct, ``of_line``
+    line, category and pct, ``overall`` category and pct. A train of enough
+    coded stops has its own shares, else its line's if there are any, else the
+    network's.
+    """
+    listed = lambda rows, key, name: rows.groupBy(key).agg(F.collect_list(F.struct("category", "pct")).alias(name))
+    network = overall.agg(F.collect_list(F.struct("category", "pct")).alias("all_shares"))
+    met = predictions.join(listed(own.where(F.col("coded") >= least), "train", "own_shares"), "train", "left").join(listed(of_line, "line", "line_shares"), "line", "left").join(F.broadcast(network))
+    tier = F.when(F.col("own_shares").isNotNull(), "train").when(F.col("line_shares").isNotNull(), "line").otherwise("network")
+    rows = met.select("train", "line", "value", tier.alias("tier"), F.explode(F.coalesce("own_shares", "line_shares", "all_shares")).alias("s"))
+    rows = rows.select("train", "line", "tier", "s.category", F.round(F.col("value") * F.col("s.pct") / 100 + 1e-9, 3).alias("minutes"))
+    w = Window.partitionBy("train", "line").orderBy(F.desc("minutes"), "category")
+    return rows.withColumn("rank", F.row_number().over(w))

@@ -24,6 +24,23 @@ def days(m):
     return rides.train_days(of_rides(m))
 
 
+def details(m, station="station"):
+    return rides.train_day_details(clean(m), station)
+
+
+def by_state(sql):
+    """The entity of states where ``cte`` has stations: trains pass few states, so they meet."""
+    return sql.replace("clean AS (SELECT * FROM (SELECT *,", "clean AS (SELECT * REPLACE (state AS station) FROM (SELECT *,")
+
+
+def said(calls, station, delay):
+    """An array of stations with delays as text."""
+    return F.array_join(F.transform(calls, lambda x: F.concat(x[station], F.lit("="), x[delay].cast("int").cast("string"))), "|")
+
+
+SAID = "array_to_string(list_transform({0}, lambda x: concat(x.station, '=', CAST(x.delay AS INTEGER))), '|')"
+
+
 @query("w04_monotone_stops", cte("clean") + """SELECT ride_id, station_num, plan_min FROM (SELECT *, max(plan_min) OVER (PARTITION BY ride_id ORDER BY station_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM clean) WHERE b IS NULL OR plan_min > b""")
 def w04(m):
     return rides.monotone(clean(m)).select("ride_id", "station_num", "plan_min")
@@ -34,9 +51,9 @@ def a31(m):
     return of_rides(m)
 
 
-@query("a32_train_days", cte("days") + "SELECT * FROM days", dates=("date",))
+@query("a32_train_days", cte("details") + f"SELECT * REPLACE ({SAID.format('sample')} AS sample, {SAID.format('delays')} AS delays) FROM details", dates=("date",))
 def a32(m):
-    return days(m)
+    return details(m).withColumn("sample", said("sample", "station", "delay")).withColumn("delays", said(F.array_sort(F.map_entries("delays")), "key", "value"))
 
 
 @query("a48_station_delays", cte("clean") + """, dd AS (SELECT train, date FROM (SELECT train, date, dense_rank() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM (SELECT DISTINCT train, date FROM clean)) WHERE k <= 10),
@@ -55,11 +72,27 @@ def a33(m):
     return rides.baseline(days(m))
 
 
-@query("a34_segment_statistics", cte("clean") + """, s AS (SELECT *, lag(state) OVER (PARTITION BY ride_id ORDER BY station_num) AS f, CASE WHEN NOT is_canceled THEN greatest(delay, 0) END AS d FROM clean)
-SELECT f AS from_station, state AS to_station, round(quantile_cont(d, 0.5), 3) AS median, round(quantile_cont(d, 0.1), 3) AS p10, round(quantile_cont(d, 0.9), 3) AS p90,
-round(avg(CASE WHEN d >= 15 THEN 1.0 WHEN d IS NOT NULL THEN 0.0 END), 4) AS prob_ge15, count(*) FILTER (is_canceled) AS canceled FROM s WHERE f IS NOT NULL GROUP BY f, state""")
+ASKED = """, ends AS (SELECT DISTINCT train, min_by(station, station_num) OVER (PARTITION BY ride_id) AS a, max_by(station, station_num) OVER (PARTITION BY ride_id) AS b FROM clean),
+asked AS (SELECT train, a AS origin, b AS destination FROM ends UNION SELECT train, b, a FROM ends UNION SELECT train, a, 'Nowhere' FROM ends)"""
+SEGMENTS = """, rt AS (SELECT train, list_transform(max_by(sample, struct_pack(a := n_stops, b := date)), lambda x: lower(x.station)) AS names FROM details GROUP BY train),
+rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM details) WHERE k <= 10),
+dl AS (SELECT train, date, canceled, unnest(delays) AS e FROM rc), v AS (SELECT a.train, a.origin, a.destination, canceled, greatest(e.delay, 0) AS d FROM asked a JOIN dl ON a.train = dl.train AND e.station = lower(a.destination) WHERE canceled OR e.delay <> -1),
+g AS (SELECT train, origin, destination, count(*) FILTER (NOT canceled) AS n_days, count(*) FILTER (canceled) AS canceled_days, round(quantile_cont(d, 0.5) FILTER (NOT canceled), 2) AS median, round(quantile_cont(d, 0.1) FILTER (NOT canceled), 2) AS p10,
+  round(quantile_cont(d, 0.9) FILTER (NOT canceled), 2) AS p90, round(avg(CASE WHEN d >= 15 THEN 1.0 ELSE 0.0 END) FILTER (NOT canceled), 4) AS prob_ge15 FROM v GROUP BY 1, 2, 3),
+er AS (SELECT a.*, CASE WHEN NOT list_contains(names, lower(a.origin)) THEN 'from_not_in_route' WHEN NOT list_contains(names, lower(a.destination)) THEN 'to_not_in_route' WHEN g.train IS NULL THEN 'no_segment_data' END AS error, n_days, canceled_days, median, p10, p90, prob_ge15
+  FROM asked a JOIN rt ON a.train = rt.train LEFT JOIN g ON a.train = g.train AND a.origin = g.origin AND a.destination = g.destination)
+SELECT train, origin, destination, error, CASE WHEN error IS NULL THEN n_days END AS n_days, CASE WHEN error IS NULL THEN canceled_days END AS canceled_days, CASE WHEN error IS NULL THEN median END AS median, CASE WHEN error IS NULL THEN p10 END AS p10,
+  CASE WHEN error IS NULL THEN p90 END AS p90, CASE WHEN error IS NULL THEN prob_ge15 END AS prob_ge15 FROM er"""
+
+
+@query("a34_segment_statistics", by_state(cte("details")) + ASKED + SEGMENTS)
 def a34(m):
-    return rides.segment(clean(m))
+    """Asked: from each ride's first state to its last one, back, and to nowhere."""
+    days = details(m, "state")
+    ends = clean(m).groupBy("ride_id", "train").agg(F.min_by("state", "station_num").alias("a"), F.max_by("state", "station_num").alias("b"))
+    pair = lambda a, b: F.struct(F.col("a").alias("origin") if a == "a" else F.col("b").alias("origin"), b.alias("destination"))
+    asked = ends.select("train", F.explode(F.array(pair("a", F.col("b")), pair("b", F.col("a")), pair("a", F.lit("Nowhere")))).alias("q")).select("train", "q.*").distinct()
+    return rides.segments(asked, days)
 
 
 @query("a35_cancel_probability", cte("rides") + """, r AS (SELECT *, dense_rank() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM rides), l AS (SELECT * FROM r WHERE k <= 20),
@@ -80,19 +113,31 @@ def a37(m):
     return rides.ride_list(of_rides(m))
 
 
-TEMPLATES = """, s AS (SELECT *, lag(state) OVER (PARTITION BY ride_id ORDER BY station_num) AS b FROM clean), r AS (SELECT ride_id, line, string_agg(state, '>' ORDER BY station_num) AS route, count(*) AS c FROM s WHERE b IS NULL OR b <> state GROUP BY 1, 2),
-t AS (SELECT line, route, count(*) AS n, min(ride_id) AS first_ride FROM r WHERE c >= 1 GROUP BY 1, 2 HAVING count(*) >= 3), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY line ORDER BY n DESC, route) AS INTEGER) AS k FROM t) SELECT * FROM k WHERE k <= 10"""
+def templates_sql(rows: str, station: str, minute: str, least_stops: int) -> str:
+    return f""", s AS (SELECT *, lag({station}) OVER (PARTITION BY ride_id ORDER BY station_num) AS b FROM {rows}),
+r AS (SELECT ride_id, line, list({station} ORDER BY station_num) AS stations, list(coalesce({minute}, -1) ORDER BY station_num) AS times FROM s WHERE b IS NULL OR b <> {station} GROUP BY 1, 2),
+t AS (SELECT line, stations, count(*) AS n, min(ride_id) AS first_ride, min_by(times, ride_id) AS times FROM r WHERE len(stations) >= {least_stops} GROUP BY 1, 2 HAVING count(*) >= 3),
+tpl AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY line ORDER BY n DESC, array_to_string(stations, '>')) AS INTEGER) AS k FROM t) WHERE k <= 10)
+"""
+
+
+TEMPLATE_ROWS = "SELECT line, k, n, first_ride, array_to_string(stations, '>') AS route, array_to_string(times, '>') AS times FROM tpl"
+
+
+def shown(templates):
+    return templates.select("line", "k", "n", "first_ride", F.array_join("stations", ">").alias("route"), F.array_join(F.transform("times", lambda x: x.cast("string")), ">").alias("times"))
 
 
-@query("a38_trip_templates", cte("clean") + TEMPLATES.replace("c >= 1", "c >= 5"))
+@query("a38_trip_templates", cte("patterned") + templates_sql("patterned", "station", "minute", 5) + TEMPLATE_ROWS)
 def a38(m):
-    return rides.templates(clean(m))
+    """With the contract's thresholds, over rides that follow the ways of their line."""
+    return shown(rides.templates(m.patterned, station="station", minute="minute"))
 
 
-@query("a38_short_trip_templates", cte("clean") + TEMPLATES)
+@query("a38_short_trip_templates", cte("clean") + templates_sql("clean", "state", "plan_min", 1) + TEMPLATE_ROWS)
 def a38b(m):
-    """As a38, of any length: rides of the given tables are short."""
-    return rides.templates(clean(m), least_stops=1)
+    """As a38, of any length, over the states that rides pass."""
+    return shown(rides.templates(clean(m), least_stops=1))
 
 
 @query("a25_line_statistics", cte("rides") + """, p AS (SELECT line, count(*) AS rides, round(avg(end_delay), 4) AS avg_delay, round(quantile_cont(end_delay, 0.95), 4) AS p95, round(100.0 * count(*) FILTER (end_delay = 0) / count(*), 4) AS zero_pct,
@@ -115,7 +160,7 @@ def w06(m):
 @query("a40_line_fingerprint", cte("clean") + SMOOTH + """, v AS (SELECT line, smooth AS state, count(*) AS n FROM sm GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY n DESC, state) AS k, max(n) OVER (PARTITION BY line) AS top FROM v)
 SELECT line, string_agg(state, ',' ORDER BY state) AS states FROM k WHERE k <= 4 AND n >= 0.05 * top GROUP BY line""")
 def a40(m):
-    return rides.fingerprint(rides.smoothed_states(clean(m)))
+    return rides.fingerprint(rides.smoothed_states(clean(m))).withColumn("states", F.array_join("states", ","))
 
 
 @query("a41_main_states", cte("stops") + """, d AS (SELECT train, date, list_sort(list(DISTINCT state)) AS states FROM stops GROUP BY 1, 2), e AS (SELECT train, date, unnest(states) AS state FROM d), c AS (SELECT train, state, count(*) AS n FROM e GROUP BY 1, 2),
@@ -141,19 +186,32 @@ def a46(m):
     return rides.parity(days(m), source)
 
 
-@query("a47_coverage", cte("days") + """SELECT train, count(*) AS days, count(*) FILTER (n_stops < 3) AS limited, min(date) AS first, max(date) AS last, coalesce(string_agg(CAST(date AS VARCHAR), ',' ORDER BY date) FILTER (end_delay < -10), '') AS early_days FROM days GROUP BY train""", dates=("first", "last",))
+@query("a47_coverage", cte("details") + """SELECT train, count(*) AS days, count(end_delay) AS valid, count(*) FILTER (n_stops < 3) AS limited, min(date) FILTER (end_delay IS NOT NULL) AS first, max(date) FILTER (end_delay IS NOT NULL) AS last,
+coalesce(string_agg(CAST(date AS VARCHAR), ',' ORDER BY date) FILTER (canceled), '') AS canceled_days FROM details GROUP BY train""", dates=("first", "last",))
 def a47(m):
-    return rides.coverage(days(m))
+    return rides.coverage(details(m))
 
 
-SHARES = f"""c AS (SELECT train, {rules.sql_code_category('code')} AS category, count(*) AS n FROM stops GROUP BY 1, 2), s AS (SELECT train, category, round(100 * (n / sum(n) OVER (PARTITION BY train)), 4) AS pct FROM c)"""
+def shares_sql(name: str, by: str, where: str, having: str = "") -> str:
+    """Shares of causes of the coded stops of each ``by``."""
+    keys = f"{by}, " if by else ""
+    over = f"PARTITION BY {by}" if by else ""
+    return f"""{name} AS (SELECT {keys}category, sum(n) OVER ({over}) AS coded, 100 * (n / sum(n) OVER ({over})) AS pct FROM (SELECT {keys}{rules.sql_code_category('code')} AS category, count(*) AS n FROM stops WHERE {where} GROUP BY {keys}category))"""
 
 
-@query("a49_decomposed_prediction", cte("days", "stops") + f""", {SHARES}, p AS (SELECT train, round(avg(end_delay), 4) AS value FROM days GROUP BY train), x AS (SELECT s.train, category, round(value * pct / 100 + 1e-9, 3) AS minutes FROM s JOIN p ON s.train = p.train)
-SELECT *, CAST(row_number() OVER (PARTITION BY train ORDER BY minutes DESC, category) AS INTEGER) AS rank FROM x""")
+@query("a49_decomposed_prediction", cte("days", "stops") + f""", {shares_sql('o', 'train', 'code < 20')}, {shares_sql('l0', 'line', 'code < 10')}, l AS (SELECT * FROM l0 WHERE coded >= 4), {shares_sql('a', '', 'true')},
+p AS (SELECT t.train, t.line, value FROM (SELECT DISTINCT train, line FROM stops) t JOIN (SELECT train, round(avg(end_delay), 4) AS value FROM days GROUP BY train) v ON t.train = v.train),
+ti AS (SELECT p.*, CASE WHEN train IN (SELECT train FROM o WHERE coded >= 8) THEN 'train' WHEN line IN (SELECT line FROM l) THEN 'line' ELSE 'network' END AS tier FROM p),
+x AS (SELECT ti.train, ti.line, tier, category, value, pct FROM ti JOIN o ON tier = 'train' AND ti.train = o.train UNION ALL SELECT ti.train, ti.line, tier, category, value, pct FROM ti JOIN l ON tier = 'line' AND ti.line = l.line
+  UNION ALL SELECT ti.train, ti.line, tier, category, value, pct FROM ti JOIN a ON tier = 'network'),
+m AS (SELECT train, line, tier, category, round(value * pct / 100 + 1e-9, 3) AS minutes FROM x)
+SELECT *, CAST(row_number() OVER (PARTITION BY train, line ORDER BY minutes DESC, category) AS INTEGER) AS rank FROM m""")
 def a49(m):
+    """Codes under 20 count for trains, under 10 for lines of four such stops, so that each tier has its cases."""
     value = days(m).groupBy("train").agg(F.round(F.avg("end_delay"), 4).alias("value"))
-    return rides.decomposed(value, causes.train_causes(m.stops).select("train", "category", "pct"))
+    predictions = m.stops.select("train", "line").distinct().join(value, "train")
+    own, line = causes.coded_shares(m.stops.where("code < 20"), "train"), causes.coded_shares(m.stops.where("code < 10"), "line").where("coded >= 4")
+    return rides.decomposed(predictions, own, line, causes.coded_shares(m.stops))
 
 
 @query("w05_mixed_days", cte("clean") + """SELECT train, date, bool_or(coalesce(lag - plan_min > 15, false)) AS mixed FROM (SELECT *, lag(plan_min) OVER (PARTITION BY train, date ORDER BY ride_id, station_num) AS lag FROM clean) GROUP BY 1, 2""", dates=("date",))
@@ -175,12 +233,25 @@ def w10(m):
     return rides.reference_route(clean(m)).withColumn("stations", F.array_join("stations", "|"))
 
 
-@query("w11_curve_matrix", cte("clean") + ROUTE + """, rt AS (SELECT b.train, CAST(row_number() OVER (PARTITION BY b.train ORDER BY station_num) - 1 AS INTEGER) AS pos, station FROM best b JOIN clean c ON b.ride_id = c.ride_id),
-dd AS (SELECT train, date FROM (SELECT train, date, dense_rank() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM (SELECT DISTINCT train, date FROM clean)) WHERE k <= 3),
-sd AS (SELECT train, date, station, delay FROM (SELECT *, row_number() OVER (PARTITION BY train, date, station ORDER BY ride_id, station_num) AS k FROM clean) WHERE k = 1)
-SELECT dd.train, dd.date, rt.pos, rt.station, CASE WHEN sd.delay <> -1 THEN greatest(sd.delay, 0) END AS delay, sd.delay IS NULL AS skipped FROM dd JOIN rt ON dd.train = rt.train LEFT JOIN sd ON dd.train = sd.train AND dd.date = sd.date AND rt.station = sd.station""", dates=("date",))
+CURVES = """, rt AS (SELECT train, max_by(sample, struct_pack(a := n_stops, b := date)) AS route FROM details GROUP BY train), k AS (SELECT *, row_number() OVER (PARTITION BY train ORDER BY date DESC) AS k FROM details),
+z AS (SELECT train FROM k WHERE k <= 3 GROUP BY train HAVING bool_and(coalesce(end_delay, 0) = 0)),
+pk AS (SELECT *, false AS historical FROM k WHERE k <= 3 UNION ALL SELECT * EXCLUDE (e), true FROM (SELECT k.*, row_number() OVER (PARTITION BY k.train ORDER BY date DESC) AS e FROM k JOIN z ON k.train = z.train WHERE k > 3 AND end_delay > 0) WHERE e <= 3),
+ce AS (SELECT pk.train, pk.date, historical, canceled, delays, sample, generate_subscripts(route, 1) - 1 AS pos, unnest(route).station AS station FROM pk JOIN rt ON pk.train = rt.train),
+vl AS (SELECT *, list_filter(delays, lambda x: x.station = lower(ce.station))[1].delay AS d FROM ce),
+ou AS (SELECT train, date, historical, CAST(pos AS INTEGER) AS pos, station, CASE WHEN NOT canceled AND d <> -1 THEN greatest(d, 0) END AS delay, d IS NULL AND NOT list_contains(list_transform(sample, lambda x: lower(x.station)), lower(station)) AS skipped FROM vl)
+SELECT * FROM ou QUALIFY NOT historical OR count(delay) OVER (PARTITION BY train, date) > 0"""
+
+
+@query("w11_curve_matrix", cte("details") + CURVES, dates=("date",))
 def w11(m):
-    return rides.curves(clean(m))
+    return rides.curves(details(m))
+
+
+@query("w11_curves_of_punctual_trains", cte("details").replace("l_quantity - 20 AS delay", "greatest(l_quantity - 46, 0) AS delay").replace("clean AS (SELECT * FROM (SELECT *,", "clean AS (SELECT * REPLACE (state AS station) FROM (SELECT *,") + CURVES, dates=("date",))
+def w11b(m):
+    """As w11, over states and where only the largest delays count: many trains were on time for three days, and show earlier ones."""
+    lenient = m.stops.withColumn("delay", F.greatest(F.col("delay") - 26, F.lit(0.0)))
+    return rides.curves(rides.train_day_details(rides.clean_stops(lenient), "state"))
 
 
 @query("w12_last_actual", cte("days") + f"SELECT train, max_by(end_delay, date) AS end_delay, max(date) AS date, max(date) = DATE '{TODAY}' AS is_today FROM days WHERE end_delay >= 0 GROUP BY train", dates=("date",))
@@ -222,10 +293,12 @@ q AS (SELECT ride_id AS query, line, date, min_by(state, station_num) AS state,
 c AS (SELECT q.query, t.ride_id, abs(minute - plan_min) AS gap FROM q JOIN cl t ON q.line = t.line AND q.date = t.date AND q.state = t.state
 WHERE abs(minute - plan_min) <= 90 AND EXISTS (SELECT 1 FROM cl g WHERE g.ride_id = t.ride_id AND g.state = q.destination AND g.last_num > t.first_num)) SELECT query, min_by(ride_id, struct_pack(a := gap, b := ride_id)) AS ride_id, min(gap) AS gap FROM c GROUP BY query""")
 def j10(m):
-    rows = clean(m)
-    first, last = (lambda c: F.min_by(c, "station_num")), (lambda c: F.max_by(c, "station_num"))
-    asked = rows.groupBy(F.col("ride_id").alias("query"), "line", "date").agg(first("state").alias("state"), ((first("plan_min") + 17) % 1440).alias("minute"), last("state").alias("destination"))
-    return rides.ride_for_query(asked, rows)
+    """Each ride asks for the line's day it is of: day and queries come from one build of the stops."""
+    per = rides.rides_of_days(clean(m))
+    first = lambda c: F.array_min(F.transform(F.col("r.calls"), lambda x: F.struct(x["first_num"], x[c])))[c]
+    last = F.array_max(F.transform(F.col("r.calls"), lambda x: F.struct(x["last_num"], x["state"])))["state"]
+    asked = per.select("line", "date", "rides", F.explode("rides").alias("r")).select(F.col("r.ride_id").alias("query"), "rides", first("state").alias("state"), ((first("minute") + 17) % 1440).alias("minute"), last.alias("destination"))
+    return rides.nearest_rides(asked)
 
 
 @query("j11_number_of_service", cte("clean") + """, q AS (SELECT ride_id, line, min_by(state, station_num) AS origin, min_by(plan_min, station_num) AS dep FROM clean GROUP BY 1, 2),
@@ -250,12 +323,34 @@ def j12(m):
     return pairs.groupBy("line", "origin", "dest").agg(F.min_by("ride_id", F.struct(F.abs(F.col("dep") - 600), F.col("ride_id"))).alias("ride_id"), F.count("*").alias("candidates"))
 
 
-@query("j16_gap_fill", cte("days") + f"""SELECT train, date, end_delay, CASE WHEN n_rides > 1 OR n_stops > 3 THEN 'live' ELSE 'history' END AS source FROM days WHERE (n_rides > 1 OR n_stops > 3) OR date < DATE '{TODAY}'""", dates=("date",))
+#: States of each train's live days after smoothing, and the main states of a train.
+DAY_STATES = """, lv AS (SELECT train, date, end_delay FROM days WHERE n_rides > 1 OR n_stops > 3),
+v0 AS (SELECT sm.train, sm.date, smooth AS state, count(*) AS n FROM sm JOIN lv ON sm.train = lv.train AND sm.date = lv.date GROUP BY 1, 2, 3),
+v1 AS (SELECT *, row_number() OVER (PARTITION BY train, date ORDER BY n DESC, state) AS k, max(n) OVER (PARTITION BY train, date) AS top FROM v0),
+d AS (SELECT train, date, list_sort(list(state)) AS states FROM v1 WHERE k <= 4 AND n >= 0.05 * top GROUP BY 1, 2)"""
+MAINS = """, e AS (SELECT train, date, unnest(states) AS state FROM d), c AS (SELECT train, state, count(*) AS n FROM e GROUP BY 1, 2), s AS (SELECT train, min_by(state, struct_pack(a := -n, b := state)) AS seed FROM c GROUP BY train),
+sd AS (SELECT d.* FROM d JOIN s ON d.train = s.train WHERE list_contains(states, seed)), dn AS (SELECT train, count(*) AS days FROM sd GROUP BY train),
+mn AS (SELECT x.train, list(x.state) AS main FROM (SELECT train, state, count(*) AS n FROM (SELECT train, unnest(states) AS state FROM sd) GROUP BY 1, 2) x JOIN dn ON x.train = dn.train WHERE n >= 0.5 * days GROUP BY x.train)"""
+
+
+def live_days(m, rows):
+    return rides.train_days(rides.rides(rows)).where("n_rides > 1 or n_stops > 3")
+
+
+def live_mains(rows, live):
+    """Main states of the trains, by the smoothed states of their live days."""
+    return rides.main_set(rides.fingerprint(rides.smoothed_states(rows).join(live.select("train", "date"), ["train", "date"], "left_semi"), keys=("train", "date")))
+
+
+@query("j16_gap_fill", cte("days") + SMOOTH + DAY_STATES + MAINS + f""", st AS (SELECT s_name AS station, n_name AS state FROM places WHERE s_suppkey % 7 <> 0)
+SELECT train, date, end_delay, 'live' AS source FROM lv UNION ALL SELECT h.train, h.date, h.end_delay, 'history' FROM days h LEFT JOIN lv ON h.train = lv.train AND h.date = lv.date LEFT JOIN st ON h.max_station = st.station LEFT JOIN mn ON h.train = mn.train
+WHERE h.date < DATE '{TODAY}' AND lv.train IS NULL AND (st.state IS NULL OR main IS NULL OR list_contains(main, st.state))""", dates=("date",))
 def j16(m):
-    all_days = days(m)
-    live = all_days.where("n_rides > 1 or n_stops > 3").select("train", "date", "end_delay").withColumn("source", F.lit("live"))
-    history = all_days.where(F.col("date") < F.lit(TODAY).cast("date")).select("train", "date", "end_delay").join(live.select("train", "date"), ["train", "date"], "left_anti")
-    return live.unionByName(history.withColumn("source", F.lit("history")))
+    """A seventh of the stations have no known state."""
+    rows = clean(m)
+    live = live_days(m, rows)
+    known = m.stations.where("s_suppkey % 7 <> 0").select(F.col("station").alias("max_station"), "state")
+    return rides.gap_fill(live, days(m).join(known, "max_station", "left"), live_mains(rows, live), TODAY)
 
 
 @query("u03_days_not_taken", cte("days") + """SELECT train, date FROM days EXCEPT SELECT train, date FROM days WHERE n_stops >= 3""", dates=("date",))
@@ -296,11 +391,22 @@ def j20(m):
     return rides.transfer_risk(clean(m))
 
 
-@query("j21_corrected_destination", cte("rides") + """, s AS (SELECT train, last_state AS dest, count(*) AS n FROM rides GROUP BY 1, 2), u AS (SELECT train, min_by(dest, struct_pack(a := -n, b := dest)) AS usual FROM s GROUP BY train), q AS (SELECT DISTINCT train, 'NATION_' || (ride_id % 30) AS dest FROM rides)
-SELECT q.train, q.dest, CASE WHEN s.train IS NOT NULL THEN q.dest ELSE coalesce(usual, q.dest) END AS corrected, s.train IS NULL AS conflict FROM q LEFT JOIN s ON q.train = s.train AND q.dest = s.dest LEFT JOIN u ON q.train = u.train""")
+@query("j21_corrected_destination", cte("days") + SMOOTH + DAY_STATES + MAINS + """, st AS (SELECT s_name AS station, n_name AS state, s_suppkey FROM places), us AS (SELECT train, min_by(last_station, struct_pack(a := -n, b := last_station)) AS usual FROM
+(SELECT r.train, last_station, count(*) AS n FROM rides r JOIN mn ON r.train = mn.train WHERE list_contains(main, last_state) GROUP BY 1, 2) GROUP BY train),
+q AS (SELECT DISTINCT train, dest, CASE WHEN s_suppkey % 7 <> 0 THEN state END AS state FROM (SELECT train, last_station AS dest FROM rides UNION SELECT train, b.s_name FROM rides JOIN places a ON last_station = a.s_name JOIN places b ON b.s_suppkey = a.s_suppkey + 1) x JOIN st ON x.dest = st.station),
+kn AS (SELECT DISTINCT train, station FROM clean),
+w AS (SELECT q.*, usual, main IS NOT NULL AND (coalesce(NOT list_contains(main, q.state), false) OR kn.train IS NULL) AS wrong FROM q LEFT JOIN kn ON q.train = kn.train AND q.dest = kn.station LEFT JOIN mn ON q.train = mn.train LEFT JOIN us ON q.train = us.train)
+SELECT train, dest, CASE WHEN wrong THEN coalesce(usual, dest) ELSE dest END AS corrected, wrong AND coalesce(usual, dest) <> dest AS conflict FROM w""")
 def j21(m):
-    rows = of_rides(m)
-    return rides.corrected_destination(rows.select("train", F.concat(F.lit("NATION_"), (F.col("ride_id") % 30).cast("string")).alias("dest")).distinct(), rows)
+    """Asked: the terminals of each train's rides, and the stations numbered next to them, which the train may never see."""
+    rows = clean(m)
+    of = rides.rides(rows)
+    mains = live_mains(rows, live_days(m, rows))
+    number = m.stations.select("s_suppkey", "station", F.when(F.col("s_suppkey") % 7 != 0, F.col("state")).alias("state"))
+    ends = of.select("train", F.col("last_station").alias("station")).distinct().join(number, "station")
+    beside = ends.select("train", (F.col("s_suppkey") + 1).alias("s_suppkey")).join(number, "s_suppkey")
+    asked = ends.unionByName(beside).select("train", F.col("station").alias("dest"), "state").distinct()
+    return rides.corrected_destination(asked, of, rows.select("train", "station"), mains)
 
 
 @query("j22_route_region", cte("clean") + """SELECT ride_id, max_by(region, station_num) AS region FROM clean WHERE sk % 3 <> 0 GROUP BY ride_id""")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.rides import clean_stops
+
 #: Train types by order priority's first character.
 TYPES = {"1": "ICE", "2": "IC", "3": "RE", "4": "RB", "5": "FLX"}
 
@@ -57,6 +59,21 @@ class Model:
             F.col("l_extendedprice").alias("price"),
         )
 
+    @cached_property
+    def patterned(self) -> DataFrame:
+        """Rides that follow one of four ways of their line (one turns back, one passes stations twice), gathered as a day's rows by quarter; some times are unknown.
+
+        In odd quarters a day's rows are ride after ride, in even ones by time.
+        """
+        way, n = F.col("ride_id") % 4, F.col("station_num")
+        halt = F.when(way == 3, 12 - n).when(way == 2, 1 + n % 5).otherwise(2 * way + n)
+        rows = clean_stops(self.stops).select(
+            "line", F.trunc("date", "quarter").alias("date"), "ride_id", "station_num", F.concat(F.lit("Halt "), halt.cast("string")).alias("station"),
+            F.when(F.col("pk") % 23 != 0, way * 200 + 300 + n * 11 + F.col("pk") % 7).alias("minute"), "delay",
+        )
+        by_time = F.when(F.quarter("date") % 2 == 0, F.coalesce("minute", F.lit(1440)))
+        return rows.withColumn("ord", F.row_number().over(Window.partitionBy("line", "date").orderBy(by_time, "ride_id", "station_num")).cast("long"))
+
     @cached_property
     def changes(self) -> DataFrame:
         """Polled changes: many observations of a stop."""
@@ -162,6 +179,12 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
         ("stops",),
         """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ride_id, station_num ORDER BY pk, sk, price) AS rn FROM stops) WHERE rn = 1""",
     ),
+    "patterned": (
+        ("clean",),
+        """SELECT *, row_number() OVER (PARTITION BY line, date ORDER BY CASE WHEN quarter(date) % 2 = 0 THEN coalesce(minute, 1440) END NULLS FIRST, ride_id, station_num) AS ord FROM
+(SELECT line, CAST(date_trunc('quarter', date) AS DATE) AS date, ride_id, station_num, 'Halt ' || CASE ride_id % 4 WHEN 3 THEN 12 - station_num WHEN 2 THEN 1 + station_num % 5 ELSE 2 * (ride_id % 4) + station_num END AS station,
+  CASE WHEN pk % 23 <> 0 THEN ride_id % 4 * 200 + 300 + station_num * 11 + pk % 7 END AS minute, delay FROM clean)""",
+    ),
     "rides": (
         ("clean",),
         """SELECT ride_id, train, train_type, line, date, count(*) AS n_stops, max_by(delay, station_num) AS end_delay, max(delay) AS max_delay,
@@ -173,6 +196,15 @@ FROM clean GROUP BY ride_id, train, train_type, line, date""",
         ("rides",),
         """SELECT train, date, round(avg(end_delay), 1) AS end_delay, max(max_delay) AS max_delay, min_by(max_station, struct_pack(a := -max_delay, b := ride_id)) AS max_station,
   count(*) AS n_rides, max(n_stops) AS n_stops FROM rides GROUP BY train, date""",
+    ),
+    "details": (
+        ("days", "clean"),
+        """SELECT days.*, canceled, sample, delays FROM days JOIN
+(SELECT train, date, bool_or(first_canceled) OR sum(nc) > 0.5 * sum(n) AS canceled, max_by(stops, struct_pack(a := n, b := -ride_id)) AS sample FROM
+  (SELECT train, date, ride_id, count(*) AS n, count(*) FILTER (is_canceled) AS nc, min_by(is_canceled, station_num) AS first_canceled, list(struct_pack(num := station_num, station := station, delay := delay) ORDER BY station_num) AS stops FROM clean GROUP BY 1, 2, 3)
+  GROUP BY 1, 2) x ON days.train = x.train AND days.date = x.date
+JOIN (SELECT train, date, list(struct_pack(station := station, delay := delay) ORDER BY station) AS delays FROM
+  (SELECT train, date, lower(station) AS station, min_by(delay, struct_pack(a := ride_id, b := station_num)) AS delay FROM clean WHERE delay IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) y ON days.train = y.train AND days.date = y.date""",
     ),
     "daytype": (
         ("stops",),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment, rides, timetable
+from . import ride_queries
 from .registry import query
 from .testmodel import cte
 
@@ -77,21 +78,56 @@ def u05(m):
     return m.services.select(F.explode("stations").alias("station")).distinct()
 
 
+#: Each step of a day's alignment as SQL; the longest subsequence by a recursion over its positions.
+ALIGNED = (
+    ride_queries.templates_sql("patterned", "station", "minute", 5).replace(", s AS", ", step AS").replace("FROM s ", "FROM step ")
+    + """, pl AS (SELECT line, k AS template, unnest(stations) AS halt, unnest(times) AS time, generate_subscripts(stations, 1) - 1 AS pos FROM tpl),
+mt AS (SELECT r.line, r.date, r.ord, r.minute, template, pos, CASE WHEN station = halt THEN 0 ELSE 1 END AS cost, coalesce(abs(minute - time), 1440) AS off FROM patterned r JOIN pl ON r.line = pl.line
+  AND (station = halt OR length(station) >= 4 AND (starts_with(halt, station) OR starts_with(station, halt)))),
+nr AS (SELECT line, date, template, ord, minute, min({'cost': cost, 'off': off, 'pos': pos}) AS n FROM mt GROUP BY ALL),
+bp AS (SELECT line, date, template, n.pos AS pos, min({'off': n.off, 'ord': ord, 'minute': minute}) AS b FROM nr GROUP BY ALL),
+it AS (SELECT line, date, template, list({'pos': pos, 'ord': b.ord} ORDER BY pos) AS c, list(b.minute ORDER BY pos) AS ms FROM bp WHERE b.minute IS NOT NULL GROUP BY ALL),
+dp AS (SELECT *, 1 AS i, CAST([] AS BIGINT[]) AS size FROM it UNION ALL
+  SELECT line, date, template, c, ms, i + 1, list_append(size, 1 + coalesce(list_max([CASE WHEN ms[j] <= ms[i] THEN size[j] ELSE 0 END FOR j IN range(1, i)]), 0)) FROM dp WHERE i <= len(ms)),
+bk AS (SELECT line, date, template, c, ms, size, CAST(list_position(size, list_max(size)) AS BIGINT) AS loc FROM dp WHERE i = len(ms) + 1 UNION ALL
+  SELECT line, date, template, c, ms, size, list_filter(range(1, loc), lambda j: size[j] = size[loc] - 1 AND ms[j] <= ms[loc])[1] FROM bk WHERE size[loc] > 1),
+al AS (SELECT line, date, template, CAST(c[loc].pos AS INTEGER) AS pos, c[loc].ord AS ord FROM bk UNION ALL SELECT line, date, template, CAST(pos AS INTEGER), b.ord FROM bp WHERE b.minute IS NULL)
+"""
+)
+CHOSEN = """, bw AS (SELECT *, coalesce(last_value(minute IGNORE NULLS) OVER (PARTITION BY line, date ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - minute > 15, false) AS back FROM patterned),
+dy AS (SELECT line, date, count(*) AS n, bool_or(back) AS mixed FROM bw GROUP BY 1, 2), cv AS (SELECT line, date, template, count(*) AS covered FROM al GROUP BY 1, 2, 3),
+bt AS (SELECT line, date, min({'less': -covered, 'template': template}) AS b FROM cv GROUP BY 1, 2),
+kn AS (SELECT dy.*, b.template AS template, coalesce(-b.less, 0) AS covered FROM dy LEFT JOIN bt ON dy.line = bt.line AND dy.date = bt.date),
+ch AS (SELECT *, CASE WHEN n < 6 THEN 'none' WHEN mixed AND covered >= 4 AND covered >= 0.2 * n OR NOT mixed AND covered >= 5 AND covered < 0.7 * n THEN 'template' WHEN mixed THEN 'segment' ELSE 'none' END AS action FROM kn)
+"""
+NORMAL = """, rn AS (SELECT *, sum(CAST(back AS INTEGER)) OVER (PARTITION BY line, date ORDER BY ord) AS run FROM bw),
+lg AS (SELECT line, date, min({'less': -size, 'run': run}) AS b FROM (SELECT line, date, run, count(*) AS size FROM rn GROUP BY 1, 2, 3) GROUP BY 1, 2),
+dc AS (SELECT ch.line, ch.date, template, b.run AS run, CASE WHEN action = 'segment' AND -b.less < 4 THEN 'none' ELSE action END AS action FROM ch JOIN lg ON ch.line = lg.line AND ch.date = lg.date),
+nm AS (SELECT r.line, r.date, dc.action, CASE WHEN dc.action = 'template' THEN al.pos ELSE r.ord END AS place, r.station, r.delay FROM rn r JOIN dc ON r.line = dc.line AND r.date = dc.date
+  LEFT JOIN al ON dc.action = 'template' AND al.line = r.line AND al.date = r.date AND al.template = dc.template AND al.ord = r.ord
+  WHERE CASE dc.action WHEN 'template' THEN al.ord IS NOT NULL WHEN 'segment' THEN r.run = dc.run ELSE true END)
+SELECT line, date, action, count(*) AS kept, max_by(delay, place) AS end_delay, max(delay) AS max_delay, min_by(station, {'less': -delay, 'place': place}) AS max_station FROM nm GROUP BY 1, 2, 3"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def aligned(m):
-    rows = rides.clean_stops(m.stops)
-    ways = rows.groupBy("ride_id", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("station_num", "state"))), lambda x: x["state"]).alias("stations"), F.count("*").alias("n"))
-    templates = ways.where("n >= 5").groupBy("line").agg(F.min_by("stations", F.struct(-F.col("n"), F.col("ride_id"))).alias("stations"))
-    template = templates.withColumn("template", F.col("line"))
-    day = rows.groupBy("line", "date", "ride_id", "station_num").agg(F.first("state").alias("station"), F.first("plan_min").alias("minute"))
-    return alignment.align(day, template)
+    return alignment.align(m.patterned, rides.templates(m.patterned, station="station", minute="minute"))
 
 
-@query("w07_aligned_rows", dates=("date",))
+@query("w07_aligned_rows", recursive(cte("patterned") + ALIGNED + "SELECT * FROM al"), dates=("date",))
 def w07(m):
-    """Rows of mixed days on their line's template; the longest subsequence is beyond SQL, tests use brute force."""
     return aligned(m)
 
 
-@query("w08_chosen_template", dates=("date",))
+@query("w08_chosen_template", recursive(cte("patterned") + ALIGNED + CHOSEN + "SELECT * FROM ch"), dates=("date",))
 def w08(m):
-    return alignment.choose(aligned(m))
+    return alignment.choose(m.patterned, aligned(m))
+
+
+@query("w08_normalised_days", recursive(cte("patterned") + ALIGNED + CHOSEN + NORMAL), dates=("date",))
+def w08b(m):
+    found = aligned(m)
+    return alignment.day_delays(alignment.normalised(m.patterned, found, alignment.choose(m.patterned, found)))

@@ -6,15 +6,16 @@ there and returns the table that it left in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..sources.files import scratch
+from .upserts import Upserts
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -24,26 +25,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
 
 
-def drain(stream: DataFrame, mode: str, *keys: str) -> DataFrame:
-    """Run a stream until its input is used up, and return its table.
+def drain(stream: DataFrame, mode: str, *keys: str, every: int = 8) -> DataFrame:
+    """Run a stream until its input is used up, and return its table: with keys, the last batch that wrote a key's row holds the row."""
+    out = Upserts(stream.sparkSession, scratch(stream.sparkSession, "stream"), stream.schema, keys, every)
+    run(stream, mode, out.put)
+    return out.table()
 
-    Each batch writes what it changed into a folder of its own, anew if it is
-    repeated after a loss, so no batch rewrites the table or what others wrote.
-    With keys, the last batch that wrote a key's row holds the row.
-    """
-    spark = stream.sparkSession
-    path, state = scratch(spark, "stream"), scratch(spark, "state")
-
-    def put(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={k}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+def run(stream: DataFrame, mode: str, put: Callable[[DataFrame, int], None]) -> None:
+    """Hand each batch of a stream to ``put`` until its input is used up."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch(stream.sparkSession, "state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
-    if not keys:
-        return rows.drop("batch")
-    rest = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*").select(*stream.columns)
 
 
 def latest_change(stream: DataFrame) -> DataFrame:
@@ -62,29 +54,98 @@ def visitors(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", "365 days").dropDuplicatesWithinWatermark(["user_id"]).select("user_id")
 
 
-OUT = "user_id long, last_ts timestamp, last_value double, n long, finished boolean"
-STATE = "last_ts timestamp, last_value double, n long"
+JOURNEY = ("train", "day")
+STATUS = "train long, day date, stop long, delay double, n long, status string"
+STATE = "stop long, seen timestamp, seen_id long, delay double, planned timestamp, latest timestamp, n long, done boolean"
+GRACE = pd.Timedelta(minutes=20)
+#: A finished journey is forgotten so long after its day began.
+KEPT = pd.Timedelta(days=3)
+
+
+def stop_events(stream: DataFrame) -> DataFrame:
+    """The feed as events of stops: train and day of the journey, stop of ``last_stop``, delay, whether it is real-time, when it is (which may be to come), and the planned arrival at the destination."""
+    day = F.to_date("ts")
+    return stream.select(
+        "ts", "event_id", F.col("user_id").alias("train"), day.alias("day"), (F.get_json_object("props", "$.k").cast("long") % 8 + 1).alias("stop"), F.lit(8).cast("long").alias("last_stop"),
+        F.col("value").alias("delay"), (F.col("event_id") % 5 != 0).alias("real_time"), F.timestamp_add("MINUTE", ((F.col("event_id") % 7 - 3) * 10).cast("int"), F.col("ts")).alias("at"),
+        F.timestamp_add("HOUR", (6 + F.col("user_id") % 12).cast("int"), day.cast("timestamp")).alias("planned"),
+    )
 
 
 def _running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A train's last position; finished when nothing came for the timeout."""
+    """A journey's furthest real-time stop with its last known delay, and whether the journey is over.
+
+    It is over when its last stop is real-time (``terminal``); or (``time``)
+    when the planned arrival at the destination and the last event are both 20
+    minutes old, which a later event in time to come puts off. The first timer
+    is for that, the second forgets what is over.
+    """
+
+    def said(stop: int, delay: float, n: int, status: str) -> pd.DataFrame:
+        return pd.DataFrame({"train": [key[0]], "day": [key[1]], "stop": [stop], "delay": [delay], "n": [n], "status": [status]})
+
+    def until(moment: pd.Timestamp) -> None:
+        state.setTimeoutTimestamp(max(int(moment.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
     if state.hasTimedOut:
-        ts, value, n = state.get
-        state.remove()
-        yield pd.DataFrame({"user_id": [key[0]], "last_ts": [ts], "last_value": [value], "n": [n], "finished": [True]})
+        stop, seen, seen_id, delay, planned, latest, n, done = state.get
+        if done:
+            state.remove()
+        else:
+            state.update((stop, seen, seen_id, delay, planned, latest, n, True))
+            until(pd.Timestamp(key[1]) + KEPT)
+            yield said(stop, delay, n, "time")
         return
-    ts, value, n = state.get if state.exists else (None, None, 0)
+    stop, seen, seen_id, delay, planned, latest, n, done = state.get if state.exists else (0, None, 0, 0.0, None, None, 0, False)
+    last_stop = 0
     for rows in batches:
         n += len(rows)
-        last = rows.sort_values(["ts", "event_id"]).iloc[-1]
-        if ts is None or last["ts"] >= ts:
-            ts, value = last["ts"], float(last["value"])
-    state.update((ts, value, n))
-    stop = int(ts.timestamp() * 1000) + 20 * 60 * 1000
-    state.setTimeoutTimestamp(max(stop, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"user_id": [key[0]], "last_ts": [ts], "last_value": [value], "n": [n], "finished": [False]})
+        planned, last_stop = rows["planned"].iloc[0], int(rows["last_stop"].iloc[0])
+        live = rows[rows["real_time"]]
+        if len(live):
+            latest = live["at"].max() if latest is None else max(latest, live["at"].max())
+            best = live.sort_values(["stop", "ts", "event_id"]).iloc[-1]
+            if seen is None or (best["stop"], best["ts"], best["event_id"]) > (stop, seen, seen_id):
+                stop, seen, seen_id, delay = int(best["stop"]), best["ts"], int(best["event_id"]), float(best["delay"])
+    terminal = stop >= last_stop  # it stays so, as the furthest stop is kept
+    state.update((stop, seen, seen_id, delay, planned, latest, n, terminal))
+    until(pd.Timestamp(key[1]) + KEPT if terminal else (planned if latest is None else max(planned, latest)) + GRACE)
+    yield said(stop, delay, n, "terminal" if terminal else "running")
 
 
 def running_trains(stream: DataFrame) -> DataFrame:
-    """Position and delay of each running train, kept by key, with a timer of 20 minutes of event time."""
-    return stream.withWatermark("ts", "10 minutes").groupBy("user_id").applyInPandasWithState(_running, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """Position, delay and status of each journey, kept by train and day."""
+    return stream.withWatermark("ts", "10 minutes").groupBy(*JOURNEY).applyInPandasWithState(_running, STATUS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+EVALUATION = "day date, data_sig long, n_types long, mae double, evaluations long"
+
+
+def evaluated(days: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """(day, data_sig, n_types, mae) of day sums (day, event_type, n, ge5): the mean error of the forecast shares, with the number of rows it rests on as signature."""
+    sig = F.sum("n").alias("data_sig")
+    errors = days.join(forecasts, ["day", "event_type"]).groupBy("day").agg(F.count("*").alias("n_types"), F.round(F.avg(F.abs(F.col("predicted") - F.col("ge5") / F.col("n"))), 4).alias("mae"))
+    return days.groupBy("day").agg(sig).join(errors, "day").select("day", "data_sig", "n_types", "mae")
+
+
+class Reevaluation:
+    """Days whose sums a batch changes are evaluated again, and upserted where their signature differs from that of the history."""
+
+    def __init__(self, spark: SparkSession, forecasts: DataFrame, sums: StructType, every: int = 8):
+        self.forecasts = forecasts
+        self.actual = Upserts(spark, scratch(spark, "actual"), sums, ("day", "event_type"), every)
+        self.history = Upserts(spark, scratch(spark, "history"), StructType.fromDDL(EVALUATION), ("day",), every)
+
+    def put(self, batch: DataFrame, k: int) -> None:
+        self.actual.put(batch, k)
+        days = self.actual.table().join(batch.select("day").distinct(), "day", "left_semi")
+        old = self.history.table(before=k).select("day", F.col("data_sig").alias("old_sig"), F.col("evaluations").alias("before"))
+        new = evaluated(days, self.forecasts).join(old, "day", "left").where("old_sig is null or old_sig <> data_sig")
+        self.history.put(new.withColumn("evaluations", F.coalesce("before", F.lit(0)).cast("long") + 1), k)
+
+
+def reevaluated_days(stream: DataFrame, forecasts: DataFrame, every: int = 8) -> DataFrame:
+    """The accuracy history of a stream of day sums, kept up by day."""
+    job = Reevaluation(stream.sparkSession, forecasts, stream.schema, every)
+    run(stream, "update", job.put)
+    return job.history.table()
