@@ -70,13 +70,35 @@ def legs_of_text(rows: DataFrame, text: str = "text") -> DataFrame:
     return found.select(*rows.columns, F.posexplode("__legs").alias("leg", "__x")).select(*[c for c in rows.columns if c != text], "leg", "__x.*")
 
 
-def legs_of_html(rows: DataFrame, html: str = "html") -> DataFrame:
-    """Links of a page in order, as stops of a leg: first and last make the leg."""
+def links_of_html(rows: DataFrame, html: str = "html") -> DataFrame:
+    """The number of links of a page, its first and its last."""
     links = F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)">'), F.lit(1))
     found = rows.withColumn("__l", links)
     return found.where(F.size("__l") > 0).select(*[c for c in rows.columns if c != html], F.size("__l").alias("n"), F.try_url_decode(F.element_at("__l", 1)).alias("first"), F.try_url_decode(F.element_at("__l", -1)).alias("last"))
 
 
+def legs_of_html(rows: DataFrame, html: str = "html") -> DataFrame:
+    """Legs of an itinerary page (leg, service, stops, origin, dep, destination, arr): a title names the service, the list after it its stops.
+
+    Each stop has name, arrival and departure (empty if not given). The first
+    and last stop make the leg, whose times are the departure there (else the
+    arrival) and the arrival there (else the departure). A list of fewer than
+    two named stops is no leg; legs are numbered among those that are.
+    """
+    block = F.lit(r'(?si)<div class="SubTitle"><a[^>]*[?&]name=([^&"]+)[^>]*>(?:(?!<div class="SubTitle">).)*?<refresh-container[^>]+data-id="stopList\d+"(.*?)</refresh-container>')
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    time = lambda stop, kind: F.trim(F.regexp_extract(stop, f'(?i)class="{kind}Time[^>]*>([^<]*)<', 1))
+    stop = lambda x: F.struct(decoded(F.regexp_extract(x, '(?i)[?&]name=([^&"]+)', 1)).alias("name"), time(x, "Arrival").alias("arr"), time(x, "Departure").alias("dep"))
+    stops = lambda x: F.filter(F.transform(F.slice(F.split(x, '<div class="RouteStop"'), 2, 1 << 30), stop), lambda s: s["name"] != "")
+    pairs = F.arrays_zip(F.regexp_extract_all(html, block, F.lit(1)).alias("service"), F.regexp_extract_all(html, block, F.lit(2)).alias("list"))
+    legs = F.filter(F.transform(pairs, lambda p: F.struct(decoded(p["service"]).alias("service"), stops(p["list"]).alias("stops"))), lambda p: F.size(p["stops"]) >= 2)
+    kept = [c for c in rows.columns if c != html]
+    found = rows.select(*kept, F.posexplode(legs).alias("leg", "__l")).select(*kept, "leg", "__l.service", "__l.stops")
+    first, last = F.element_at("stops", 1), F.element_at("stops", -1)
+    either = lambda s, a, b: F.when(s[a] != "", s[a]).otherwise(s[b])
+    return found.select(*kept, "leg", "service", "stops", first["name"].alias("origin"), either(first, "dep", "arr").alias("dep"), last["name"].alias("destination"), either(last, "arr", "dep").alias("arr"))
+
+
 def legs_of_record(rows: DataFrame, record: str = "record") -> DataFrame:
     """Legs of compact records: stations as A=1@O=name@, 12-digit times, then the service."""
     legs = rows.select(*[c for c in rows.columns if c != record], F.posexplode(F.split(record, "§")).alias("leg", "__r"))

@@ -126,6 +126,20 @@ def top_of_each(rows: DataFrame, by: str, what: str, k: int) -> DataFrame:
     return ranked.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", what))), lambda x: x[what]).alias("top"))
 
 
+def counts_of_each(rows: DataFrame, by: str, what: str, k: int) -> DataFrame:
+    """The k most frequent values of each group with their counts, as an array in order; a sink makes a map of it."""
+    counts = rows.where(F.col(what).isNotNull()).groupBy(by, what).agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), what))).where(F.col("k") <= k)
+    return ranked.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(what).cast("string").alias("value"), "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top"))
+
+
+def first_of_each(rows: DataFrame, by: str, what: str, k: int, *order: str) -> DataFrame:
+    """The first k distinct values of each group by an order, as an array."""
+    seen = rows.where(F.col(what).isNotNull()).groupBy(by, what).agg(F.min(F.struct(*order)).alias("first"))
+    ranked = seen.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("first", what))).where(F.col("k") <= k)
+    return ranked.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", what))), lambda x: x[what]).alias("first"))
+
+
 def baseline_shares(stops: DataFrame, kept: DataFrame) -> DataFrame:
     """Shares of causes over the kept trains."""
     rows = stops.join(kept.select("train"), "train", "left_semi")

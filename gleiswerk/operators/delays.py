@@ -32,22 +32,40 @@ def plan_with_changes(plan: DataFrame, latest: DataFrame, key: str = "sid") -> D
     return plan.join(latest, key, "left")
 
 
+#: The columns of a stop fact.
+FACTS = (
+    "sid", "eva", "station", "date", "train_cat", "train_num", "train_label", "line", "sched_arr", "sched_dep", "real_arr", "real_dep",
+    "delay_arr_min", "delay_dep_min", "cancelled", "delay_codes", "msg_cats",
+)
+#: Minutes below this are of a changed plan, not of a train ahead of time.
+LEAST = -15
+
+
 def stop_facts(joined: DataFrame) -> DataFrame:
-    """Delay minutes from planned and real times, null below -15; the service date; a label with a fallback."""
-    minutes = (F.unix_timestamp("real_dep") - F.unix_timestamp("sched_dep")) / 60
-    return joined.select(
-        "sid",
-        F.when(minutes >= -15, minutes).alias("delay_dep_min"),
-        F.to_date(F.coalesce("sched_dep", "sched_arr")).alias("date"),
-        F.coalesce(F.col("line"), F.concat_ws(" ", "train_cat", "train_num")).alias("train_label"),
-        F.coalesce(F.col("cl_dep") == "c", F.lit(False)).alias("cancelled"),
-    )
+    """Both sides of each planned stop with its latest change: delay minutes of arrival and departure (null where a time is missing, or below -15), whether either is cancelled, the service date (departure's, else arrival's), and the train's label (its sid where it has neither type nor number)."""
+
+    def minutes(side: str) -> Column:
+        late = (F.unix_timestamp(f"real_{side}") - F.unix_timestamp(f"sched_{side}")) / 60
+        return F.when(late >= LEAST, late).alias(f"delay_{side}_min")
+
+    cancelled = lambda side: F.coalesce(F.col(f"cl_{side}").isin("1", "c"), F.lit(False))
+    label = F.trim(F.concat(F.coalesce("train_cat", F.lit("")), F.lit(" "), F.coalesce("train_num", F.lit(""))))
+    return joined.withColumns({
+        "date": F.to_date(F.coalesce("sched_dep", "sched_arr")), "train_label": F.when(label == "", F.col("sid").cast("string")).otherwise(label),
+        "delay_arr_min": minutes("arr"), "delay_dep_min": minutes("dep"), "cancelled": cancelled("arr") | cancelled("dep"),
+    }).select(*FACTS)
+
+
+def departures(facts: DataFrame) -> DataFrame:
+    """Stop facts as the statistics of days and types read them: valid departures run, others are only counted."""
+    runs = F.col("sched_dep").isNotNull() & F.col("real_dep").isNotNull() & ~F.col("cancelled")
+    return facts.select("date", F.col("train_label").alias("ride_id"), F.col("train_cat").alias("train_type"), F.col("cancelled").alias("is_canceled"), F.col("delay_dep_min").alias("delay"), runs.alias("runs"), "delay_codes")
 
 
 def daily_statistics(stops: DataFrame) -> DataFrame:
     """A row for each date: stops, trips, cancelled, mean, median and 90th percentile of delays, shares over thresholds."""
-    run = ~F.col("is_canceled")
-    d = F.when(run & (F.col("delay") >= -15), F.col("delay"))
+    run = F.col("runs") if "runs" in stops.columns else ~F.col("is_canceled")
+    d = F.when(run & (F.col("delay") >= LEAST), F.col("delay"))
 
     def part(condition: Column) -> Column:
         return F.round(100 * F.sum(F.when(run & condition, 1.0).otherwise(0.0)) / F.sum(F.when(run, 1.0)), 4)

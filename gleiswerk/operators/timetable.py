@@ -39,17 +39,32 @@ def numbers_by_similarity(unnumbered: DataFrame, numbered: DataFrame, least: flo
     """The best candidate of each service without a number, among those of its type that share an end.
 
     Score: 0.45 times the bonus of the ends (both 1, first .55, last .25) and
-    0.55 times the Jaccard similarity of the states passed. Candidates meet by
-    equal first or last stations only.
+    0.55 times the Jaccard similarity of the states passed. Services of one way
+    (type, ends and states) score alike, so ways meet, not services: those of an
+    equal end that also share a state among the first few of both, in an order
+    common to all. Of n states so many may be missing elsewhere that the rest is
+    too little for the score, so a candidate has one of the first that remain.
     """
-    u = unnumbered.select("train_type", F.col("service").alias("u"), F.col("first").alias("uf"), F.col("last").alias("ul"), F.col("states").alias("us"))
-    c = numbered.select("train_type", F.col("service").alias("c"), F.col("first").alias("cf"), F.col("last").alias("cl"), F.col("states").alias("cs"))
-    by_first = u.join(c, (u.train_type == c.train_type) & (F.col("uf") == F.col("cf"))).select("u", "c", "uf", "ul", "us", "cf", "cl", "cs")
-    by_last = u.join(c, (u.train_type == c.train_type) & (F.col("ul") == F.col("cl"))).where("uf <> cf").select("u", "c", "uf", "ul", "us", "cf", "cl", "cs")
-    bonus = F.when((F.col("uf") == F.col("cf")) & (F.col("ul") == F.col("cl")), 1.0).when(F.col("uf") == F.col("cf"), 0.55).otherwise(0.25)
-    jaccard = F.size(F.array_intersect("us", "cs")) / F.size(F.array_union("us", "cs"))
-    scored = by_first.unionByName(by_last).where("u <> c").select("u", "c", F.round(0.45 * bonus + 0.55 * jaccard, 4).alias("score")).where(F.col("score") >= least)
-    return scored.groupBy(F.col("u").alias("service")).agg(F.min_by("c", F.struct(-F.col("score"), F.col("c"))).alias("num"), F.max("score").alias("score"), (F.count("*") > 1).alias("several"))
+    way = ("train_type", "first", "last", "states")
+    asked = unnumbered.groupBy(*way).agg(F.collect_list("service").alias("services"))
+    known = numbered.groupBy(*way).agg(F.min("service").alias("num"), F.count("*").alias("n"))
+    parts = []
+    for end, bonus in (("first", 0.55), ("last", 0.25)):
+        # ways of both ends alike score more, and need not be similar; they meet by their ends alone, below
+        needed = max(0.0, (least - 0.5e-4 - 0.45 * bonus) / 0.55)
+        size = F.size("states")
+        start = F.slice("states", F.lit(1), F.greatest(size - F.ceil(size * needed).cast("int") + 1, F.lit(1)))
+        u = asked.select("train_type", F.col(end).alias("end"), F.explode(start).alias("state"), F.struct(*way[1:]).alias("u"))
+        c = known.select("train_type", F.col(end).alias("end"), F.explode(start).alias("state"), F.struct(*way[1:]).alias("c"), "num", "n")
+        other = "last" if end == "first" else "first"
+        parts.append(u.join(c, ["train_type", "end", "state"]).where(F.col(f"u.{other}") != F.col(f"c.{other}")).select("train_type", "u", "c", "num", "n", F.lit(bonus).alias("bonus")))
+    both = asked.select("train_type", "first", "last", F.struct(*way[1:]).alias("u")).join(known.select("train_type", "first", "last", F.struct(*way[1:]).alias("c"), "num", "n"), ["train_type", "first", "last"])
+    met = parts[0].unionByName(parts[1]).distinct().unionByName(both.select("train_type", "u", "c", "num", "n", F.lit(1.0).alias("bonus")))
+    jaccard = F.size(F.array_intersect("u.states", "c.states")) / F.size(F.array_union("u.states", "c.states"))
+    scored = met.withColumn("score", F.round(0.45 * F.col("bonus") + 0.55 * jaccard, 4)).where(F.col("score") >= least)
+    best = scored.groupBy("train_type", "u").agg(F.min(F.struct((-F.col("score")).alias("less"), "num")).alias("b"), (F.sum("n") > 1).alias("several"))
+    best = best.select("train_type", "u.first", "u.last", "u.states", F.col("b.num").alias("num"), (-F.col("b.less")).alias("score"), "several")
+    return asked.join(best, list(way)).select(F.explode("services").alias("service"), "num", "score", "several")
 
 
 def regions_by_vote(services: DataFrame) -> DataFrame:

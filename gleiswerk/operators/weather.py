@@ -31,8 +31,9 @@ def complete_days(station_days: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def daily_of_hours(hours: DataFrame) -> DataFrame:
-    """Hourly rows as region-days: mean temperature, sums of rain and snow, strongest gust."""
-    return hours.groupBy("region", "date").agg(F.round(F.avg("temp"), 4).alias("temp"), F.sum("precip").alias("precip"), F.sum("snow").alias("snow"), F.max("gust").alias("gust"), F.count_distinct("hour").alias("hours"))
+    """Hourly rows as region-days: mean temperature, sums of rain and snow, strongest gust; strongest wind and mean weather code where the rows have them."""
+    more = [x for c, x in (("wind", F.max("wind").alias("wind")), ("code", F.round(F.avg("code"), 4).alias("code"))) if c in hours.columns]
+    return hours.groupBy("region", "date").agg(F.round(F.avg("temp"), 4).alias("temp"), F.sum("precip").alias("precip"), F.sum("snow").alias("snow"), F.max("gust").alias("gust"), F.count_distinct("hour").alias("hours"), *more)
 
 
 def national_days(days: DataFrame) -> DataFrame:

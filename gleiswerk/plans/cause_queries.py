@@ -97,17 +97,20 @@ def a14(m):
 
 
 def top_sql(what: str, k: int) -> str:
-    return f"""SELECT train, string_agg(CAST(v AS VARCHAR), '|' ORDER BY k) AS top FROM (SELECT train, v, row_number() OVER (PARTITION BY train ORDER BY n DESC, v) AS k FROM
+    return f"""SELECT train, string_agg(v || '=' || n, '|' ORDER BY k) AS top FROM (SELECT train, v, n, row_number() OVER (PARTITION BY train ORDER BY n DESC, v) AS k FROM
 (SELECT train, {what} AS v, count(*) AS n FROM stops WHERE {what} IS NOT NULL GROUP BY 1, 2)) WHERE k <= {k} GROUP BY train"""
 
 
-@query("a15_train_tops", cte("stops") + f""", a AS ({top_sql('code', 12)}), b AS ({top_sql('msg', 8)}), c AS ({top_sql('line', 3)}), d AS ({top_sql('station', 8)})
-SELECT a.train, a.top AS codes, coalesce(b.top, '') AS msgs, c.top AS lines, d.top AS stations FROM a LEFT JOIN b ON a.train = b.train JOIN c ON a.train = c.train JOIN d ON a.train = d.train""")
+@query("a15_train_tops", cte("stops") + f""", a AS ({top_sql('code', 12)}), b AS ({top_sql('msg', 8)}), c AS ({top_sql('line', 3)}),
+d AS (SELECT train, string_agg(station, '|' ORDER BY k) AS first FROM (SELECT train, station, row_number() OVER (PARTITION BY train ORDER BY first, station) AS k FROM
+(SELECT train, station, min({{'date': date, 'ride_id': ride_id, 'station_num': station_num}}) AS first FROM stops GROUP BY 1, 2)) WHERE k <= 8 GROUP BY train)
+SELECT a.train, a.top AS codes, coalesce(b.top, '') AS msgs, c.top AS lines, d.first AS stations FROM a LEFT JOIN b ON a.train = b.train JOIN c ON a.train = c.train JOIN d ON a.train = d.train""")
 def a15(m):
-    out = None
-    for what, k, name in (("code", 12, "codes"), ("msg", 8, "msgs"), ("line", 3, "lines"), ("station", 8, "stations")):
-        own = causes.top_of_each(m.stops, "train", what, k).select("train", F.array_join(F.col("top").cast("array<string>"), "|").alias(name))
-        out = own if out is None else out.join(own, "train", "left")
+    """Counts of codes, messages and lines, and the first stations that a train is seen at."""
+    out = causes.first_of_each(m.stops, "train", "station", 8, "date", "ride_id", "station_num").select("train", F.array_join("first", "|").alias("stations"))
+    for what, k, name in (("code", 12, "codes"), ("msg", 8, "msgs"), ("line", 3, "lines")):
+        said = F.array_join(F.transform("top", lambda x: F.concat_ws("=", x["value"], x["n"].cast("string"))), "|")
+        out = out.join(causes.counts_of_each(m.stops, "train", what, k).select("train", said.alias(name)), "train", "left")
     return out.withColumn("msgs", F.coalesce("msgs", F.lit("")))
 
 

@@ -30,19 +30,45 @@ def plan_with_changes(m):
     return delays.plan_with_changes(plan, latest)
 
 
-@query("n17_stop_facts", cte("stops") + """, t AS (SELECT sid, train_type, train_num, line, is_canceled, CAST(date AS TIMESTAMP) + to_minutes(CAST(plan_min AS BIGINT)) AS sched_dep, delay, pk FROM stops)
-SELECT sid, pk, CASE WHEN delay >= -15 THEN delay END AS delay_dep_min, CAST(sched_dep AS DATE) AS date,
-CASE WHEN pk % 5 = 0 THEN train_type || ' ' || train_num ELSE line END AS train_label, is_canceled AS cancelled FROM t""", dates=("date",))
-def stop_facts(m):
-    at = F.timestamp_seconds(F.unix_seconds(F.col("date").cast("timestamp")) + F.col("plan_min") * 60)
-    rows = m.stops.select(
-        "sid", "pk", at.alias("sched_dep"), F.lit(None).cast("timestamp").alias("sched_arr"),
-        F.timestamp_seconds(F.unix_seconds(at) + (F.col("delay") * 60).cast("long")).alias("real_dep"),
-        F.when(F.col("pk") % 5 != 0, F.col("line")).alias("line"), F.col("train_type").alias("train_cat"), F.col("train_num").cast("string").alias("train_num"),
-        F.when(F.col("is_canceled"), "c").alias("cl_dep"),
+def polled_facts(m):
+    """Facts of the stops: rows of one sid are polls of it, the first of which is the plan and the last the latest change."""
+    minute = lambda x, n: F.timestamp_add("MINUTE", n.cast("int"), x)
+    at = minute(F.col("date").cast("timestamp"), F.col("plan_min"))
+    no = lambda n, x: F.when(F.col("pk") % n != 0, x)
+    rows = m.stops.withColumn("sched_arr", no(11, at)).withColumn("sched_dep", no(7, minute(at, F.lit(2))))
+    plan = rows.select("sid", "pk", "sk", "price", (F.col("sk") + 8000000).alias("eva"), "station", no(5, F.col("train_type")).alias("train_cat"), no(5, F.col("train_num").cast("string")).alias("train_num"), "line", "sched_arr", "sched_dep")
+    polls = m.stops.select(
+        "sid", "pk", "sk", "price", no(3, minute(at, F.col("delay"))).alias("real_arr"), no(4, minute(at, F.col("delay") + 3)).alias("real_dep"), F.when(F.col("is_canceled"), "c").alias("cl_arr"), F.when(F.col("pk") % 50 == 1, "1").alias("cl_dep"),
+        F.when(F.col("code") != 99, F.col("code").cast("string")).alias("delay_codes"), F.col("msg").alias("msg_cats"),
     )
-    # the key here has copies, so pk goes with it
-    return delays.stop_facts(rows.withColumn("sid", F.struct("sid", "pk"))).select("sid.sid", "sid.pk", "delay_dep_min", "date", "train_label", "cancelled")
+    latest = delays.latest_row(polls, "sid", "pk", "sk", "price").drop("pk", "sk", "price")
+    return delays.stop_facts(delays.plan_with_changes(delays.first_row(plan, "sid", "pk", "sk", "price").drop("pk", "sk", "price"), latest))
+
+
+FACT_ROWS = """, tm AS (SELECT *, CAST(date AS TIMESTAMP) + to_minutes(plan_min) AS due FROM stops), pn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY pk, sk, price) AS k FROM tm) WHERE k = 1),
+lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY pk DESC, sk DESC, price DESC) AS k FROM tm) WHERE k = 1),
+jn AS (SELECT p.sid, p.sk + 8000000 AS eva, p.station, CASE WHEN p.pk % 5 <> 0 THEN p.train_type END AS train_cat, CASE WHEN p.pk % 5 <> 0 THEN CAST(p.train_num AS VARCHAR) END AS train_num, p.line,
+  CASE WHEN p.pk % 11 <> 0 THEN p.due END AS sched_arr, CASE WHEN p.pk % 7 <> 0 THEN p.due + to_minutes(2) END AS sched_dep, CASE WHEN l.pk % 3 <> 0 THEN l.due + to_minutes(CAST(l.delay AS BIGINT)) END AS real_arr,
+  CASE WHEN l.pk % 4 <> 0 THEN l.due + to_minutes(CAST(l.delay AS BIGINT) + 3) END AS real_dep, l.is_canceled OR l.pk % 50 = 1 AS cancelled, CASE WHEN l.code <> 99 THEN CAST(l.code AS VARCHAR) END AS delay_codes, l.msg AS msg_cats FROM pn p JOIN lt l ON p.sid = l.sid),
+mi AS (SELECT *, CAST(coalesce(sched_dep, sched_arr) AS DATE) AS date, CASE WHEN train_cat IS NULL AND train_num IS NULL THEN CAST(sid AS VARCHAR) ELSE trim(coalesce(train_cat, '') || ' ' || coalesce(train_num, '')) END AS train_label,
+  (epoch(real_arr) - epoch(sched_arr)) / 60 AS a, (epoch(real_dep) - epoch(sched_dep)) / 60 AS d FROM jn),
+facts AS (SELECT sid, eva, station, date, train_cat, train_num, train_label, line, sched_arr, sched_dep, real_arr, real_dep, CASE WHEN a >= -15 THEN a END AS delay_arr_min, CASE WHEN d >= -15 THEN d END AS delay_dep_min, cancelled, delay_codes, msg_cats FROM mi)
+"""
+
+
+@query("n17_stop_facts", cte("stops") + FACT_ROWS + "SELECT * FROM facts", dates=("date", "sched_arr", "sched_dep", "real_arr", "real_dep"))
+def stop_facts(m):
+    return polled_facts(m)
+
+
+@query("n17_daily_statistics", cte("stops") + FACT_ROWS + """, r AS (SELECT *, sched_dep IS NOT NULL AND real_dep IS NOT NULL AND NOT cancelled AS run FROM facts)
+SELECT date, count(*) AS stops_total, count(DISTINCT train_label) FILTER (run) AS trips, count(*) FILTER (cancelled) AS cancelled, round(avg(delay_dep_min) FILTER (run), 4) AS avg_delay, round(quantile_cont(delay_dep_min, 0.5) FILTER (run), 4) AS med_delay,
+round(quantile_cont(delay_dep_min, 0.9) FILTER (run), 4) AS p90_delay, """
+       + ", ".join(f"round(100.0 * count(*) FILTER (run AND delay_dep_min {o} {k}) / count(*) FILTER (run), 4) AS pct_{n}" for o, k, n in (("<=", 1, "le1"), (">=", 3, "ge3"), (">=", 5, "ge5"), (">=", 10, "ge10"), (">=", 30, "ge30")))
+       + " FROM r GROUP BY date HAVING count(*) FILTER (run) > 0", dates=("date",))
+def statistics_of_facts(m):
+    """The daily statistics over the stop facts: unknown delays stay in the shares' denominator."""
+    return delays.daily_statistics(delays.departures(polled_facts(m)))
 
 
 @query("a01_daily_statistics", cte("stops") + """, r AS (SELECT *, NOT is_canceled AS run, CASE WHEN NOT is_canceled AND delay >= -15 THEN delay END AS d FROM stops)

@@ -76,16 +76,16 @@ def p04(m):
     return m.stops.select("ride_id", url.alias("url")).distinct().select("ride_id", parsing.station_number(F.col("url")).alias("eva"), parsing.endpoint(F.col("url")).alias("kind"))
 
 
+NEXT = """, nx AS (SELECT ride_id, station_num, line, station, lead(station) OVER w AS dest, plan_min, lead(plan_min) OVER w AS arr FROM clean WINDOW w AS (PARTITION BY ride_id ORDER BY station_num))"""
+HHMM = "lpad(CAST({0} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0')"
+
+
 @query("p05_tolerant_changes", cte("changes") + "SELECT CAST(sid AS VARCHAR) AS id, CAST(coalesce(code, 0) AS VARCHAR) AS codes, msg_class AS cats, count(*) AS n FROM changes GROUP BY 1, 2, 3")
 def p05(m):
     rows = parsing.tolerant_changes(change_responses(m).withColumn("response_data", F.concat("response_data", F.lit("<unclosed"))))
     return rows.groupBy("id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), F.array_join("cats", ",").alias("cats")).agg(F.count("*").alias("n"))
 
 
-NEXT = """, nx AS (SELECT ride_id, station_num, line, station, lead(station) OVER w AS dest, plan_min, lead(plan_min) OVER w AS arr FROM clean WINDOW w AS (PARTITION BY ride_id ORDER BY station_num))"""
-HHMM = "lpad(CAST({0} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0')"
-
-
 def legs(m):
     from pyspark.sql import Window
 
@@ -104,7 +104,25 @@ def p06(m):
 
 @query("p07_page_links", r"""SELECT page_id, CAST(len(l) AS INTEGER) AS n, url_decode(l[1]) AS first, url_decode(l[-1]) AS last FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS l FROM pages) WHERE len(l) > 0""")
 def p07(m):
-    return parsing.legs_of_html(m.table("pages").select("page_id", "html"))
+    return parsing.links_of_html(m.table("pages").select("page_id", "html"))
+
+
+@query("p07_page_legs", cte("clean") + f""", st AS (SELECT ride_id, station_num, station, CASE WHEN pk % 5 = 0 THEN '' ELSE {HHMM.format('plan_min')} END AS arr, CASE WHEN pk % 3 = 0 THEN '' ELSE {HHMM.format('((plan_min + 2) % 1440)')} END AS dep FROM clean),
+lg AS (SELECT ride_id // 32 AS page, ride_id, 'ICE ' || (ride_id % 97) || '/ü' AS service, list({{'name': station, 'arr': arr, 'dep': dep}} ORDER BY station_num) AS s FROM st GROUP BY ride_id HAVING count(*) >= 2)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY ride_id) - 1 AS INTEGER) AS leg, service, s[1].name AS origin, CASE WHEN s[1].dep <> '' THEN s[1].dep ELSE s[1].arr END AS dep, s[-1].name AS destination,
+CASE WHEN s[-1].arr <> '' THEN s[-1].arr ELSE s[-1].dep END AS arr, array_to_string(list_transform(s, lambda x: x.name || ' ' || x.arr || '-' || x.dep), '|') AS stops FROM lg""")
+def p07_legs(m):
+    """Pages of several rides each, made of the stops: a leg for each ride of two stops or more."""
+    from ..operators.rides import clean_stops
+
+    clock = lambda x, n: F.when(F.col("pk") % n != 0, F.concat(F.lit(' class="' + ("ArrivalTime" if n == 5 else "DepartureTime") + ' now">'), s.clock(x), F.lit(" "))).otherwise(F.lit(">"))
+    stop = F.concat(F.lit('<div class="RouteStop"><a href="/s?x=1&name='), F.url_encode("station"), F.lit('&y">there</a><b'), clock(F.col("plan_min"), 5), F.lit("</b><b"), clock((F.col("plan_min") + 2) % 1440, 3), F.lit("</b></div>"))
+    ride = clean_stops(m.stops).withColumn("stop", stop).groupBy("ride_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("station_num", "stop"))), lambda x: x["stop"]), "\n").alias("stops"))
+    title = F.concat(F.lit('<div class="SubTitle"><a href="/t?name='), F.url_encode(F.concat(F.lit("ICE "), (F.col("ride_id") % 97).cast("string"), F.lit("/ü"))), F.lit('">train</a></div>\n<refresh-container a="b" data-id="stopList7">'))
+    leg = ride.select(F.expr("ride_id div 32").alias("page"), "ride_id", F.concat(title, "stops", F.lit("</refresh-container>")).alias("leg"))
+    pages = leg.groupBy("page").agg(F.concat(F.lit("<html>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ride_id", "leg"))), lambda x: x["leg"]), "<hr>"), F.lit("</html>")).alias("html"))
+    said = F.array_join(F.transform("stops", lambda x: F.concat(x["name"], F.lit(" "), x["arr"], F.lit("-"), x["dep"])), "|")
+    return parsing.legs_of_html(pages).withColumn("stops", said)
 
 
 @query("p08_compact_records", cte("clean") + NEXT + """SELECT ride_id, CAST(row_number() OVER (PARTITION BY ride_id ORDER BY station_num) - 1 AS INTEGER) AS leg, station AS origin, dest AS destination, lpad(CAST(plan_min AS VARCHAR), 12, '2') AS dep, lpad(CAST(arr AS VARCHAR), 12, '2') AS arr, 'RE ' || (ride_id % 97) AS service FROM nx WHERE dest IS NOT NULL""")
@@ -182,14 +200,18 @@ def s08(m):
     return m.spark.read.parquet(facts(m)).groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.count_distinct("line").alias("lines"))
 
 
-@query("s09_distinct_shards", cte("stops") + "SELECT 'shard.txt' AS name, count(DISTINCT region) AS n FROM stops")
+@query("s09_distinct_shards", cte("stops") + """, v AS (SELECT replace(region, ' ', '_') AS region, ride_id, station_num % 2 = 0 AS early, station_num % 3 = 0 AS late FROM stops)
+SELECT region || '.txt' AS name, count(DISTINCT ride_id) AS n_rows, CAST(2 AS BIGINT) AS n_files FROM v WHERE early OR late GROUP BY region""")
 def s09(m):
+    """Each region's shard came twice under different names, and once more under another with other content: two files stay, whose rows are taken once."""
     path = files.scratch(m.spark, "shards")
-    rows = m.stops.groupBy("region").agg(F.max("sid").alias("top")).select("region", F.concat("region", F.lit(":"), F.col("top").cast("string")).alias("value"))
-    for copy in ("a", "b"):  # each content twice, under other folders
-        rows.repartition("region").write.partitionBy("region").text(f"{path}/{copy}")
-    found = files.distinct_shards(m.spark, path).where("name like 'part-%'").groupBy("length", "sum").agg(F.count("*").alias("k"))
-    return found.agg(F.lit("shard.txt").alias("name"), F.count("*").alias("n"))
+    rows = m.stops.select(F.translate("region", " ", "_").alias("region"), "ride_id", "station_num").distinct()
+    for name, part in (("date_", 2), ("2026-01-01_date_", 2), ("2026-01-02_date_", 3)):
+        own = rows.where(F.col("station_num") % part == 0).select("region", "ride_id").distinct().select(F.concat(F.lit(name), "region", F.lit(".txt")).alias("shard"), F.col("ride_id").cast("string").alias("value"))
+        own.repartition("shard").sortWithinPartitions("shard", "value").write.mode("append").partitionBy("shard").text(path)
+    shards = files.distinct_shards(m.spark, path, "shard=([^/]+)/")
+    found = files.shard_rows(m.spark, path, shards).groupBy("name").agg(F.count("*").alias("n_rows"))
+    return found.join(shards.groupBy("name").agg(F.count("*").alias("n_files")), "name")
 
 
 @query("s10_days_to_load", cte("stops") + "SELECT CAST(unnest(generate_series(max(date) + 1, DATE '2002-01-31', INTERVAL 1 DAY)) AS DATE) AS day FROM stops", dates=("day",))

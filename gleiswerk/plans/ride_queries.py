@@ -199,7 +199,7 @@ def shares_sql(name: str, by: str, where: str, having: str = "") -> str:
     return f"""{name} AS (SELECT {keys}category, sum(n) OVER ({over}) AS coded, 100 * (n / sum(n) OVER ({over})) AS pct FROM (SELECT {keys}{rules.sql_code_category('code')} AS category, count(*) AS n FROM stops WHERE {where} GROUP BY {keys}category))"""
 
 
-@query("a49_decomposed_prediction", cte("days", "stops") + f""", {shares_sql('o', 'train', 'code < 20')}, {shares_sql('l0', 'line', 'code < 10')}, l AS (SELECT * FROM l0 WHERE coded >= 4), {shares_sql('a', '', 'true')},
+@query("a49_decomposed_prediction", cte("days", "stops") + f""", {shares_sql('o', 'train', 'code < 20 AND train_num % 3 = 0')}, {shares_sql('l0', 'line', "code < 10 AND right(line, 1) < '5'")}, l AS (SELECT * FROM l0 WHERE coded >= 4), {shares_sql('a', '', 'true')},
 p AS (SELECT t.train, t.line, value FROM (SELECT DISTINCT train, line FROM stops) t JOIN (SELECT train, round(avg(end_delay), 4) AS value FROM days GROUP BY train) v ON t.train = v.train),
 ti AS (SELECT p.*, CASE WHEN train IN (SELECT train FROM o WHERE coded >= 8) THEN 'train' WHEN line IN (SELECT line FROM l) THEN 'line' ELSE 'network' END AS tier FROM p),
 x AS (SELECT ti.train, ti.line, tier, category, value, pct FROM ti JOIN o ON tier = 'train' AND ti.train = o.train UNION ALL SELECT ti.train, ti.line, tier, category, value, pct FROM ti JOIN l ON tier = 'line' AND ti.line = l.line
@@ -207,10 +207,10 @@ x AS (SELECT ti.train, ti.line, tier, category, value, pct FROM ti JOIN o ON tie
 m AS (SELECT train, line, tier, category, round(value * pct / 100 + 1e-9, 3) AS minutes FROM x)
 SELECT *, CAST(row_number() OVER (PARTITION BY train, line ORDER BY minutes DESC, category) AS INTEGER) AS rank FROM m""")
 def a49(m):
-    """Codes under 20 count for trains, under 10 for lines of four such stops, so that each tier has its cases."""
+    """Profiles are of codes under 20 for a third of the trains, and under 10 for half of the lines (of four such stops), so that each tier has its cases."""
     value = days(m).groupBy("train").agg(F.round(F.avg("end_delay"), 4).alias("value"))
     predictions = m.stops.select("train", "line").distinct().join(value, "train")
-    own, line = causes.coded_shares(m.stops.where("code < 20"), "train"), causes.coded_shares(m.stops.where("code < 10"), "line").where("coded >= 4")
+    own, line = causes.coded_shares(m.stops.where("code < 20 and train_num % 3 = 0"), "train"), causes.coded_shares(m.stops.where("code < 10 and right(line, 1) < '5'"), "line").where("coded >= 4")
     return rides.decomposed(predictions, own, line, causes.coded_shares(m.stops))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REMARK = "service_date string, train string, train_slug string, weekday string, last_delay_min int, max_delay_min int, remarks string"
@@ -19,6 +19,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share; a temporary one only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gleiswerk-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -76,11 +78,25 @@ def write_text(table: DataFrame, path: str, kind: str) -> None:
     (table.write.option("header", True).csv if kind == "csv" else table.write.json)(path)
 
 
-def distinct_shards(spark: SparkSession, folder: str) -> DataFrame:
+def shard_name(path: Column, pattern: str = r"([^/]+)$") -> Column:
+    """A shard's name as ``pattern`` finds it in its path, without what differs between copies: all up to ``_date_``, a leading ``date_``, and marks of copies."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    name = F.regexp_replace(F.regexp_extract(plain, pattern, 1), "^(.*?_)?date_", "")
+    return F.regexp_replace(name, r"( \(\d+\)|-copy)(?=\.)", "")
+
+
+def distinct_shards(spark: SparkSession, folder: str, pattern: str = r"([^/]+)$") -> DataFrame:
     """Files under normalised names: one of equal content; same name and other content are both kept."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"( \(\d+\)|-copy)(?=\.)", "")
-    return files.select(name.alias("name"), "length", F.sha2("content", 256).alias("sum"), "path").groupBy("name", "length", "sum").agg(F.min("path").alias("path"))
+    path = F.col("_metadata.file_path")
+    rows = files.select(shard_name(path, pattern).alias("name"), "length", F.sha2("content", 256).alias("sum"), path.alias("path"))
+    return rows.groupBy("name", "length", "sum").agg(F.min("path").alias("path"))
+
+
+def shard_rows(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
+    """(name, value): the lines of the kept shards, each once for a name, as shards of one name may overlap."""
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines.join(shards.select("path", "name"), "path").select("name", "value").distinct()
 
 
 def days_to_load(listing: DataFrame, end: str) -> DataFrame:

@@ -108,7 +108,9 @@ def test_shares_sum_up_and_percentiles_are_ordered(spark):
     stops = stop_rows(spark)
     for r in causes.train_causes(stops).groupBy("train").agg(F.sum("pct").alias("p")).collect():
         assert abs(r.p - 100) < 0.01
-    for r in rides.segment(rides.clean_stops(stops)).where("median is not null").collect():
+    rows = rides.clean_stops(stops)
+    asked = rows.select("train", F.col("station").alias("origin")).distinct().join(rows.select("train", F.col("station").alias("destination")).distinct(), "train")
+    for r in rides.segments(asked, rides.train_day_details(rows)).where("median is not null").collect():
         assert r.p10 <= r["median"] <= r.p90
 
 
@@ -134,15 +136,6 @@ def test_longest_non_decreasing():
         assert len(got) == best and got == sorted(got)
 
 
-def test_alignment_and_choice(spark):
-    day = dt.date(2026, 1, 1)
-    rows = spark.createDataFrame([("L", day, "A", 10), ("L", day, "B", 5), ("L", day, "C", 30), ("L", day, "D", 40)], "line string, date date, station string, minute long")
-    templates = spark.createDataFrame([("L", "one", ["A", "B", "C", "D"]), ("L", "two", ["D", "C"])], "line string, template string, stations array<string>")
-    got = alignment.align(rows, templates)
-    assert got.where("template = 'one'").count() == 3 and got.where("template = 'two'").count() == 1
-    assert alignment.choose(got).collect()[0].template == "one"
-
-
 def test_connections_need_the_order(spark):
     rows = spark.createDataFrame([(1, "L", "RE", ["A", "B", "C"], [10, 20, 15]), (2, "L", "RE", ["C", "A"], [1, 2]), (3, "L", "RE", ["A", "C", "A", "C"], [50, 60, 70, 80])], "service long, line string, train_type string, stations array<string>, times array<long>")
     got = timetable.connections(rows, "A", "C").orderBy("service").collect()
