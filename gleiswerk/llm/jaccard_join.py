@@ -6,20 +6,25 @@ is exact:
 
 1. All tokens have one global order: by a level, then by hash. Levels come from
    a sketch of SLOTS counters over the whole corpus (a fixed size whatever the
-   input), rare tokens first. Two sets of similarity t share a token among
-   their first n - ceil(t n) + 1.
+   input), rare tokens first. The first token that two sets of similarity t
+   share is among the first n - ceil(t n) + 1 of both, and among the first
+   n - ceil(2 t n / (1 + t)) + 1 of the smaller one: there it is an index token.
 2. Prefix tokens of distinct sets are looked up by token; those in two sets or
    more are the open rows.
 3. Similar documents are partitioned into groups: a set goes to the cell of the
-   highest of its open tokens and of its size class, a cell is dealt out into
-   groups of about GROUP_MEMBERS sets. The matrix of tokens and cells tells
-   which cells a query shares how many prefix tokens with; too few for any size
-   in the cell rule it out.
+   highest of its open index tokens and of its size class (one without any is
+   only ever a query), a cell is dealt out into groups of about GROUP_MEMBERS
+   sets. The matrix of tokens and cells tells which cells a query shares a
+   token with that is an index token of either. Texts that share a long common
+   part, but too little to be similar, have no index token in common, so their
+   number costs nothing here, however many they are.
 4. Each group stores the union of its members' tokens, and at which places of
    the union each member is. A query's tokens are looked up in the union, which
    bounds its overlap with every member; only a group that can qualify is
    opened, and all its members are then compared at once. A query is linked
-   with one member of each component inside the group.
+   with one member of each component inside the group. Queries meet the first
+   group of a cell; the others are asked in a second round, and only those that
+   are not wholly in the query's component by then.
 5. Links become components by alternating large and small stars, each round
    written to the shared folder.
 
@@ -38,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ROW, chunks, discard, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, with_rows, words_of
@@ -94,16 +99,9 @@ def prefix_size(n: int, over: int = OVER, of: int = OF) -> int:
     return n + (-over * n) // of + 1
 
 
-def least_shared(n: Column, lo: Column, hi: Column, over: int = OVER, of: int = OF) -> Column:
-    """How many tokens the prefixes of a set of n tokens and of a similar one of lo to hi tokens share at least.
-
-    The overlap must be at least over / (over + of) of both sizes together, and
-    all but the last tokens of the side whose prefix ends first may be outside
-    of the prefixes. It falls from both ends of the sizes by rounding alone.
-    """
-    rest = lambda x: F.ceil(x * over / of)
-    at = lambda m: F.ceil((n + m) * over / (over + of)) - F.greatest(rest(n), rest(m)) + 1
-    return F.greatest(F.least(at(F.greatest(lo, F.ceil(n * over / of))), at(F.least(hi, F.floor(n * of / over)))) - 2, F.lit(1))
+def index_size(n: int, over: int = OVER, of: int = OF) -> int:
+    """Of a set of n tokens, the smaller of two similar ones, where the first shared token must be."""
+    return n + (-2 * over * n) // (over + of) + 1
 
 
 # -- sets and the order of tokens -------------------------------------------------------
@@ -154,8 +152,8 @@ def token_levels(sketch: DataFrame) -> np.ndarray:
 
 # -- open tokens ----------------------------------------------------------------------
 
-_SENT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("token", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("level", pa.int32())])
-_OPEN = pa.schema([("token", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("level", pa.int32())])
+_SENT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("token", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("index", pa.bool_())])
+_OPEN = pa.schema([("token", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("index", pa.bool_())])
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -177,7 +175,7 @@ def _owner(sets: int) -> str:
 def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     """Prefix tokens of distinct sets, as far as a task knows.
 
-    Tokens that two sets of a task share are open: rows of token, h, n, level.
+    Tokens that two sets of a task share are open: rows of token, h, n, level, index.
     Each other token, and one mark for each of these, goes to a bucket as part
     of a payload, so a token of very many sets is one entry from each task.
     The low 40 bits and the bucket tell tokens apart (a false match costs a
@@ -187,34 +185,35 @@ def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFram
 
     def send(found: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
         level_of = shared.value
-        tokens, ranks, sizes = [], [], []
+        tokens, ranks, sizes, early = [], [], [], []
         for x in found.values():
             level = level_of[x >> np.uint64(42)]
             first = np.argsort(level, kind="stable")[: prefix_size(len(x))]
             tokens.append(x[first])
             ranks.append(level[first])
             sizes.append(len(x))
+            early.append(np.arange(len(first)) < index_size(len(x)))
         h = np.array([short(d) for d in found], np.int64)
         n = np.array(sizes, np.int32)
         owner = np.repeat(np.arange(len(n)), [len(x) for x in tokens])
-        token, rank = np.concatenate(tokens), np.concatenate(ranks)
+        token, rank, index = np.concatenate(tokens), np.concatenate(ranks), np.concatenate(early)
         bucket = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
         token = token & _LOW | bucket.astype(np.uint64) << np.uint64(40)
         order = np.argsort(token, kind="stable")
-        token, rank, owner = token[order], rank[order], owner[order]
+        token, rank, owner, index = token[order], rank[order], owner[order], index[order]
         twice = _alike(token)
         if twice.any():
             none = np.full(int(twice.sum()), None)
-            yield record_batch(_SENT, [pa.array(none, pa.int32()), pa.array(none, pa.binary()), token[twice].view(np.int64), h[owner[twice]], n[owner[twice]], rank[twice].astype(np.int32)])
+            yield record_batch(_SENT, [pa.array(none, pa.int32()), pa.array(none, pa.binary()), token[twice].view(np.int64), h[owner[twice]], n[owner[twice]], rank[twice].astype(np.int32), index[twice]])
         once = np.ones(len(token), bool)
         once[1:] = token[1:] != token[:-1]
-        token, rank, owner, mark = token[once], rank[once], np.where(twice, -1, owner)[once], twice[once]
+        token, rank, owner, index, mark = token[once], rank[once], np.where(twice, -1, owner)[once], index[once], twice[once]
         at = np.flatnonzero(np.diff((token >> np.uint64(40)).astype(np.int64), prepend=-1))
         for i, j in zip(at.tolist(), [*at[1:].tolist(), len(token)], strict=True):
             mine, own = np.unique(owner[i:j], return_inverse=True)
             low = token[i:j] & _LOW
-            said = b"".join((len(mine).to_bytes(4, "little"), (j - i).to_bytes(4, "little"), np.where(mine < 0, 0, h[mine]).tobytes(), np.where(mine < 0, 0, n[mine]).tobytes(), own.astype(_owner(len(mine))).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(), rank[i:j].tobytes(), mark[i:j].tobytes()))
-            yield record_batch(_SENT, [[int(token[i] >> np.uint64(40))], [said], [None], [None], [None], [None]])
+            said = b"".join((len(mine).to_bytes(4, "little"), (j - i).to_bytes(4, "little"), np.where(mine < 0, 0, h[mine]).tobytes(), np.where(mine < 0, 0, n[mine]).tobytes(), own.astype(_owner(len(mine))).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(), rank[i:j].tobytes(), index[i:j].tobytes(), mark[i:j].tobytes()))
+            yield record_batch(_SENT, [[int(token[i] >> np.uint64(40))], [said], [None], [None], [None], [None], [None]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, np.ndarray] = {}
@@ -230,7 +229,7 @@ def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFram
         if found:
             yield from send(found)
 
-    return text_rows(docs).mapInArrow(run, "bucket int, payload binary, token long, h long, n int, level int")
+    return text_rows(docs).mapInArrow(run, "bucket int, payload binary, token long, h long, n int, level int, index boolean")
 
 
 def met_in_buckets(sent: DataFrame) -> DataFrame:
@@ -238,56 +237,62 @@ def met_in_buckets(sent: DataFrame) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         bucket = np.uint64(rows.column("bucket")[0].as_py())
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for x in rows.column("payload"):
             data = x.as_py()
             sets, n, at = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little"), 8
             read = []
-            for kind, count in (("i8", sets), ("i4", sets), (_owner(sets), n), ("u4", n), ("u1", n), ("u1", n), ("?", n)):
+            for kind, count in (("i8", sets), ("i4", sets), (_owner(sets), n), ("u4", n), ("u1", n), ("u1", n), ("?", n), ("?", n)):
                 read.append(np.frombuffer(data, kind, count, at))
                 at += read[-1].nbytes
-            h, size, own, low, high, rank, mark = read
-            for column, value in zip(parts, (h[own], size[own], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), rank, mark), strict=True):
+            h, size, own, low, high, rank, index, mark = read
+            for column, value in zip(parts, (h[own], size[own], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), rank, index, mark), strict=True):
                 column.append(value)
-        h, size, token, rank, mark = (np.concatenate(x) for x in parts)
+        h, size, token, rank, index, mark = (np.concatenate(x) for x in parts)
         order = np.lexsort((h, token))
-        h, size, token, rank, mark = h[order], size[order], token[order], rank[order], mark[order]
+        h, size, token, rank, index, mark = h[order], size[order], token[order], rank[order], index[order], mark[order]
         new = np.ones(len(token), bool)  # a set of several tasks is there once
         new[1:] = (token[1:] != token[:-1]) | (h[1:] != h[:-1])
         new |= mark
-        h, size, token, rank, mark = h[new], size[new], token[new], rank[new], mark[new]
+        h, size, token, rank, index, mark = h[new], size[new], token[new], rank[new], index[new], mark[new]
         keep = _alike(token) & ~mark
-        return pa.table([(token[keep] | bucket << np.uint64(40)).view(np.int64), h[keep], size[keep].astype(np.int32), rank[keep].astype(np.int32)], schema=_OPEN)
+        return pa.table([(token[keep] | bucket << np.uint64(40)).view(np.int64), h[keep], size[keep].astype(np.int32), rank[keep].astype(np.int32), index[keep]], schema=_OPEN)
 
-    return sent.where("payload is not null").groupBy("bucket").applyInArrow(run, "token long, h long, n int, level int")
+    return sent.where("payload is not null").groupBy("bucket").applyInArrow(run, "token long, h long, n int, level int, index boolean")
 
 
 # -- cells, groups, and the matrix -------------------------------------------------------
 
 
 def with_cells(rows: DataFrame) -> DataFrame:
-    """Open rows (token, h, n, level) with the cell of their set: its highest open token and its size class."""
-    top = F.max(F.struct("level", "token")).over(Window.partitionBy("h", "n"))  # a set's rows: one document's at most
-    return rows.withColumn("top", top).select("token", "h", "n", F.xxhash64("top.token", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))).alias("cell"))
+    """Open rows (token, h, n, level, index) with the cell of their set: its highest open index token and its size class, or null."""
+    top = F.max(F.when(F.col("index"), F.struct("level", "token"))).over(Window.partitionBy("h", "n"))  # a set's rows: one document's at most
+    cell = F.when(F.col("top").isNotNull(), F.xxhash64("top.token", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))))
+    return rows.withColumn("top", top).select("token", "h", "n", "index", cell.alias("cell"))
 
 
 def members_of_cells(marked: DataFrame) -> DataFrame:
-    """h, n, cell, g, parts of each set: its group, and how many groups its cell is dealt out to."""
-    members = marked.select("h", "n", "cell").distinct()
+    """h, n, cell, g, parts of each set that has a cell: its group, and how many groups its cell is dealt out to."""
+    members = marked.where("cell is not null").select("h", "n", "cell").distinct()
     parts = members.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / GROUP_MEMBERS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
     return members.join(parts, "cell").select("h", "n", "cell", F.xxhash64("cell", F.pmod(F.xxhash64("h", "n"), "parts")).alias("g"), "parts")
 
 
-def asked_groups(marked: DataFrame, members: DataFrame) -> DataFrame:
-    """(h, n, g): the groups that a query may have a similar set in. By the matrix of tokens and cells, of two cells the larger asks; within a cell the later group."""
-    cells = members.groupBy("cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = marked.select("token", F.col("cell").alias("of")).distinct()
-    shared = marked.join(matrix, "token").where("cell > of").groupBy("h", "n", "of").agg(F.count("*").alias("shared"))
+def asked_cells(marked: DataFrame, members: DataFrame) -> DataFrame:
+    """(h, n, own, of): the cells that a query may have a similar set in, by the matrix of tokens and cells; own is its group in that cell, or null.
+
+    Of two cells the larger asks; a set without a cell always does. A cell of
+    several groups is asked by its own members, too.
+    """
+    cells = members.groupBy("cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("parts").alias("parts"))
+    matrix = marked.where("cell is not null").groupBy("token", "cell").agg(F.bool_or("index").alias("held")).select("token", F.col("cell").alias("of"), "held")
+    rows = marked.select("token", "h", "n", "cell", "index")
+    # a token that is an index token of neither side makes no rows
+    met = rows.where("index").join(matrix, "token").unionByName(rows.where("not index").join(matrix.where("held"), "token"))
+    met = met.where("cell is null or cell > of").select("h", "n", "of").distinct()
     fits = (F.col("n") * OVER <= F.col("hi") * OF) & (F.col("lo") * OVER <= F.col("n") * OF)
-    across = shared.join(cells.withColumnRenamed("cell", "of"), "of").where(fits & (F.col("shared") >= least_shared(F.col("n"), F.col("lo"), F.col("hi"))))
-    groups = members.select(F.col("cell").alias("of"), F.col("g").alias("of_g"), F.col("parts").alias("of_parts")).distinct()
-    across = across.join(groups, "of").select("h", "n", F.col("of_g").alias("g"))
-    inside = members.where("parts > 1").join(groups.where("of_parts > 1"), F.col("cell") == F.col("of")).where("of_g < g").select("h", "n", F.col("of_g").alias("g"))
+    across = met.join(cells.withColumnRenamed("cell", "of"), "of").where(fits).select("h", "n", F.lit(None).cast("long").alias("own"), "of", "parts")
+    inside = members.where("parts > 1").select("h", "n", F.col("g").alias("own"), F.col("cell").alias("of"), "parts")
     return across.unionByName(inside)
 
 
@@ -392,20 +397,16 @@ def opened_links(queries: DataFrame, stored: DataFrame) -> DataFrame:
     return queries.groupBy("g", "part").cogroup(stored.groupBy("g", "part")).applyInArrow(run, "a long, b long")
 
 
-def similar_sets(docs: DataFrame, kinds: DataFrame, marked: DataFrame) -> DataFrame:
-    """(a, b): links of set_ids that connect whatever is connected by similar sets, written. marked: the open rows with their cells, written; they go as soon as they are used."""
-    members = materialize(members_of_cells(marked), "groups")
-    named = kinds.select("h", F.col("n_shingles").cast("int").alias("n"), "set_id")
-    asked = materialize(asked_groups(marked, members).join(named, ["h", "n"]).select("set_id", "n", "g"), "asked")
-    discard(marked)
-    several = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+def compared(docs: DataFrame, inside: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b): links within the groups ``inside`` (set_id, n, g: their members), and of queries (set_id, n, g) ``asked`` with these, written. A text moves once for its group, and once for each group it asks."""
     many = asked.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / GROUP_QUERIES), F.ceil(F.sum("n") / (4 * GROUP_TOKENS))).alias("parts"))
+    several = inside.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
     met = several.join(many, "g", "full").select("g", F.coalesce("parts", F.lit(0).cast("long")).alias("parts"))
-    inside = members.drop("parts").join(met, "g").join(named, ["h", "n"]).select("set_id", "g", F.lit(-1).cast("long").alias("part"), "parts")
+    members = inside.join(met, "g").select("set_id", "g", F.lit(-1).cast("long").alias("part"), "parts")
     queries = asked.join(many, "g").select("set_id", "g", F.pmod(F.xxhash64("set_id"), "parts").alias("part"), "parts")
-    dealt = materialize(inside.unionByName(queries), "dealt")
+    dealt = materialize(members.unionByName(queries), "dealt")
     texts = materialize(with_texts(docs, dealt), "texts")
-    discard(members, asked, dealt)
+    discard(dealt)
     stored = materialize(stored_groups(texts.where("part < 0").select("set_id", "g", "parts", "text")), "stored")
     opened = opened_links(texts.where("part >= 0").select("g", "part", "set_id", "text"), stored.where("stored is not null").select("g", "part", "stored"))
     links = materialize(stored.where("a is not null").select("a", "b").unionByName(opened), "similar")
@@ -413,6 +414,45 @@ def similar_sets(docs: DataFrame, kinds: DataFrame, marked: DataFrame) -> DataFr
     return links
 
 
+def groups_left(asked: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+    """(set_id, n, g): of the cells ``asked`` (set_id, n, own, of), the groups that aren't the first, nor wholly in the query's component by ``known`` (set_id, comp).
+
+    A cell is listed by the components that some of its groups lie in, not by
+    its groups, so queries of the one component of a large cell meet one row.
+    """
+    comp = known.select(F.col("set_id").alias("id"), "comp")
+    with_comp = lambda rows: rows.join(comp, F.col("set_id") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "set_id")).drop("id")
+    groups = with_comp(members.where("parts > 1 and g <> first")).groupBy("cell", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    groups = groups.select(F.col("cell").alias("of"), "g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("all_of"))  # ROWs aren't negative
+    ways = groups.select("of", "all_of").distinct()
+    foreign = with_comp(asked.where("parts > 1")).join(ways, "of").where("all_of <> comp").select("set_id", "n", "own", "of", "all_of")
+    return foreign.join(groups, ["of", "all_of"]).where("own is null or g < own").select("set_id", "n", "g")
+
+
+def similar_sets(docs: DataFrame, kinds: DataFrame, marked: DataFrame) -> DataFrame:
+    """(set_id, comp): the component of each set that is similar to another. marked: the open rows with their cells, written; they go as soon as they are used."""
+    named = kinds.select("h", F.col("n_shingles").cast("int").alias("n"), "set_id")
+    plain = members_of_cells(marked)
+    first = plain.groupBy("cell").agg(F.min("g").alias("first"))
+    members = materialize(plain.join(first, "cell").join(named, ["h", "n"]), "groups")
+    cells = asked_cells(marked, members).join(members.select(F.col("cell").alias("of"), "first").distinct(), "of")
+    asked = materialize(cells.join(named, ["h", "n"]).select("set_id", "n", "own", "of", "parts", "first"), "asked")
+    discard(marked)
+    begun = asked.where("own is null or own <> first").select("set_id", "n", F.col("first").alias("g"))
+    links = compared(docs, members.select("set_id", "n", "g"), begun)
+    known = components(links)
+    if asked.where("parts > 1").isEmpty():
+        discard(members, asked)
+        return known
+    left = materialize(groups_left(asked, members, known), "left")
+    if not left.isEmpty():
+        # a group of the second round was compared within itself in the first
+        more = compared(docs, members.join(left.select("g").distinct(), "g", "left_semi").select("set_id", "n", "g"), left)
+        known = components(known.select(F.col("set_id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    discard(members, asked, left)
+    return known
+
+
 # -- components ---------------------------------------------------------------------
 
 
@@ -452,11 +492,10 @@ def components_of_rows(docs: DataFrame) -> DataFrame:
     kinds = materialize(kinds, "kinds")
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     sent = materialize(prefix_tokens(docs, levels, buckets), "prefixes")
-    known = sent.where("payload is null").select("token", "h", "n", "level")
+    known = sent.where("payload is null").select("token", "h", "n", "level", "index")
     marked = materialize(with_cells(known.unionByName(met_in_buckets(sent))), "marked")
     discard(sent)
-    links = similar_sets(docs, kinds, marked)
-    label = components(links)
+    label = similar_sets(docs, kinds, marked)
     least = kinds.join(label, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     final = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("set_id").alias("first")), "comp").select("digest", "copies", "component_id", "first")
     final = materialize(final, "components")

@@ -195,33 +195,64 @@ def test_groups_hold_all_links(spark):
     sets = jaccard_join.sets_of_documents(rows)
     levels = jaccard_join.token_levels(sets.where("counts is not null").select("slice", "counts"))
     sent = jaccard_join.prefix_tokens(rows, levels, 4)
-    rows = sent.where("payload is null").select("token", "h", "n", "level").unionByName(jaccard_join.met_in_buckets(sent))
+    rows = sent.where("payload is null").select("token", "h", "n", "level", "index").unionByName(jaccard_join.met_in_buckets(sent))
     marked = jaccard_join.with_cells(rows).cache()
     members = jaccard_join.members_of_cells(marked).cache()
-    asked = jaccard_join.asked_groups(marked, members)
+    asked = jaccard_join.asked_cells(marked, members)
     assert members.groupBy("g").count().agg({"count": "max"}).first()[0] <= 2 * jaccard_join.GROUP_MEMBERS
-    assert asked.count() < members.count() * members.select("g").distinct().count()
+    assert asked.count() < marked.select("h", "n").distinct().count() * members.select("cell").distinct().count()
 
 
-def test_least_shared_is_a_bound(spark):
-    """Similar sets share so many of their prefixes' tokens in any order of the tokens."""
-    from pyspark.sql import functions as F
-
+def test_first_shared_token_is_an_index_token():
+    """Of similar sets, in any order of the tokens: in the prefix of both, and early in that of the smaller one."""
     rng = random.Random(4)
-    pairs, want = [], []
-    while len(pairs) < 150:
-        both = rng.randint(3, 60)
-        a, b = both + rng.randint(0, 12), both + rng.randint(0, 12)
+    done = 0
+    while done < 2000:
+        both = rng.randint(1, 60)
+        a, b = sorted((both + rng.randint(0, 12), both + rng.randint(0, 12)))
         if 100 * both < 75 * (a + b - both):
             continue
         tokens = rng.sample(range(1000), a + b - both)
         x, y = sorted(tokens[:a]), sorted(tokens[a - both :])
-        assert len(set(x) & set(y)) == both
-        pairs.append((len(x), max(1, len(y) - rng.randint(0, 9)), len(y) + rng.randint(0, 9)))
-        want.append(len(set(x[: jaccard_join.prefix_size(len(x))]) & set(y[: jaccard_join.prefix_size(len(y))])))
-    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, n long, lo long, hi long")
-    got = {r.k: r.least for r in df.select("k", jaccard_join.least_shared(F.col("n"), F.col("lo"), F.col("hi")).alias("least")).collect()}
-    assert all(got[k] <= w for k, w in enumerate(want))
+        first = min(set(x) & set(y))
+        assert x.index(first) < jaccard_join.index_size(a) <= jaccard_join.prefix_size(a) and y.index(first) < jaccard_join.prefix_size(b)
+        done += 1
+
+
+def dealt_rows(spark, monkeypatch, texts):
+    """How many texts move to groups in all, and the result."""
+    seen, plain = [], jaccard_join.with_texts
+
+    def counted(docs, dealt):
+        seen.append(dealt.count())
+        return plain(docs, dealt)
+
+    monkeypatch.setattr(jaccard_join, "with_texts", counted)
+    got = got_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    monkeypatch.setattr(jaccard_join, "with_texts", plain)
+    return sum(seen), got
+
+
+def test_form_letters_move_nowhere(spark, monkeypatch):
+    """A long common part, but too short for a link: no text is sent to a group, however many there are."""
+    common = " ".join(f"c{i}" for i in range(80))
+    for n in (300, 900):
+        texts = [common + "".join(f" own{k}x{i}" for i in range(14)) for k in range(n)]
+        moved, got = dealt_rows(spark, monkeypatch, texts)
+        assert moved == 0 and len({r[2] for r in got}) == n
+
+
+def test_linked_copies_move_in_proportion(spark, monkeypatch):
+    """Different texts that are all linked: each moves a few times, not once for each group before it."""
+    monkeypatch.setattr(jaccard_join, "GROUP_MEMBERS", 8)
+    common = [f"c{i}" for i in range(150)]
+    moved = {}
+    for n in (200, 800):
+        texts = [" ".join(common + [f"own{k}"]) for k in range(n)]
+        moved[n], got = dealt_rows(spark, monkeypatch, texts)
+        assert len({r[2] for r in got}) == 1
+        assert moved[n] <= 4 * n
+    assert moved[800] <= 4.5 * moved[200]
 
 
 @pytest.mark.parametrize("which", ["odd", "none", "documents", "clash"])
