@@ -14,10 +14,12 @@ is exact:
 3. Similar documents are partitioned into groups: a set goes to the cell of the
    highest of its open index tokens and of its size class (one without any is
    only ever a query), a cell is dealt out into groups of about GROUP_MEMBERS
-   sets. The matrix of tokens and cells tells which cells a query shares a
-   token with that is an index token of either. Texts that share a long common
-   part, but too little to be similar, have no index token in common, so their
-   number costs nothing here, however many they are.
+   sets. The matrix of tokens and cells tells which cells a query shares how
+   many prefix tokens with; too few for any size in the cell rule it out. Only
+   tokens that are an index token of some set count (those left out of a query
+   are allowed for), and only sets with a cell are in the matrix. Texts that
+   share a long common part, but too little to be similar, have no index token
+   in common, so their number costs nothing here, however many they are.
 4. Each group stores the union of its members' tokens, and at which places of
    the union each member is. A query's tokens are looked up in the union, which
    bounds its overlap with every member; only a group that can qualify is
@@ -43,10 +45,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, chunks, discard, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, with_rows, words_of
+from .common import ROW, chunks, discard, free_names, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, with_rows, words_of
 
 WORDS = 5
 #: Similarity as a fraction: 75 / 100.
@@ -104,6 +106,18 @@ def index_size(n: int, over: int = OVER, of: int = OF) -> int:
     return n + (-2 * over * n) // (over + of) + 1
 
 
+def least_shared(n: Column, lo: Column, hi: Column, over: int = OVER, of: int = OF) -> Column:
+    """How many tokens the prefixes of a set of n tokens and of a similar one of lo to hi tokens share at least.
+
+    The overlap must be at least over / (over + of) of both sizes together, and
+    all but the last tokens of the side whose prefix ends first may be outside
+    of the prefixes. It falls from both ends of the sizes by rounding alone.
+    """
+    rest = lambda x: F.ceil(x * over / of)
+    at = lambda m: F.ceil((n + m) * over / (over + of)) - F.greatest(rest(n), rest(m)) + 1
+    return F.greatest(F.least(at(F.greatest(lo, F.ceil(n * over / of))), at(F.least(hi, F.floor(n * of / over)))) - 2, F.lit(1))
+
+
 # -- sets and the order of tokens -------------------------------------------------------
 
 _SETS = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("h", pa.int64()), ("md5", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
@@ -265,10 +279,14 @@ def met_in_buckets(sent: DataFrame) -> DataFrame:
 
 
 def with_cells(rows: DataFrame) -> DataFrame:
-    """Open rows (token, h, n, level, index) with the cell of their set: its highest open index token and its size class, or null."""
-    top = F.max(F.when(F.col("index"), F.struct("level", "token"))).over(Window.partitionBy("h", "n"))  # a set's rows: one document's at most
+    """(token, h, n, cell, unheld) of the open rows (token, h, n, level, index) whose token is an index token of some set: the cell of their set (its highest open index token and its size class, or null), and how many of the set's open rows are left out."""
+    held = rows.where("index").select("token", F.lit(True).alias("held")).distinct()
+    of_set = Window.partitionBy("h", "n")  # a set's rows: one document's at most
+    top = F.max(F.when(F.col("index"), F.struct("level", "token"))).over(of_set)
+    unheld = F.sum(F.when(F.col("held"), 0).otherwise(1)).over(of_set)
     cell = F.when(F.col("top").isNotNull(), F.xxhash64("top.token", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))))
-    return rows.withColumn("top", top).select("token", "h", "n", "index", cell.alias("cell"))
+    known = rows.join(held, "token", "left").withColumn("top", top).withColumn("unheld", unheld.cast("int"))
+    return known.where("held").select("token", "h", "n", cell.alias("cell"), "unheld")
 
 
 def members_of_cells(marked: DataFrame) -> DataFrame:
@@ -279,19 +297,17 @@ def members_of_cells(marked: DataFrame) -> DataFrame:
 
 
 def asked_cells(marked: DataFrame, members: DataFrame) -> DataFrame:
-    """(h, n, own, of): the cells that a query may have a similar set in, by the matrix of tokens and cells; own is its group in that cell, or null.
+    """(h, n, own, of, parts): the cells that a query may have a similar set in, by the matrix of tokens and cells; own is its group in that cell, or null.
 
     Of two cells the larger asks; a set without a cell always does. A cell of
     several groups is asked by its own members, too.
     """
     cells = members.groupBy("cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("parts").alias("parts"))
-    matrix = marked.where("cell is not null").groupBy("token", "cell").agg(F.bool_or("index").alias("held")).select("token", F.col("cell").alias("of"), "held")
-    rows = marked.select("token", "h", "n", "cell", "index")
-    # a token that is an index token of neither side makes no rows
-    met = rows.where("index").join(matrix, "token").unionByName(rows.where("not index").join(matrix.where("held"), "token"))
-    met = met.where("cell is null or cell > of").select("h", "n", "of").distinct()
+    matrix = marked.where("cell is not null").select("token", F.col("cell").alias("of")).distinct()
+    shared = marked.join(matrix, "token").where("cell is null or cell > of").groupBy("h", "n", "unheld", "of").agg(F.count("*").alias("shared"))
     fits = (F.col("n") * OVER <= F.col("hi") * OF) & (F.col("lo") * OVER <= F.col("n") * OF)
-    across = met.join(cells.withColumnRenamed("cell", "of"), "of").where(fits).select("h", "n", F.lit(None).cast("long").alias("own"), "of", "parts")
+    enough = F.col("shared") >= least_shared(F.col("n"), F.col("lo"), F.col("hi")) - F.col("unheld")
+    across = shared.join(cells.withColumnRenamed("cell", "of"), "of").where(fits & enough).select("h", "n", F.lit(None).cast("long").alias("own"), "of", "parts")
     inside = members.where("parts > 1").select("h", "n", F.col("g").alias("own"), F.col("cell").alias("of"), "parts")
     return across.unionByName(inside)
 
@@ -521,13 +537,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = with_rows(docs.select("doc_id", "text"))
     found = components_of_rows(rows).where(f"component_id = doc_id or (component_id is null and coalesce(first = {ROW}, true))")
     # which rows stay follows from doc_id and text, but for rows of null ids; with this written, the copy of the texts goes
-    kept = materialize(found.select(F.col("doc_id").alias("__doc"), F.col("md5").alias("__kept"), (F.col("doc_id").isNull() & F.col("first").isNotNull()).alias("__one")).distinct(), "kept")
+    doc, key, own, one_, row = free_names(docs, "__doc", "__kept", "__md5", "__one", "__row")
+    kept = materialize(found.select(F.col("doc_id").alias(doc), F.col("md5").alias(key), (F.col("doc_id").isNull() & F.col("first").isNotNull()).alias(one_)).distinct(), "kept")
     discard(rows)
-    keyed = docs.withColumn("__md5", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__md5") == F.col("__kept"))
-    out = keyed.join(kept.where("not __one"), same, "left_semi").select(*docs.columns)
-    one = keyed.where("doc_id is null").join(kept.where("__one"), F.col("__md5") == F.col("__kept"), "left_semi")
-    one = one.groupBy("__md5").agg(F.first(F.struct(*docs.columns)).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+    keyed = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key))
+    out = keyed.join(kept.where(~F.col(one_)), same, "left_semi").select(*docs.columns)
+    one = keyed.where("doc_id is null").join(kept.where(F.col(one_)), F.col(own) == F.col(key), "left_semi")
+    one = one.groupBy(own).agg(F.first(F.struct(*docs.columns)).alias(row)).select(*(F.col(row)[c].alias(c) for c in docs.columns))
     return out.unionByName(one)
 
 
