@@ -7,7 +7,8 @@ words), is compared with the templates by the cosine of sparse TF-IDF vectors.
 By the inequality of Cauchy and Schwarz a cosine is at most the length of the
 template's part that the text has any term of; files and runs in which that is
 below MIN_SCORE are left out without loss. The best one of at least MIN_SCORE
-is the file's declared licence. A licence file (by its name, or a file that is
+is the file's declared licence, if the text has the numbers and the telling
+words of that template (``lesser``, ``3``) and none that tell of a sibling. A licence file (by its name, or a file that is
 hardly more than its licence) declares for its directory; files that declare
 nothing inherit from the nearest directory above them. That is a join of paths:
 each directory is expanded to its ancestors once, however many files it has.
@@ -34,7 +35,8 @@ from .common import materialize, record_batch, table
 MIN_SCORE = 0.7
 #: A file of at most this many words besides its licence is a licence file.
 FILE_WORDS = 40
-#: How headers and notices state well-known licences.
+#: How headers, notices and licence files state well-known licences.
+GNU = "under the terms of the GNU {0} as published by the Free Software Foundation"
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -47,10 +49,39 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
     ),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        f"This program is free software: you can redistribute it and/or modify it {GNU.format('General Public License')}, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+    ),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", f"This program is free software; you can redistribute it and/or modify it {GNU.format('General Public License')}; version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
+    "GPL-2.0-or-later": (
+        f"This program is free software; you can redistribute it and/or modify it {GNU.format('General Public License')}; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        f"This library is free software; you can redistribute it and/or modify it {GNU.format('Lesser General Public License')}; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        f"This library is free software; you can redistribute it and/or modify it {GNU.format('Lesser General Public License')}; either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        f"This program is free software: you can redistribute it and/or modify it {GNU.format('Affero General Public License')}, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0.",
@@ -58,13 +89,17 @@ TEMPLATES = {
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
 _TERM = re.compile(r"[^\W_]+(?:\.\d+)*")
@@ -75,6 +110,9 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+#: Words that one licence of a family has and its siblings don't; and those that name a licence.
+SIBLINGS = frozenset("lesser affero noncommercial sharealike endorse".split())
+NAMING = SIBLINGS | frozenset("nc sa isc mit apache bsd mozilla".split())
 VOCABULARY = frozenset(t for group in TEMPLATES.values() for x in group for t in terms(x))
 
 
@@ -103,6 +141,8 @@ class Templates:
         found = [(name, terms(x)) for name in sorted(TEMPLATES) for x in TEMPLATES[name]]
         self.names = [name for name, _ in found]
         self.words = [len(x) for _, x in found]
+        #: Numbers, and words that tell sibling licences apart: a text without them isn't under the template's licence.
+        self.needed = [{t for t in x if t[0].isdigit() or t in NAMING} for _, x in found]
         #: Of each term: the templates that have it, and its weights there.
         self.of_term: dict[str, list[tuple[int, float]]] = {}
         for k, (_, x) in enumerate(found):
@@ -122,6 +162,10 @@ class Templates:
                 most[k] = most.get(k, 0.0) + w * w
         return {k for k, x in most.items() if x >= MIN_SCORE**2 - 1e-9}
 
+    def fits(self, k: int, counts: Counter) -> bool:
+        """Whether a text has the numbers and naming words of template k, and no word of a sibling besides."""
+        return all(counts[t] for t in self.needed[k]) and not any(counts[t] for t in SIBLINGS - self.needed[k])
+
     def best(self, text: str) -> tuple[str | None, float, int]:
         """Licence, score and words of the line, or the run of lines, that is most like a template."""
         found: tuple[str | None, float, int] = (None, 0.0, 0)
@@ -151,7 +195,7 @@ class Templates:
                     norm = math.sqrt(square)
                     for k, x in dot.items():
                         score = x / norm
-                        if score >= MIN_SCORE and score > found[1] + 1e-12 and j - i < self.words[k]:
+                        if score >= MIN_SCORE and score > found[1] + 1e-12 and j - i < self.words[k] and self.fits(k, counts):
                             found = (self.names[k], min(1.0, score), n)
         return found
 
@@ -170,7 +214,7 @@ def declared(files: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 a, b, words = shared.value.best(text)
                 name.append(a)
                 score.append(round(b, 6))
-                short.append(a is not None and len(text) < 40 * (FILE_WORDS + words) and len(terms(text)) <= FILE_WORDS + words)
+                short.append(a is not None and len(terms(text)) <= FILE_WORDS + words)
             yield record_batch(schema, [batch.column(0), batch.column(1), name, score, short])
 
     rows = files.select(F.col(id_column).cast("long").alias(id_column), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
