@@ -69,6 +69,17 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the UTF-8 bytes of text and ``more``, nothing else: other columns can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *more)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, table, text_rows
+from .common import free_names, record_batch, table, text_rows
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SALTS = 16
@@ -69,11 +69,12 @@ def dropped_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the dropped lines gone from text, and n_lines, n_dropped as __n_lines, __n_dropped."""
+    """``docs`` with the dropped lines gone from text, and as its last columns the numbers of lines and of those dropped: __n_lines and __n_dropped, or longer names where these are taken."""
     fields = docs.schema.fields
     names = [f.name for f in fields]
-    lost = dropped_hashes(docs, min_chars, min_docs).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("__doc"), "left").select(*names, "__drop")
+    doc, drop_, n_lines, n_dropped = free_names(docs, "__doc", "__drop", "__n_lines", "__n_dropped")
+    lost = dropped_hashes(docs, min_chars, min_docs).toDF(doc, drop_)
+    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col(doc), "left").select(*names, drop_)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +92,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 gone.append(len(lines) - len(kept))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "__n_lines", "__n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=[*names, n_lines, n_dropped])
 
-    return joined.mapInArrow(run, f"{kinds}, __n_lines long, __n_dropped long")
+    return joined.mapInArrow(run, f"{kinds}, {n_lines} long, {n_dropped} long")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

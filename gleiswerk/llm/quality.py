@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, words_of
+from .common import chunks, free_names, materialize, mix, ngram_hashes, prefix_hashes, record_batch, span_hashes, table, text_rows, words_of
 
 #: Labelled documents that the forests are fitted on, those of the smallest hashes.
 FIT_ROWS = 4096
@@ -209,7 +209,7 @@ def scored(stats: DataFrame, forest: Contrast) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Base counts, base_failed, score (null if nothing could be fitted) and kept of each document."""
     stats = materialize(statistics(docs), "statistics")
-    marks = labels.where("quality is not null").select(F.col("doc_id").alias("__doc"), F.col("quality").cast("int").alias("__good")).dropDuplicates(["__doc"])
+    marks = labels.where("quality is not null").select(F.col("doc_id").alias("__doc"), F.col("quality").cast("int").alias("__good")).groupBy("__doc").agg(F.min("__good").alias("__good"))  # of labels that disagree the worse
     marked = stats.join(marks, F.col("doc_id") == F.col("__doc"))
     kinds = [marked.where(~base_failed() & (F.col("__good") == k)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2).select("counts").toPandas()["counts"] for k in (1, 0)]
     out = stats.withColumn("base_failed", base_failed())
@@ -232,8 +232,9 @@ def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rejected ones; of rows with one doc_id all stay if any may."""
-    kept = judged(docs, labels).where("kept").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
+    (doc,) = free_names(docs, "__doc")
+    kept = judged(docs, labels).where("kept").select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_semi")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

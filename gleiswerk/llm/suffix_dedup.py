@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, prefix_hashes, record_batch, shared_dir, span_hashes, table, text_rows
+from .common import free_names, materialize, mix, prefix_hashes, record_batch, shared_dir, span_hashes, table, text_rows
 
 LENGTH = 50
 GRAM = 20
@@ -475,9 +475,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes gone from text, each row its own; a null text stays null. What a row loses follows from its doc_id and text, so rows of the same ones are cut alike."""
     whole_characters = F.pandas_udf(_whole_characters, "string")
-    cut = repeated_spans(docs, length).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("text_md5").alias("__md5"), F.col("kept").alias("__kept")).dropDuplicates(["__doc", "__md5"])
-    joined = docs.withColumn("__of", F.md5(F.col("text").cast("string"))).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__md5")), "left")
-    return joined.withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(whole_characters(F.col("__kept")))).select(*docs.columns)
+    own, doc, md5, kept = free_names(docs, "__of", "__doc", "__md5", "__kept")
+    cut = repeated_spans(docs, length).where(F.size("spans") > 0).select(F.col("doc_id").alias(doc), F.col("text_md5").alias(md5), F.col("kept").alias(kept)).dropDuplicates([doc, md5])
+    joined = docs.withColumn(own, F.md5(F.col("text").cast("string"))).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(md5)), "left")
+    return joined.withColumn("text", F.when(F.col(kept).isNull(), F.col("text")).otherwise(whole_characters(F.col(kept)))).select(*docs.columns)
 
 
 def _whole_characters(kept: pd.Series) -> pd.Series:

@@ -30,7 +30,7 @@ def clash(odd):
     """Columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("hash", "n_lines", "id", "key", "pos", "count", "sequence_id", "component_id", "kept", "score", "group"):
+    for name in ("hash", "n_lines", "id", "key", "pos", "count", "sequence_id", "component_id", "kept", "score", "group", "__doc", "__md5", "__drop", "__row", "__of", "__kept", "__one", "__n_lines", "__salt"):
         odd = odd.withColumn(name, F.lit("x"))
     return odd
 
