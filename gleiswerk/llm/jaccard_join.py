@@ -181,9 +181,38 @@ def _alike(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _owner(sets: int) -> str:
-    """How a payload numbers its sets."""
-    return "u2" if sets < 1 << 16 else "u4"
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, all first bytes first: such planes compress well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _of_planes(data: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def packed_prefixes(h: np.ndarray, n: np.ndarray, owner: np.ndarray, low: np.ndarray, rank: np.ndarray, index: np.ndarray, mark: np.ndarray) -> bytes:
+    """Sets (h, n) and their tokens in order (the set's number, the low 40 bits, level, two flags), compressed."""
+    import zstandard
+
+    head = np.array([len(h), len(low)], np.uint32).tobytes()
+    tokens = _planes(owner, 4) + _planes(np.diff(low, prepend=np.uint64(0)), 5) + rank.tobytes() + np.packbits(index).tobytes() + np.packbits(mark).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + h.tobytes() + n.astype(np.int32).tobytes() + tokens)
+
+
+def unpacked_prefixes(data: bytes) -> tuple[np.ndarray, ...]:
+    """h and n of each token's set, the low bits, level and flags of the token."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
+    sets, n = np.frombuffer(data, np.uint32, 2).tolist()
+    at = 8 + 12 * sets
+    own = _of_planes(data, n, 4, at).astype(np.int64)
+    low = np.cumsum(_of_planes(data, n, 5, at + 4 * n), dtype=np.uint64)
+    bits = (n + 7) // 8
+    flags = [np.unpackbits(np.frombuffer(data, np.uint8, bits, at + 10 * n + k * bits), count=n).astype(bool) for k in range(2)]
+    return np.frombuffer(data, np.int64, sets, 8)[own], np.frombuffer(data, np.int32, sets, 8 + 8 * sets)[own], low, np.frombuffer(data, np.uint8, n, at + 9 * n), *flags
 
 
 def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
@@ -225,8 +254,7 @@ def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFram
         at = np.flatnonzero(np.diff((token >> np.uint64(40)).astype(np.int64), prepend=-1))
         for i, j in zip(at.tolist(), [*at[1:].tolist(), len(token)], strict=True):
             mine, own = np.unique(owner[i:j], return_inverse=True)
-            low = token[i:j] & _LOW
-            said = b"".join((len(mine).to_bytes(4, "little"), (j - i).to_bytes(4, "little"), np.where(mine < 0, 0, h[mine]).tobytes(), np.where(mine < 0, 0, n[mine]).tobytes(), own.astype(_owner(len(mine))).tobytes(), low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(), rank[i:j].tobytes(), index[i:j].tobytes(), mark[i:j].tobytes()))
+            said = packed_prefixes(np.where(mine < 0, 0, h[mine]), np.where(mine < 0, 0, n[mine]), own, token[i:j] & _LOW, rank[i:j], index[i:j], mark[i:j])
             yield record_batch(_SENT, [[int(token[i] >> np.uint64(40))], [said], [None], [None], [None], [None], [None]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +281,7 @@ def met_in_buckets(sent: DataFrame) -> DataFrame:
         bucket = np.uint64(rows.column("bucket")[0].as_py())
         parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for x in rows.column("payload"):
-            data = x.as_py()
-            sets, n, at = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little"), 8
-            read = []
-            for kind, count in (("i8", sets), ("i4", sets), (_owner(sets), n), ("u4", n), ("u1", n), ("u1", n), ("?", n), ("?", n)):
-                read.append(np.frombuffer(data, kind, count, at))
-                at += read[-1].nbytes
-            h, size, own, low, high, rank, index, mark = read
-            for column, value in zip(parts, (h[own], size[own], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), rank, index, mark), strict=True):
+            for column, value in zip(parts, unpacked_prefixes(x.as_py()), strict=True):
                 column.append(value)
         h, size, token, rank, index, mark = (np.concatenate(x) for x in parts)
         order = np.lexsort((h, token))
