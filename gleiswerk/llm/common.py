@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,8 +55,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing to come reads: what was made of them is written."""
-    for df in tables:
+    """Delete tables of ``materialize`` that nothing to come reads: what was made of them is written. Others are left alone."""
+    for df in (t for t in tables if hasattr(t, "scratch_path")):
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -64,9 +65,20 @@ def discard(*tables: DataFrame) -> None:
 ROW = "__row"
 
 
+#: Steps that hand on a file's rows one by one, so that a row's partition and place are those of its file each time.
+_STRAIGHT = re.compile(r"(?:AdaptiveSparkPlan|WholeStageCodegen|Project|Filter|ColumnarToRow|InputAdapter|(?:File|Batch)?Scan)\b")
+
+
+def straight_from_files(df: DataFrame) -> bool:
+    """Whether ``df`` only reads, selects and filters the rows of files."""
+    steps = [x.lstrip(" +-:*()0123456789") for x in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    return any("Scan" in x for x in steps) and all(_STRAIGHT.match(x) for x in steps if x)
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ROW, written once, so that each use sees the same keys."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """``docs`` with ROW, alike in each use: rows straight from files are numbered by their place there, others are written once."""
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    return numbered if straight_from_files(docs) else materialize(numbered, "rows")
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

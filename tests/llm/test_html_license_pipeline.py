@@ -187,6 +187,31 @@ def test_licences_by_brute_force(spark):
         assert (found[r.doc_id] in want) if want else found[r.doc_id] is None
 
 
+GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (f"This library is free software; {GNU.format('Lesser General Public License', ';', '2.1')}", "LGPL-2.1"),
+    (f"This program is free software; {GNU.format('General Public License', ';', '2')}", "GPL-2.0-or-later"),
+    (f"This program is free software: {GNU.format('General Public License', ',', '3')}", "GPL-3.0"),
+    (f"This program is free software: {GNU.format('Affero General Public License', ',', '3')}", "AGPL-3.0"),
+    ("BSD 2-Clause", "BSD-2-Clause"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("Licensed under the BSD 3-Clause License", "BSD-3-Clause"), ("Licensed under the ISC License", "ISC"),
+    ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY 3.0.", None), ("Licensed under the GNU General Public License, version 1", None),
+    ("Licensed under the Apache License, Version 1.1.", None), ("Released under the MIT License.", "MIT"), ("no licence at all", None),
+])
+def test_siblings_are_told_apart(text, want):
+    found = license_scan.Templates(1000, {})
+    assert found.best(text)[0] == want
+    wrapped = "\n# ".join(text.replace("-", " ").split()) if "SPDX" not in text else text
+    assert found.best(f"# {wrapped}")[0] == want
+
+
+def test_blank_lines_make_no_difference_to_a_licence_file(spark):
+    rows = [(1, "a/COPY", "Licensed under the MIT License." + "\n" * 5000), (2, "a/b.py", "x")]
+    got = {r.doc_id: r for r in license_scan.with_inherited(license_scan.declared(spark.createDataFrame(rows, "doc_id long, path string, text string"))).collect()}
+    assert got[1].licence_file and got[2].licence == "MIT"
+
+
 def test_licences_empty(none):
     assert license_scan.with_inherited(license_scan.declared(license_scan.document_paths(none))).count() == 0
 

@@ -441,3 +441,19 @@ def test_letters_of_large_alphabets_have_classes_of_their_own():
         want = [brute_phrases(language_id.classes(samples[k][0], own.table), c) for k in ("aa", "bb")]
         assert own.phrases([c])[:, 0].tolist() == want
         assert own.phrases([c] * 20)[:, 7].tolist() == want
+
+
+def test_good_documents_of_clashing_columns(spark, clash):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = quality.good_documents(clash, none)
+    assert out.columns == clash.columns and {r.doc_id for r in out.collect()} <= {4, 7}
+
+
+def test_of_labels_that_disagree_the_worse_counts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic")
+    other = labels.where("doc_id % 3 = 0").selectExpr("doc_id", "1 - quality as quality", "toxic")
+    worse = labels.selectExpr("doc_id", "if(doc_id % 3 = 0, 0, quality) as quality", "toxic")
+    verdict = lambda marks: sorted((r.doc_id, r.kept) for r in quality.judged(docs, marks).collect())
+    want = verdict(worse)
+    assert verdict(labels.select("doc_id", "quality", "toxic").union(other)) == want == verdict(other.union(labels))
