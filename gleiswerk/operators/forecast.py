@@ -6,15 +6,21 @@ type), so its windows are small whatever the stop facts are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 WEATHER = ("temp", "precip", "snow", "gust", "wet_regions")
 INPUTS = ("lag1", "lag3", "lag7", "cancel_lag7", "roll7", *WEATHER, "weekday", "month")
 TARGETS = ("avg_delay", "pct_ge5")
-FIT_LEAST, HOLD_OUT_DAYS = 30, 30
+FIT_LEAST, HOLD_OUT_DAYS, FITS_AT_ONCE = 30, 30, 4
 
 
 def by_target(stats: DataFrame) -> DataFrame:
@@ -78,31 +84,45 @@ def _fitted(rows: DataFrame) -> list[tuple[str, str, int]]:
     return sorted((r.train_type, r.target, r.n) for r in counts.collect())
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The small table of features as a file of the shared folder, which every fit reads; nothing stays cached."""
+    path = scratch(rows.sparkSession, "features")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _of_each(rows: DataFrame, work: Callable[[str, str, int], DataFrame], schema: str) -> DataFrame:
+    """What ``work`` makes of each type and target, a few of them at a time: fits are many small jobs."""
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        parts = pool.starmap(work, _fitted(rows))
+    return reduce(DataFrame.unionByName, parts, rows.sparkSession.createDataFrame([], schema))
+
+
 def fit_and_check(rows: DataFrame) -> DataFrame:
     """A model of each type and target, from 30 rows on: rows fitted, and mean absolute error of the last 30 days beside that of the mean."""
-    rows = time_split(rows).cache()
-    out = rows.sparkSession.createDataFrame([], "train_type string, target string, n_fit long, mae double, mae_of_mean double")
-    for kind, target, n in _fitted(rows.where("not hold_out")):
+    rows = _written(time_split(rows))
+
+    def check(kind: str, target: str, n: int) -> DataFrame:
         own = rows.where((F.col("train_type") == kind) & (F.col("target") == target))
         model, vectors = _model(own.where("not hold_out"))
         mean = own.where("not hold_out").agg(F.avg("y")).first()[0]
-        checked = model.transform(vectors.transform(own.where("hold_out"))).agg(
+        return model.transform(vectors.transform(own.where("hold_out"))).agg(
             F.lit(kind).alias("train_type"), F.lit(target).alias("target"), F.lit(n).cast("long").alias("n_fit"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 3).alias("mae"), F.round(F.avg(F.abs(F.lit(mean) - F.col("y"))), 3).alias("mae_of_mean")
         )
-        out = out.unionByName(checked)
-    return out
+
+    return _of_each(rows.where("not hold_out"), check, "train_type string, target string, n_fit long, mae double, mae_of_mean double")
 
 
 def predict_next(stats: DataFrame, national: DataFrame) -> DataFrame:
     """Both targets of the day after the last, of each type, by the calendar's features; what is unknown of them takes each tree's upper branch."""
-    rows = features(stats, national).cache()
-    asked = serving(stats, national)
-    out = rows.sparkSession.createDataFrame([], "target_date date, train_type string, target string, value double")
-    for kind, target, _ in _fitted(rows):
+    rows, asked = _written(features(stats, national)), _written(serving(stats, national))
+
+    def predict(kind: str, target: str, _: int) -> DataFrame:
         own = (F.col("train_type") == kind) & (F.col("target") == target)
         model, vectors = _model(rows.where(own))
-        out = out.unionByName(model.transform(vectors.transform(asked.where(own))).select("target_date", "train_type", "target", F.round("prediction", 3).alias("value")))
-    return out
+        return model.transform(vectors.transform(asked.where(own))).select("target_date", "train_type", "target", F.round("prediction", 3).alias("value"))
+
+    return _of_each(rows, predict, "target_date date, train_type string, target string, value double")
 
 
 def as_guess(predicted: DataFrame) -> DataFrame:
