@@ -168,7 +168,10 @@ def token_levels(sketch: DataFrame) -> np.ndarray:
 
 _SENT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("token", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("index", pa.bool_())])
 _OPEN = pa.schema([("token", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("index", pa.bool_())])
-_LOW = np.uint64((1 << 40) - 1)
+#: Low bits of a token that are sent; its bucket has others.
+SENT_BITS = 32
+_SHIFT = np.uint64(SENT_BITS)
+_LOW = np.uint64((1 << SENT_BITS) - 1)
 
 
 def _alike(x: np.ndarray) -> np.ndarray:
@@ -193,11 +196,11 @@ def _of_planes(data: bytes, n: int, width: int, at: int) -> np.ndarray:
 
 
 def packed_prefixes(h: np.ndarray, n: np.ndarray, owner: np.ndarray, low: np.ndarray, rank: np.ndarray, index: np.ndarray, mark: np.ndarray) -> bytes:
-    """Sets (h, n) and their tokens in order (the set's number, the low 40 bits, level, two flags), compressed."""
+    """Sets (h, n) and their tokens in order (the set's number, the low SENT_BITS bits, level, two flags), compressed."""
     import zstandard
 
     head = np.array([len(h), len(low)], np.uint32).tobytes()
-    tokens = _planes(owner, 4) + _planes(np.diff(low, prepend=np.uint64(0)), 5) + rank.tobytes() + np.packbits(index).tobytes() + np.packbits(mark).tobytes()
+    tokens = _planes(owner, 4) + _planes(np.diff(low, prepend=np.uint64(0)), 4) + rank.tobytes() + np.packbits(index).tobytes() + np.packbits(mark).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + h.tobytes() + n.astype(np.int32).tobytes() + tokens)
 
 
@@ -209,19 +212,19 @@ def unpacked_prefixes(data: bytes) -> tuple[np.ndarray, ...]:
     sets, n = np.frombuffer(data, np.uint32, 2).tolist()
     at = 8 + 12 * sets
     own = _of_planes(data, n, 4, at).astype(np.int64)
-    low = np.cumsum(_of_planes(data, n, 5, at + 4 * n), dtype=np.uint64)
+    low = np.cumsum(_of_planes(data, n, 4, at + 4 * n), dtype=np.uint64)
     bits = (n + 7) // 8
-    flags = [np.unpackbits(np.frombuffer(data, np.uint8, bits, at + 10 * n + k * bits), count=n).astype(bool) for k in range(2)]
-    return np.frombuffer(data, np.int64, sets, 8)[own], np.frombuffer(data, np.int32, sets, 8 + 8 * sets)[own], low, np.frombuffer(data, np.uint8, n, at + 9 * n), *flags
+    flags = [np.unpackbits(np.frombuffer(data, np.uint8, bits, at + 9 * n + k * bits), count=n).astype(bool) for k in range(2)]
+    return np.frombuffer(data, np.int64, sets, 8)[own], np.frombuffer(data, np.int32, sets, 8 + 8 * sets)[own], low, np.frombuffer(data, np.uint8, n, at + 8 * n), *flags
 
 
-def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
+def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int, known: bool) -> DataFrame:
     """Prefix tokens of distinct sets, as far as a task knows.
 
-    Tokens that two sets of a task share are open: rows of token, h, n, level, index.
-    Each other token, and one mark for each of these, goes to a bucket as part
+    ``known``: tokens that two sets of a task share, which are open, as rows of
+    token, h, n, level, index. Else: each other token, and one mark for each of these, goes to a bucket as part
     of a payload, so a token of very many sets is one entry from each task.
-    The low 40 bits and the bucket tell tokens apart (a false match costs a
+    The low SENT_BITS bits and the bucket tell tokens apart (a false match costs a
     comparison).
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
@@ -241,21 +244,23 @@ def prefix_tokens(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFram
         owner = np.repeat(np.arange(len(n)), [len(x) for x in tokens])
         token, rank, index = np.concatenate(tokens), np.concatenate(ranks), np.concatenate(early)
         bucket = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        token = token & _LOW | bucket.astype(np.uint64) << np.uint64(40)
+        token = token & _LOW | bucket.astype(np.uint64) << _SHIFT
         order = np.argsort(token, kind="stable")
         token, rank, owner, index = token[order], rank[order], owner[order], index[order]
         twice = _alike(token)
-        if twice.any():
+        if known and twice.any():
             none = np.full(int(twice.sum()), None)
             yield record_batch(_SENT, [pa.array(none, pa.int32()), pa.array(none, pa.binary()), token[twice].view(np.int64), h[owner[twice]], n[owner[twice]], rank[twice].astype(np.int32), index[twice]])
+        if known:
+            return
         once = np.ones(len(token), bool)
         once[1:] = token[1:] != token[:-1]
         token, rank, owner, index, mark = token[once], rank[once], np.where(twice, -1, owner)[once], index[once], twice[once]
-        at = np.flatnonzero(np.diff((token >> np.uint64(40)).astype(np.int64), prepend=-1))
+        at = np.flatnonzero(np.diff((token >> _SHIFT).astype(np.int64), prepend=-1))
         for i, j in zip(at.tolist(), [*at[1:].tolist(), len(token)], strict=True):
             mine, own = np.unique(owner[i:j], return_inverse=True)
             said = packed_prefixes(np.where(mine < 0, 0, h[mine]), np.where(mine < 0, 0, n[mine]), own, token[i:j] & _LOW, rank[i:j], index[i:j], mark[i:j])
-            yield record_batch(_SENT, [[int(token[i] >> np.uint64(40))], [said], [None], [None], [None], [None], [None]])
+            yield record_batch(_SENT, [[int(token[i] >> _SHIFT)], [said], [None], [None], [None], [None], [None]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, np.ndarray] = {}
@@ -291,7 +296,7 @@ def met_in_buckets(sent: DataFrame) -> DataFrame:
         new |= mark
         h, size, token, rank, index, mark = h[new], size[new], token[new], rank[new], index[new], mark[new]
         keep = _alike(token) & ~mark
-        return pa.table([(token[keep] | bucket << np.uint64(40)).view(np.int64), h[keep], size[keep].astype(np.int32), rank[keep].astype(np.int32), index[keep]], schema=_OPEN)
+        return pa.table([(token[keep] | bucket << _SHIFT).view(np.int64), h[keep], size[keep].astype(np.int32), rank[keep].astype(np.int32), index[keep]], schema=_OPEN)
 
     return sent.where("payload is not null").groupBy("bucket").applyInArrow(run, "token long, h long, n int, level int, index boolean")
 
@@ -528,10 +533,9 @@ def components_of_rows(docs: DataFrame) -> DataFrame:
     kinds = sets.where("digest is not null").groupBy("digest").agg(F.min(ROW).alias("set_id"), F.min("doc_id").alias("least"), F.first("h").alias("h"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     kinds = materialize(kinds, "kinds")
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    sent = materialize(prefix_tokens(docs, levels, buckets), "prefixes")
-    known = sent.where("payload is null").select("token", "h", "n", "level", "index")
-    marked = materialize(with_cells(known.unionByName(met_in_buckets(sent))), "marked")
-    discard(sent)
+    # what a task knows of itself, and what it sends, are made one after the other: tokens in a file besides would be the most that is on disk
+    known = prefix_tokens(docs, levels, buckets, True).select("token", "h", "n", "level", "index")
+    marked = materialize(with_cells(known.unionByName(met_in_buckets(prefix_tokens(docs, levels, buckets, False)))), "marked")
     label = similar_sets(docs, kinds, marked)
     least = kinds.join(label, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     final = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("set_id").alias("first")), "comp").select("digest", "copies", "component_id", "first")

@@ -194,8 +194,8 @@ def test_groups_hold_all_links(spark):
     rows = jaccard_join.with_rows(df)
     sets = jaccard_join.sets_of_documents(rows)
     levels = jaccard_join.token_levels(sets.where("counts is not null").select("slice", "counts"))
-    sent = jaccard_join.prefix_tokens(rows, levels, 4)
-    rows = sent.where("payload is null").select("token", "h", "n", "level", "index").unionByName(jaccard_join.met_in_buckets(sent))
+    known = jaccard_join.prefix_tokens(rows, levels, 4, True).select("token", "h", "n", "level", "index")
+    rows = known.unionByName(jaccard_join.met_in_buckets(jaccard_join.prefix_tokens(rows, levels, 4, False)))
     marked = jaccard_join.with_cells(rows).cache()
     members = jaccard_join.members_of_cells(marked).cache()
     asked = jaccard_join.asked_cells(marked, members)
