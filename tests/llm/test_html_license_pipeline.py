@@ -281,7 +281,11 @@ def brute_best(own, text):
             v = vector(words)
             for i in range(len(lines)):
                 for j in range(i + 1, min(len(lines), i + len(words)) + 1):
-                    w = vector([t for y in lines[i:j] for t in y])
+                    run = [t for y in lines[i:j] for t in y]
+                    telling = {t for t in words if t[0].isdigit() or t in license_scan.NAMING}
+                    if not telling <= set(run) or (license_scan.SIBLINGS - telling) & set(run):
+                        continue
+                    w = vector(run)
                     score = sum(a * w.get(t, 0.0) for t, a in v.items())
                     if score >= license_scan.MIN_SCORE and score > best[0] + 1e-9:
                         best = (score, name)
