@@ -12,14 +12,20 @@ is exact:
 2. Prefix tokens of distinct sets are looked up by token; those in two sets or
    more are the open rows.
 3. Similar documents are partitioned into groups: a set goes to the cell of the
-   highest of its open index tokens and of its size class (one without any is
-   only ever a query), a cell is dealt out into groups of about GROUP_MEMBERS
+   highest of its open index tokens (by coarse level, then by hash, so that most
+   near copies of one text have the same) and of its size class (one without any
+   is only ever a query), a cell is dealt out into groups of about GROUP_MEMBERS
    sets. The matrix of tokens and cells tells which cells a query shares how
    many prefix tokens with; too few for any size in the cell rule it out. Only
    tokens that are an index token of some set count (those left out of a query
-   are allowed for), and only sets with a cell are in the matrix. Texts that
-   share a long common part, but too little to be similar, have no index token
-   in common, so their number costs nothing here, however many they are.
+   are allowed for), and only sets with a cell are in the matrix. Of two cells
+   the lower asks: near copies that lack a token are in a lower cell than the
+   many that have it, so the few ask the many. Pairs of set and cell are made
+   only where both have open tokens enough to be similar, and not at the half of
+   the tokens that they must share that most sets have: the rest tell as well.
+   Texts that share a long common part, but too little to be similar, have no
+   index token in common, so their number costs nothing here, however many they
+   are.
 4. Each group stores the union of its members' tokens, and at which places of
    the union each member is. A query's tokens are looked up in the union, which
    bounds its overlap with every member; only a group that can qualify is
@@ -61,6 +67,8 @@ GATHER = 2_000_000
 GROUP_MEMBERS, GROUP_TOKENS, GROUP_QUERIES = 64, 200_000, 512
 #: Sizes of a class differ by this factor at most.
 SIZE_STEP = 1.1
+#: Levels that count as one where a set's cell is told: a factor of 16.
+COARSE = 32
 #: Places that wanted rows are hashed to, to leave other texts out of a shuffle: a bitmap of so many bits at most (2 MB) is broadcast.
 PLACES = 1 << 24
 #: Parts that a star's center is dealt out to.
@@ -305,14 +313,19 @@ def met_in_buckets(sent: DataFrame) -> DataFrame:
 
 
 def with_cells(rows: DataFrame) -> DataFrame:
-    """(token, h, n, cell, unheld) of the open rows (token, h, n, level, index) whose token is an index token of some set: the cell of their set (its highest open index token and its size class, or null), and how many of the set's open rows are left out."""
-    held = rows.where("index").select("token", F.lit(True).alias("held")).distinct()
+    """(token, h, n, cell, unheld, held, place) of the open rows (token, h, n, level, index) whose token is an index token of some set: the cell of their set (its highest open index token and its size class, or null), how many of the set's open rows are left out and are here, and the row's place among these, tokens of most sets first.
+
+    Cells are in the order of their tokens, sizes last.
+    """
+    tokens = rows.groupBy("token").agg(F.max("index").alias("any"), F.count("*").alias("sets")).where("any").select("token", "sets")
     of_set = Window.partitionBy("h", "n")  # a set's rows: one document's at most
-    top = F.max(F.when(F.col("index"), F.struct("level", "token"))).over(of_set)
-    unheld = F.sum(F.when(F.col("held"), 0).otherwise(1)).over(of_set)
-    cell = F.when(F.col("top").isNotNull(), F.xxhash64("top.token", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))))
-    known = rows.join(held, "token", "left").withColumn("top", top).withColumn("unheld", unheld.cast("int"))
-    return known.where("held").select("token", "h", "n", cell.alias("cell"), "unheld")
+    place = F.row_number().over(of_set.orderBy(F.desc_nulls_last("sets"), "token")) - 1
+    top = F.max(F.when(F.col("index"), F.struct(F.floor(F.col("level") / COARSE).alias("coarse"), F.xxhash64("token").alias("mark")))).over(of_set)
+    held = F.count("sets").over(of_set)
+    size = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))  # under 256
+    cell = F.when(F.col("top").isNotNull(), F.shiftleft("top.coarse", 59).bitwiseOR(F.shiftleft(F.shiftrightunsigned("top.mark", 13), 8)).bitwiseOR(size))
+    known = rows.join(tokens, "token", "left").withColumn("place", place).withColumn("top", top).withColumn("held", held.cast("int")).withColumn("unheld", (F.count("*").over(of_set) - held).cast("int"))
+    return known.where("sets is not null").select("token", "h", "n", cell.alias("cell"), "unheld", "held", "place")
 
 
 def members_of_cells(marked: DataFrame) -> DataFrame:
@@ -322,18 +335,37 @@ def members_of_cells(marked: DataFrame) -> DataFrame:
     return members.join(parts, "cell").select("h", "n", "cell", F.xxhash64("cell", F.pmod(F.xxhash64("h", "n"), "parts")).alias("g"), "parts")
 
 
+def asked_pairs(marked: DataFrame) -> DataFrame:
+    """(h, n, of, least), once for each held token that a query and a cell meet at; at least ``least`` of the pair's rows are needed for a similar set.
+
+    Rows that can't belong to a similar pair are left out as the matrix is
+    joined: by size, where the query or all sets of the cell with the token have
+    fewer open tokens than the pair must share, and cells of no smaller set than
+    a query without a cell (of two similar sets the smaller has an open index
+    token). Of the tokens that a pair must share, half may be the query's most
+    common ones; these are left out, and the others still needed.
+    """
+    matrix = marked.where("cell is not null").groupBy("token", F.col("cell").alias("of")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("held") + F.col("unheld")).alias("most"))
+    shared = least_shared(F.col("n"), F.col("lo"), F.col("hi"))
+    need = F.greatest(shared - F.col("unheld"), F.lit(1))
+    left_out = F.floor((need - 1) / 2)
+    order = F.col("cell") < F.col("of")
+    fits = (F.col("n") * OVER <= F.col("hi") * OF) & (F.col("lo") * OVER <= F.col("n") * OF)
+    able = (shared <= F.col("held") + F.col("unheld")) & (shared <= F.col("most"))
+    met = marked.join(matrix, "token").where((order | F.col("cell").isNull() & (F.col("lo") < F.col("n"))) & fits & able & (F.col("place") >= left_out))
+    return met.select("h", "n", "of", (need - left_out).alias("least"))
+
+
 def asked_cells(marked: DataFrame, members: DataFrame) -> DataFrame:
     """(h, n, own, of, parts): the cells that a query may have a similar set in, by the matrix of tokens and cells; own is its group in that cell, or null.
 
-    Of two cells the larger asks; a set without a cell always does. A cell of
+    Of two cells the lower asks; a set without a cell always does. A cell of
     several groups is asked by its own members, too.
     """
-    cells = members.groupBy("cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("parts").alias("parts"))
-    matrix = marked.where("cell is not null").select("token", F.col("cell").alias("of")).distinct()
-    shared = marked.join(matrix, "token").where("cell is null or cell > of").groupBy("h", "n", "unheld", "of").agg(F.count("*").alias("shared"))
-    fits = (F.col("n") * OVER <= F.col("hi") * OF) & (F.col("lo") * OVER <= F.col("n") * OF)
-    enough = F.col("shared") >= least_shared(F.col("n"), F.col("lo"), F.col("hi")) - F.col("unheld")
-    across = shared.join(cells.withColumnRenamed("cell", "of"), "of").where(fits & enough).select("h", "n", F.lit(None).cast("long").alias("own"), "of", "parts")
+    cells = members.groupBy(F.col("cell").alias("of")).agg(F.max("parts").alias("parts"))
+    # the rows of one similar set are as many as any of them says
+    enough = asked_pairs(marked).groupBy("h", "n", "of").agg(F.count("*").alias("met"), F.min("least").alias("least")).where("met >= least")
+    across = enough.join(cells, "of").select("h", "n", F.lit(None).cast("long").alias("own"), "of", "parts")
     inside = members.where("parts > 1").select("h", "n", F.col("g").alias("own"), F.col("cell").alias("of"), "parts")
     return across.unionByName(inside)
 

@@ -203,6 +203,20 @@ def test_groups_hold_all_links(spark):
     assert asked.count() < marked.select("h", "n").distinct().count() * members.select("cell").distinct().count()
 
 
+def test_the_few_ask_the_many(spark):
+    """Sets of a large group lie in many cells: those of small cells ask the large one, not each of its sets all of them."""
+    rows = []
+    for h in range(433):
+        small = h % 11 + 1 if h >= 400 else 0  # 400 sets have token 0 as their highest index token, 33 one of eleven others
+        rows += [(token, h, 40, 96 if token == 0 else 80, token == small) for token in range(12)]
+    marked = jaccard_join.with_cells(spark.createDataFrame(rows, "token long, h long, n int, level int, index boolean")).cache()
+    members = jaccard_join.members_of_cells(marked).cache()
+    assert members.select("cell").distinct().count() == 12
+    across = jaccard_join.asked_cells(marked, members).where("own is null")
+    assert 33 <= across.count() < 400
+    assert across.where("h < 400").isEmpty()
+
+
 def test_least_shared_is_a_bound(spark):
     """Similar sets share so many of their prefixes' tokens in any order of the tokens."""
     from pyspark.sql import functions as F
