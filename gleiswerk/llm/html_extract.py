@@ -1,9 +1,9 @@
 """HTML extraction by wrapper induction: what same-host pages share is template, what varies is content.
 
-A bounded sample of each host's pages (SAMPLE_PAGES of the smallest hashes) is
-parsed into DOM trees and aligned with the largest of them by simple tree
-matching. Nodes that are matched everywhere with one text are constant, and
-so template; the others are slots. The wrapper of a host keeps the constants
+All pages of a host are parsed into DOM trees and aligned with the largest of
+them by simple tree matching. Nodes that nearly all pages have (MET of them), all
+with one text, are constant, and so template; the others are slots. Tasks count
+what their pages say of each node, and Spark adds these counts up. The wrapper of a host keeps the constants
 and the path of the slot that holds the article: that of the pages' article or
 main elements, or where they have none the innermost element that holds most of
 the text that varies from page to page (the text of links counts against it),
@@ -31,16 +31,20 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, record_batch, table
 
-SAMPLE_PAGES = 12
+#: Share of a host's pages that must have a constant's node.
+MET = 0.9
+#: What a task counts before it sends it: nodes, paths and pages, and bytes of the largest pages.
+HELD, HELD_BYTES = 100_000, 32 << 20
 #: Different pages that have to agree on a constant: outside of the article, and in it, where authors may repeat themselves.
 AGREE, AGREE_INSIDE = 3, 5
 #: Different pages from which the slot of the article is told by its text.
@@ -333,46 +337,82 @@ def content_of(reference: Reduced, varying: dict[int, int]) -> list[str]:
     return [*(x.path for x in before if x.tag in HEADINGS and varying.get(id(x))), now.path]
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of same-host pages: constants of the template, and the paths of the slots that are the article."""
-    trees = [parse(x) for x in pages]
-    reduced = [Reduced([t], "") for t in trees]
-    if not trees:
-        return {"article": [], "constants": []}
-    k = max(range(len(trees)), key=lambda i: (reduced[i].size, -i))
-    reference = reduced[k]
-    seen: dict[int, list[Reduced]] = {}
-    for i, other in enumerate(reduced):
-        if i != k:
-            for a, b in matching(reference, other)[1]:
-                seen.setdefault(id(a), []).append(b)
-    constants: list[tuple[str, str]] = []
-    varying: dict[int, int] = {}
-    slots: list[str] = []
-    stack = [reference]
+def nodes_of(reference: Reduced) -> list[Reduced]:
+    """Its nodes, a node before its children."""
+    out, stack = [], [reference]
     while stack:
         node = stack.pop()
+        out.append(node)
         stack += node.children[::-1]
-        met = [node, *seen.get(id(node), [])]
-        same = len(met) == len(trees) and len({x.text for x in met}) == 1
-        if not node.children and node.text and same:
+    return out
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def observed(tree: Node, reference: Reduced, number: dict[int, int]) -> Iterator[tuple[str, str, int, int]]:
+    """What a page says of its host's wrapper, as (kind, key, hash, weight): a node of the reference, the hash of its text here and the length without links; the path of an article and its length; the page itself."""
+    for a, b in matching(reference, Reduced([tree], ""))[1]:
+        yield "node", str(number[id(a)]), digest(b.text), max(0, len(b.text) - 2 * len(b.links))
+    for x in find(tree, ("article",)) or find(tree, ("main",)):
+        yield "path", path_of(x), 0, len(squeeze(text_of(x, True)))
+    yield "page", str(digest(squeeze(text_of(tree)))), 0, 0
+
+
+class Counts:
+    """By (host, kind, key): how often it was seen, its least and largest hash, and the sum of weights."""
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple[str, str, str], list[int]] = {}
+
+    def add(self, host: str, kind: str, key: str, h: int, weight: int) -> None:
+        row = self.rows.get((host, kind, key))
+        if row is None:
+            self.rows[host, kind, key] = [1, h, h, weight]
+        else:
+            row[0] += 1
+            row[1], row[2] = min(row[1], h), max(row[2], h)
+            row[3] += weight
+
+
+def wrapper_of(reference: Reduced, rows: list[tuple[str, str, int, int, int, int]], different: int, n_pages: int) -> dict:
+    """The wrapper by the counts (kind, key, n, lo, hi, weight) of all pages: constants of the template, and the paths of the slots that are the article. Copies of one page prove nothing: what counts is how many ``different`` pages agree, or differ."""
+    weight = {key: w for kind, key, *_, w in rows if kind == "path"}
+    seen = {int(key): (n, lo, hi, w) for kind, key, n, lo, hi, w in rows if kind == "node"}
+    nothing = digest("")
+    constants: list[tuple[str, str]] = []
+    varying: dict[int, int] = {}
+    slots: list[str] = []
+    for k, node in enumerate(nodes_of(reference)):
+        n, lo, hi, w = seen.get(k, (0, nothing, nothing, 0))
+        if not node.children and node.text and lo == hi and n >= MET * n_pages:
             constants.append((node.path, node.text))
-        elif any(x.text for x in met):
+        elif lo != hi or lo != nothing:
             slots.append(node.path)
-            if len({x.text for x in met}) > 1:
-                varying[id(node)] = sum(max(0, len(x.text) - 2 * len(x.links)) for x in met)
-    weight: dict[str, int] = {}
-    for tree in trees:
-        for x in find(tree, ("article",)) or find(tree, ("main",)):
-            weight[path_of(x)] = weight.get(path_of(x), 0) + len(squeeze(text_of(x, True)))
+            if lo != hi:
+                varying[id(node)] = w
     marked = {p: w for p, w in weight.items() if any(s == p or s.startswith(p + "/") for s in slots)} or weight
-    # copies of one page prove nothing: what counts is how many different pages agree, or differ
-    different = len({squeeze(text_of(t)) for t in trees})
     article = [max(marked, key=lambda p: (marked[p], p))] if marked else content_of(reference, varying) if different >= DIFFER else []
     inside = lambda path: any(path == p or path.startswith(p + "/") for p in article)
     return {"article": article, "constants": [(p, t) for p, t in constants if different >= (AGREE_INSIDE if inside(p) else AGREE)]}
 
 
+def induce(pages: list[str]) -> dict:
+    """The wrapper of same-host pages."""
+    trees = [parse(x) for x in pages]
+    if not trees:
+        return {"article": [], "constants": []}
+    reference = max((Reduced([t], "") for t in trees), key=lambda r: r.size)
+    number = {id(x): k for k, x in enumerate(nodes_of(reference))}
+    counts = Counts()
+    for tree in trees:
+        for said in observed(tree, reference, number):
+            counts.add("", *said)
+    rows = [(kind, key, *row) for (_, kind, key), row in counts.rows.items()]
+    return wrapper_of(reference, rows, sum(r[0] == "page" for r in rows), len(trees))
+
+
 def extract(html: str, wrapper: dict | None) -> str:
     """The article's text."""
     if not html:
@@ -391,17 +431,75 @@ def extract(html: str, wrapper: dict | None) -> str:
 # -- on Spark --------------------------------------------------------------------------
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON): induced from a bounded sample of each host's pages."""
-    ranked = pages.select("__host", "html", F.xxhash64("html", "url").alias("h"))
-    order = Window.partitionBy("__host").orderBy("h", F.length("html"))
-    sample = ranked.where("html is not null and __host is not null").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_PAGES)
+def largest_pages(pages: DataFrame) -> DataFrame:
+    """host, html: of each host the page of the largest tree, with which the others are aligned."""
+    schema = pa.schema([("host", pa.string()), ("size", pa.int64()), ("h", pa.int64()), ("html", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple[int, int, str]] = {}
+        held = 0
+        send = lambda: record_batch(schema, [list(best), *([x[k] for x in best.values()] for k in range(3))])
+        for batch in batches:
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = (Reduced([parse(html)], "").size, digest(html), html)
+                if host not in best or own[:2] > best[host][:2]:
+                    held += len(html) - (len(best[host][2]) if host in best else 0)
+                    best[host] = own
+                if held > HELD_BYTES:
+                    yield send()
+                    best, held = {}, 0
+        yield send()
+
+    found = pages.select("__host", "html").mapInArrow(run, "host string, size long, h long, html string")
+    return found.groupBy("host").agg(F.max_by("html", F.struct("size", "h")).alias("html"))
+
+
+def with_host(rows: DataFrame, learned: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with what is ``learned`` (host and one more column) of their host, or null; ``key`` tells rows of a host apart."""
+    value = learned.columns[1]
+    size = learned.agg(F.sum(F.length("host") + F.length(value))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(learned), F.col("__host") == F.col("host"), "left")
+    salted = learned.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("__of", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(salted, (F.col("__host") == F.col("host")) & (F.col("__of") == F.col("__salt")), "left")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        return pd.DataFrame({"host": [rows["__host"].iloc[0]], "wrapper": [json.dumps(induce(rows["html"].tolist()))]})
 
-    return sample.groupBy("__host").applyInPandas(run, "host string, wrapper string")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper (JSON): induced from all pages of each host, each aligned where it is read."""
+    own = pages.where("html is not null and __host is not null").select("__host", "html")
+    largest = materialize(largest_pages(own).withColumnRenamed("html", "reference"), "references")
+    schema = pa.schema([("host", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("weight", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, known = Counts(), {}
+        send = lambda: record_batch(schema, [*([k[i] for k in counts.rows] for i in range(3)), *([x[i] for x in counts.rows.values()] for i in range(4))])
+        for batch in batches:
+            for host, html, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if host not in known:
+                    if len(known) > 500:
+                        known = {}
+                    reference = Reduced([parse(text)], "")
+                    known[host] = reference, {id(x): k for k, x in enumerate(nodes_of(reference))}
+                for said in observed(parse(html), *known[host]):
+                    counts.add(host, *said)
+            if len(counts.rows) > HELD:
+                yield send()
+                counts = Counts()
+        yield send()
+
+    met = with_host(own, largest, "html").select("__host", "html", "reference").mapInArrow(count, "host string, kind string, key string, n long, lo long, hi long, weight long")
+    total = materialize(met.groupBy("host", "kind", "key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("weight").alias("weight")), "counts")
+    # of a host's pages only whether a few differ counts, and how many there are
+    different = total.where("kind = 'page'").groupBy("host").agg(F.count("*").alias("different"), F.sum("n").alias("pages"))
+    rest = total.where("kind <> 'page'").groupBy("host").agg(F.collect_list(F.struct("kind", "key", "n", "lo", "hi", "weight")).alias("rows"))
+    joined = largest.join(different, "host").join(rest, "host")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [json.dumps(wrapper_of(Reduced([parse(x)], ""), [tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in rows], int(d), int(n))) for x, d, n, rows in zip(batch["reference"], batch["different"], batch["pages"], batch["rows"], strict=True)]
+            yield pd.DataFrame({"host": batch["host"], "wrapper": found})
+
+    return joined.select("host", "reference", "different", "pages", "rows").mapInPandas(run, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -410,12 +508,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.when(host != "", host)  # pages without one are no site together
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("__host", host)
     learned = materialize(wrappers(rows), "wrappers")
-    size = learned.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(learned), F.col("__host") == F.col("host"), "left")
-    else:
-        salted = learned.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        joined = rows.withColumn("__of", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, (F.col("__host") == F.col("host")) & (F.col("__of") == F.col("__salt")), "left")
+    joined = with_host(rows, learned, "page_id", "url")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,6 +116,16 @@ def test_constants_of_a_few_pages():
     assert html_extract.extract(pages[2], html_extract.induce(pages)) == "Story 2 of the day"
 
 
+def test_wrappers_count_all_pages(spark):
+    """A line of the article that one page of sixty has otherwise is no constant of the template, whichever page that is."""
+    page = "<html><body><nav>Menu</nav><article><p class='fee'>{}</p><p>Story {} of this site</p></article></body></html>"
+    for odd in (3, 31, 58):
+        fees = ["Five euros" if i == odd else "Free entry" for i in range(60)]
+        rows = [(i, f"http://a.example/{i}", page.format(fee, i)) for i, fee in enumerate(fees)]
+        found = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+        assert {r.page_id: r.text for r in found.collect()} == {i: f"{fee} Story {i} of this site" for i, fee in enumerate(fees)}
+
+
 class PlainText(HTMLParser):
     """The text of a page's article, read by another parser."""
 
