@@ -2,15 +2,13 @@
 
 ``decode`` reads lossless pictures of the published format whole: prefix codes
 (simple and normal), several code groups, back-references, the colour cache,
-and the predictor, cross-colour, subtract-green and palette transforms. Where a
-picture has one code group and only its green codes differ (grey pictures), the
-codes are read by array operations over all bit positions; any other picture
-goes symbol by symbol.
+and the predictor, cross-colour, subtract-green and palette transforms.
 
-``encode_grey`` writes 8-bit samples as a grey picture 192 wide: subtract-green,
-one code group, the shortest of a few fixed prefix codes. Samples beyond one
-picture's height go into further pictures; a stored value is these files in a
-row, each of which tells its own size.
+``encode`` writes ARGB values with prefix codes of the picture's own and
+back-references, and with a colour cache, several code groups and each transform
+where these take fewer bits. ``encode_grey`` writes 8-bit samples as a grey
+picture 192 wide. Samples beyond one picture's height go into further pictures;
+a stored value is these files in a row, each of which tells its own size.
 
 Defined results: null is the empty text, one row of blanks. Rows with one
 doc_id are stored each for itself; equal texts give equal bytes and values. A
@@ -20,21 +18,24 @@ ignored.
 
 from __future__ import annotations
 
+import copy
 import hashlib
-import heapq
 import zlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import record_batch, table, text_rows
+from .common import mix, record_batch, table, text_rows
 
 WIDTH, MAX_HEIGHT = 192, 16384
 #: Fixed values of the format: the order in which lengths of code lengths are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+#: Bits that follow a stored length: of 16 (again), 17 and 18 (zeros).
+LENGTH_EXTRA = (0,) * 16 + (2, 3, 7)
 LITERALS, LENGTH_CODES, DISTANCE_CODES = 256, 24, 40
 CACHE_FACTOR = 0x1E35A7BD
 #: Near distances first: by length, then by column, right before left.
@@ -58,195 +59,276 @@ class Bits:
         return (int.from_bytes(self.data[a : a + (n + 14) // 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
 
+#: Each 15 bits in reverse.
+REVERSED = np.zeros(1 << 15, np.int64)
+for _k in range(15):
+    REVERSED |= (np.arange(1 << 15) >> _k & 1) << (14 - _k)
+_REVERSED = REVERSED.tolist()
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The codes of canonical lengths, first bit lowest."""
     codes = np.zeros(len(lengths), np.int64)
-    code = 0
-    for n in range(1, 16):
-        for s in np.flatnonzero(lengths == n).tolist():
-            codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-            code += 1
-        code <<= 1
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[used]
+    before = np.cumsum(1 << 15 - n) - (1 << 15 - n)
+    codes[used] = REVERSED[before & (1 << 15) - 1]
+    return codes
+
+
+def short_codes(lengths: list[int]) -> list[int]:
+    """``canonical`` of the few lengths of up to 7 bits that lengths are stored by."""
+    codes, at = [0] * len(lengths), 0
+    for n in range(1, 8):
+        for s, own in enumerate(lengths):
+            if own == n:
+                codes[s] = _REVERSED[at]
+                at += 1 << 15 - n
     return codes
 
 
+def short_table(lengths: list[int]) -> list[int]:
+    """As ``Code.table``, over 7 bits."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) < 2:
+        return [(used[0] if used else 0) << 4] * 128
+    if sum(128 >> lengths[s] for s in used) != 128:
+        raise ValueError("the prefix code is not complete")
+    out, codes = [0] * 128, short_codes(lengths)
+    for s in used:
+        n = lengths[s]
+        out[codes[s] :: 1 << n] = [s << 4 | n] * (128 >> n)
+    return out
+
+
 class Code:
-    """A prefix code as a table over its longest code's bits: symbol and length."""
+    """A prefix code as a table over its longest code's bits: symbol * 16 + length."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
-        self.lengths = lengths
-        self.only = int(used[0]) if len(used) == 1 else None
-        self.bits = 0 if self.only is not None else int(lengths.max()) if len(used) else 0
-        if not len(used):
-            self.only = 0
-        self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
+        self.only = (int(used[0]) if len(used) else 0) if len(used) < 2 else None
         if self.only is not None:
-            self.symbol[0] = self.only
-        else:
-            if sum(2.0 ** -int(lengths[s]) for s in used) != 1:
-                raise ValueError("the prefix code is not complete")
-            codes = canonical(lengths)
-            for s in used.tolist():
-                n = int(lengths[s])
-                self.symbol[codes[s] :: 1 << n] = s
-                self.length[codes[s] :: 1 << n] = n
-        self.pairs = list(zip(self.symbol.tolist(), self.length.tolist(), strict=True))
+            self.mask, self.entries = 0, np.array([self.only << 4], np.int32)
+            return
+        used = used[np.argsort(lengths[used], kind="stable")]
+        n = lengths[used]
+        most = int(n[-1])
+        share = 1 << most - n
+        if int(share.sum()) != 1 << most:
+            raise ValueError("the prefix code is not complete")
+        self.mask = (1 << most) - 1
+        self.entries = np.repeat((used << 4 | n).astype(np.int32), share)[REVERSED[: 1 << most] >> 15 - most]
 
     @cached_property
-    def wide(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each 16 bits: the symbols of the codes whole in them, how many, and their bits together."""
-        window = np.arange(1 << 16)
-        most = 16 // max(1, int(self.length.min()))
-        symbols, counts, used = np.zeros((1 << 16, most), np.int16), np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int64)
-        for k in range(most):
-            rest = (window >> used) & ((1 << self.bits) - 1)
-            s, n = self.symbol[rest], self.length[rest]
-            fits = (used + n <= 16) & (counts == k)
-            symbols[fits, k] = s[fits]
-            counts[fits] += 1
-            used[fits] += n[fits]
-        return symbols, counts, used.astype(np.uint8)
-
-    def read(self, bits: Bits) -> int:
-        s, n = self.pairs[bits.peek(self.bits)]
-        bits.at += n
-        return s
+    def table(self) -> list[int]:
+        return self.entries.tolist()
+
+
+@lru_cache(256)
+def one_code(symbol: int) -> Code:
+    return Code(np.arange(256) == symbol)
 
 
 def read_code(bits: Bits, size: int) -> Code:
-    lengths = np.zeros(size, np.int64)
     if bits.read(1):  # one or two symbols
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if wide else 1)
+        if not two:
+            return one_code(first)
+        lengths = np.zeros(256, np.int64)
+        lengths[[first, bits.read(8)]] = 1
         return Code(lengths)
-    of_lengths = np.zeros(19, np.int64)
-    for k in range(4 + bits.read(4)):
-        of_lengths[LENGTH_ORDER[k]] = bits.read(3)
-    code = Code(of_lengths)
+    n = 4 + bits.read(4)
+    stored = bits.read(3 * n)
+    of_lengths = [0] * 19
+    for k in range(n):
+        of_lengths[LENGTH_ORDER[k]] = stored >> 3 * k & 7
+    table = short_table(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
-    while at < size and left:
+    stored, p = bits.peek(14 * min(size, 80)), 0
+    found: list[int] = []
+    last = 8
+    while len(found) < size and left:
+        if p > 14 * 79:
+            bits.at += p
+            stored, p = bits.peek(14 * 80), 0
         left -= 1
-        s = code.read(bits)
+        e = table[stored >> p & 127]
+        p += e & 15
+        s = e >> 4
         if s < 16:
-            lengths[at] = s
-            at += 1
+            found.append(s)
             last = s or last
+        elif s == 16:
+            found += [last] * (3 + (stored >> p & 3))
+            p += 2
+        elif s == 17:
+            found += [0] * (3 + (stored >> p & 7))
+            p += 3
         else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            lengths[at : at + n] = last if s == 16 else 0
-            at += n
-    return Code(lengths)
-
-
-#: Groups read last, by the bits they were stored as: pictures of one writer often have the same.
-_groups: list[tuple[int, int, int, list[Code]]] = []
+            found += [0] * (11 + (stored >> p & 127))
+            p += 7
+    bits.at += p
+    return Code(np.array(found[:size]))
 
 
 def read_group(bits: Bits, cache_bits: int) -> list[Code]:
-    for n, stored, with_cache, group in _groups:
-        if with_cache == cache_bits and bits.peek(n) == stored:
-            bits.at += n
-            return group
-    start = bits.at
     green = LITERALS + LENGTH_CODES + ((1 << cache_bits) if cache_bits else 0)
-    group = [read_code(bits, n) for n in (green, 256, 256, 256, DISTANCE_CODES)]
-    n, bits.at = bits.at - start, start
-    _groups.insert(0, (n, bits.read(n), cache_bits, group))
-    del _groups[8:]
-    return group
+    return [read_code(bits, n) for n in (green, 256, 256, 256, DISTANCE_CODES)]
 
 
-def prefixed(bits: Bits, code: int) -> int:
-    """The value of a length or distance code."""
-    if code < 4:
-        return code + 1
-    extra = (code - 2) >> 1
-    return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
+#: Extra bits of each length or distance code, and the value where they are zero.
+EXTRA = [max(0, (c - 2) >> 1) for c in range(DISTANCE_CODES)]
+_EXTRA = np.array(EXTRA)
+FIRST = [c + 1 if c < 4 else ((2 + (c & 1)) << EXTRA[c]) + 1 for c in range(DISTANCE_CODES)]
+_FIRST = np.array(FIRST)
+STEPS = [(k, v, (1 << k) - 1) for k, v in zip(EXTRA, FIRST, strict=True)]
 
 
-# -- pictures of codes --------------------------------------------------------------
+@lru_cache(64)
+def near_distances(width: int) -> list[int]:
+    """The distance of each code of its own, from 1."""
+    return [0, *(max(1, x + y * width) for x, y in NEAR)]
+
 
+# -- pictures of codes --------------------------------------------------------------
 
-def green_stream(data: bytes, at: int, code: Code, n: int) -> np.ndarray | None:
-    """n symbols of one code from bit ``at``, or None if one of them is no literal.
 
-    A step reads all codes that are whole in 16 bits; where each step leads is
-    computed for every bit position at once, and then followed.
-    """
-    symbols, counts, jump = code.wide
-    raw = np.frombuffer(data, np.uint8, offset=at >> 3)
-    words = np.concatenate([raw, np.zeros(4, np.uint8)]).astype(np.uint32)
+def bit_windows(data: bytes) -> np.ndarray:
+    """The 16 bits from each bit of ``data`` on; zeros follow the end."""
+    words = np.frombuffer(data + bytes(16), np.uint8).astype(np.uint32)
     words = words[:-3] | words[1:-2] << np.uint32(8) | words[2:-1] << np.uint32(16)
-    windows = ((words[:, None] >> np.arange(8, dtype=np.uint32)[None, :]) & np.uint32(0xFFFF)).astype(np.uint16).ravel()
-    hops = memoryview(jump[windows])
-    visited = []
-    add = visited.append
-    p, end = at & 7, len(windows)
-    # enough steps for n symbols: each reads one at least
-    least = int(counts.min())
-    if least == 0:
-        return None
-    while p < end:
-        add(p)
-        p += hops[p]
-    w = windows[np.array(visited, np.int64)]
-    have = counts[w]
-    last = int(np.searchsorted(np.cumsum(have), n)) + 1
-    if last > len(w):
+    return (words[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).ravel()
+
+
+def read_green(bits: Bits, green: Code, distance: Code, width: int, n: int) -> np.ndarray:
+    """n green values, of a picture whose other channels take no bits and which has no colour cache."""
+    base = bits.at >> 3
+    data = bits.data[base : base + 9 * n + 16]
+    windows = memoryview(bit_windows(data))
+    table, mask, far_table, far_mask = green.table, green.mask, distance.table, distance.mask
+    near = near_distances(width)
+    literals, own, steps = LITERALS << 4, len(NEAR), STEPS
+    p = bits.at & 7
+    out = bytearray()
+    add = out.append
+    try:
+        while len(out) < n:
+            e = table[windows[p] & mask]
+            p += e & 15
+            if e < literals:
+                add(e >> 4)
+                continue
+            k, run, rest = steps[(e >> 4) - 256]
+            if k:
+                run += windows[p] & rest
+                p += k
+            e = far_table[windows[p] & far_mask]
+            p += e & 15
+            k, far, rest = steps[e >> 4]
+            if k:
+                far += (windows[p] if k < 17 else windows[p] | windows[p + 16] << 16) & rest
+                p += k
+            far = near[far] if far <= own else far - own
+            first = len(out) - far
+            if first < 0:
+                raise ValueError("a reference leaves the picture")
+            out += out[first : first + run] if far >= run else (out[first:] * (run // far + 1))[:run]
+    except IndexError:
+        p = 8 * len(data) + 1
+    if len(out) > n or p > 8 * len(data):
         raise ValueError("the picture ends early")
-    w, have = w[:last], have[:last]
-    out = symbols[w][np.arange(symbols.shape[1])[None, :] < have[:, None]][:n]
-    return None if (out >= LITERALS).any() else out
+    bits.at = base * 8 + p
+    return np.frombuffer(out, np.uint8).astype(np.int64)
 
 
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """ARGB values of a picture of codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
-    block, of_block, n_groups = 0, None, 1
+    block, of_block, n_groups, across = 0, None, 1, 1
     if main and bits.read(1):
         block = bits.read(3) + 2
         across = -(-width >> block)
-        of_block = (read_pixels(bits, across, -(-height >> block), False) >> 8) & 0xFFFF
-        n_groups = int(of_block.max()) + 1
+        of_block = ((read_pixels(bits, across, -(-height >> block), False) >> 8) & 0xFFFF).tolist()
+        n_groups = max(of_block) + 1
     groups = [read_group(bits, cache_bits) for _ in range(n_groups)]
+    if n_groups == 1 and not cache_bits and None not in [c.only for c in groups[0][1:4]]:
+        green, red, blue, alpha, distance = groups[0]
+        rest = alpha.only << 24 | red.only << 16 | blue.only
+        if green.only is None:
+            return rest | read_green(bits, green, distance, width, width * height) << 8
+        if green.only < LITERALS:
+            return np.full(width * height, rest | green.only << 8, np.int64)
     n = width * height
-    green, red, blue, alpha, distance = groups[0]
-    if n_groups == 1 and not cache_bits and None not in (red.only, blue.only, alpha.only) and green.only is None:
-        if (found := green_stream(bits.data, bits.at, green, n)) is not None:
-            bits.at += int(green.lengths[found].sum())
-            return (alpha.only << 24 | red.only << 16 | blue.only) | found.astype(np.int64) << 8
+    # a pixel or copy has less than 9 bytes
+    base = bits.at >> 3
+    windows = memoryview(bit_windows(bits.data[base : base + 9 * n + 16]))
+    p, end = bits.at & 7, len(windows) - 104
     out: list[int] = []
     cache = [0] * (1 << cache_bits if cache_bits else 0)
+    shift = 32 - cache_bits
     stored = 0
-    while len(out) < n:
-        at = len(out)
-        if of_block is not None:
-            green, red, blue, alpha, distance = groups[int(of_block[(at // width >> block) * across + (at % width >> block)])]
-        s = green.read(bits)
+    last = None
+    left = n
+    while left > 0:
+        if of_block is not None or last is None:
+            at = n - left
+            group = groups[of_block[(at // width >> block) * across + (at % width >> block)] if of_block is not None else 0]
+            if group is not last:
+                last = group
+                green, red, blue, alpha, distance = ((c.table, c.mask) for c in group)
+                table, mask = green
+                plain = None not in [c.only for c in group[1:4]]
+                rest = group[3].table[0] >> 4 << 24 | group[1].table[0] >> 4 << 16 | group[2].table[0] >> 4 if plain else 0
+        if p > end:
+            raise ValueError("the picture ends early")
+        e = table[windows[p] & mask]
+        p += e & 15
+        s = e >> 4
         if s < LITERALS:
-            r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-            out.append(a << 24 | r << 16 | s << 8 | b)
+            if plain:
+                out.append(rest | s << 8)
+            else:
+                r = red[0][windows[p] & red[1]]
+                p += r & 15
+                b = blue[0][windows[p] & blue[1]]
+                p += b & 15
+                a = alpha[0][windows[p] & alpha[1]]
+                p += a & 15
+                out.append(a >> 4 << 24 | r >> 4 << 16 | s << 8 | b >> 4)
+            left -= 1
         elif s < LITERALS + LENGTH_CODES:
-            run = prefixed(bits, s - LITERALS)
-            far = prefixed(bits, distance.read(bits))
+            k = EXTRA[s - LITERALS]
+            run = FIRST[s - LITERALS] + (windows[p] & (1 << k) - 1)
+            p += k
+            e = distance[0][windows[p] & distance[1]]
+            p += e & 15
+            k = EXTRA[e >> 4]
+            far = FIRST[e >> 4] + ((windows[p] | windows[p + 16] << 16) & (1 << k) - 1)
+            p += k
             if far > len(NEAR):
                 far -= len(NEAR)
             else:
-                x, y = NEAR[far - 1]
-                far = max(1, x + y * width)
-            if far > at or at + run > n:
+                far = near_distances(width)[far]
+            at = n - left
+            if far > at or run > left:
                 raise ValueError("a reference leaves the picture")
-            for _ in range(run):
-                out.append(out[-far])
+            if far >= run:
+                out += out[at - far : at - far + run]
+            else:
+                out += (out[at - far :] * (run // far + 1))[:run]
+            left -= run
         else:
-            for k in range(stored, at):
-                cache[(CACHE_FACTOR * out[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[k]
+            at = n - left
+            for v in out[stored:at]:
+                cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
             stored = at
             out.append(cache[s - LITERALS - LENGTH_CODES])
+            left -= 1
+    if p > end:
+        raise ValueError("the picture ends early")
+    bits.at = base * 8 + p
     return np.array(out, np.int64)
 
 
@@ -297,10 +379,34 @@ def predicted(mode: int, left: list[int], top: list[int], above_right: list[int]
     return [255, 0, 0, 0]
 
 
+def predicted_one(mode: int, left: int, top: int, above_right: int, above_left: int) -> int:
+    """``predicted`` of a single channel that is 0 in a blank picture."""
+    if mode == 1:
+        return left
+    if mode == 2:
+        return top
+    if mode == 11:
+        return left if abs(top - above_left) < abs(left - above_left) else top
+    if mode == 0 or mode > 13:
+        return 0
+    return predicted(mode, [left], [top], [above_right], [above_left])[0]
+
+
 def undo_predictor(pixels: np.ndarray, width: int, block: int, modes: np.ndarray) -> np.ndarray:
-    rows = channels(pixels).reshape(-1, width, 4).tolist()
     across = -(-width >> block)
     modes = (modes >> 8 & 255).tolist()
+    if not (pixels & 0xFFFF00FF).any():  # differences of green alone: red and blue stay 0, alpha 255
+        grey = (pixels >> 8).reshape(-1, width).tolist()
+        before: list[int] = []
+        for y, line in enumerate(grey):
+            now = before[0] if y else 0
+            for x, diff in enumerate(line):
+                if y and x:
+                    now = predicted_one(modes[(y >> block) * across + (x >> block)], now, before[x], before[x + 1] if x + 1 < width else line[0], before[x - 1])
+                line[x] = now = diff + now & 255
+            before = line
+        return 0xFF000000 | np.array(grey, np.int64).ravel() << 8
+    rows = channels(pixels).reshape(-1, width, 4).tolist()
     for y, row in enumerate(rows):
         for x, rest in enumerate(row):
             if not y:
@@ -329,7 +435,14 @@ def undo_cross_colour(pixels: np.ndarray, width: int, block: int, factors: np.nd
     return joined(p)
 
 
+def green_only(pixels: np.ndarray) -> bool:
+    """Whether red and blue are 0 and alpha 255, as in grey pictures less their green."""
+    return bool((pixels & 0xFFFF00FF == 0xFF000000).all())
+
+
 def undo_subtract_green(pixels: np.ndarray) -> np.ndarray:
+    if green_only(pixels):
+        return pixels | (pixels & 0xFF00) >> 8 | (pixels & 0xFF00) << 8
     g = pixels >> 8 & 255
     return pixels & 0xFF00FF00 | ((pixels >> 16) + g & 255) << 16 | (pixels + g & 255)
 
@@ -372,80 +485,579 @@ def decode(file: bytes) -> tuple[int, int, np.ndarray]:
     return width, height, pixels
 
 
-# -- writing grey pictures -------------------------------------------------------------
+# -- writing pictures --------------------------------------------------------------------
 
 
 class BitList:
+    """Values of up to 31 bits, the lowest first, one after another."""
+
     def __init__(self) -> None:
-        self.value = self.size = 0
+        self.values: list[int] = []
+        self.sizes: list[int] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def put(self, value: int, n: int) -> None:
-        self.value |= value << self.size
-        self.size += n
+        self.values.append(value)
+        self.sizes.append(n)
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts.append((np.array(self.values, np.int64), np.array(self.sizes, np.int64)))
+        self.parts.append((values, sizes))
+        self.values, self.sizes = [], []
 
+    def bytes(self) -> bytes:
+        self.put_all(np.zeros(1, np.int64), np.ones(1, np.int64))  # words[-1] is there whatever came before
+        values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        ends = np.cumsum(sizes)
+        at = ends - sizes
+        word = at >> 5
+        value = values.astype(np.uint64) << (at & 31).astype(np.uint64)
+        first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])  # values are shorter than words: each word has a first one
+        either = np.bitwise_or.reduceat(value, first)
+        words = np.zeros(int(word[-1]) + 2, np.uint32)
+        words[:-1] = (either & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        words[1:] |= (either >> np.uint64(32)).astype(np.uint32)
+        return words.astype("<u4").tobytes()[: (int(ends[-1]) + 6) // 8]
 
-def huffman_lengths(weights: np.ndarray, most: int = 12) -> np.ndarray:
+
+_LOGS = np.arange(1 << 12) * np.log2(np.maximum(np.arange(1 << 12), 1))
+
+
+def bits_of(counts: np.ndarray) -> np.ndarray:
+    """Bits of symbols so frequent in the best code of fractional lengths, by the last axis."""
+    n = counts.sum(-1)
+    each = _LOGS[counts] if counts.max() < len(_LOGS) else counts * np.log2(np.maximum(counts, 1))
+    return n * np.log2(np.maximum(n, 1)) - each.sum(-1)
+
+
+def floor_log2(x: np.ndarray) -> np.ndarray:
+    """Of positive whole numbers under 2**53, or powers of two; -1023 of 0."""
+    return (x.astype(np.float64).view(np.int64) >> 52) - 1023
+
+
+def huffman_lengths(weights: list[int], most: int) -> list[int]:
     """Code lengths of at most ``most`` bits; small weights are raised until they fit."""
-    floor = 0.0
+    n, floor = len(weights), 0
+    order = sorted(range(n), key=weights.__getitem__)
+    none = float("inf")
     while True:
-        heap = [(max(float(w), floor), i, (i,)) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        depth = np.zeros(len(weights), np.int64)
-        k = len(weights)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            both = a[2] + b[2]
-            depth[list(both)] += 1
-            heapq.heappush(heap, (a[0] + b[0], k, both))
-            k += 1
-        if depth.max() <= most:
-            return depth
-        floor = floor * 2 or float(np.sum(weights)) / (1 << most + 4)
-
-
-def _weights(groups: dict[bytes, float], rest: float) -> np.ndarray:
-    out = np.full(256, rest)
-    for chars, w in groups.items():
-        out[list(chars)] = w
+        leaves = [max(weights[i], floor) for i in order] if floor else [weights[i] for i in order]
+        leaves.append(none)
+        nodes = [none] * n  # what two are joined to: leaves and nodes are both in rising order
+        above_leaf, above_node = [0] * n, [0] * n
+        i = j = 0
+        for k in range(n - 1):
+            if leaves[i] <= nodes[j]:
+                x = leaves[i]
+                above_leaf[i] = k
+                i += 1
+            else:
+                x = nodes[j]
+                above_node[j] = k
+                j += 1
+            if leaves[i] <= nodes[j]:
+                x += leaves[i]
+                above_leaf[i] = k
+                i += 1
+            else:
+                x += nodes[j]
+                above_node[j] = k
+                j += 1
+            nodes[k] = x
+        depth = [0] * n
+        for k in range(n - 3, -1, -1):
+            depth[k] = depth[above_node[k]] + 1
+        if max(depth) < most:
+            out = [0] * n
+            for i, k in zip(order, above_leaf, strict=True):
+                out[i] = depth[k] + 1
+            return out
+        floor = 2 * floor or max(2, sum(weights) >> most + 1)
+
+
+def put_one(out: BitList, symbol: int) -> None:
+    """Writes a code of one symbol, which takes no bits."""
+    out.put(1 | (symbol > 1) << 2 | symbol << 3, 11 if symbol > 1 else 4)
+
+
+def put_code(out: BitList, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the best prefix code of symbols so frequent; its lengths and codes."""
+    used = np.flatnonzero(counts)
+    lengths = np.zeros(len(counts), np.int64)
+    if not len(used) or len(used) == 1 and used[0] < 256:
+        put_one(out, int(used[0]) if len(used) else 0)
+        return lengths, lengths
+    if len(used) == 2 and used[1] < 256:
+        wide = int(used[0] > 1)
+        out.put(0b11 | wide << 2 | int(used[0]) << 3 | int(used[1]) << (11 if wide else 4), 19 if wide else 12)
+        lengths[used] = 1
+        return lengths, canonical(lengths)
+    n = int(counts.sum())
+    # short codes make the reader's tables small, which is most of what a small picture takes
+    lengths[used] = huffman_lengths(counts[used].tolist(), 11 if n < 1 << 14 and len(used) < 1 << 10 else 15) if len(used) > 1 else 1
+    # lengths in a row: 16 repeats the last one, 17 and 18 are zeros; zeros at the end are left out
+    tokens: list[int] = []
+    rests: list[int] = []  # what follows a token
+    for n, same in groupby(lengths[: int(used[-1]) + 1].tolist()):
+        size = len(list(same))
+        if n:
+            tokens.append(n)
+            rests.append(0)
+            size -= 1
+        while size > 2:
+            s, low, high = (16, 3, 6) if n else (17, 3, 10) if size < 11 else (18, 11, 138)
+            k = min(size, high)
+            tokens.append(s)
+            rests.append(k - low)
+            size -= k
+        tokens += [n] * size
+        rests += [0] * size
+    if len(tokens) == 1:  # the least number that can be told is 2
+        tokens.append(0)
+        rests.append(0)
+    of_counts = [0] * 19
+    for s in tokens:
+        of_counts[s] += 1
+    of_used = [s for s in range(19) if of_counts[s]]
+    of_lengths = [0] * 19
+    for s, n in zip(of_used, huffman_lengths([of_counts[s] for s in of_used], 7) if len(of_used) > 1 else [1], strict=True):
+        of_lengths[s] = n
+    stored = [of_lengths[s] for s in LENGTH_ORDER]
+    while len(stored) > 4 and not stored[-1]:
+        stored.pop()
+    k = max(2, (len(tokens) - 2).bit_length() + 1 & ~1)
+    codes = short_codes(of_lengths)
+    sizes = of_lengths if len(of_used) > 1 else [0] * 19
+    out.values += [len(stored) - 4 << 1, *stored, 1 | (k - 2) // 2 << 1, len(tokens) - 2, *(codes[s] | rest << sizes[s] for s, rest in zip(tokens, rests, strict=True))]
+    out.sizes += [5, *[3] * len(stored), 4, k, *(sizes[s] + LENGTH_EXTRA[s] for s in tokens)]
+    if len(used) == 1:
+        lengths[:] = 0  # no bits
+    return lengths, canonical(lengths)
+
+
+def prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of lengths or distances, how many bits follow, and these."""
+    code = np.searchsorted(_FIRST, values, "right") - 1
+    return code, _EXTRA[code], values - _FIRST[code]
+
+
+@lru_cache(64)
+def near_codes(width: int) -> np.ndarray:
+    """The code of each distance of up to 8 lines, 0 where it has none of its own."""
+    out = np.zeros(8 * width + 16, np.int64)
+    for k in range(len(NEAR), 0, -1):
+        out[near_distances(width)[k]] = k
     return out
 
 
-_UTF8 = bytes(range(0x80, 0xC0))
-#: Prefix codes to choose from: prose, prose in capitals and with marks, anything.
-WEIGHTS = (
-    _weights({b" ": 150, b"etaonihr": 75, b"sdlucm": 32, b"wbgpfvyjkqxz": 9, b".,\n": 11, _UTF8: 2, b"\xc3": 25, bytes(range(65, 91)): 1.5, bytes(range(48, 58)): 0.6}, 0.05),
-    _weights({b" ": 110, b"ETAONIHR": 40, b"SDLUCMWBGPFV": 12, b"etaonihr": 25, b"sdlucm": 9, b"#$%&*!|": 30, b".,\n": 9, _UTF8: 2, b"\xc3": 15}, 0.5),
-    np.ones(256),
-)
-
-
-@lru_cache(1)
-def grey_codes() -> list[tuple[np.ndarray, np.ndarray, BitList]]:
-    """Lengths, codes, and the picture's head up to its first pixel, of each prefix code."""
-    out = []
-    for weights in WEIGHTS:
-        lengths = huffman_lengths(weights)
-        head = BitList()
-        head.put(0b101, 3)  # a transform: subtract-green (2), its low bit first
-        head.put(0, 1)  # no other transform
-        head.put(0, 1)  # no colour cache
-        head.put(0, 1)  # one code group
-        head.put(0, 1)  # a normal code, whose 16 lengths take 4 bits each
-        head.put(15, 4)
-        for k in LENGTH_ORDER:
-            head.put(4 if k < 16 else 0, 3)
-        of_lengths = canonical(np.array([4] * 16 + [0] * 3))
-        head.put(1, 1)  # the literals' lengths alone are stored
-        head.put(3, 3)
-        head.put(LITERALS - 2, 8)
-        for n in lengths.tolist():
-            head.put(int(of_lengths[n]), 4)
-        for symbol in (0, 0, 255):  # red and blue as green, alpha full
-            head.put(0b101, 3)
-            head.put(symbol, 8)
-        head.put(0b0001, 4)  # no distances
-        out.append((lengths, canonical(lengths), head))
-    return out
+def distance_values(far: np.ndarray, width: int) -> np.ndarray:
+    near = near_codes(width)
+    own = near[np.minimum(far, len(near) - 1)]
+    return np.where((own > 0) & (far < len(near)), own, far + len(NEAR))
+
+
+#: Pixels of a copy that are compared at once.
+AT_ONCE = 16
+#: Bits that a copy takes, about, by the whole logarithm of its distance.
+COPY_BITS = np.array([7.5 + max(0, k - 3) for k in range(32)])
+#: What the head of a code of distances takes, about.
+FAR_HEAD_BITS = 100
+RUN_BITS = np.array([0, *(k.bit_length() - 1 for k in range(1, AT_ONCE + 1))])
+LONGEST, FARTHEST = 4096, (1 << 20) - len(NEAR)
+
+
+def find_copies(pixels: np.ndarray, exact: bool, literal_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pixels repeat earlier ones so that a copy takes fewer bits: starts, lengths and distances.
+
+    Each pixel is compared with the nearest earlier place that has the same five
+    pixels; a copy begins one pixel later if that saves more. ``exact``: only green
+    differs.
+    """
+    n = len(pixels)
+    none = np.zeros(0, np.int64)
+    if n < 8:
+        return none, none, none
+    near = (pixels >> 8).astype(np.uint8) if exact else mix(pixels.astype(np.uint64)).astype(np.uint8)
+    words = np.ndarray((n + 8,), "<u8", near.tobytes() + bytes(AT_ONCE), 0, (1,)).copy()
+    size = np.uint64(n.bit_length())
+    order = words[: n - 4] << np.uint64(max(24, n.bit_length())) >> np.uint64(max(24, n.bit_length())) << size
+    order |= np.arange(n - 4, dtype=np.uint64)
+    order.sort()
+    place = (order & np.uint64((1 << n.bit_length()) - 1)).view(np.int64)
+    order >>= size
+    same = np.flatnonzero(order[1:] == order[:-1])
+    at, source = place[same + 1], place[same]
+    far = at - source
+    differ = words[at] ^ words[source]
+    run = floor_log2(differ & -differ) >> 3
+    long = np.flatnonzero(run < 0)
+    if len(long):
+        differ = words[at[long] + 8] ^ words[source[long] + 8]
+        more = floor_log2(differ & -differ) >> 3
+        more[more < 0] = 8
+        run[long] = np.minimum(8 + more, n - at[long])
+    run = np.minimum(run, n - at)
+    total = np.concatenate([[0.0], np.cumsum(literal_bits)])
+    saved = total[at + run] - total[at] - COPY_BITS[floor_log2(far)] - RUN_BITS[run]
+    good = np.flatnonzero((saved > 0) & (far <= FARTHEST))
+    if not len(good):
+        return none, none, none
+    at = at[good]
+    gain, runs, fars = np.zeros(n + 1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    gain[at], runs[at], fars[at] = saved[good], run[good], far[good]
+    following = np.full(n + 1, n)
+    following[at] = at
+    following = np.minimum.accumulate(following[::-1])[::-1]
+    # where each place leads: to the next pixel, past its copy, or (below 0) there are more pixels to compare
+    late = gain[at + 1] > gain[at]
+    to = np.zeros(n, np.int64)
+    to[at] = np.where(late, at + 1, np.where((runs[at] < AT_ONCE) & exact, following[at + runs[at]], -1))
+    raw = pixels.astype("<u4").tobytes()
+    steps, visited = memoryview(to), []
+    add = visited.append
+    i = int(following[0])
+    while i < n:
+        add(i)
+        step = steps[i]
+        if step < 0:
+            run, far, step, most = 0, int(fars[i]), AT_ONCE, min(LONGEST, n - i)
+            while step:
+                if run + step <= most and raw[4 * (i + run) : 4 * (i + run + step)] == raw[4 * (i + run - far) : 4 * (i + run + step - far)]:
+                    run += step
+                    step *= 2
+                else:
+                    step //= 2
+            runs[i] = run
+            step = int(following[i + max(1, run)])
+        i = step
+    starts = np.array(visited)
+    starts = starts[(gain[starts + 1] <= gain[starts]) & (runs[starts] > 2)]
+    if gain[starts].sum() < FAR_HEAD_BITS:
+        return none, none, none
+    return starts, runs[starts], fars[starts]
+
+
+def cache_hits(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in the colour cache, and whether it lies there."""
+    slot = (pixels * CACHE_FACTOR & 0xFFFFFFFF) >> 32 - cache_bits
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    there = pixels[order]
+    hit[order[1:]] = there[1:] == there[:-1]  # one colour has one place
+    return slot, hit
+
+
+CACHES = (2, 5, 8)
+#: Bits that a used symbol takes in the head, about.
+HEAD_BITS = 5.0
+
+
+class Symbols:
+    """A picture as literals, copies and places in the colour cache."""
+
+    def __init__(self, green: np.ndarray, others: np.ndarray | None, width: int, copies: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        starts, lengths, distances = copies
+        n = len(green)
+        if len(starts):
+            edge = np.zeros(n + 1, np.int8)
+            edge[starts + lengths] = -1
+            edge[starts] += 1
+            kept = np.cumsum(edge[:-1], dtype=np.int8) == 0
+            kept[starts] = True
+            self.at = np.flatnonzero(kept)
+            self.copy = np.searchsorted(self.at, starts)
+            literal = np.ones(len(self.at), bool)
+            literal[self.copy] = False
+            self.literal = np.flatnonzero(literal)
+        else:
+            self.at = self.literal = np.arange(n)
+            self.copy = starts
+        self.cache_bits, self.alphabet = 0, LITERALS + LENGTH_CODES
+        # green or length; then red, blue and alpha, or the rest of a length, the distance and its rest
+        self.green = green[self.at]
+        length, self.run_size, self.run_rest = prefix(lengths)
+        self.green[self.copy] = LITERALS + length
+        self.distance, self.far_size, self.far_rest = prefix(distance_values(distances, width))
+        self.others = others if others is None or not len(starts) else others[self.at[self.literal]]
+
+    def cached(self, pixels: np.ndarray, cache_bits: int) -> Symbols:
+        """With a colour cache, which holds the colours met last."""
+        slot, hit = cache_hits(pixels, cache_bits)
+        at = self.at[self.literal]
+        hit = hit[at]
+        out = copy.copy(self)
+        out.cache_bits, out.alphabet = cache_bits, self.alphabet + (1 << cache_bits)
+        out.green = self.green.copy()
+        out.green[self.literal[hit]] = self.alphabet + slot[at[hit]]
+        out.literal = self.literal[~hit]
+        out.others = None if self.others is None else self.others[~hit]
+        return out
+
+    def counts(self) -> list[np.ndarray]:
+        others = [] if self.others is None else [np.bincount(self.others[:, k], minlength=256) for k in range(3)]
+        return [np.bincount(self.green, minlength=self.alphabet), *others]
+
+    def bits(self) -> float:
+        """How many bits this takes, about."""
+        counts = self.counts()
+        if len(self.distance):
+            counts.append(np.bincount(self.distance, minlength=DISTANCE_CODES))
+        return sum(float(bits_of(c)) + HEAD_BITS * np.count_nonzero(c) for c in counts) + float(self.run_size.sum() + self.far_size.sum())
+
+
+def groups_of(symbols: Symbols, width: int, height: int) -> tuple[int, np.ndarray] | None:
+    """The size of blocks, and the code group of each, where several groups take fewer bits than one."""
+    block = 5
+    while (height >> block) * (width >> block) > 1024:
+        block += 1
+    if height < 32:  # the heads of more codes take more than they save
+        return None
+    across, down = -(-width >> block), -(-height >> block)
+    n, size = across * down, symbols.alphabet
+    if n < 4 or block > 9:
+        return None
+    of_symbol = (symbols.at // width >> block) * across + (symbols.at % width >> block)
+    counts = np.bincount(of_symbol * size + symbols.green, minlength=n * size).reshape(n, size)
+    groups, before = np.arange(n) * 4 // n, None
+    for _ in range(6):
+        sums = np.zeros((4, size), np.int64)
+        np.add.at(sums, groups, counts)
+        p = sums + 0.05
+        groups = (counts @ np.log2(p.sum(-1, keepdims=True) / p).T).argmin(-1)
+        if before is not None and (groups == before).all():
+            break
+        before = groups
+    groups = np.unique(groups, return_inverse=True)[1]
+    sums = np.zeros((groups.max() + 1, size), np.int64)
+    np.add.at(sums, groups, counts)
+    several = float(bits_of(sums).sum()) + HEAD_BITS * np.count_nonzero(sums) + 40 * len(sums) + 2 * n
+    one = counts.sum(0)
+    return (block, groups) if len(sums) > 1 and several < float(bits_of(one)) + HEAD_BITS * np.count_nonzero(one) else None
+
+
+def put_pixels(out: BitList, pixels: np.ndarray, width: int, main: bool) -> None:
+    """Writes a picture of codes: with copies, a colour cache and several code groups where these take fewer bits."""
+    height = len(pixels) // width
+    others = None if green_only(pixels) else channels(pixels)[:, [1, 3, 0]]
+    green = pixels >> 8 & 255
+    none = np.zeros(0, np.int64)
+    copies = (none, none, none)
+    counts = [np.bincount(x, minlength=256) for x in (green, *(() if others is None else others.T))]
+    varied = [(x, c) for x, c in zip((green, *(() if others is None else others.T)), counts, strict=True) if np.count_nonzero(c) > 1]
+    if varied:
+        copies = find_copies(pixels, others is None, sum((np.log2(len(pixels) / np.maximum(c, 1)))[x] for x, c in varied))
+    best = Symbols(green, others, width, copies)
+    literal = best.green[best.literal]
+    # of one channel, a place in the cache is a symbol as a literal is: it takes less where colours come again soon
+    if varied and (others is not None or 8 * np.count_nonzero(literal[1:] == literal[:-1]) > len(literal)):
+        colours = int(np.count_nonzero(np.diff(np.sort(pixels)))) + 1
+        uncached, cost = best, best.bits()
+        for cache_bits in CACHES:
+            if 1 << cache_bits < 2 * colours:
+                s = uncached.cached(pixels, cache_bits)
+                if (b := s.bits()) < cost:
+                    best, cost = s, b
+    out.put(1 | best.cache_bits << 1 if best.cache_bits else 0, 5 if best.cache_bits else 1)
+    n_groups, own = 1, None
+    if main:
+        several = groups_of(best, width, height)
+        out.put(several is not None, 1)
+        if several is not None:
+            block, groups = several
+            out.put(block - 2, 3)
+            across = -(-width >> block)
+            put_pixels(out, 0xFF000000 | groups << 8, across, False)
+            n_groups, own = int(groups.max()) + 1, groups[(best.at // width >> block) * across + (best.at % width >> block)]
+    # a literal has a value of each channel that differs, a copy its length (with the rest), its distance and the rest
+    slots = np.ones(len(best.at), np.int64)
+    slots[best.copy] = 3
+    if best.others is not None:
+        slots[best.literal] = 4
+    first = np.cumsum(slots) - slots
+    values, sizes = np.zeros((2, int(slots.sum())), np.int64)
+
+    def put_values(at: np.ndarray, symbols: np.ndarray, size: int) -> None:
+        lengths, codes = put_code(out, np.bincount(symbols, minlength=size))
+        values[at], sizes[at] = codes[symbols], lengths[symbols]
+
+    of_copy, of_literal = first[best.copy], first[best.literal]
+    for g in range(n_groups):
+        rows, copied, literals = (slice(None),) * 3 if own is None else (np.flatnonzero(own[x] == g) for x in (slice(None), best.copy, best.literal))
+        put_values(first[rows], best.green[rows], best.alphabet)
+        for k in range(3):
+            if best.others is None:
+                put_one(out, (0, 0, 255)[k])
+            else:
+                put_values(of_literal[literals] + k + 1, best.others[literals, k], 256)
+        put_values(of_copy[copied] + 1, best.distance[copied], DISTANCE_CODES)
+    values[of_copy] |= best.run_rest << sizes[of_copy]
+    sizes[of_copy] += best.run_size
+    values[of_copy + 2], sizes[of_copy + 2] = best.far_rest, best.far_size
+    out.put_all(values, sizes)
+
+
+# -- choosing transforms -------------------------------------------------------------------
+
+
+def expected(parts: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """What a mode expects of each pixel below the first line, by channel (the first column's is not used)."""
+    left, top, right, corner = parts[width - 1 : -1], parts[:-width], parts[1 : len(parts) - width + 1], np.concatenate([parts[:1], parts[: -width - 1]])
+    if mode == 0:
+        return np.broadcast_to(np.array([255, 0, 0, 0] if parts.shape[1] == 4 else [0], parts.dtype), top.shape)
+    if mode < 5:
+        return (left, top, right, corner)[mode - 1]
+    if mode == 5:
+        return ((left + right >> 1) + top) >> 1
+    if mode < 10:
+        a, b = ((left, corner), (left, top), (corner, top), (top, right))[mode - 6]
+        return a + b >> 1
+    if mode == 10:
+        return (left + corner >> 1) + (top + right >> 1) >> 1
+    if mode == 11:
+        return np.where((abs(top - corner).sum(-1) < abs(left - corner).sum(-1))[:, None], left, top)
+    if mode == 12:
+        return np.clip(left + top - corner, 0, 255)
+    mean = left + top >> 1
+    over = mean - corner
+    return np.clip(mean + (over + (over < 0) >> 1), 0, 255)
+
+
+def total_size(differences: np.ndarray) -> int:
+    """How far differences of bytes are from 0 together."""
+    return int(np.abs(differences.view(np.int8)).view(np.uint8).sum())
+
+
+def predict(pixels: np.ndarray, width: int) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """The size of blocks, the best mode of each and the differences; None where these take more bits."""
+    n, height = len(pixels), len(pixels) // width
+    if height < 2:
+        return None
+    one = green_only(pixels)
+    parts = ((pixels >> 8)[:, None] if one else channels(pixels)).astype(np.uint8)
+    depth = parts.shape[1]
+
+    def whole(x: np.ndarray) -> float:
+        return float(sum(bits_of(c) + HEAD_BITS * np.count_nonzero(c) for c in (np.bincount(x[:, k], minlength=256) for k in range(depth))))
+
+    # where the pixel before and the one above differ about as much as pixels do from their mean, what is made of these is no better
+    about = total_size(parts - (parts.sum(0) // n).astype(np.uint8)) / n
+    if min(total_size(parts[k:] - parts[:-k]) / (n - k) for k in (1, width)) > 0.7 * about:
+        return None
+    plain = whole(parts)
+    if min(whole(parts[k:] - parts[:-k]) for k in (1, width)) > 1.1 * plain:
+        return None
+    parts = parts.astype(np.int16)
+    block = 4
+    while -(-height >> block) * -(-width >> block) > max(1, n >> 12) and block < 9:
+        block += 1
+    across = -(-width >> block)
+    at = np.arange(n)
+    of_pixel = (at // width >> block) * across + (at % width >> block)
+    blocks = int(of_pixel[-1]) + 1
+    rest = np.empty((14, n, depth), np.uint8)
+    rest[:, 0] = parts[0] - ([0] if one else [255, 0, 0, 0]) & 255
+    rest[:, 1:width] = np.diff(parts[:width], axis=0) & 255
+    bits = np.empty((14, blocks))
+    base = (of_pixel[:, None] * depth + np.arange(depth)) * 256
+    for mode in range(14):
+        rest[mode, width:] = parts[width:] - expected(parts, width, mode) & 255
+        rest[mode, width::width] = parts[width::width] - parts[:-width:width] & 255
+        bits[mode] = bits_of(np.bincount((base + rest[mode]).ravel(), minlength=blocks * depth * 256).reshape(blocks, depth, 256)).sum(-1)
+    modes = bits.argmin(0)
+    found = rest[modes[of_pixel], at]
+    if whole(found) + 4 * blocks >= plain:
+        return None
+    found = found.astype(np.int64)
+    return block, modes, 0xFF000000 | found[:, 0] << 8 if one else joined(found)
+
+
+def cross_colour(pixels: np.ndarray, width: int) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """The size of blocks, factors that take green from red, and green and red from blue, and what is left; None where no channel gets simpler."""
+    block = 5
+    across = -(-width >> block)
+    at = np.arange(len(pixels))
+    of_pixel = (at // width >> block) * across + (at % width >> block)
+    p = channels(pixels)
+    red, green, blue = (signed(p[:, k]) for k in (1, 2, 3))
+
+    def factor(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both, square = (np.bincount(of_pixel, a * x) for x in (b, a))
+        return np.clip(np.round(32 * both / np.maximum(square, 1)), -128, 127).astype(np.int64)
+
+    to_red, to_blue = factor(green, red), factor(green, blue)
+    new_red = red - (to_red[of_pixel] * green >> 5)
+    new_blue = blue - (to_blue[of_pixel] * green >> 5)
+    from_red = factor(red, signed(new_blue & 255))
+    new_blue = new_blue - (from_red[of_pixel] * red >> 5)
+    out = p.copy()
+    out[:, 1], out[:, 3] = new_red & 255, new_blue & 255
+    bits = lambda x: float(sum(bits_of(np.bincount(x[:, k], minlength=256)) for k in (1, 3)))
+    if bits(out) + 24 * len(to_red) >= bits(p):
+        return None
+    return block, joined(np.stack([np.full(len(to_red), 255), from_red, to_blue, to_red], -1)), joined(out)
+
+
+def palette_of(pixels: np.ndarray, width: int) -> tuple[np.ndarray, int, np.ndarray] | None:
+    """Up to 256 colours, the shift of the packed width, and the packed picture."""
+    colours, index = np.unique(pixels, return_inverse=True)
+    if len(colours) > 256:
+        return None
+    shift = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    index = index.reshape(-1, width)
+    packed = np.zeros((len(index), -(-width >> shift)), np.int64)
+    for k in range(1 << shift):
+        part = index[:, k :: 1 << shift]
+        packed[:, : part.shape[1]] |= part << k * (8 >> shift)
+    return colours, shift, 0xFF000000 | packed.ravel() << 8
+
+
+def _written(pixels: np.ndarray, width: int, height: int, grey: bool, transforms: str) -> bytes | None:
+    """A picture's file by transforms: palette, green, predictor, cross-colour (p, g, d, c); None where one is of no use."""
+    out = BitList()
+    out.put(width - 1, 14)
+    out.put(height - 1, 14)
+    out.put(int(not grey and bool((pixels >> 24 != 255).any())), 1)
+    out.put(0, 3)
+    now = width
+    for kind in transforms:
+        if kind == "p":
+            if (found := palette_of(pixels, width)) is None:
+                return None
+            colours, shift, pixels = found
+            out.put(1 | 3 << 1 | len(colours) - 1 << 3, 11)
+            put_pixels(out, joined(np.diff(channels(colours), axis=0, prepend=0)), len(colours), False)
+            now = -(-width >> shift)
+        elif kind == "g":
+            out.put(1 | 2 << 1, 3)
+            g = pixels >> 8 & 255
+            pixels = pixels & 0xFF00FF00 if grey else pixels & 0xFF00FF00 | ((pixels >> 16) - g & 255) << 16 | (pixels - g & 255)
+        else:
+            found = predict(pixels, now) if kind == "d" else cross_colour(pixels, now)
+            if found is None:
+                return None
+            block, data, pixels = found
+            out.put(1 | (0 if kind == "d" else 1) << 1 | block - 2 << 3, 6)
+            put_pixels(out, 0xFF000000 | data << 8 if kind == "d" else data, -(-now >> block), False)
+    out.put(0, 1)
+    put_pixels(out, pixels, now, True)
+    body = b"\x2f" + out.bytes()
+    even = body + b"\0" * (len(body) & 1)
+    return b"RIFF" + (12 + len(even)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + even
+
+
+def encode(pixels: np.ndarray, width: int) -> bytes:
+    """ARGB values as one lossless picture, by those transforms that make it shortest."""
+    green = pixels >> 8 & 255
+    if (pixels == (0xFF000000 | green * 0x10101)).all():
+        return _shortest_grey(green, width)
+    return min((x for way in ("", "g", "c", "d", "gd", "dc", "gdc", "p") if (x := _written(pixels, width, len(pixels) // width, False, way)) is not None), key=len)
+
+
+def _shortest_grey(green: np.ndarray, width: int) -> bytes:
+    """A grey picture; red and blue are green, so nothing is left of them for cross-colour."""
+    few = np.count_nonzero(np.bincount(green, minlength=256)) <= 16
+    pixels = 0xFF000000 | green * 0x10101
+    return min((x for way in (("g", "gd", "p") if few else ("g", "gd")) if (x := _written(pixels, width, len(green) // width, True, way)) is not None), key=len)
 
 
 def encode_grey(samples: bytes) -> bytes:
@@ -454,29 +1066,7 @@ def encode_grey(samples: bytes) -> bytes:
 
 
 def _grey_picture(samples: bytes) -> bytes:
-    x = np.frombuffer(samples, np.uint8)
-    counts = np.bincount(x, minlength=256)
-    lengths, codes, head = min(grey_codes(), key=lambda c: int(counts @ c[0]))
-    start = BitList()
-    start.put(WIDTH - 1, 14)
-    start.put(len(x) // WIDTH - 1, 14)
-    start.put(0, 4)
-    start.put(head.value, head.size)
-    n = lengths[x]
-    ends = np.cumsum(n)
-    at = ends - n + (start.size & 31)
-    word = at >> 5
-    value = codes[x].astype(np.uint64) << (at & 31).astype(np.uint64)
-    first = np.flatnonzero(np.diff(word, prepend=-1))  # codes are shorter than words: each word has a first one
-    words = np.zeros(int(word[-1]) + 2, np.uint32)
-    words[:-1] = (np.bitwise_or.reduceat(value, first) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    words[1:] |= (np.bitwise_or.reduceat(value >> np.uint64(32), first)).astype(np.uint32)
-    whole = start.size >> 5
-    words[0] |= np.uint32(start.value >> 32 * whole)
-    body = (start.value & (1 << 32 * whole) - 1).to_bytes(4 * whole, "little") + words.astype("<u4").tobytes()
-    body = b"\x2f" + body[: (start.size + int(ends[-1]) + 7) // 8]
-    even = body + b"\0" * (len(body) & 1)
-    return b"RIFF" + (12 + len(even)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + even
+    return _shortest_grey(np.frombuffer(samples, np.uint8).astype(np.int64), WIDTH)
 
 
 def pictures(stored: bytes) -> Iterator[bytes]:
@@ -500,14 +1090,18 @@ def payload_of(text: bytes) -> bytes:
     return text + b" " * (-len(text) % WIDTH if text else WIDTH)
 
 
+LEVELS = np.arange(256)
+LEVELS_SQUARED = LEVELS * LEVELS
+
+
 def features(samples: bytes) -> str:
     """Mean, deviation and entropy of the samples, as a media column's feature."""
     n = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
-    total, value = int(n.sum()), np.arange(256)
-    mean = int((n * value).sum()) / total
-    spread = max(0.0, int((n * value * value).sum()) / total - mean * mean) ** 0.5
+    total = len(samples)
+    mean = int(n @ LEVELS) / total
+    spread = max(0.0, int(n @ LEVELS_SQUARED) / total - mean * mean) ** 0.5
     p = n[n > 0] / total
-    return f"mean={mean:.3f};deviation={spread:.3f};entropy={float(-(p * np.log2(p)).sum()):.3f};levels={int((n > 0).sum())}"
+    return f"mean={mean:.3f};deviation={spread:.3f};entropy={float(-(p * np.log2(p)).sum()):.3f};levels={len(p)}"
 
 
 def media(docs: DataFrame) -> DataFrame:

@@ -277,6 +277,90 @@ def test_grey_round_trip():
     assert len(list(media.pictures(stored))) == 2 and media.decode_grey(stored) == long
 
 
+def steps(monkeypatch, stored):
+    """What the reader meets in stored pictures."""
+    met, read = set(), media.read_group
+
+    def group(bits, cache_bits):
+        out = read(bits, cache_bits)
+        symbols = out[0].entries >> 4
+        met.update(name for name, there in (("cache", (symbols >= 280).any()), ("copies", ((symbols >= 256) & (symbols < 280)).any())) if there)
+        met.add(("code", out[0].entries.tobytes()))
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(media, "read_group", group)
+        for name in ("undo_predictor", "undo_cross_colour", "undo_subtract_green", "undo_palette"):
+            m.setattr(media, name, lambda *a, f=getattr(media, name), name=name: met.add(name[5:]) or f(*a))
+        pixels = np.concatenate([media.decode(x)[2] for x in media.pictures(stored)])
+    return met, pixels
+
+
+def entropy_bytes(x):
+    return sum(-n * np.log2(n / len(x)) for n in Counter(x).values()) / 8
+
+
+def test_grey_writer_takes_each_step(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, rng.integers(3, 9), np.uint8)) for _ in range(80)]
+    prose = b" ".join(words[k] for k in rng.integers(0, 80, 3000))
+    base64 = rng.choice(np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8), 20000).tobytes()
+    slope = (np.cumsum(rng.integers(-1, 2, (64, 192)), 1) + np.arange(64)[:, None] * 3 & 255).astype(np.uint8).tobytes()
+    again = np.concatenate([np.tile(rng.integers(0, 256, 2, np.uint8), 6)[rng.permutation(12)] for _ in range(1600)]).tobytes()
+    cases = [
+        (media.payload_of(prose), {"copies"}),
+        (rng.choice(np.frombuffer(b"ab", np.uint8), 192 * 20, p=[0.9, 0.1]).tobytes(), {"palette"}),
+        (rng.choice(np.frombuffer(b"acgtn\n", np.uint8), 192 * 20, p=[0.7, 0.1, 0.1, 0.04, 0.03, 0.03]).tobytes(), {"palette"}),
+        (slope, {"predictor"}),
+        (again, {"cache"}),
+    ]
+    for x, expected in cases:
+        stored = media.encode_grey(x)
+        met, pixels = steps(monkeypatch, stored)
+        assert expected <= met and (pixels & 255).astype(np.uint8).tobytes() == x
+    assert len(media.encode_grey(cases[0][0])) < 0.8 * entropy_bytes(cases[0][0])
+    # codes are a picture's own: no more than the entropy and a head
+    x = media.payload_of(base64)
+    assert len(media.encode_grey(x)) < 1.01 * entropy_bytes(x) + 200
+    # and of parts of a picture
+    x = media.payload_of(base64 + bytes(rng.integers(200, 240, 20000, np.uint8)))
+    met, pixels = steps(monkeypatch, media.encode_grey(x))
+    assert (pixels & 255).astype(np.uint8).tobytes() == x and len(media.encode_grey(x)) < 0.93 * entropy_bytes(x)
+
+
+@pytest.mark.parametrize("kind", ["noise", "few", "photo", "alpha", "one", "many"])
+def test_colour_round_trip(monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    width, height = 67, 41
+    n = width * height
+    green = np.cumsum(rng.integers(-2, 3, (height, width)), 1).ravel() + 128
+    picture = {
+        "noise": lambda: np.array(argb(rng, n)),
+        "few": lambda: np.array(argb(rng, n, True)),
+        "photo": lambda: media.joined(np.stack([np.full(n, 255), (green - 128) // 2 + rng.integers(0, 2, n), green, 90 - (green - 128) // 2], -1)),
+        "alpha": lambda: media.joined(np.stack([rng.integers(0, 4, n) * 80, np.zeros(n), np.zeros(n), np.zeros(n)], -1)),
+        "one": lambda: np.full(n, 0x80102030),
+        "many": lambda: np.array(argb(rng, 300))[np.abs(np.cumsum(rng.integers(-3, 4, n))) % 300],
+    }[kind]()
+    stored = media.encode(picture, width)
+    met, pixels = steps(monkeypatch, stored)
+    assert (pixels == picture).all() and media.decode(stored)[:2] == (width, height)
+    if kind == "photo":
+        assert {"cross_colour", "predictor"} & met and len(stored) < n
+
+
+def test_odd_code_counts():
+    for counts in ([0] * 256 + [5] + [0] * 23, [0] * 280, [3] + [0] * 279, [0] * 7 + [1, 0, 4] + [0] * 270, [1] * 280, (1.6 ** np.arange(40)).astype(np.int64).tolist() + [0] * 240, [9] + [0] * 278 + [1]):
+        counts = np.array(counts)
+        out = media.BitList()
+        lengths, codes = media.put_code(out, counts)
+        code = media.read_code(media.Bits(out.bytes() + bytes(8)), 280)
+        for s in np.flatnonzero(counts).tolist():
+            e = int(code.entries[codes[s] & code.mask])
+            assert (e >> 4, e & 15) == (s, lengths[s])
+        assert lengths.max() <= 15
+
+
 @pytest.mark.parametrize("which", ["odd", "none", "documents", "clash"])
 def test_media_query(request, which):
     docs = request.getfixturevalue(which)
