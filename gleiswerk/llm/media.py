@@ -23,7 +23,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import groupby
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -66,13 +66,21 @@ for _k in range(15):
 _REVERSED = REVERSED.tolist()
 
 
+@lru_cache(16)
+def reversed_bits(n: int) -> np.ndarray:
+    """Each n bits in reverse."""
+    return REVERSED[: 1 << n] >> 15 - n
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The codes of canonical lengths, first bit lowest."""
     codes = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    used = used[np.argsort(lengths[used], kind="stable")]
+    used = lengths.nonzero()[0]
     n = lengths[used]
-    before = np.cumsum(1 << 15 - n) - (1 << 15 - n)
+    order = n.argsort(kind="stable")
+    used, n = used[order], n[order]
+    share = 1 << 15 - n
+    before = share.cumsum() - share
     codes[used] = REVERSED[before & (1 << 15) - 1]
     return codes
 
@@ -80,11 +88,9 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 def short_codes(lengths: list[int]) -> list[int]:
     """``canonical`` of the few lengths of up to 7 bits that lengths are stored by."""
     codes, at = [0] * len(lengths), 0
-    for n in range(1, 8):
-        for s, own in enumerate(lengths):
-            if own == n:
-                codes[s] = _REVERSED[at]
-                at += 1 << 15 - n
+    for n, k in sorted((n, k) for k, n in enumerate(lengths) if n):
+        codes[k] = _REVERSED[at]
+        at += 1 << 15 - n
     return codes
 
 
@@ -106,19 +112,20 @@ class Code:
     """A prefix code as a table over its longest code's bits: symbol * 16 + length."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         self.only = (int(used[0]) if len(used) else 0) if len(used) < 2 else None
         if self.only is not None:
-            self.mask, self.entries = 0, np.array([self.only << 4], np.int32)
+            self.mask, self.entries = 0, np.array([self.only << 4])
             return
-        used = used[np.argsort(lengths[used], kind="stable")]
         n = lengths[used]
+        order = n.argsort(kind="stable")
+        used, n = used[order], n[order]
         most = int(n[-1])
         share = 1 << most - n
         if int(share.sum()) != 1 << most:
             raise ValueError("the prefix code is not complete")
         self.mask = (1 << most) - 1
-        self.entries = np.repeat((used << 4 | n).astype(np.int32), share)[REVERSED[: 1 << most] >> 15 - most]
+        self.entries = (used << 4 | n).repeat(share).take(reversed_bits(most))
 
     @cached_property
     def table(self) -> list[int]:
@@ -192,6 +199,11 @@ def near_distances(width: int) -> list[int]:
     return [0, *(max(1, x + y * width) for x, y in NEAR)]
 
 
+@lru_cache(64)
+def near_array(width: int) -> np.ndarray:
+    return np.array(near_distances(width))
+
+
 # -- pictures of codes --------------------------------------------------------------
 
 
@@ -202,45 +214,95 @@ def bit_windows(data: bytes) -> np.ndarray:
     return (words[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).ravel()
 
 
+#: Bytes whose bits are looked up at once, and the bits beyond these that a symbol may end in.
+READ_BYTES, REACH = 1 << 16, 64
+_EIGHT = np.arange(8)
+_COPY = 32
+
+
+def symbols_in(data: bytes, size: int, at: int, green: Code, distance: Code) -> tuple[np.ndarray, ...]:
+    """The symbols of one channel that begin from bit ``at`` on in ``size`` bytes: these and where each ends; which of them are copies, and the lengths and distance values of those."""
+    words = np.ndarray((size + REACH // 8,), "<u4", data[: size + REACH // 8 + 3].ljust(size + REACH // 8 + 3, b"\0"), 0, (1,)).astype(np.int64)
+    index = (words[:size, None] >> _EIGHT).ravel()
+    index &= green.mask
+    # each bit is read as if a symbol began there; those are kept that follow from the first
+    symbols = green.entries >> 4
+    sizes = green.entries & 15
+    long = (symbols >= LITERALS).nonzero()[0]
+    sizes[long] += _EXTRA[symbols[long] - LITERALS] + _COPY
+    sizes = sizes.astype(np.uint8).take(index)
+    end = 8 * size
+    ends = np.arange(end + REACH)
+    ends[:end] += sizes
+    copies = (sizes >= _COPY).nonzero()[0]
+    p = ends.take(copies) - _COPY
+    far = (words.take(p >> 3) >> (p & 7)) & distance.mask
+    ends[copies] = p + ((distance.entries & 15) + _EXTRA[distance.entries >> 4]).take(far)
+    twice = ends.take(ends)
+    steps = memoryview(twice.take(twice))
+    found: list[int] = []
+    add = found.append
+    while at < end:
+        add(at)
+        at = steps[at]
+    four = np.empty((len(found), 4), np.int64)
+    four[:, 0] = found
+    four[:, 2] = twice.take(four[:, 0])
+    four[:, 1::2] = ends.take(four[:, ::2])
+    own = four.ravel()
+    own = own[: own.searchsorted(end)]
+    entries = green.entries.take(index.take(own))
+    symbols = entries >> 4
+    which = (symbols >= LITERALS).nonzero()[0]
+    code = symbols[which] - LITERALS
+    p = own[which] + (entries[which] & 15)
+    more = _EXTRA[code]
+    runs = _FIRST[code] + ((words.take(p >> 3) >> (p & 7)) & (1 << more) - 1)
+    p += more
+    far = distance.entries.take((words.take(p >> 3) >> (p & 7)) & distance.mask)
+    p += far & 15
+    far >>= 4
+    fars = _FIRST[far] + ((words.take(p >> 3) >> (p & 7)) & (1 << _EXTRA[far]) - 1)
+    return symbols, ends.take(own), which, runs, fars
+
+
 def read_green(bits: Bits, green: Code, distance: Code, width: int, n: int) -> np.ndarray:
     """n green values, of a picture whose other channels take no bits and which has no colour cache."""
-    base = bits.at >> 3
-    data = bits.data[base : base + 9 * n + 16]
-    windows = memoryview(bit_windows(data))
-    table, mask, far_table, far_mask = green.table, green.mask, distance.table, distance.mask
-    near = near_distances(width)
-    literals, own, steps = LITERALS << 4, len(NEAR), STEPS
-    p = bits.at & 7
-    out = bytearray()
-    add = out.append
-    try:
-        while len(out) < n:
-            e = table[windows[p] & mask]
-            p += e & 15
-            if e < literals:
-                add(e >> 4)
-                continue
-            k, run, rest = steps[(e >> 4) - 256]
-            if k:
-                run += windows[p] & rest
-                p += k
-            e = far_table[windows[p] & far_mask]
-            p += e & 15
-            k, far, rest = steps[e >> 4]
-            if k:
-                far += (windows[p] if k < 17 else windows[p] | windows[p + 16] << 16) & rest
-                p += k
-            far = near[far] if far <= own else far - own
-            first = len(out) - far
-            if first < 0:
+    filled, parts = 0, []
+    while filled < n:
+        base, left = bits.at >> 3, n - filled
+        size = min(READ_BYTES, 9 * left + 1, len(bits.data) - base)  # a pixel or copy has less than 9 bytes
+        if size <= 0:
+            raise ValueError("the picture ends early")
+        symbols, ends, copies, runs, fars = symbols_in(bits.data[base : base + size + REACH], size, bits.at & 7, green, distance)
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[copies] = runs
+        after = sizes.cumsum()
+        last = int(after.searchsorted(left))
+        if last < len(after):
+            if after[last] > left:
                 raise ValueError("a reference leaves the picture")
-            out += out[first : first + run] if far >= run else (out[first:] * (run // far + 1))[:run]
-    except IndexError:
-        p = 8 * len(data) + 1
-    if len(out) > n or p > 8 * len(data):
+            symbols, sizes = symbols[: last + 1], sizes[: last + 1]
+            copies = copies[: copies.searchsorted(last, "right")]
+            fars = fars[: len(copies)]
+        last = len(symbols) - 1
+        filled += int(after[last])
+        bits.at = 8 * base + int(ends[last])
+        back = np.zeros(len(symbols), np.int64)
+        back[copies] = np.where(fars > len(NEAR), fars - len(NEAR), near_array(width)[np.minimum(fars, len(NEAR))])
+        parts.append((symbols.repeat(sizes), back.repeat(sizes)))
+    if bits.at > 8 * len(bits.data):
         raise ValueError("the picture ends early")
-    bits.at = base * 8 + p
-    return np.frombuffer(out, np.uint8).astype(np.int64)
+    values, back = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
+    # each pixel comes from one of a literal, through any number of copies
+    source = np.arange(n) - back
+    if source.min() < 0:
+        raise ValueError("a reference leaves the picture")
+    while True:
+        further = source.take(source)
+        if (further == source).all():
+            return values.take(source).astype(np.int64)
+        source = further
 
 
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -250,8 +312,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if main and bits.read(1):
         block = bits.read(3) + 2
         across = -(-width >> block)
-        of_block = ((read_pixels(bits, across, -(-height >> block), False) >> 8) & 0xFFFF).tolist()
-        n_groups = max(of_block) + 1
+        of_block = read_pixels(bits, across, -(-height >> block), False) >> 8 & 0xFFFF
+        n_groups = int(of_block.max()) + 1
     groups = [read_group(bits, cache_bits) for _ in range(n_groups)]
     if n_groups == 1 and not cache_bits and None not in [c.only for c in groups[0][1:4]]:
         green, red, blue, alpha, distance = groups[0]
@@ -271,10 +333,12 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     stored = 0
     last = None
     left = n
+    if of_block is not None:
+        lines = of_block.astype(np.uint16).reshape(-1, across).repeat(1 << block, 1)[:, :width]
+        of_pixel = memoryview(lines.repeat(1 << block, 0)[:height].ravel())
     while left > 0:
         if of_block is not None or last is None:
-            at = n - left
-            group = groups[of_block[(at // width >> block) * across + (at % width >> block)] if of_block is not None else 0]
+            group = groups[of_pixel[n - left] if of_block is not None else 0]
             if group is not last:
                 last = group
                 green, red, blue, alpha, distance = ((c.table, c.mask) for c in group)
@@ -442,7 +506,7 @@ def green_only(pixels: np.ndarray) -> bool:
 
 def undo_subtract_green(pixels: np.ndarray) -> np.ndarray:
     if green_only(pixels):
-        return pixels | (pixels & 0xFF00) >> 8 | (pixels & 0xFF00) << 8
+        return (pixels >> 8 & 255) * 0x10101 | 0xFF000000
     g = pixels >> 8 & 255
     return pixels & 0xFF00FF00 | ((pixels >> 16) + g & 255) << 16 | (pixels + g & 255)
 
@@ -506,18 +570,33 @@ class BitList:
         self.values, self.sizes = [], []
 
     def bytes(self) -> bytes:
-        self.put_all(np.zeros(1, np.int64), np.ones(1, np.int64))  # words[-1] is there whatever came before
-        values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        ends = np.cumsum(sizes)
-        at = ends - sizes
-        word = at >> 5
-        value = values.astype(np.uint64) << (at & 31).astype(np.uint64)
-        first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])  # values are shorter than words: each word has a first one
-        either = np.bitwise_or.reduceat(value, first)
-        words = np.zeros(int(word[-1]) + 2, np.uint32)
-        words[:-1] = (either & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        words[1:] |= (either >> np.uint64(32)).astype(np.uint32)
-        return words.astype("<u4").tobytes()[: (int(ends[-1]) + 6) // 8]
+        return packed([self])[0]
+
+
+def packed(lists: list[BitList]) -> list[bytes]:
+    """The bytes of each list."""
+    none = np.zeros(0, np.int64)
+    for x in lists:
+        x.put_all(none, none)
+    values, sizes = (np.concatenate([part[k] for x in lists for part in x.parts]) for k in (0, 1))
+    counts = np.array([sum(len(part[0]) for part in x.parts) for x in lists])
+    at = np.cumsum(sizes) - sizes
+    begin = at[np.cumsum(counts) - counts]
+    bits = np.diff(begin, append=at[-1] + sizes[-1])
+    n_words = bits + 31 >> 5
+    first_word = np.cumsum(n_words) - n_words
+    at += np.repeat(32 * first_word - begin, counts)  # each list begins with a word
+    word = at >> 5
+    at &= 31
+    values <<= at  # values of up to 31 bits reach into the next word
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    either = np.bitwise_or.reduceat(values, first)
+    word = word[first]
+    words = np.zeros(int(n_words.sum()) + 2, np.uint32)
+    words[word] = either & 0xFFFFFFFF
+    words[word + 1] |= (either >> 32).astype(np.uint32)
+    data = words.astype("<u4").tobytes()
+    return [data[i : i + n] for i, n in zip((4 * first_word).tolist(), (bits + 7 >> 3).tolist(), strict=True)]
 
 
 _LOGS = np.arange(1 << 12) * np.log2(np.maximum(np.arange(1 << 12), 1))
@@ -582,7 +661,7 @@ def put_one(out: BitList, symbol: int) -> None:
 
 def put_code(out: BitList, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes the best prefix code of symbols so frequent; its lengths and codes."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     lengths = np.zeros(len(counts), np.int64)
     if not len(used) or len(used) == 1 and used[0] < 256:
         put_one(out, int(used[0]) if len(used) else 0)
@@ -598,8 +677,13 @@ def put_code(out: BitList, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # lengths in a row: 16 repeats the last one, 17 and 18 are zeros; zeros at the end are left out
     tokens: list[int] = []
     rests: list[int] = []  # what follows a token
-    for n, same in groupby(lengths[: int(used[-1]) + 1].tolist()):
-        size = len(list(same))
+    own = lengths[: int(used[-1]) + 1]
+    starts = [0, *((own[1:] != own[:-1]).nonzero()[0] + 1).tolist(), len(own)]
+    for n, size in zip(own[starts[:-1]].tolist(), map(sub, starts[1:], starts[:-1]), strict=True):
+        if size == 1:
+            tokens.append(n)
+            rests.append(0)
+            continue
         if n:
             tokens.append(n)
             rests.append(0)
@@ -658,36 +742,53 @@ def distance_values(far: np.ndarray, width: int) -> np.ndarray:
 
 #: Pixels of a copy that are compared at once.
 AT_ONCE = 16
-#: Bits that a copy takes, about, by the whole logarithm of its distance.
-COPY_BITS = np.array([7.5 + max(0, k - 3) for k in range(32)])
+#: Parts of a bit in which costs are counted: whole numbers add up alike in any order.
+PARTS = 1 << 10
+#: What a copy takes, about, by the whole logarithm of its distance.
+COPY_COST = np.array([int((7.5 + max(0, k - 3)) * PARTS) for k in range(32)])
 #: What the head of a code of distances takes, about.
-FAR_HEAD_BITS = 100
-RUN_BITS = np.array([0, *(k.bit_length() - 1 for k in range(1, AT_ONCE + 1))])
+FAR_HEAD_COST = 100 * PARTS
+RUN_COST = np.array([0, *((k.bit_length() - 1) * PARTS for k in range(1, AT_ONCE + 1))])
 LONGEST, FARTHEST = 4096, (1 << 20) - len(NEAR)
+#: Pictures and pixels that are looked through together; a larger picture is looked through alone.
+TOGETHER, PIXELS_TOGETHER = 1 << 7, 1 << 15
+
 
+def literal_costs(counts: np.ndarray) -> np.ndarray:
+    """What each symbol takes, about, of those so frequent, by the last axis."""
+    return np.rint(PARTS * np.log2(counts.sum(-1, keepdims=True) / np.maximum(counts, 1))).astype(np.int64)
 
-def find_copies(pixels: np.ndarray, exact: bool, literal_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where pixels repeat earlier ones so that a copy takes fewer bits: starts, lengths and distances.
 
-    Each pixel is compared with the nearest earlier place that has the same five
-    pixels; a copy begins one pixel later if that saves more. ``exact``: only green
-    differs.
+def find_copies(near: np.ndarray, colours: np.ndarray | None, cost: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pixels repeat earlier ones of their picture so that a copy takes less than literals do: starts, lengths and distances.
+
+    ``near``: bytes that are alike where pixels are, the pixels themselves where there are no ``colours``. ``bounds``
+    of several pictures are those of TOGETHER and PIXELS_TOGETHER. Each pixel is compared with the nearest earlier
+    place that has the same five pixels; a copy begins one pixel later if that saves more.
     """
-    n = len(pixels)
+    n, several = len(near), len(bounds) - 2
     none = np.zeros(0, np.int64)
     if n < 8:
         return none, none, none
-    near = (pixels >> 8).astype(np.uint8) if exact else mix(pixels.astype(np.uint64)).astype(np.uint8)
     words = np.ndarray((n + 8,), "<u8", near.tobytes() + bytes(AT_ONCE), 0, (1,)).copy()
-    size = np.uint64(n.bit_length())
-    order = words[: n - 4] << np.uint64(max(24, n.bit_length())) >> np.uint64(max(24, n.bit_length())) << size
+    size = n.bit_length()
+    order = words[: n - 4] << np.uint64(max(24, size))
+    order >>= np.uint64(max(24, size) - size)
     order |= np.arange(n - 4, dtype=np.uint64)
+    if several:  # the picture goes before the pixels
+        sizes = np.diff(bounds)
+        picture = np.repeat(np.arange(several + 1), sizes)
+        inside = np.ones(n, bool)
+        inside[(bounds[1:, None] - np.arange(1, 5)).ravel()] = False
+        order = order[inside[: n - 4]]
+        order |= np.repeat(np.arange(several + 1, dtype=np.uint64) << np.uint64(40 + size), sizes - 4)
     order.sort()
-    place = (order & np.uint64((1 << n.bit_length()) - 1)).view(np.int64)
-    order >>= size
+    place = (order & np.uint64((1 << size) - 1)).view(np.int64)
+    order >>= np.uint64(size)
     same = np.flatnonzero(order[1:] == order[:-1])
     at, source = place[same + 1], place[same]
     far = at - source
+    left = (bounds[1:][picture[at]] if several else n) - at
     differ = words[at] ^ words[source]
     run = floor_log2(differ & -differ) >> 3
     long = np.flatnonzero(run < 0)
@@ -695,46 +796,53 @@ def find_copies(pixels: np.ndarray, exact: bool, literal_bits: np.ndarray) -> tu
         differ = words[at[long] + 8] ^ words[source[long] + 8]
         more = floor_log2(differ & -differ) >> 3
         more[more < 0] = 8
-        run[long] = np.minimum(8 + more, n - at[long])
-    run = np.minimum(run, n - at)
-    total = np.concatenate([[0.0], np.cumsum(literal_bits)])
-    saved = total[at + run] - total[at] - COPY_BITS[floor_log2(far)] - RUN_BITS[run]
+        run[long] = 8 + more
+    run = np.minimum(run, left)
+    total = np.zeros(n + 1, np.int64)
+    np.cumsum(cost, out=total[1:])
+    saved = total[at + run] - total[at] - COPY_COST[floor_log2(far)] - RUN_COST[run]
     good = np.flatnonzero((saved > 0) & (far <= FARTHEST))
     if not len(good):
         return none, none, none
-    at = at[good]
-    gain, runs, fars = np.zeros(n + 1), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    gain[at], runs[at], fars[at] = saved[good], run[good], far[good]
-    following = np.full(n + 1, n)
-    following[at] = at
-    following = np.minimum.accumulate(following[::-1])[::-1]
-    # where each place leads: to the next pixel, past its copy, or (below 0) there are more pixels to compare
-    late = gain[at + 1] > gain[at]
-    to = np.zeros(n, np.int64)
-    to[at] = np.where(late, at + 1, np.where((runs[at] < AT_ONCE) & exact, following[at + runs[at]], -1))
-    raw = pixels.astype("<u4").tobytes()
-    steps, visited = memoryview(to), []
+    gain, which = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+    gain[at[good]], which[at[good]] = saved[good], good
+    begins = gain[:-1] > 0
+    begins &= gain[:-1] >= gain[1:]
+    at = np.flatnonzero(begins)
+    which = which[at]
+    run, far, left = run[which], far[which], (left[which] if several else n - at)
+    # the next that may follow each; below 0: there are more pixels to compare
+    before = np.zeros(n + 1, np.int64)
+    np.cumsum(begins, out=before[1:])
+    to = before[at + run]
+    to[(run == AT_ONCE) | (run > 2) & (colours is not None)] = -1
+    raw, unit = (near.tobytes(), 1) if colours is None else (colours.astype("<u4").tobytes(), 4)
+    steps, visited, k = memoryview(to), [], 0
     add = visited.append
-    i = int(following[0])
-    while i < n:
-        add(i)
-        step = steps[i]
+    while k < len(at):
+        add(k)
+        step = steps[k]
         if step < 0:
-            run, far, step, most = 0, int(fars[i]), AT_ONCE, min(LONGEST, n - i)
+            length, back, i, step, most = 0, unit * int(far[k]), unit * int(at[k]), AT_ONCE, min(LONGEST, int(left[k]))
             while step:
-                if run + step <= most and raw[4 * (i + run) : 4 * (i + run + step)] == raw[4 * (i + run - far) : 4 * (i + run + step - far)]:
-                    run += step
+                j = i + unit * length
+                if length + step <= most and raw[j : j + unit * step] == raw[j - back : j - back + unit * step]:
+                    length += step
                     step *= 2
                 else:
                     step //= 2
-            runs[i] = run
-            step = int(following[i + max(1, run)])
-        i = step
-    starts = np.array(visited)
-    starts = starts[(gain[starts + 1] <= gain[starts]) & (runs[starts] > 2)]
-    if gain[starts].sum() < FAR_HEAD_BITS:
+            run[k] = length
+            step = int(before[at[k] + max(1, length)])
+        k = step
+    kept = np.array(visited)
+    kept = kept[run[kept] > 2]
+    starts = at[kept]
+    if several:
+        enough = np.bincount(picture[starts], gain[starts], several + 1) >= FAR_HEAD_COST
+        kept = kept[enough[picture[starts]]]
+    elif gain[starts].sum() < FAR_HEAD_COST:
         return none, none, none
-    return starts, runs[starts], fars[starts]
+    return at[kept], run[kept], far[kept]
 
 
 def cache_hits(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -755,30 +863,18 @@ HEAD_BITS = 5.0
 class Symbols:
     """A picture as literals, copies and places in the colour cache."""
 
-    def __init__(self, green: np.ndarray, others: np.ndarray | None, width: int, copies: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        starts, lengths, distances = copies
-        n = len(green)
-        if len(starts):
-            edge = np.zeros(n + 1, np.int8)
-            edge[starts + lengths] = -1
-            edge[starts] += 1
-            kept = np.cumsum(edge[:-1], dtype=np.int8) == 0
-            kept[starts] = True
-            self.at = np.flatnonzero(kept)
-            self.copy = np.searchsorted(self.at, starts)
-            literal = np.ones(len(self.at), bool)
-            literal[self.copy] = False
-            self.literal = np.flatnonzero(literal)
-        else:
-            self.at = self.literal = np.arange(n)
-            self.copy = starts
-        self.cache_bits, self.alphabet = 0, LITERALS + LENGTH_CODES
-        # green or length; then red, blue and alpha, or the rest of a length, the distance and its rest
-        self.green = green[self.at]
-        length, self.run_size, self.run_rest = prefix(lengths)
-        self.green[self.copy] = LITERALS + length
-        self.distance, self.far_size, self.far_rest = prefix(distance_values(distances, width))
-        self.others = others if others is None or not len(starts) else others[self.at[self.literal]]
+    cache_bits, alphabet = 0, LITERALS + LENGTH_CODES
+    #: Green or length; then red, blue and alpha, or the rest of a length, the distance and its rest.
+    at: np.ndarray
+    green: np.ndarray
+    copy: np.ndarray
+    literal: np.ndarray
+    run_size: np.ndarray
+    run_rest: np.ndarray
+    distance: np.ndarray
+    far_size: np.ndarray
+    far_rest: np.ndarray
+    others: np.ndarray | None = None
 
     def cached(self, pixels: np.ndarray, cache_bits: int) -> Symbols:
         """With a colour cache, which holds the colours met last."""
@@ -805,6 +901,31 @@ class Symbols:
         return sum(float(bits_of(c)) + HEAD_BITS * np.count_nonzero(c) for c in counts) + float(self.run_size.sum() + self.far_size.sum())
 
 
+def symbols_of(green: np.ndarray, width: int, copies: tuple[np.ndarray, np.ndarray, np.ndarray], bounds: np.ndarray) -> Iterator[Symbols]:
+    """Each picture's symbols, of one channel."""
+    starts, lengths, distances = copies
+    edge = np.zeros(len(green) + 1, np.int8)
+    edge[starts + lengths] = -1
+    edge[starts] += 1
+    covered = np.cumsum(edge[:-1], dtype=np.int8)
+    covered[starts] = 0
+    at = np.flatnonzero(covered == 0)
+    copied = at.searchsorted(starts)
+    length, run_size, run_rest = prefix(lengths)
+    distance, far_size, far_rest = prefix(distance_values(distances, width))
+    symbols = green[at].astype(np.int64)
+    symbols[copied] = LITERALS + length
+    literal = np.flatnonzero(symbols < LITERALS)
+    of_at, of_copy = at.searchsorted(bounds), starts.searchsorted(bounds)
+    of_literal = of_at - of_copy
+    parts = zip(bounds.tolist(), of_at.tolist(), of_at[1:].tolist(), of_copy.tolist(), of_copy[1:].tolist(), of_literal.tolist(), of_literal[1:].tolist(), strict=False)
+    for first, a, b, c, d, e, f in parts:
+        out = Symbols()
+        out.at, out.green, out.copy, out.literal = at[a:b] - first, symbols[a:b], copied[c:d] - a, literal[e:f] - a
+        out.run_size, out.run_rest, out.distance, out.far_size, out.far_rest = (x[c:d] for x in (run_size, run_rest, distance, far_size, far_rest))
+        yield out
+
+
 def groups_of(symbols: Symbols, width: int, height: int) -> tuple[int, np.ndarray] | None:
     """The size of blocks, and the code group of each, where several groups take fewer bits than one."""
     block = 5
@@ -835,21 +956,23 @@ def groups_of(symbols: Symbols, width: int, height: int) -> tuple[int, np.ndarra
     return (block, groups) if len(sums) > 1 and several < float(bits_of(one)) + HEAD_BITS * np.count_nonzero(one) else None
 
 
-def put_pixels(out: BitList, pixels: np.ndarray, width: int, main: bool) -> None:
-    """Writes a picture of codes: with copies, a colour cache and several code groups where these take fewer bits."""
+def put_pixels(out: BitList, pixels: np.ndarray, width: int, main: bool, best: Symbols | None = None) -> None:
+    """Writes a picture of codes, whose symbols ``best`` are if they are known: with copies, a colour cache and several code groups where these take fewer bits."""
     height = len(pixels) // width
-    others = None if green_only(pixels) else channels(pixels)[:, [1, 3, 0]]
-    green = pixels >> 8 & 255
-    none = np.zeros(0, np.int64)
-    copies = (none, none, none)
-    counts = [np.bincount(x, minlength=256) for x in (green, *(() if others is None else others.T))]
-    varied = [(x, c) for x, c in zip((green, *(() if others is None else others.T)), counts, strict=True) if np.count_nonzero(c) > 1]
-    if varied:
-        copies = find_copies(pixels, others is None, sum((np.log2(len(pixels) / np.maximum(c, 1)))[x] for x, c in varied))
-    best = Symbols(green, others, width, copies)
+    if best is None:
+        others = None if green_only(pixels) else channels(pixels)[:, [1, 3, 0]]
+        green = pixels >> 8 & 255
+        all_channels = (green, *(() if others is None else others.T))
+        cost = sum(literal_costs(np.bincount(x, minlength=256))[x] for x in all_channels)
+        bounds = np.array([0, len(pixels)])
+        near = green.astype(np.uint8) if others is None else mix(pixels.astype(np.uint64)).astype(np.uint8)
+        best = next(symbols_of(green, width, find_copies(near, None if others is None else pixels, cost, bounds), bounds))
+        if others is not None:
+            best.others = others[best.at[best.literal]]
+    others = best.others
     literal = best.green[best.literal]
     # of one channel, a place in the cache is a symbol as a literal is: it takes less where colours come again soon
-    if varied and (others is not None or 8 * np.count_nonzero(literal[1:] == literal[:-1]) > len(literal)):
+    if others is not None or (8 * np.count_nonzero(literal[1:] == literal[:-1]) > len(literal) and bool((pixels != pixels[0]).any())):
         colours = int(np.count_nonzero(np.diff(np.sort(pixels)))) + 1
         uncached, cost = best, best.bits()
         for cache_bits in CACHES:
@@ -873,7 +996,7 @@ def put_pixels(out: BitList, pixels: np.ndarray, width: int, main: bool) -> None
     slots[best.copy] = 3
     if best.others is not None:
         slots[best.literal] = 4
-    first = np.cumsum(slots) - slots
+    first = slots.cumsum() - slots
     values, sizes = np.zeros((2, int(slots.sum())), np.int64)
 
     def put_values(at: np.ndarray, symbols: np.ndarray, size: int) -> None:
@@ -896,6 +1019,9 @@ def put_pixels(out: BitList, pixels: np.ndarray, width: int, main: bool) -> None
     out.put_all(values, sizes)
 
 
+LEVELS = np.arange(256)
+
+
 # -- choosing transforms -------------------------------------------------------------------
 
 
@@ -922,9 +1048,24 @@ def expected(parts: np.ndarray, width: int, mode: int) -> np.ndarray:
     return np.clip(mean + (over + (over < 0) >> 1), 0, 255)
 
 
-def total_size(differences: np.ndarray) -> int:
-    """How far differences of bytes are from 0 together."""
-    return int(np.abs(differences.view(np.int8)).view(np.uint8).sum())
+def neighbours_tell(parts: np.ndarray, width: int, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether pixels of each picture, whose values are so frequent, are nearer to the one before or above than 0.7 times as they are to their mean: what is made of those may be better than the pixels."""
+    sizes = np.diff(bounds)
+    mean = counts @ LEVELS // sizes[:, None]
+    about = (counts * np.abs(signed(LEVELS - mean[..., None]))).sum((-2, -1)) / sizes
+
+    def apart(k: int) -> np.ndarray:
+        """How far each pixel is from the one k before."""
+        far = np.zeros(parts.shape, np.uint8)
+        np.abs((parts[k:] - parts[:-k]).view(np.int8), out=far[:-k].view(np.int8))
+        far = far[:, 0] if far.shape[1] == 1 else far.sum(-1, dtype=np.int64)
+        ranges = np.stack([bounds[:-1], np.maximum(bounds[1:] - k, bounds[:-1])], 1).ravel()
+        return np.add.reduceat(far, ranges, dtype=np.int64)[::2] / np.maximum(sizes - k, 1)
+
+    out = sizes > width
+    if out.any():
+        out &= np.minimum(apart(1), apart(width)) <= 0.7 * about
+    return out
 
 
 def predict(pixels: np.ndarray, width: int) -> tuple[int, np.ndarray, np.ndarray] | None:
@@ -935,14 +1076,12 @@ def predict(pixels: np.ndarray, width: int) -> tuple[int, np.ndarray, np.ndarray
     one = green_only(pixels)
     parts = ((pixels >> 8)[:, None] if one else channels(pixels)).astype(np.uint8)
     depth = parts.shape[1]
+    if not neighbours_tell(parts, width, np.array([0, n]), np.stack([np.bincount(x, minlength=256) for x in parts.T])[None]).all():
+        return None
 
     def whole(x: np.ndarray) -> float:
         return float(sum(bits_of(c) + HEAD_BITS * np.count_nonzero(c) for c in (np.bincount(x[:, k], minlength=256) for k in range(depth))))
 
-    # where the pixel before and the one above differ about as much as pixels do from their mean, what is made of these is no better
-    about = total_size(parts - (parts.sum(0) // n).astype(np.uint8)) / n
-    if min(total_size(parts[k:] - parts[:-k]) / (n - k) for k in (1, width)) > 0.7 * about:
-        return None
     plain = whole(parts)
     if min(whole(parts[k:] - parts[:-k]) for k in (1, width)) > 1.1 * plain:
         return None
@@ -1011,13 +1150,18 @@ def palette_of(pixels: np.ndarray, width: int) -> tuple[np.ndarray, int, np.ndar
     return colours, shift, 0xFF000000 | packed.ravel() << 8
 
 
-def _written(pixels: np.ndarray, width: int, height: int, grey: bool, transforms: str) -> bytes | None:
-    """A picture's file by transforms: palette, green, predictor, cross-colour (p, g, d, c); None where one is of no use."""
+def started(width: int, height: int, alpha: bool) -> BitList:
     out = BitList()
     out.put(width - 1, 14)
     out.put(height - 1, 14)
-    out.put(int(not grey and bool((pixels >> 24 != 255).any())), 1)
+    out.put(int(alpha), 1)
     out.put(0, 3)
+    return out
+
+
+def _written(pixels: np.ndarray, width: int, grey: bool, transforms: str) -> BitList | None:
+    """A picture's bits by transforms: palette, green, predictor, cross-colour (p, g, d, c); None where one is of no use."""
+    out = started(width, len(pixels) // width, not grey and bool((pixels >> 24 != 255).any()))
     now = width
     for kind in transforms:
         if kind == "p":
@@ -1040,33 +1184,72 @@ def _written(pixels: np.ndarray, width: int, height: int, grey: bool, transforms
             put_pixels(out, 0xFF000000 | data << 8 if kind == "d" else data, -(-now >> block), False)
     out.put(0, 1)
     put_pixels(out, pixels, now, True)
-    body = b"\x2f" + out.bytes()
-    even = body + b"\0" * (len(body) & 1)
-    return b"RIFF" + (12 + len(even)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + even
+    return out
+
+
+def files(lists: list[BitList]) -> list[bytes]:
+    """The files of pictures' bits."""
+    out = []
+    for x in packed(lists):
+        body = b"\x2f" + x
+        even = body + b"\0" * (len(body) & 1)
+        out.append(b"RIFF" + (12 + len(even)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + even)
+    return out
 
 
 def encode(pixels: np.ndarray, width: int) -> bytes:
     """ARGB values as one lossless picture, by those transforms that make it shortest."""
     green = pixels >> 8 & 255
     if (pixels == (0xFF000000 | green * 0x10101)).all():
-        return _shortest_grey(green, width)
-    return min((x for way in ("", "g", "c", "d", "gd", "dc", "gdc", "p") if (x := _written(pixels, width, len(pixels) // width, False, way)) is not None), key=len)
+        return _grey_files([green.astype(np.uint8).tobytes()], width)[0]
+    return min(files([x for way in ("", "g", "c", "d", "gd", "dc", "gdc", "p") if (x := _written(pixels, width, False, way)) is not None]), key=len)
+
+
+def _grey_files(samples: list[bytes], width: int) -> list[bytes]:
+    """Grey pictures, by bounds as of ``find_copies``; red and blue are green, so nothing is left of them for cross-colour."""
+    data = np.frombuffer(b"".join(samples), np.uint8)
+    sizes = np.array([len(x) for x in samples])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    of_count = np.repeat(np.arange(len(samples)) << 8, sizes) + data
+    counts = np.bincount(of_count, minlength=len(samples) << 8).reshape(-1, 256)
+    copies = find_copies(data, None, literal_costs(counts).ravel()[of_count], bounds)
+    few = np.count_nonzero(counts, 1) <= 16
+    smooth = neighbours_tell(data[:, None], width, bounds, counts[:, None])
+    lists, of_list = [], []
+    for k, symbols in enumerate(symbols_of(data, width, copies, bounds)):
+        green = data[bounds[k] : bounds[k + 1]].astype(np.int64)
+        own = [started(width, len(green) // width, False)]
+        own[0].put(1 | 2 << 1, 4)  # less green, no further transform
+        put_pixels(own[0], 0xFF000000 | green << 8, width, True, symbols)
+        own += [x for way, may in (("gd", smooth[k]), ("p", few[k])) if may and (x := _written(0xFF000000 | green * 0x10101, width, True, way)) is not None]
+        lists += own
+        of_list += [k] * len(own)
+    out: list[bytes] = [b""] * len(samples)
+    for k, file in zip(of_list, files(lists), strict=True):
+        if not out[k] or len(file) < len(out[k]):
+            out[k] = file
+    return out
 
 
-def _shortest_grey(green: np.ndarray, width: int) -> bytes:
-    """A grey picture; red and blue are green, so nothing is left of them for cross-colour."""
-    few = np.count_nonzero(np.bincount(green, minlength=256)) <= 16
-    pixels = 0xFF000000 | green * 0x10101
-    return min((x for way in (("g", "gd", "p") if few else ("g", "gd")) if (x := _written(pixels, width, len(green) // width, True, way)) is not None), key=len)
+def encode_greys(samples: list[bytes]) -> list[bytes]:
+    """Each value's samples, a multiple of 192, as pictures 192 wide; small pictures are written together, each as it is alone."""
+    parts = [(k, x[i : i + WIDTH * MAX_HEIGHT]) for k, x in enumerate(samples) for i in range(0, len(x), WIDTH * MAX_HEIGHT)]
+    out: list[list[bytes]] = [[] for _ in samples]
+    i = 0
+    while i < len(parts):
+        j, n = i + 1, len(parts[i][1])
+        while j < len(parts) and j - i < TOGETHER and n + len(parts[j][1]) < PIXELS_TOGETHER:
+            n += len(parts[j][1])
+            j += 1
+        for (k, _), file in zip(parts[i:j], _grey_files([x for _, x in parts[i:j]], WIDTH), strict=True):
+            out[k].append(file)
+        i = j
+    return [b"".join(x) for x in out]
 
 
 def encode_grey(samples: bytes) -> bytes:
     """Samples, a multiple of 192, as pictures 192 wide."""
-    return b"".join(_grey_picture(samples[i : i + WIDTH * MAX_HEIGHT]) for i in range(0, len(samples), WIDTH * MAX_HEIGHT))
-
-
-def _grey_picture(samples: bytes) -> bytes:
-    return _shortest_grey(np.frombuffer(samples, np.uint8).astype(np.int64), WIDTH)
+    return encode_greys([samples])[0]
 
 
 def pictures(stored: bytes) -> Iterator[bytes]:
@@ -1090,7 +1273,6 @@ def payload_of(text: bytes) -> bytes:
     return text + b" " * (-len(text) % WIDTH if text else WIDTH)
 
 
-LEVELS = np.arange(256)
 LEVELS_SQUARED = LEVELS * LEVELS
 
 
@@ -1111,7 +1293,7 @@ def media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).to_pylist()]
-            yield record_batch(schema, [batch.column(0), [len(x) for x in texts], [encode_grey(payload_of(x)) for x in texts]])
+            yield record_batch(schema, [batch.column(0), [len(x) for x in texts], encode_greys([payload_of(x) for x in texts])])
 
     return text_rows(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -349,6 +350,51 @@ def test_colour_round_trip(monkeypatch, kind):
         assert {"cross_colour", "predictor"} & met and len(stored) < n
 
 
+def odd_payloads():
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), np.uint8)) for _ in range(300)]
+    out = [media.payload_of(b" ".join(words[k] for k in rng.integers(0, 300, n))) for n in (0, 1, 40, 300, 2000, 9000, 40000)]
+    out += [rng.integers(0, 256, 192 * n, np.uint8).tobytes() for n in (1, 2, 40)] + [b"\0" * 192, b"\0" * 19200, b"ab" * 960, bytes(range(192)) * 200]
+    out += [rng.choice(np.frombuffer(b"ab\n", np.uint8), 192 * 40, p=[0.9, 0.05, 0.05]).tobytes()]
+    out += [(np.cumsum(rng.integers(-1, 2, (64, 192)), 1) + np.arange(64)[:, None] * 3 & 255).astype(np.uint8).tobytes()]
+    return out + [media.payload_of(b"x" * n) for n in range(0, 2000, 77)] * 8
+
+
+def test_pictures_written_together_are_those_written_alone():
+    payloads = odd_payloads()
+    alone = [media.encode_grey(x) for x in payloads]
+    assert [media.decode_grey(x) for x in alone] == payloads
+    order = np.random.default_rng(7).permutation(len(payloads))
+    assert media.encode_greys([payloads[k] for k in order]) == [alone[k] for k in order]
+    assert media.encode_greys(payloads) == alone and media.encode_greys([]) == []
+
+
+def test_cut_pictures_raise():
+    stored = media.encode_grey(odd_payloads()[4])
+    for n in range(60, len(stored) - 2, 97):
+        with pytest.raises(ValueError):
+            media.decode(stored[:n])
+
+
+def test_writing_and_reading_take_few_steps(documents):
+    """Python's own steps are few for each byte; numpy does what each pixel and bit takes."""
+    payloads = [media.payload_of((r.text or "").encode()) for r in documents.collect()]
+    tool, lines = sys.monitoring, Counter()
+    own = media.__file__
+    tool.use_tool_id(tool.PROFILER_ID, "steps")
+    tool.register_callback(tool.PROFILER_ID, tool.events.LINE, lambda code, line: lines.update([1]) if code.co_filename == own else tool.DISABLE)
+    tool.set_events(tool.PROFILER_ID, tool.events.LINE)
+    try:
+        stored = [x for k in range(0, len(payloads), 50) for x in media.encode_greys(payloads[k : k + 50])]
+        assert [media.decode_grey(x) for x in stored] == payloads
+    finally:
+        tool.set_events(tool.PROFILER_ID, 0)
+        tool.register_callback(tool.PROFILER_ID, tool.events.LINE, None)
+        tool.free_tool_id(tool.PROFILER_ID)
+    total = sum(map(len, payloads))
+    assert lines[1] < 2.5 * total
+
+
 def test_odd_code_counts():
     for counts in ([0] * 256 + [5] + [0] * 23, [0] * 280, [3] + [0] * 279, [0] * 7 + [1, 0, 4] + [0] * 270, [1] * 280, (1.6 ** np.arange(40)).astype(np.int64).tolist() + [0] * 240, [9] + [0] * 278 + [1]):
         counts = np.array(counts)
