@@ -21,6 +21,7 @@ from __future__ import annotations
 import copy
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from operator import sub
@@ -138,15 +139,18 @@ def one_code(symbol: int) -> Code:
 
 
 def read_code(bits: Bits, size: int) -> Code:
-    if bits.read(1):  # one or two symbols
-        two, wide = bits.read(1), bits.read(1)
-        first = bits.read(8 if wide else 1)
-        if not two:
+    head = bits.peek(19)
+    if head & 1:  # one or two symbols
+        n = 11 if head & 4 else 4
+        first, second = head >> 3 & (1 << n - 3) - 1, head >> n & 255
+        bits.at += n + 8 if head & 2 else n
+        if not head & 2:
             return one_code(first)
         lengths = np.zeros(256, np.int64)
-        lengths[[first, bits.read(8)]] = 1
+        lengths[[first, second]] = 1
         return Code(lengths)
-    n = 4 + bits.read(4)
+    n = 4 + (head >> 1 & 15)
+    bits.at += 5
     stored = bits.read(3 * n)
     of_lengths = [0] * 19
     for k in range(n):
@@ -216,14 +220,16 @@ def bit_windows(data: bytes) -> np.ndarray:
 
 #: Bytes whose bits are looked up at once, and the bits beyond these that a symbol may end in.
 READ_BYTES, REACH = 1 << 16, 64
-_EIGHT = np.arange(8)
+_OF_BYTE = np.tile(np.arange(8), READ_BYTES)
+_BITS = np.arange(8 * READ_BYTES + REACH)
 _COPY = 32
 
 
 def symbols_in(data: bytes, size: int, at: int, green: Code, distance: Code) -> tuple[np.ndarray, ...]:
     """The symbols of one channel that begin from bit ``at`` on in ``size`` bytes: these and where each ends; which of them are copies, and the lengths and distance values of those."""
     words = np.ndarray((size + REACH // 8,), "<u4", data[: size + REACH // 8 + 3].ljust(size + REACH // 8 + 3, b"\0"), 0, (1,)).astype(np.int64)
-    index = (words[:size, None] >> _EIGHT).ravel()
+    index = words[:size].repeat(8)
+    index >>= _OF_BYTE[: 8 * size]
     index &= green.mask
     # each bit is read as if a symbol began there; those are kept that follow from the first
     symbols = green.entries >> 4
@@ -232,7 +238,7 @@ def symbols_in(data: bytes, size: int, at: int, green: Code, distance: Code) ->
     sizes[long] += _EXTRA[symbols[long] - LITERALS] + _COPY
     sizes = sizes.astype(np.uint8).take(index)
     end = 8 * size
-    ends = np.arange(end + REACH)
+    ends = _BITS[: end + REACH].copy()
     ends[:end] += sizes
     copies = (sizes >= _COPY).nonzero()[0]
     p = ends.take(copies) - _COPY
@@ -299,30 +305,81 @@ def read_green(bits: Bits, green: Code, distance: Code, width: int, n: int) -> n
     if source.min() < 0:
         raise ValueError("a reference leaves the picture")
     while True:
+        source = source.take(source)
         further = source.take(source)
         if (further == source).all():
-            return values.take(source).astype(np.int64)
+            return values.take(source)
         source = further
 
 
+def read_green_by_groups(bits: Bits, groups: list[list[Code]], of_pixel: memoryview, width: int, n: int) -> np.ndarray:
+    """As ``read_green``, of a picture of several groups of codes."""
+    base = bits.at >> 3
+    data = bits.data[base : base + 9 * n + 16]
+    windows = memoryview(bit_windows(data))
+    tables = [(g[0].table, g[0].mask, g[4].table, g[4].mask) for g in groups]
+    near, own, steps, literals = near_distances(width), len(NEAR), STEPS, LITERALS << 4
+    p, at, last = bits.at & 7, 0, -1
+    out = bytearray()
+    add = out.append
+    try:
+        while at < n:
+            group = of_pixel[at]
+            if group != last:
+                table, mask, far_table, far_mask = tables[group]
+                last = group
+            e = table[windows[p] & mask]
+            p += e & 15
+            if e < literals:
+                add(e >> 4)
+                at += 1
+                continue
+            k, run, rest = steps[(e >> 4) - 256]
+            if k:
+                run += windows[p] & rest
+                p += k
+            e = far_table[windows[p] & far_mask]
+            p += e & 15
+            k, far, rest = steps[e >> 4]
+            if k:
+                far += (windows[p] if k < 17 else windows[p] | windows[p + 16] << 16) & rest
+                p += k
+            first = at - (near[far] if far <= own else far - own)
+            at += run
+            if first < 0 or at > n:
+                raise ValueError("a reference leaves the picture")
+            far = len(out) - first
+            out += out[first : first + run] if far >= run else (out[first:] * (run // far + 1))[:run]
+    except IndexError:
+        p = 8 * len(data) + 1
+    if p > 8 * len(data):
+        raise ValueError("the picture ends early")
+    bits.at = base * 8 + p
+    return np.frombuffer(out, np.uint8).astype(np.int64)
+
+
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """ARGB values of a picture of codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
-    block, of_block, n_groups, across = 0, None, 1, 1
+    of_pixel, n_groups, n = None, 1, width * height
     if main and bits.read(1):
         block = bits.read(3) + 2
         across = -(-width >> block)
         of_block = read_pixels(bits, across, -(-height >> block), False) >> 8 & 0xFFFF
         n_groups = int(of_block.max()) + 1
+        lines = of_block.astype(np.uint16).reshape(-1, across).repeat(1 << block, 1)[:, :width]
+        of_pixel = memoryview(lines.repeat(1 << block, 0)[:height].ravel())
     groups = [read_group(bits, cache_bits) for _ in range(n_groups)]
-    if n_groups == 1 and not cache_bits and None not in [c.only for c in groups[0][1:4]]:
-        green, red, blue, alpha, distance = groups[0]
-        rest = alpha.only << 24 | red.only << 16 | blue.only
+    rests = {tuple(c.only for c in g[1:4]) for g in groups}
+    if not cache_bits and len(rests) == 1 and None not in (rest := rests.pop()):
+        rest = rest[2] << 24 | rest[0] << 16 | rest[1]
+        green, distance = groups[0][0], groups[0][4]
+        if n_groups > 1:
+            return rest | read_green_by_groups(bits, groups, of_pixel, width, n) << 8
         if green.only is None:
-            return rest | read_green(bits, green, distance, width, width * height) << 8
+            return rest | read_green(bits, green, distance, width, n) << 8
         if green.only < LITERALS:
-            return np.full(width * height, rest | green.only << 8, np.int64)
-    n = width * height
+            return np.full(n, rest | green.only << 8, np.int64)
     # a pixel or copy has less than 9 bytes
     base = bits.at >> 3
     windows = memoryview(bit_windows(bits.data[base : base + 9 * n + 16]))
@@ -333,12 +390,9 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     stored = 0
     last = None
     left = n
-    if of_block is not None:
-        lines = of_block.astype(np.uint16).reshape(-1, across).repeat(1 << block, 1)[:, :width]
-        of_pixel = memoryview(lines.repeat(1 << block, 0)[:height].ravel())
     while left > 0:
-        if of_block is not None or last is None:
-            group = groups[of_pixel[n - left] if of_block is not None else 0]
+        if of_pixel is not None or last is None:
+            group = groups[of_pixel[n - left] if of_pixel is not None else 0]
             if group is not last:
                 last = group
                 green, red, blue, alpha, distance = ((c.table, c.mask) for c in group)
@@ -589,7 +643,7 @@ def packed(lists: list[BitList]) -> list[bytes]:
     word = at >> 5
     at &= 31
     values <<= at  # values of up to 31 bits reach into the next word
-    first = np.flatnonzero(np.diff(word, prepend=-1))
+    first = np.concatenate([[0], (word[1:] != word[:-1]).nonzero()[0] + 1])
     either = np.bitwise_or.reduceat(values, first)
     word = word[first]
     words = np.zeros(int(n_words.sum()) + 2, np.uint32)
@@ -676,32 +730,26 @@ def put_code(out: BitList, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths[used] = huffman_lengths(counts[used].tolist(), 11 if n < 1 << 14 and len(used) < 1 << 10 else 15) if len(used) > 1 else 1
     # lengths in a row: 16 repeats the last one, 17 and 18 are zeros; zeros at the end are left out
     tokens: list[int] = []
-    rests: list[int] = []  # what follows a token
+    rests: list[tuple[int, int]] = []  # what follows a token, by its place
     own = lengths[: int(used[-1]) + 1]
     starts = [0, *((own[1:] != own[:-1]).nonzero()[0] + 1).tolist(), len(own)]
     for n, size in zip(own[starts[:-1]].tolist(), map(sub, starts[1:], starts[:-1]), strict=True):
-        if size == 1:
-            tokens.append(n)
-            rests.append(0)
+        if size < 3:
+            tokens += (n,) * size
             continue
         if n:
             tokens.append(n)
-            rests.append(0)
             size -= 1
         while size > 2:
             s, low, high = (16, 3, 6) if n else (17, 3, 10) if size < 11 else (18, 11, 138)
             k = min(size, high)
+            rests.append((len(tokens), k - low))
             tokens.append(s)
-            rests.append(k - low)
             size -= k
         tokens += [n] * size
-        rests += [0] * size
     if len(tokens) == 1:  # the least number that can be told is 2
         tokens.append(0)
-        rests.append(0)
-    of_counts = [0] * 19
-    for s in tokens:
-        of_counts[s] += 1
+    of_counts = Counter(tokens)
     of_used = [s for s in range(19) if of_counts[s]]
     of_lengths = [0] * 19
     for s, n in zip(of_used, huffman_lengths([of_counts[s] for s in of_used], 7) if len(of_used) > 1 else [1], strict=True):
@@ -712,8 +760,13 @@ def put_code(out: BitList, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = max(2, (len(tokens) - 2).bit_length() + 1 & ~1)
     codes = short_codes(of_lengths)
     sizes = of_lengths if len(of_used) > 1 else [0] * 19
-    out.values += [len(stored) - 4 << 1, *stored, 1 | (k - 2) // 2 << 1, len(tokens) - 2, *(codes[s] | rest << sizes[s] for s, rest in zip(tokens, rests, strict=True))]
-    out.sizes += [5, *[3] * len(stored), 4, k, *(sizes[s] + LENGTH_EXTRA[s] for s in tokens)]
+    out.values += [len(stored) - 4 << 1, *stored, 1 | (k - 2) // 2 << 1, len(tokens) - 2]
+    before = len(out.values)
+    out.values += map(codes.__getitem__, tokens)
+    for i, rest in rests:
+        out.values[before + i] |= rest << sizes[tokens[i]]
+    out.sizes += [5, *[3] * len(stored), 4, k]
+    out.sizes += map([n + more for n, more in zip(sizes, LENGTH_EXTRA, strict=True)].__getitem__, tokens)
     if len(used) == 1:
         lengths[:] = 0  # no bits
     return lengths, canonical(lengths)
@@ -812,17 +865,18 @@ def find_copies(near: np.ndarray, colours: np.ndarray | None, cost: np.ndarray,
     which = which[at]
     run, far, left = run[which], far[which], (left[which] if several else n - at)
     # the next that may follow each; below 0: there are more pixels to compare
-    before = np.zeros(n + 1, np.int64)
-    np.cumsum(begins, out=before[1:])
-    to = before[at + run]
-    to[(run == AT_ONCE) | (run > 2) & (colours is not None)] = -1
+    before = np.arange(len(at) + 1).repeat(np.diff(at, prepend=-1, append=n))  # how many begin before each pixel
+    to = np.append(before[at + run], -1)
+    to[:-1][(run == AT_ONCE) | (run > 2) & (colours is not None)] = -1
     raw, unit = (near.tobytes(), 1) if colours is None else (colours.astype("<u4").tobytes(), 4)
     steps, visited, k = memoryview(to), [], 0
     add = visited.append
-    while k < len(at):
+    while True:
         add(k)
         step = steps[k]
         if step < 0:
+            if k == len(at):
+                break
             length, back, i, step, most = 0, unit * int(far[k]), unit * int(at[k]), AT_ONCE, min(LONGEST, int(left[k]))
             while step:
                 j = i + unit * length
@@ -834,7 +888,7 @@ def find_copies(near: np.ndarray, colours: np.ndarray | None, cost: np.ndarray,
             run[k] = length
             step = int(before[at[k] + max(1, length)])
         k = step
-    kept = np.array(visited)
+    kept = np.array(visited[:-1])
     kept = kept[run[kept] > 2]
     starts = at[kept]
     if several:
@@ -939,12 +993,11 @@ def groups_of(symbols: Symbols, width: int, height: int) -> tuple[int, np.ndarra
         return None
     of_symbol = (symbols.at // width >> block) * across + (symbols.at % width >> block)
     counts = np.bincount(of_symbol * size + symbols.green, minlength=n * size).reshape(n, size)
+    exact = counts.astype(np.float64)
     groups, before = np.arange(n) * 4 // n, None
     for _ in range(6):
-        sums = np.zeros((4, size), np.int64)
-        np.add.at(sums, groups, counts)
-        p = sums + 0.05
-        groups = (counts @ np.log2(p.sum(-1, keepdims=True) / p).T).argmin(-1)
+        p = (groups == np.arange(4)[:, None]).astype(np.float64) @ exact + 0.05
+        groups = (exact @ np.log2(p.sum(-1, keepdims=True) / p).T).argmin(-1)
         if before is not None and (groups == before).all():
             break
         before = groups
@@ -957,7 +1010,7 @@ def groups_of(symbols: Symbols, width: int, height: int) -> tuple[int, np.ndarra
 
 
 def put_pixels(out: BitList, pixels: np.ndarray, width: int, main: bool, best: Symbols | None = None) -> None:
-    """Writes a picture of codes, whose symbols ``best`` are if they are known: with copies, a colour cache and several code groups where these take fewer bits."""
+    """Writes a picture of codes: with copies, a colour cache and several code groups where these take fewer bits. ``best``: its symbols, if they are known; ``pixels`` are its green alone then."""
     height = len(pixels) // width
     if best is None:
         others = None if green_only(pixels) else channels(pixels)[:, [1, 3, 0]]
@@ -973,6 +1026,8 @@ def put_pixels(out: BitList, pixels: np.ndarray, width: int, main: bool, best: S
     literal = best.green[best.literal]
     # of one channel, a place in the cache is a symbol as a literal is: it takes less where colours come again soon
     if others is not None or (8 * np.count_nonzero(literal[1:] == literal[:-1]) > len(literal) and bool((pixels != pixels[0]).any())):
+        if pixels.dtype == np.uint8:
+            pixels = 0xFF000000 | pixels.astype(np.int64) << 8
         colours = int(np.count_nonzero(np.diff(np.sort(pixels)))) + 1
         uncached, cost = best, best.bits()
         for cache_bits in CACHES:
@@ -1217,11 +1272,11 @@ def _grey_files(samples: list[bytes], width: int) -> list[bytes]:
     smooth = neighbours_tell(data[:, None], width, bounds, counts[:, None])
     lists, of_list = [], []
     for k, symbols in enumerate(symbols_of(data, width, copies, bounds)):
-        green = data[bounds[k] : bounds[k + 1]].astype(np.int64)
+        green = data[bounds[k] : bounds[k + 1]]
         own = [started(width, len(green) // width, False)]
         own[0].put(1 | 2 << 1, 4)  # less green, no further transform
-        put_pixels(own[0], 0xFF000000 | green << 8, width, True, symbols)
-        own += [x for way, may in (("gd", smooth[k]), ("p", few[k])) if may and (x := _written(0xFF000000 | green * 0x10101, width, True, way)) is not None]
+        put_pixels(own[0], green, width, True, symbols)
+        own += [x for way, may in (("gd", smooth[k]), ("p", few[k])) if may and (x := _written(0xFF000000 | green.astype(np.int64) * 0x10101, width, True, way)) is not None]
         lists += own
         of_list += [k] * len(own)
     out: list[bytes] = [b""] * len(samples)
