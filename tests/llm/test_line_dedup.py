@@ -52,5 +52,17 @@ def test_keeps_columns_and_null(clash):
     assert out.where("doc_id = 1 and text is null").count() == 1
 
 
+def test_counts_are_the_last_columns(clash):
+    """Where the input has columns of their names, which stay as they are."""
+    from pyspark.sql import functions as F
+
+    out = line_dedup.dedup_lines(clash)
+    n_lines, n_dropped = out.columns[-2:]
+    assert not {n_lines, n_dropped} & set(clash.columns)
+    rows = out.select("doc_id", n_lines, n_dropped, F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
+    assert sorted(map(tuple, rows), key=str) == brute([(r.doc_id, r.text) for r in clash.collect()])
+    assert {r["__n_lines"] for r in out.collect()} == {"x"}
+
+
 def test_query(spark):
     assert QUERIES["op1_line_dedup"](spark, "/root/testdata/sf0.001").count() == 200
