@@ -23,7 +23,13 @@ def endpoint(url: Column) -> Column:
 
 
 def plan_rows(raw: DataFrame) -> DataFrame:
-    """Planned stops of archived responses (url, response_data); broken XML gives no rows."""
+    """Planned stops of archived responses (url, response_data); broken XML gives no rows.
+
+    Two digits of a year don't tell its century: a departure half a century
+    before its arrival is of the night in which a century ends, so of the next.
+    """
+    arrival, departure = short_time(F.col("s.ar._pt")), short_time(F.col("s.dp._pt"))
+    next_century = departure < arrival - F.expr("INTERVAL '50' YEAR")
     rows = raw.select("url", F.from_xml("response_data", PLAN).alias("x")).select("url", F.col("x._station").alias("station"), F.explode("x.s").alias("s"))
     return rows.select(
         F.col("s._id").alias("sid"),
@@ -32,8 +38,8 @@ def plan_rows(raw: DataFrame) -> DataFrame:
         F.coalesce("s.tl._c", "s.tl._f").alias("train_cat"),
         F.col("s.tl._n").alias("train_num"),
         F.coalesce("s.ar._l", "s.dp._l").alias("line"),
-        short_time(F.col("s.ar._pt")).alias("sched_arr"),
-        short_time(F.col("s.dp._pt")).alias("sched_dep"),
+        arrival.alias("sched_arr"),
+        F.when(next_century, departure + F.expr("INTERVAL '100' YEAR")).otherwise(departure).alias("sched_dep"),
     )
 
 
