@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import severity, text_category
 from .causes import with_percent
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: infinite, or not a number, where b is 0."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 def marked(archive: DataFrame) -> DataFrame:
     """The archive with the larger of both delays, the remark's category, and whether there is a remark."""
     return archive.select(
@@ -58,12 +63,12 @@ def impact_by_type(rows: DataFrame) -> DataFrame:
     """Type and cause: rate of remarks, delay with over without a remark, share of records and of delays, and delay share over record share."""
     has = F.col("has")
     kinds = rows.groupBy("kind").agg(
-        F.round(F.count_if(has) / F.count("*"), 4).alias("remark_rate"), F.round(F.avg(F.when(has, F.col("delay"))) / F.avg(F.when(~has, F.col("delay"))), 4).alias("signal_ratio")
+        F.round(F.count_if(has) / F.count("*"), 4).alias("remark_rate"), F.round(ratio(F.avg(F.when(has, F.col("delay"))), F.avg(F.when(~has, F.col("delay")))), 4).alias("signal_ratio")
     )
     per = rows.where(has).groupBy("kind", "category").agg(F.count("*").alias("n"), F.sum("delay").alias("total"))
     w = Window.partitionBy("kind")
-    rec, late = F.col("n") / F.sum("n").over(w), F.col("total") / F.sum("total").over(w)
-    shares = per.select("kind", "category", F.round(100.0 * F.col("n") / F.sum("n").over(w), 4).alias("rec_pct"), F.round(100.0 * F.col("total") / F.sum("total").over(w), 4).alias("delay_pct"), F.round(late / rec, 4).alias("impact_ratio"))
+    rec, late = F.col("n") / F.sum("n").over(w), ratio(F.col("total"), F.sum("total").over(w))
+    shares = per.select("kind", "category", F.round(100.0 * F.col("n") / F.sum("n").over(w), 4).alias("rec_pct"), F.round(ratio(100.0 * F.col("total"), F.sum("total").over(w)), 4).alias("delay_pct"), F.round(late / rec, 4).alias("impact_ratio"))
     return shares.join(kinds, "kind")
 
 
