@@ -187,11 +187,16 @@ def neighbours(words: DataFrame, symbols: int, shortest: int, bits: int, held: n
 # -- forms and roots -----------------------------------------------------------------
 
 
+#: Joins of words go by sorted shuffles: the compressed files that Spark sizes a table by, and what is made of
+#: them in Python, hold many times the rows that their bytes say, so a small enough file would be broadcast.
+_BY_SHUFFLE = "merge"
+
+
 def near_words(words: DataFrame, symbols: int = SYMBOLS, min_chars: int = MIN_CHARS, bits: int = BITS) -> DataFrame:
     """word, n, near, near_n: every ordered pair of near words of ``words`` (word, n)."""
     reduced_words = keyed(words, symbols)
     asked = neighbours(words, symbols, min_chars, bits, bitmap(reduced_words, bits))
-    found = asked.join(reduced_words.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")), "key")
+    found = asked.join(reduced_words.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")).hint(_BY_SHUFFLE), "key")
     return found.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
@@ -200,7 +205,7 @@ def roots(forms: DataFrame, links: int = LINKS) -> DataFrame:
     now, reach = materialize(forms.select("word", F.col("form").alias("root")), "roots"), 1
     while reach < links:
         step = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        after = materialize(now.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        after = materialize(now.join(step.hint(_BY_SHUFFLE), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         discard(now)
         moved = not after.where("moved").isEmpty()
         now, reach = after, 2 * reach
@@ -214,12 +219,12 @@ def spelling_groups(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int
     words = materialize(vocabulary(docs, min_chars, min_count), "words")
     best = near_words(words, symbols, min_chars, bits).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best"))
     near = materialize(best.select("word", "n_near", F.col("best.near").alias("near"), (-F.col("best.less")).alias("near_n")), "near")
-    known = words.join(near, "word", "left")
+    known = words.join(near.hint(_BY_SHUFFLE), "word", "left")
     frequent = F.col("near_n") >= times * F.col("n")
     known = known.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(frequent, F.col("near")).alias("form"), F.when(frequent, F.col("near_n")).alias("form_n"))
     known = materialize(known, "forms")
     discard(words, near)
-    return known.join(roots(known.where("form IS NOT NULL")), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return known.join(roots(known.where("form IS NOT NULL")).hint(_BY_SHUFFLE), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

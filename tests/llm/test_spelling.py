@@ -98,3 +98,14 @@ def test_any_words(spark, words, symbols):
     df = spark.createDataFrame(list(words.items()), "word string, n long")
     got = [(r.word, r.near) for r in near_words(df, symbols, min_chars=1, bits=10).collect()]
     assert sorted(got) == sorted((a, b) for a in words for b in words if near(a, b))
+
+
+def test_no_table_is_broadcast(spark):
+    """However small Spark takes a table to be: the words are sent to no driver."""
+    docs = spark.createDataFrame([(k, f"bahnhof bahnhofe bahnhof{'s' * (k % 3)} gleise") for k in range(40)], "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert spelling_groups(docs).count()
+    plans = [x.physicalPlanDescription() for x in (store.executionsList().apply(i) for i in range(before, store.executionsCount()))]
+    assert len(plans) > 3 and any("SortMergeJoin" in x for x in plans)
+    assert not any("BroadcastExchange" in x for x in plans)
