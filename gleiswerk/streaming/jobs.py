@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +57,14 @@ def visitors(stream: DataFrame) -> DataFrame:
 
 JOURNEY = ("train", "day")
 STATUS = "train long, day date, stop long, delay double, n long, status string"
-STATE = "stop long, seen timestamp, seen_id long, delay double, planned timestamp, latest timestamp, n long, done boolean"
 GRACE = pd.Timedelta(minutes=20)
 #: A finished journey is forgotten so long after its day began.
 KEPT = pd.Timedelta(days=3)
+#: Journeys of a day are kept in so many groups, by their trains; one more holds those of no train.
+GROUPS = 32
+#: What a group keeps of each journey: times in microseconds, the timer in milliseconds.
+NEVER = np.iinfo(np.int64).min
+_JOURNEY = np.dtype([("train", "i8"), ("stop", "i8"), ("seen", "i8"), ("seen_id", "i8"), ("delay", "f8"), ("planned", "i8"), ("latest", "i8"), ("n", "i8"), ("last_stop", "i8"), ("timer", "i8"), ("done", "?")])
 
 
 def stop_events(stream: DataFrame) -> DataFrame:
@@ -72,50 +77,87 @@ def stop_events(stream: DataFrame) -> DataFrame:
     )
 
 
+def _microseconds(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype(np.int64)
+
+
+def _merged(held: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The journeys ``held``, in order of their trains, with the events of ``rows``; and whether there were any of each."""
+    train, n = np.unique(rows["train"].to_numpy(np.int64), return_counts=True)
+    new = train[~np.isin(train, held["train"])]
+    added = np.zeros(len(new), _JOURNEY)
+    added["train"], added["seen"], added["latest"] = new, NEVER, NEVER
+    out = np.concatenate([held, added])
+    out = out[np.argsort(out["train"])]
+    at = np.searchsorted(out["train"], train)
+    out["n"][at] += n
+    own = np.searchsorted(out["train"], rows["train"].to_numpy(np.int64))
+    out["planned"][own], out["last_stop"][own] = _microseconds(rows["planned"]), rows["last_stop"]
+    live = rows["real_time"].to_numpy(bool)
+    if live.any():
+        own, rows = own[live], rows[live]
+        np.maximum.at(out["latest"], own, _microseconds(rows["at"]))
+        stop, seen, seen_id, delay = rows["stop"].to_numpy(np.int64), _microseconds(rows["ts"]), rows["event_id"].to_numpy(np.int64), rows["delay"].to_numpy(np.float64)
+        order = np.lexsort((seen_id, seen, stop, own))
+        last = order[np.append(np.diff(own[order]) != 0, True)]  # each journey's best of these
+        i = own[last]
+        was = out[i]
+        better = (was["seen"] == NEVER) | (stop[last] > was["stop"]) | (stop[last] == was["stop"]) & ((seen[last] > was["seen"]) | (seen[last] == was["seen"]) & (seen_id[last] > was["seen_id"]))
+        i, last = i[better], last[better]
+        out["stop"][i], out["seen"][i], out["seen_id"][i], out["delay"][i] = stop[last], seen[last], seen_id[last], delay[last]
+    return out, np.isin(out["train"], train)
+
+
 def _running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A journey's furthest real-time stop with its last known delay, and whether the journey is over.
+    """Each journey's furthest real-time stop with its last known delay, and whether the journey is over.
 
     It is over when its last stop is real-time (``terminal``); or (``time``)
     when the planned arrival at the destination and the last event are both 20
     minutes old, which a later event in time to come puts off. The first timer
-    is for that, the second forgets what is over.
+    is for that, the second forgets what is over. A group's own timer is its
+    journeys' earliest; their timers are looked at in each batch that it has.
     """
+    day, group = key
+    now = state.getCurrentWatermarkMs()
+    over = int((pd.Timestamp(day) + KEPT).timestamp() * 1000)
 
-    def said(stop: int, delay: float, n: int, status: str) -> pd.DataFrame:
-        return pd.DataFrame({"train": [key[0]], "day": [key[1]], "stop": [stop], "delay": [delay], "n": [n], "status": [status]})
-
-    def until(moment: pd.Timestamp) -> None:
-        state.setTimeoutTimestamp(max(int(moment.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+    def said(of: np.ndarray, status: np.ndarray | str) -> pd.DataFrame:
+        train = pd.Series(of["train"], dtype="Int64") if group >= 0 else pd.Series([None] * len(of), dtype="Int64")
+        return pd.DataFrame({"train": train, "day": [day] * len(of), "stop": of["stop"], "delay": np.where(np.isnan(of["delay"]), 0.0, of["delay"]), "n": of["n"], "status": status})
 
+    held = np.frombuffer(state.get[0], _JOURNEY) if state.exists else np.zeros(0, _JOURNEY)
     if state.hasTimedOut:
-        stop, seen, seen_id, delay, planned, latest, n, done = state.get
-        if done:
-            state.remove()
-        else:
-            state.update((stop, seen, seen_id, delay, planned, latest, n, True))
-            until(pd.Timestamp(key[1]) + KEPT)
-            yield said(stop, delay, n, "time")
-        return
-    stop, seen, seen_id, delay, planned, latest, n, done = state.get if state.exists else (0, None, 0, 0.0, None, None, 0, False)
-    last_stop = 0
-    for rows in batches:
-        n += len(rows)
-        planned, last_stop = rows["planned"].iloc[0], int(rows["last_stop"].iloc[0])
-        live = rows[rows["real_time"]]
-        if len(live):
-            latest = live["at"].max() if latest is None else max(latest, live["at"].max())
-            best = live.sort_values(["stop", "ts", "event_id"]).iloc[-1]
-            if seen is None or (best["stop"], best["ts"], best["event_id"]) > (stop, seen, seen_id):
-                stop, seen, seen_id, delay = int(best["stop"]), best["ts"], int(best["event_id"]), float(best["delay"])
-    terminal = stop >= last_stop  # it stays so, as the furthest stop is kept
-    state.update((stop, seen, seen_id, delay, planned, latest, n, terminal))
-    until(pd.Timestamp(key[1]) + KEPT if terminal else (planned if latest is None else max(planned, latest)) + GRACE)
-    yield said(stop, delay, n, "terminal" if terminal else "running")
+        held = held.copy()
+    else:
+        touched = np.zeros(0, np.int64)
+        for rows in batches:
+            held, here = _merged(held, rows)
+            touched = np.union1d(touched, held["train"][here])
+        here = np.isin(held["train"], touched)
+        terminal = held["stop"] >= held["last_stop"]  # it stays so, as the furthest stop is kept
+        held["done"][here] = terminal[here]
+        last = (np.maximum(held["planned"], held["latest"]) + GRACE // pd.Timedelta(microseconds=1)) // 1000
+        held["timer"][here] = np.maximum(np.where(terminal, over, last), now + 1)[here]
+        yield said(held[here], np.where(terminal[here], "terminal", "running"))
+    due = held["timer"] < now
+    ended = due & ~held["done"]
+    if ended.any():
+        yield said(held[ended], "time")
+    held["done"][ended], held["timer"][ended] = True, max(over, now + 1)
+    held = held[~due | ended]
+    if len(held):
+        state.update((held.tobytes(),))
+        state.setTimeoutTimestamp(max(int(held["timer"].min()), now + 1))
+    else:
+        state.remove()
 
 
 def running_trains(stream: DataFrame) -> DataFrame:
-    """Position, delay and status of each journey, kept by train and day."""
-    return stream.withWatermark("ts", "10 minutes").groupBy(*JOURNEY).applyInPandasWithState(_running, STATUS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """Position, delay and status of each journey, kept by train and day: many journeys in a group, as a call for each would take longer than its events."""
+    group = F.when(F.col("train").isNull(), -1).otherwise(F.pmod(F.xxhash64("train"), F.lit(GROUPS)).cast("int"))
+    known = {c: F.coalesce(c, F.lit(0)) for c in ("train", "stop", "event_id")} | {"real_time": F.coalesce("real_time", F.lit(False))}
+    rows = stream.withWatermark("ts", "10 minutes").withColumn("group", group).withColumns(known)
+    return rows.groupBy("day", "group").applyInPandasWithState(_running, STATUS, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 EVALUATION = "day date, data_sig long, n_types long, mae double, evaluations long"

@@ -58,6 +58,21 @@ def test_a_late_event_takes_an_end_by_time_back(spark, tmp_path):
     assert {r.train: (r.stop, r.n, r.status) for r in got.collect()} == {1: (2, 2, "running"), 2: (1, 2, "running")}
 
 
+def test_journeys_of_a_day_are_kept_in_few_groups(spark, tmp_path):
+    """So many journeys at once, one of no train, take no call of Python and no row of state each."""
+    trains = [*range(-3, 1500), None]
+    batches = [[stop(2 * i + k, t, 5 * k + i % 4, k + (t or 0) % 3, i / 4, live=i % 5 > 0) for i, t in enumerate(trains)] for k in (0, 1)]
+    query = jobs.running_trains(feed(spark, str(tmp_path / "in"), *batches)).writeStream.outputMode("append").foreachBatch(lambda df, k: df.write.mode("append").parquet(str(tmp_path / f"out/k={k}")))
+    query = query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= jobs.GROUPS + 1
+    got = spark.read.schema(jobs.STATUS + ", k long").parquet(str(tmp_path / "out")).collect()
+    for k in (0, 1):
+        want = {t: (k + (t or 0) % 3, i / 4, k + 1, "terminal" if k + (t or 0) % 3 == 3 else "running") if i % 5 else (0, 0.0, k + 1, "running") for i, t in enumerate(trains)}
+        assert {r.train: (r.stop, r.delay, r.n, r.status) for r in got if r.k == k} == want
+    assert len(got) == 2 * len(trains)
+
+
 def test_upserts_are_folded_and_replays_change_nothing(spark, tmp_path):
     table = Upserts(spark, "file://" + str(tmp_path / "t"), StructType.fromDDL("key string, value long"), ("key",), every=3)
     assert table.table().count() == 0
