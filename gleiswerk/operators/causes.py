@@ -79,7 +79,8 @@ def top_codes(reasons: DataFrame, stops: DataFrame, k: int = 12, key: str = "id"
 
 def with_and_without(stops: DataFrame, coded: DataFrame, key: str = "id") -> DataFrame:
     """Stops with and without a reason: number, mean delay, percent of at least 5 minutes, percent cancelled."""
-    both = stops.join(coded.select(key), key, "left_semi").withColumn("has_code", F.lit(True)).unionByName(stops.join(coded.select(key), key, "left_anti").withColumn("has_code", F.lit(False)))
+    known = coded.select(key).distinct().withColumn("has_code", F.lit(True))
+    both = stops.join(known, key, "left").withColumn("has_code", F.coalesce("has_code", F.lit(False)))
     return both.groupBy("has_code").agg(
         F.count("*").alias("n"), F.round(F.avg("delay"), 4).alias("avg_delay"), F.round(100.0 * F.count_if(F.col("delay") >= 5) / F.count("*"), 4).alias("pct_ge5"), F.round(100.0 * F.count_if("is_canceled") / F.count("*"), 4).alias("cancel_pct")
     )

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 RIDE = ("ride_id", "train", "train_type", "line", "date")
 
 
-def clean_stops(stops: DataFrame) -> DataFrame:
-    """One row for each station number of a ride: an aggregate, combined before the shuffle."""
-    keys = ("ride_id", "station_num")
-    rest = [c for c in stops.columns if c not in keys]
-    return stops.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("pk", "sk", "price")).alias("r")).select(*keys, "r.*")
+def clean_stops(stops: DataFrame, *columns: str) -> DataFrame:
+    """One row for each station number of a ride: an aggregate, combined before the shuffle.
+
+    ``columns`` are those needed besides the keys (all, if none are named): Spark can't tell that parts of a chosen row aren't read.
+    """
+    keys, order = ("ride_id", "station_num"), ("pk", "sk", "price")
+    rest = [c for c in columns or stops.columns if c not in keys]
+    row = F.min(F.struct(*order, *(c for c in rest if c not in order)))
+    return stops.groupBy(*keys).agg(row.alias("r")).select(*keys, *(f"r.{c}" for c in rest))
 
 
 def monotone(stops: DataFrame) -> DataFrame:

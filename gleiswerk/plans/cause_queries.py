@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import causes, delays, remarks
+from ..operators import causes, delays, remarks, rides
 from .registry import query
 from .testmodel import cte
 
@@ -72,7 +72,7 @@ def a11(m):
 @query("a12_with_and_without", cte("clean", "changes") + """SELECT sid IN (SELECT sid FROM changes) AS has_code, count(*) AS n, round(avg(delay), 4) AS avg_delay, round(100.0 * count(*) FILTER (delay >= 5) / count(*), 4) AS pct_ge5,
 round(100.0 * count(*) FILTER (is_canceled) / count(*), 4) AS cancel_pct FROM clean GROUP BY 1""")
 def a12(m):
-    return causes.with_and_without(unique_stops(m), m.changes.select(F.col("sid").alias("id")))
+    return causes.with_and_without(rides.clean_stops(m.stops, "sid", "delay", "is_canceled"), m.changes.select("sid"), "sid")
 
 
 @query("a12_top_codes", cte("clean") + """SELECT r.code, count(*) AS n, round(avg(delay), 4) AS avg_delay, round(100.0 * count(*) FILTER (is_canceled) / count(*), 4) AS cancel_pct
