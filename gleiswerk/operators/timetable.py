@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def around(found: DataFrame, minute: int, before: int = 30, after: int = 120) ->
     return found.where(d.between(minute - before, minute + after)).join(F.broadcast(hint))
 
 
-def numbers_by_similarity(unnumbered: DataFrame, numbered: DataFrame, least: float = 0.5) -> DataFrame:
+def numbers_by_similarity(unnumbered: DataFrame, numbered: DataFrame, least: float = 0.5, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """The best candidate of each service without a number, among those of its type that share an end.
 
     Score: 0.45 times the bonus of the ends (both 1, first .55, last .25) and
@@ -44,27 +46,35 @@ def numbers_by_similarity(unnumbered: DataFrame, numbered: DataFrame, least: flo
     equal end that also share a state among the first few of both, in an order
     common to all. Of n states so many may be missing elsewhere that the rest is
     too little for the score, so a candidate has one of the first that remain.
+    A way is known by the first of its services where its states aren't needed,
+    and pairs are scored where they meet: few are shuffled again. ``keep`` may
+    write the ways, which are read several times.
     """
     way = ("train_type", "first", "last", "states")
-    asked = unnumbered.groupBy(*way).agg(F.collect_list("service").alias("services"))
-    known = numbered.groupBy(*way).agg(F.min("service").alias("num"), F.count("*").alias("n"))
+    asked = unnumbered.groupBy(*way).agg(F.collect_list("service").alias("services"), F.min("service").alias("way"))
+    asked = keep(asked, "asked")
+    known = keep(numbered.groupBy(*way).agg(F.min("service").alias("num"), F.count("*").alias("n")), "known")
+    jaccard = F.size(F.array_intersect("u_states", "c_states")) / F.size(F.array_union("u_states", "c_states"))
+
+    def scored(pairs: DataFrame, bonus: float) -> DataFrame:
+        return pairs.select("train_type", "way", "num", "n", F.round(0.45 * bonus + 0.55 * jaccard, 4).alias("score")).where(F.col("score") >= least)
+
+    u_states, c_states = F.col("states").alias("u_states"), F.col("states").alias("c_states")
     parts = []
-    for end, bonus in (("first", 0.55), ("last", 0.25)):
+    for end, other, bonus in (("first", "last", 0.55), ("last", "first", 0.25)):
         # ways of both ends alike score more, and need not be similar; they meet by their ends alone, below
         needed = max(0.0, (least - 0.5e-4 - 0.45 * bonus) / 0.55)
         size = F.size("states")
         start = F.slice("states", F.lit(1), F.greatest(size - F.ceil(size * needed).cast("int") + 1, F.lit(1)))
-        u = asked.select("train_type", F.col(end).alias("end"), F.explode(start).alias("state"), F.struct(*way[1:]).alias("u"))
-        c = known.select("train_type", F.col(end).alias("end"), F.explode(start).alias("state"), F.struct(*way[1:]).alias("c"), "num", "n")
-        other = "last" if end == "first" else "first"
-        parts.append(u.join(c, ["train_type", "end", "state"]).where(F.col(f"u.{other}") != F.col(f"c.{other}")).select("train_type", "u", "c", "num", "n", F.lit(bonus).alias("bonus")))
-    both = asked.select("train_type", "first", "last", F.struct(*way[1:]).alias("u")).join(known.select("train_type", "first", "last", F.struct(*way[1:]).alias("c"), "num", "n"), ["train_type", "first", "last"])
-    met = parts[0].unionByName(parts[1]).distinct().unionByName(both.select("train_type", "u", "c", "num", "n", F.lit(1.0).alias("bonus")))
-    jaccard = F.size(F.array_intersect("u.states", "c.states")) / F.size(F.array_union("u.states", "c.states"))
-    scored = met.withColumn("score", F.round(0.45 * F.col("bonus") + 0.55 * jaccard, 4)).where(F.col("score") >= least)
-    best = scored.groupBy("train_type", "u").agg(F.min(F.struct((-F.col("score")).alias("less"), "num")).alias("b"), (F.sum("n") > 1).alias("several"))
-    best = best.select("train_type", "u.first", "u.last", "u.states", F.col("b.num").alias("num"), (-F.col("b.less")).alias("score"), "several")
-    return asked.join(best, list(way)).select(F.explode("services").alias("service"), "num", "score", "several")
+        u = asked.select("train_type", F.col(end).alias("end"), F.explode(start).alias("state"), F.col(other).alias("u_other"), u_states, "way")
+        c = known.select("train_type", F.col(end).alias("end"), F.explode(start).alias("state"), F.col(other).alias("c_other"), c_states, "num", "n")
+        parts.append(scored(u.join(c, ["train_type", "end", "state"]).where("u_other <> c_other"), bonus).distinct())
+    ends = ["train_type", "first", "last"]
+    parts.append(scored(asked.select(*ends, u_states, "way").join(known.select(*ends, c_states, "num", "n"), ends), 1.0))
+    met = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    best = met.groupBy("train_type", "way").agg(F.min(F.struct((-F.col("score")).alias("less"), "num")).alias("b"), (F.sum("n") > 1).alias("several"))
+    best = best.select("train_type", "way", F.col("b.num").alias("num"), (-F.col("b.less")).alias("score"), "several")
+    return asked.select("train_type", "way", "services").join(best, ["train_type", "way"]).select(F.explode("services").alias("service"), "num", "score", "several")
 
 
 def regions_by_vote(services: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment, rides, timetable
+from ..sources import files
 from . import ride_queries
 from .registry import query
 from .testmodel import cte
@@ -37,10 +38,10 @@ SERVICES = """, v AS (SELECT ride_id AS service, train_type, min_by(station, sta
 + 0.55 * (len(list_intersect(u.states, c.states)) / len(list_distinct(list_concat(u.states, c.states)))), 4) AS score FROM v u JOIN v c ON u.train_type = c.train_type AND (u.first = c.first OR u.last = c.last) AND u.service <> c.service WHERE u.n_days < 30 AND c.n_days >= 30)
 SELECT service, min_by(num, struct_pack(a := -score, b := num)) AS num, max(score) AS score, count(*) > 1 AS several FROM p WHERE score >= 0.5 GROUP BY service""")
 def j15(m):
-    rows = rides.clean_stops(m.stops).groupBy("ride_id", "train_type").agg(
+    rows = rides.clean_stops(m.stops, "train_type", "station", "state").groupBy("ride_id", "train_type").agg(
         F.min_by("station", "station_num").alias("first"), F.max_by("station", "station_num").alias("last"), F.array_sort(F.collect_set("state")).alias("states")
     ).withColumnRenamed("ride_id", "service").withColumn("n_days", F.col("service") % 300)
-    return timetable.numbers_by_similarity(rows.where("n_days < 30"), rows.where("n_days >= 30"))
+    return timetable.numbers_by_similarity(rows.where("n_days < 30"), rows.where("n_days >= 30"), keep=files.written)
 
 
 VOTES = """, e AS (SELECT DISTINCT service, region, unnest([stations[1], stations[-1]]) AS station FROM services), vt AS (SELECT station, region, count(*) AS n FROM e GROUP BY 1, 2),

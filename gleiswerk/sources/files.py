@@ -26,6 +26,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of a query at its end.
+FREE_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a file in the shared folder: what is read several times is made once, and its shuffle files are gone."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(FREE_SHUFFLE, "false")
+    spark.conf.set(FREE_SHUFFLE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLE, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def raw_archive(spark: SparkSession, path: str, api: str | None = None) -> DataFrame:
     """Responses of status 200 (a string), of one API if named."""
     rows = spark.read.parquet(path).where(F.col("status_code").cast("string") == "200")

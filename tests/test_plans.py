@@ -24,3 +24,9 @@ def scans(plan, column):
 
 def test_stops_with_and_without_a_reason_are_read_once(planned):
     assert scans(planned("a12_with_and_without"), "l_orderkey") == 1
+
+
+def test_pairs_of_ways_are_scored_where_they_meet(planned):
+    """No pair is shuffled with its states, and ways are made once."""
+    plan = planned("j15_similar_services")
+    assert not re.findall(r"hashpartitioning\([^)]*states", plan) and not scans(plan, "l_orderkey")
