@@ -52,11 +52,13 @@ def assigned(rows: DataFrame, templates: DataFrame) -> DataFrame:
 
     ``rows`` has line, date, ord (its place in the day), station and minute (or
     null), ``templates`` line, k, stations and times. A row's names come before
-    its times: an equal name is nearer than one that only begins alike.
+    its times: an equal name is nearer than one that only begins alike. Rows of
+    a day that have name and time alike are as near to each position, so the
+    first stands for them all before any meets the templates.
     """
     places = templates.select("line", F.col("k").alias("template"), F.posexplode(F.arrays_zip(F.col("stations").alias("s"), F.col("times").alias("t"))).alias("pos", "c"))
     places = places.select("line", "template", "pos", F.col("c.s").alias("halt"), F.col("c.t").alias("time"), F.left("c.s", F.lit(2)).alias("start"))
-    own = rows.select("line", "date", "ord", "station", "minute", F.left("station", F.lit(2)).alias("start"))
+    own = rows.groupBy("line", "date", "station", "minute").agg(F.min("ord").alias("ord")).withColumn("start", F.left("station", F.lit(2)))
     alike = (F.length("station") >= PREFIX) & (F.startswith("halt", "station") | F.startswith("station", "halt"))
     met = own.join(places, ["line", "start"]).withColumn("cost", F.when(F.col("station") == F.col("halt"), 0).when(alike, 1)).where("cost is not null")
     off = F.coalesce(F.abs(F.col("minute") - F.col("time")), F.lit(UNKNOWN))
@@ -86,6 +88,13 @@ def _goes_back(jump: int) -> Column:
     return F.coalesce(before - F.col("minute") > jump, F.lit(False))
 
 
+def marked(rows: DataFrame, jump: int = JUMP) -> DataFrame:
+    """``rows`` with ``back``, whether a row goes back in time, and ``run``, how many up to it do. Who reads them several times writes them once."""
+    if "run" in rows.columns:
+        return rows
+    return rows.withColumn("back", _goes_back(jump)).withColumn("run", F.sum(F.when(F.col("back"), 1).otherwise(0)).over(_in_order()))
+
+
 def choose(rows: DataFrame, aligned: DataFrame, jump: int = JUMP) -> DataFrame:
     """(line, date, n, mixed, template, covered, action) for each day: ``template`` where the best template (or null) is taken, ``segment`` where a mixed day is cut, ``none``.
 
@@ -93,7 +102,7 @@ def choose(rows: DataFrame, aligned: DataFrame, jump: int = JUMP) -> DataFrame:
     covers 4 rows and a fifth of the day; one in order, if 5 rows and less than
     70 % (a trip alone is covered nearly whole).
     """
-    days = rows.withColumn("back", _goes_back(jump)).groupBy("line", "date").agg(F.count("*").alias("n"), F.bool_or("back").alias("mixed"))
+    days = marked(rows, jump).groupBy("line", "date").agg(F.count("*").alias("n"), F.bool_or("back").alias("mixed"))
     cover = aligned.groupBy("line", "date", "template").agg(F.count("*").alias("covered"))
     best = cover.groupBy("line", "date").agg(F.min(F.struct((-F.col("covered")).alias("less"), "template")).alias("b")).select("line", "date", F.col("b.template").alias("template"), (-F.col("b.less")).alias("covered"))
     known = days.join(best, ["line", "date"], "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long")))
@@ -104,12 +113,13 @@ def choose(rows: DataFrame, aligned: DataFrame, jump: int = JUMP) -> DataFrame:
 
 def normalised(rows: DataFrame, aligned: DataFrame, chosen: DataFrame, jump: int = JUMP) -> DataFrame:
     """(line, date, action, place, ord, station, delay): each day's rows after ``choose``, in order; a segment of fewer than 4 rows is not taken."""
-    of_template = chosen.where("action = 'template'").join(aligned, ["line", "date", "template"]).select("line", "date", "ord", F.col("pos").cast("long").alias("place"))
-    runs = rows.withColumn("run", F.sum(F.when(_goes_back(jump), 1).otherwise(0)).over(_in_order()))
+    place = F.map_from_entries(F.collect_list(F.struct("ord", F.col("pos").cast("long"))))  # at most a row for each position of the template
+    of_template = chosen.where("action = 'template'").join(aligned, ["line", "date", "template"]).groupBy("line", "date").agg(place.alias("places"))
+    runs = marked(rows, jump)
     longest = runs.groupBy("line", "date", "run").agg(F.count("*").alias("size")).groupBy("line", "date").agg(F.min(F.struct((-F.col("size")).alias("less"), "run")).alias("b")).select("line", "date", "b.run", (-F.col("b.less")).alias("size"))
     decided = chosen.select("line", "date", "action").join(longest, ["line", "date"])
     decided = decided.withColumn("action", F.when((F.col("action") == "segment") & (F.col("size") < 4), "none").otherwise(F.col("action")))
-    here = runs.withColumnRenamed("run", "own").join(decided, ["line", "date"]).join(of_template, ["line", "date", "ord"], "left")
+    here = runs.withColumnRenamed("run", "own").join(decided.join(of_template, ["line", "date"], "left"), ["line", "date"]).withColumn("place", F.col("places")[F.col("ord")])
     stays = F.when(F.col("action") == "template", F.col("place").isNotNull()).when(F.col("action") == "segment", F.col("own") == F.col("run")).otherwise(True)
     return here.where(stays).select("line", "date", "action", F.when(F.col("action") == "template", F.col("place")).otherwise(F.col("ord")).alias("place"), "ord", "station", "delay")
 

@@ -73,12 +73,13 @@ class Model:
         """
         way, n = F.col("ride_id") % 4, F.col("station_num")
         halt = F.when(way == 3, 12 - n).when(way == 2, 1 + n % 5).otherwise(2 * way + n)
-        rows = clean_stops(self.stops).select(
-            "line", F.trunc("date", "quarter").alias("date"), "ride_id", "station_num", F.concat(F.lit("Halt "), halt.cast("string")).alias("station"),
+        rows = clean_stops(self.stops, "line", "date", "pk", "delay").select(
+            "line", F.trunc("date", "quarter").alias("date"), "ride_id", "station_num",
             F.when(F.col("pk") % 23 != 0, way * 200 + 300 + n * 11 + F.col("pk") % 7).alias("minute"), "delay",
         )
         by_time = F.when(F.quarter("date") % 2 == 0, F.coalesce("minute", F.lit(1440)))
-        return rows.withColumn("ord", F.row_number().over(Window.partitionBy("line", "date").orderBy(by_time, "ride_id", "station_num")).cast("long"))
+        rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("line", "date").orderBy(by_time, "ride_id", "station_num")).cast("long"))
+        return rows.withColumn("station", F.concat(F.lit("Halt "), halt.cast("string")))
 
     @cached_property
     def changes(self) -> DataFrame:

@@ -114,21 +114,28 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def aligned(m):
-    return alignment.align(m.patterned, rides.templates(m.patterned, station="station", minute="minute"))
+def aligned(rows):
+    return alignment.align(rows, rides.templates(rows, station="station", minute="minute"))
+
+
+def day_rows(m):
+    """The rows of days in order, written: a file holds whole days, so that what is counted by day is counted before it is shuffled."""
+    return files.written(alignment.marked(m.patterned), "patterned")
 
 
 @query("w07_aligned_rows", recursive(cte("patterned") + ALIGNED + "SELECT * FROM al"), dates=("date",))
 def w07(m):
-    return aligned(m)
+    return aligned(m.patterned)
 
 
 @query("w08_chosen_template", recursive(cte("patterned") + ALIGNED + CHOSEN + "SELECT * FROM ch"), dates=("date",))
 def w08(m):
-    return alignment.choose(m.patterned, aligned(m))
+    rows = day_rows(m)
+    return alignment.choose(rows, aligned(rows))
 
 
 @query("w08_normalised_days", recursive(cte("patterned") + ALIGNED + CHOSEN + NORMAL), dates=("date",))
 def w08b(m):
-    found = aligned(m)
-    return alignment.day_delays(alignment.normalised(m.patterned, found, alignment.choose(m.patterned, found)))
+    rows = day_rows(m)
+    found = aligned(rows)
+    return alignment.day_delays(alignment.normalised(rows, found, alignment.choose(rows, found)))
