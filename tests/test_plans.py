@@ -30,3 +30,10 @@ def test_pairs_of_ways_are_scored_where_they_meet(planned):
     """No pair is shuffled with its states, and ways are made once."""
     plan = planned("j15_similar_services")
     assert not re.findall(r"hashpartitioning\([^)]*states", plan) and not scans(plan, "l_orderkey")
+
+
+@pytest.mark.parametrize("name", ["w08_chosen_template", "w08_normalised_days"])
+def test_rows_of_days_are_made_once(planned, name):
+    """No row meets the templates before those alike in name and time are one, nor is the lines' table read again."""
+    plan = planned(name)
+    assert not scans(plan, "l_orderkey") and not re.findall(r"hashpartitioning\(line#\d+, date#\d+, ord#", plan)
