@@ -415,7 +415,8 @@ def corrected_destination(asked: DataFrame, of_rides: DataFrame, seen: DataFrame
     applies), ``seen`` the (train, station) that the train stops at, ``mains``
     (train, main). Without such a terminal, or main states, the destination stays.
     """
-    ends = of_rides.join(mains, "train").where(F.array_contains("main", F.col("last_state"))).groupBy("train", "last_station").agg(F.count("*").alias("n"))
+    ends = of_rides.groupBy("train", "last_station", "last_state").agg(F.count("*").alias("n"))
+    ends = ends.join(mains, "train").where(F.array_contains("main", F.col("last_state"))).groupBy("train", "last_station").agg(F.sum("n").alias("n"))
     usual = ends.groupBy("train").agg(F.min_by("last_station", F.struct(-F.col("n"), F.col("last_station"))).alias("usual"))
     known = seen.select("train", F.col("station").alias("dest"), F.lit(True).alias("known")).distinct()
     met = asked.join(known, ["train", "dest"], "left").join(mains, "train", "left").join(usual, "train", "left")

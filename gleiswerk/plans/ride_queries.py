@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import causes, rides
+from ..sources import files
 from .registry import query
 from .testmodel import cte
 
 TODAY = "1998-06-01"
 
 
-def clean(m):
-    return rides.clean_stops(m.stops)
+def clean(m, *columns):
+    return rides.clean_stops(m.stops, *columns)
 
 
 def of_rides(m):
@@ -337,9 +338,9 @@ def live_days(m, rows):
     return rides.train_days(rides.rides(rows)).where("n_rides > 1 or n_stops > 3")
 
 
-def live_mains(rows, live):
+def live_mains(smoothed, live):
     """Main states of the trains, by the smoothed states of their live days."""
-    return rides.main_set(rides.fingerprint(rides.smoothed_states(rows).join(live.select("train", "date"), ["train", "date"], "left_semi"), keys=("train", "date")))
+    return rides.main_set(rides.fingerprint(smoothed.join(live.select("train", "date"), ["train", "date"], "left_semi"), keys=("train", "date")))
 
 
 @query("j16_gap_fill", cte("days") + SMOOTH + DAY_STATES + MAINS + f""", st AS (SELECT s_name AS station, n_name AS state FROM places WHERE s_suppkey % 7 <> 0)
@@ -350,7 +351,7 @@ def j16(m):
     rows = clean(m)
     live = live_days(m, rows)
     known = m.stations.where("s_suppkey % 7 <> 0").select(F.col("station").alias("max_station"), "state")
-    return rides.gap_fill(live, days(m).join(known, "max_station", "left"), live_mains(rows, live), TODAY)
+    return rides.gap_fill(live, days(m).join(known, "max_station", "left"), live_mains(rides.smoothed_states(rows), live), TODAY)
 
 
 @query("u03_days_not_taken", cte("days") + """SELECT train, date FROM days EXCEPT SELECT train, date FROM days WHERE n_stops >= 3""", dates=("date",))
@@ -399,7 +400,8 @@ w AS (SELECT q.*, usual, main IS NOT NULL AND (coalesce(NOT list_contains(main,
 SELECT train, dest, CASE WHEN wrong THEN coalesce(usual, dest) ELSE dest END AS corrected, wrong AND coalesce(usual, dest) <> dest AS conflict FROM w""")
 def j21(m):
     """Asked: the terminals of each train's rides, and the stations numbered next to them, which the train may never see."""
-    rows = clean(m)
+    rows = files.written(rides.smoothed_states(clean(m, "train", "train_type", "line", "date", "station", "state")), "smoothed")
+    rows = rows.withColumns({"delay": F.lit(0.0), "plan_min": F.lit(0), "is_canceled": F.lit(False)})  # parts of rides that nothing reads here
     of = rides.rides(rows)
     mains = live_mains(rows, live_days(m, rows))
     number = m.stations.select("s_suppkey", "station", F.when(F.col("s_suppkey") % 7 != 0, F.col("state")).alias("state"))

@@ -37,3 +37,7 @@ def test_rows_of_days_are_made_once(planned, name):
     """No row meets the templates before those alike in name and time are one, nor is the lines' table read again."""
     plan = planned(name)
     assert not scans(plan, "l_orderkey") and not re.findall(r"hashpartitioning\(line#\d+, date#\d+, ord#", plan)
+
+
+def test_destinations_are_corrected_from_stops_read_once(planned):
+    assert not scans(planned("j21_corrected_destination"), "l_orderkey")
