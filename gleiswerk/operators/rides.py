@@ -262,11 +262,15 @@ def coverage(details: DataFrame) -> DataFrame:
     )
 
 
-def rides_of_days(clean: DataFrame) -> DataFrame:
-    """(line, date, rides): each ride of a line's day with its calls, one for each state: the first minute and number there, and the last number."""
+def calls_of_rides(clean: DataFrame) -> DataFrame:
+    """(line, date, ride_id, calls): each ride with its calls, one for each state: the first minute and number there, and the last number."""
     call = clean.groupBy("line", "date", "ride_id", "state").agg(F.min_by("plan_min", "station_num").alias("minute"), F.min("station_num").alias("first_num"), F.max("station_num").alias("last_num"))
-    ride = call.groupBy("line", "date", "ride_id").agg(F.collect_list(F.struct("state", "minute", "first_num", "last_num")).alias("calls"))
-    return ride.groupBy("line", "date").agg(F.collect_list(F.struct("ride_id", "calls")).alias("rides"))
+    return call.groupBy("line", "date", "ride_id").agg(F.collect_list(F.struct("state", "minute", "first_num", "last_num")).alias("calls"))
+
+
+def rides_of_days(clean: DataFrame) -> DataFrame:
+    """(line, date, rides): each ride of a line's day with its calls."""
+    return calls_of_rides(clean).groupBy("line", "date").agg(F.collect_list(F.struct("ride_id", "calls")).alias("rides"))
 
 
 def nearest_ride(furthest: int = 90) -> Column:
@@ -282,13 +286,30 @@ def nearest_ride(furthest: int = 90) -> Column:
 
 def ride_for_query(asked: DataFrame, days: DataFrame, furthest: int = 90) -> DataFrame:
     """For (query, line, date, state, minute, destination) the nearest ride of that line's day (``rides_of_days``)."""
-    return nearest_rides(asked.join(days, ["line", "date"]), furthest)
+    found = asked.join(days, ["line", "date"]).withColumn("best", nearest_ride(furthest)).where("best is not null")
+    return found.select("query", "best.ride_id", "best.gap")
 
 
-def nearest_rides(asked: DataFrame, furthest: int = 90) -> DataFrame:
-    """``ride_for_query`` where each query has its day's ``rides`` already."""
-    found = asked.withColumn("best", nearest_ride(furthest)).where("best is not null")
-    return found.select("query", "best.ride_id", "best.gap")
+def nearest_of_own_days(calls: DataFrame, furthest: int = 90) -> DataFrame:
+    """``ride_for_query`` where each ride (``calls_of_rides``) has a query ``asked`` (state, destination, minute) of its own line's day.
+
+    A ride offers each state with each one it goes on to. Offers and queries of a
+    pair are put in order of time, so that each query looks at the offers just
+    before and after it, however many rides the day has.
+    """
+    pair = lambda a, b: F.struct(a["state"].alias("state"), b["state"].alias("destination"), a["minute"].alias("minute"), F.lit(0).alias("asks"))
+    offers = F.flatten(F.transform("calls", lambda a: F.transform(F.filter("calls", lambda b: b["last_num"] > a["first_num"]), lambda b: pair(a, b))))
+    asks = F.array(F.struct("asked.state", "asked.destination", "asked.minute", F.lit(1).alias("asks")))
+    # a line's day is together from here on: pairs are ordered within it
+    rows = calls.repartition("line", "date").select("line", "date", "ride_id", F.explode(F.concat(offers, asks)).alias("x")).select("line", "date", "ride_id", "x.*")
+    of_pair = Window.partitionBy("line", "date", "state", "destination")
+    offer = F.when(F.col("asks") == 0, F.struct("minute", "ride_id"))
+    # of offers of one minute the smallest ride is last, and all are before a query of that minute
+    near = [F.last(offer, True).over(of_pair.orderBy(by, "asks", F.desc("ride_id")).rowsBetween(Window.unboundedPreceding, 0)) for by in (F.asc("minute"), F.desc("minute"))]
+    found = rows.withColumn("before", near[0]).withColumn("after", near[1]).where("asks = 1")
+    gaps = F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("minute") - F.col(f"{c}.minute")).alias("gap"), F.col(f"{c}.ride_id").alias("ride_id"))) for c in ("before", "after")))
+    best = found.select(F.col("ride_id").alias("query"), F.array_min(F.filter(gaps, lambda x: x.isNotNull() & (x["gap"] <= furthest))).alias("best"))
+    return best.where("best is not null").select("query", "best.ride_id", "best.gap")
 
 
 def prediction_errors(predictions: DataFrame, days: DataFrame, today: str) -> DataFrame:

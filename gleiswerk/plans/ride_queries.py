@@ -294,12 +294,12 @@ q AS (SELECT ride_id AS query, line, date, min_by(state, station_num) AS state,
 c AS (SELECT q.query, t.ride_id, abs(minute - plan_min) AS gap FROM q JOIN cl t ON q.line = t.line AND q.date = t.date AND q.state = t.state
 WHERE abs(minute - plan_min) <= 90 AND EXISTS (SELECT 1 FROM cl g WHERE g.ride_id = t.ride_id AND g.state = q.destination AND g.last_num > t.first_num)) SELECT query, min_by(ride_id, struct_pack(a := gap, b := ride_id)) AS ride_id, min(gap) AS gap FROM c GROUP BY query""")
 def j10(m):
-    """Each ride asks for the line's day it is of: day and queries come from one build of the stops."""
-    per = rides.rides_of_days(clean(m))
-    first = lambda c: F.array_min(F.transform(F.col("r.calls"), lambda x: F.struct(x["first_num"], x[c])))[c]
-    last = F.array_max(F.transform(F.col("r.calls"), lambda x: F.struct(x["last_num"], x["state"])))["state"]
-    asked = per.select("line", "date", "rides", F.explode("rides").alias("r")).select(F.col("r.ride_id").alias("query"), "rides", first("state").alias("state"), ((first("minute") + 17) % 1440).alias("minute"), last.alias("destination"))
-    return rides.nearest_rides(asked)
+    """Each ride asks for the line's day it is of, a bit after its own departure, from its first state to its last."""
+    calls = rides.calls_of_rides(clean(m, "line", "date", "state", "plan_min"))
+    first = lambda c: F.array_min(F.transform(F.col("calls"), lambda x: F.struct(x["first_num"], x[c])))[c]
+    last = F.array_max(F.transform(F.col("calls"), lambda x: F.struct(x["last_num"], x["state"])))["state"]
+    asked = F.struct(first("state").alias("state"), last.alias("destination"), ((first("minute") + 17) % 1440).alias("minute"))
+    return rides.nearest_of_own_days(calls.withColumn("asked", asked))
 
 
 @query("j11_number_of_service", cte("clean") + """, q AS (SELECT ride_id, line, min_by(state, station_num) AS origin, min_by(plan_min, station_num) AS dep FROM clean GROUP BY 1, 2),

@@ -41,3 +41,9 @@ def test_rows_of_days_are_made_once(planned, name):
 
 def test_destinations_are_corrected_from_stops_read_once(planned):
     assert not scans(planned("j21_corrected_destination"), "l_orderkey")
+
+
+def test_rides_of_a_day_dont_look_at_each_other(planned):
+    """Queries look at the offers beside them in order of time, not at a list of the day's rides."""
+    plan = planned("j10_nearest_ride")
+    assert "Window" in plan and "rides#" not in plan
