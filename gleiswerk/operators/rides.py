@@ -300,8 +300,7 @@ def nearest_of_own_days(calls: DataFrame, furthest: int = 90) -> DataFrame:
     pair = lambda a, b: F.struct(a["state"].alias("state"), b["state"].alias("destination"), a["minute"].alias("minute"), F.lit(0).alias("asks"))
     offers = F.flatten(F.transform("calls", lambda a: F.transform(F.filter("calls", lambda b: b["last_num"] > a["first_num"]), lambda b: pair(a, b))))
     asks = F.array(F.struct("asked.state", "asked.destination", "asked.minute", F.lit(1).alias("asks")))
-    # a line's day is together from here on: pairs are ordered within it
-    rows = calls.repartition("line", "date").select("line", "date", "ride_id", F.explode(F.concat(offers, asks)).alias("x")).select("line", "date", "ride_id", "x.*")
+    rows = calls.select("line", "date", "ride_id", F.explode(F.concat(offers, asks)).alias("x")).select("line", "date", "ride_id", "x.*")
     of_pair = Window.partitionBy("line", "date", "state", "destination")
     offer = F.when(F.col("asks") == 0, F.struct("minute", "ride_id"))
     # of offers of one minute the smallest ride is last, and all are before a query of that minute

@@ -295,7 +295,8 @@ c AS (SELECT q.query, t.ride_id, abs(minute - plan_min) AS gap FROM q JOIN cl t
 WHERE abs(minute - plan_min) <= 90 AND EXISTS (SELECT 1 FROM cl g WHERE g.ride_id = t.ride_id AND g.state = q.destination AND g.last_num > t.first_num)) SELECT query, min_by(ride_id, struct_pack(a := gap, b := ride_id)) AS ride_id, min(gap) AS gap FROM c GROUP BY query""")
 def j10(m):
     """Each ride asks for the line's day it is of, a bit after its own departure, from its first state to its last."""
-    calls = rides.calls_of_rides(clean(m, "line", "date", "state", "plan_min"))
+    # a line's day is together from here on: rides are grouped, and pairs ordered, within it
+    calls = rides.calls_of_rides(clean(m, "line", "date", "state", "plan_min").repartition("line", "date"))
     first = lambda c: F.array_min(F.transform(F.col("calls"), lambda x: F.struct(x["first_num"], x[c])))[c]
     last = F.array_max(F.transform(F.col("calls"), lambda x: F.struct(x["last_num"], x["state"])))["state"]
     asked = F.struct(first("state").alias("state"), last.alias("destination"), ((first("minute") + 17) % 1440).alias("minute"))
